@@ -159,7 +159,7 @@ def redact_title(title: Column) -> Column:
 def clean(text: Column, max_length: int = 1000) -> Column:
     """Drop control characters, collapse white space, trim, and cap the length."""
     plain = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
-    flat = F.trim(F.regexp_replace(plain, r"\s+", " "))
+    flat = F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
     return F.when(F.length(flat) > max_length, F.concat(F.substring(flat, 1, max_length), F.lit("..."))).otherwise(flat)
 
 
@@ -204,7 +204,7 @@ def content_tags(text: Column) -> Column:
 
 
 def words(text: Column, min_length: int = 2) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     return F.filter(found, lambda w: F.length(w) >= min_length)
 
 

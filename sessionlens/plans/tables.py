@@ -37,7 +37,7 @@ def with_roles(events: DataFrame) -> DataFrame:
     kind = F.coalesce(
         *[F.when(F.col("event_type") == t, F.lit(v)) for t, v in KINDS.items()], F.lit("other")
     )
-    step = F.col("k") % 4
+    step = F.col("event_id") % 4
     return (
         events.withColumn("ts", F.col("ts").cast("timestamp"))
         .withColumn("us", F.unix_micros("ts"))
@@ -73,7 +73,7 @@ WITH raw AS (
   SELECT *,
     CASE event_type {" ".join(f"WHEN '{t}' THEN '{v}'" for t, v in KINDS.items())} ELSE 'other' END AS kind,
     chr(97 + k % 26) AS key,
-    CASE k % 4 WHEN 0 THEN 'press' WHEN 1 THEN 'release' WHEN 2 THEN 'click' ELSE 'move' END AS action,
+    CASE event_id % 4 WHEN 0 THEN 'press' WHEN 1 THEN 'release' WHEN 2 THEN 'click' ELSE 'move' END AS action,
     k * 19 AS x,
     CAST(floor(value * 2) AS INTEGER) % 1080 AS y,
     ({_sql_list(APPS)})[k % {len(APPS)} + 1] AS app,
