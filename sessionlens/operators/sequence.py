@@ -91,20 +91,20 @@ def framed(
             .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
         )
 
+    def halo(depth: int, newest: bool, kept: Column) -> DataFrame:
+        frame = across.rowsBetween(-depth, -1) if newest else across.rowsBetween(1, depth)
+        near = edge(depth, newest).withColumn("_near", F.flatten(F.collect_list("_rows").over(frame)))
+        return near.select(*keys, SLICE, F.explode(kept).alias("_row"))
+
     halos = []
     if back:
-        near = F.flatten(F.collect_list("_rows").over(across.rowsBetween(-back, -1)))
-        kept = F.slice(near, F.greatest(F.size(near) - back + 1, F.lit(1)), back)
-        halos.append(edge(back, newest=True).select(*keys, SLICE, F.explode(kept).alias("_row")))
+        halos.append(halo(back, True, F.slice("_near", F.greatest(F.size("_near") - back + 1, F.lit(1)), back)))
     if ahead:
-        near = F.flatten(F.collect_list("_rows").over(across.rowsBetween(1, ahead)))
-        halos.append(
-            edge(ahead, newest=False).select(*keys, SLICE, F.explode(F.slice(near, 1, ahead)).alias("_row"))
-        )
+        halos.append(halo(ahead, False, F.slice("_near", 1, ahead)))
     out = cut.withColumn(HALO, F.lit(False))
-    for halo in halos:
+    for copies in halos:
         out = out.unionByName(
-            halo.select(*keys, SLICE, *[F.col("_row")[c].alias(c) for c in rest]).withColumn(HALO, F.lit(True))
+            copies.select(*keys, SLICE, *[F.col("_row")[c].alias(c) for c in rest]).withColumn(HALO, F.lit(True))
         )
     return out, per_slice.orderBy(*order)
 
