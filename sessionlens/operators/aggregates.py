@@ -15,6 +15,11 @@ def r6(column: Column | str) -> Column:
     return F.round(column, 6) + F.lit(0.0)
 
 
+def r10(column: Column | str) -> Column:
+    """Rounded to ten places, for products of short decimals that tie at six."""
+    return F.round(column, 10) + F.lit(0.0)
+
+
 def share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 

@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.operators.sequence import SLICE, framed, running, settled, slices
-from sessionlens.session import cut_lineage
+from sessionlens.operators.sequence import SLICE, framed, largest_group_exceeds, running, settled, slices
+from sessionlens.session import GROUP_ROWS_DEFAULT, GROUP_ROWS_KEY, cut_lineage, setting
 
 FREE = -(2**62)
 
@@ -56,20 +56,24 @@ def chain(pieces: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, i
 def thin(df: DataFrame, keys: Sequence[str], gap_us: int) -> DataFrame:
     """The kept rows as (keys, event_id, us), in the order of (ts, event_id)."""
     keys = list(keys)
-    rows, w = framed(df.select(*keys, "event_id", "ts", "us"), keys, back=1)
-    free = F.coalesce(F.col("us") - F.lag("us").over(w) >= gap_us, F.lit(True))
-    runs = running(settled(rows.withColumn("_free", free.cast("long"))), keys, {"_run": F.col("_free")})
-    group = [*keys, "_run"]
+    rows = df.select(*keys, "event_id", "ts", "us")
     kept_schema = df.select(*keys, "event_id", "us").schema
 
-    cut = slices(runs, group)
-    if cut is None:
+    def whole(piece: pd.DataFrame) -> pd.DataFrame:
+        piece = piece.sort_values(["us", "event_id"])
+        kept = keep_from(piece["us"].to_numpy(), gap_us, FREE)
+        return piece.iloc[kept][[*keys, "event_id", "us"]]
 
-        def whole(piece: pd.DataFrame) -> pd.DataFrame:
-            piece = piece.sort_values(["us", "event_id"])
-            kept = keep_from(piece["us"].to_numpy(), gap_us, FREE)
-            return piece.iloc[kept][[*keys, "event_id", "us"]]
+    bound = setting(df.sparkSession, GROUP_ROWS_KEY, GROUP_ROWS_DEFAULT)
+    if not largest_group_exceeds(rows.select(*keys), keys, bound):
+        return rows.drop("ts").groupBy(*keys).applyInPandas(whole, kept_schema)
 
+    placed, w = framed(rows, keys, back=1)
+    free = F.coalesce(F.col("us") - F.lag("us").over(w) >= gap_us, F.lit(True))
+    runs = running(settled(placed.withColumn("_free", free.cast("long"))), keys, {"_run": F.col("_free")})
+    group = [*keys, "_run"]
+    cut = slices(runs, group)
+    if cut is None:
         return runs.select(*group, "event_id", "us").groupBy(*group).applyInPandas(whole, kept_schema)
 
     pieces = cut_lineage(cut.select(*group, SLICE, "event_id", "us"))

@@ -262,8 +262,7 @@ def rapid_actions(
     return settled(
         out.withColumns(
             {
-                "rapid_typing": (F.col("_typed") >= 5) & (F.col("_typing") > 0)
-                & (F.col("_typed") / F.col("_typing") > keys_per_second),
+                "rapid_typing": (F.col("_typed") >= 5) & (F.try_divide("_typed", "_typing") > keys_per_second),
                 "rapid_clicking": (F.size(clicks) >= 3) & quick,
                 "rapid_app_switching": (F.size("_apps") >= 3) & (F.size(F.array_distinct("_apps")) > apps),
                 "frequent_copying": (F.col("_n") >= 10) & (F.col("_copies") > copies),
