@@ -1,0 +1,273 @@
+"""Model evaluation, confidence, drift, and the models themselves."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sessionlens.functions import levels
+from sessionlens.operators import quality as Q
+from sessionlens.operators.aggregates import r6, share
+from sessionlens.operators.joins import long_features
+from sessionlens.operators.sequence import framed, settled
+from sessionlens.plans.catalog import query
+from sessionlens.plans.joins import SCORE, score
+from sessionlens.plans.rows import level_sql
+from sessionlens.plans.tables import ACT, activity, read
+from sessionlens.plans.windows import rows_sql
+
+LABELLED_SQL = """WITH l AS (SELECT doc_id, n_chars, quality AS label, CASE WHEN n_chars BETWEEN 300 AND 6000 THEN 1 ELSE 0 END AS prediction,
+  least(0.99, n_chars / 3000.0) AS p FROM documents JOIN labels USING (doc_id))"""
+
+
+def labelled(spark, sf):
+    """Documents with their label and a plain rule's prediction, standing in for a model's output."""
+    documents = read(spark, sf, "documents").select("doc_id", "n_chars")
+    joined = documents.join(read(spark, sf, "labels"), "doc_id")
+    return joined.select(
+        "doc_id", "n_chars", F.col("quality").alias("label"), F.col("n_chars").between(300, 6000).cast("int").alias("prediction"),
+        F.least(F.lit(0.99), F.col("n_chars") / 3000).alias("p"),
+    )
+
+
+CLASS_SQL = LABELLED_SQL + """, c AS (SELECT label AS class, count(*) AS support, count(*) FILTER (WHERE label = prediction) AS hits FROM l GROUP BY 1),
+q AS (SELECT prediction AS class, count(*) AS claimed FROM l GROUP BY 1), r AS (SELECT class, support, coalesce(hits / nullif(claimed, 0), 0) AS precision, hits / support AS recall FROM c LEFT JOIN q USING (class)),
+f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM r)"""
+
+
+@query(
+    "class_report",
+    CLASS_SQL + " SELECT class, support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f",
+)
+def class_report(spark, sf):
+    report = Q.class_report(labelled(spark, sf))
+    return report.select("class", "support", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(
+    "validate_model",
+    CLASS_SQL + """, w AS (SELECT CAST(sum(support) AS BIGINT) AS n, sum(precision * support) / sum(support) AS precision, sum(recall * support) / sum(support) AS recall,
+  sum(f1 * support) / sum(support) AS f1 FROM f), v AS (SELECT avg(a) AS m, stddev_pop(a) AS s FROM (SELECT doc_id % 5 AS fold, avg((label = prediction)::INT) AS a FROM l GROUP BY 1))
+SELECT n, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(recall, 6) AS accuracy, round(m, 6) AS cv_mean, round(s, 6) AS cv_std FROM w, v""",
+)
+def validate_model(spark, sf):
+    rows = labelled(spark, sf)
+    whole = Q.weighted_report(Q.class_report(rows))
+    folds = Q.fold_accuracy(rows, F.col("doc_id") % 5)
+    out = whole.withColumns({c: folds.select(c).scalar() for c in ("cv_mean", "cv_std")})
+    return out.select("n", *[r6(c).alias(c) for c in ("precision", "recall", "f1", "accuracy", "cv_mean", "cv_std")])
+
+
+REGISTRY_SQL = """WITH g AS (SELECT event_type AS model, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) + 1 AS version, round(avg(least(value / 120, 1.0)), 6) AS metric, count(*) AS samples,
+  sha256(event_type || ':' || (date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1)) AS checksum, max(epoch_us(ts)) AS trained_at FROM events GROUP BY 1, 2, 5)"""
+
+
+def registry(spark, sf):
+    """One version per model and day."""
+    version = (F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1).cast("long")
+    return activity(spark, sf).groupBy(F.col("event_type").alias("model"), version.alias("version")).agg(
+        F.round(F.avg(score()), 6).alias("metric"), F.count(F.lit(1)).alias("samples"), F.max("us").alias("trained_at")
+    ).withColumn("checksum", F.sha2(F.concat_ws(":", "model", "version"), 256))
+
+
+@query(
+    "model_registry",
+    REGISTRY_SQL + """SELECT model, count(*) AS versions, max(version) AS active_version, arg_max(metric, version) AS active_metric, first(version ORDER BY metric DESC, version) AS best_version,
+  max(metric) AS best_metric, round(arg_max(metric, version) - arg_min(metric, version), 6) + 0.0 AS change, arg_max(checksum, version) AS checksum FROM g GROUP BY 1""",
+)
+def model_registry(spark, sf):
+    return Q.registry_summary(registry(spark, sf)).withColumn("change", r6("change"))
+
+
+DRIFT_SQL = """, n AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY version) AS rn, count(*) OVER (PARTITION BY model) AS runs FROM g),
+d AS (SELECT model, max(runs) AS runs, avg(metric) FILTER (WHERE rn <= runs - 3) - avg(metric) FILTER (WHERE rn > runs - 3) AS drop_ FROM n WHERE runs >= 5 GROUP BY 1)"""
+
+
+@query(
+    "perf_drift",
+    REGISTRY_SQL + DRIFT_SQL + """ SELECT model, runs, round(drop_, 6) + 0.0 AS "drop", drop_ > 0.05 AS drifted FROM d""",
+)
+def perf_drift(spark, sf):
+    return Q.performance_drift(registry(spark, sf)).withColumn("drop", r6("drop"))
+
+
+@query(
+    "ks_drift",
+    """WITH s AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate >= TIMESTAMP '1995-07-01' AS late FROM lineitem),
+long AS (SELECT 'quantity' AS feature, l_quantity AS x, late FROM s UNION ALL SELECT 'price', l_extendedprice, late FROM s UNION ALL SELECT 'discount', l_discount, late FROM s UNION ALL SELECT 'tax', l_tax, late FROM s),
+c AS (SELECT feature, x, count(*) FILTER (WHERE NOT late) AS a, count(*) FILTER (WHERE late) AS b FROM long GROUP BY 1, 2),
+u AS (SELECT feature, sum(a) OVER (PARTITION BY feature ORDER BY x) AS ca, sum(b) OVER (PARTITION BY feature ORDER BY x) AS cb, sum(a) OVER (PARTITION BY feature) AS n, sum(b) OVER (PARTITION BY feature) AS m FROM c),
+k AS (SELECT feature, CAST(max(n) AS BIGINT) AS n, CAST(max(m) AS BIGINT) AS m, max(abs(ca / n - cb / m)) AS d FROM u GROUP BY 1),
+t AS (SELECT *, sqrt(n::DOUBLE * m / (n + m)) * d AS z FROM k),
+p AS (SELECT *, CASE WHEN z < 0.2 THEN 1.0 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * j * j * z * z))))) END AS pv FROM t)
+SELECT feature, n, m, round(d, 6) AS statistic, round(pv, 6)::DOUBLE AS p_value, pv < 0.05 AS drifted FROM p""",
+)
+def ks_drift(spark, sf):
+    late = F.col("l_shipdate") >= F.lit("1995-07-01").cast("timestamp")
+    rows = read(spark, sf, "lineitem").withColumn("late", late)
+    columns = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+    long = long_features(rows, ["late"], {n: F.col(c) for n, c in columns.items()})
+    out = Q.ks_drift(long, F.col("late"))
+    return out.withColumns({"statistic": r6("statistic"), "p_value": r6("p_value")})
+
+
+@query(
+    "retrain_due",
+    REGISTRY_SQL + DRIFT_SQL + """, a AS (SELECT max(epoch_us(ts)) AS now FROM events), f AS (SELECT model, min(trained_at) AS trained_at, CAST(sum(samples) AS BIGINT) AS samples FROM g GROUP BY 1)
+SELECT model, samples, CASE WHEN drop_ > 0.01 THEN 'drift' ELSE 'interval' END AS reason FROM f JOIN d USING (model), a
+WHERE samples >= 2000 AND (drop_ > 0.01 OR (now - trained_at) / 86400000000.0 >= 7)""",
+)
+def retrain_due(spark, sf):
+    versions = registry(spark, sf)
+    as_of = read(spark, sf, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).scalar()
+    first = versions.groupBy("model").agg(F.min("trained_at").alias("trained_at"), F.sum("samples").alias("samples"))
+    drift = Q.performance_drift(versions, limit=0.01).select("model", "drifted")
+    return Q.retrain_due(first.join(drift, "model"), as_of, 7, 2000).select("model", "samples", "reason")
+
+
+@query(
+    "calibration_metrics",
+    LABELLED_SQL + """, b AS (SELECT ceil(p * 10) AS bin, count(*) AS n, avg(p) AS c, avg(((p > 0.5)::INT = label)::INT) AS a, sum((p - label) ** 2) AS sq, sum(-(label * ln(p) + (1 - label) * ln(1 - p))) AS loss FROM l GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(sq) / sum(n), 6) AS brier, round(sum(loss) / sum(n), 6) AS log_loss, round(sum(abs(c - a) * n) / sum(n), 6) AS ece FROM b""",
+)
+def calibration_metrics(spark, sf):
+    out = Q.calibration(labelled(spark, sf), "p", "label")
+    return out.select("n", *[r6(c).alias(c) for c in ("brier", "log_loss", "ece")])
+
+
+PROBS = "k + 1.0, value + 1.0, 40.0"
+PROBS_SQL = ACT + f""", w AS (SELECT event_id, ts, user_id, us, [{PROBS}]::DOUBLE[] AS w FROM act), p AS (SELECT event_id, ts, user_id, us, list_transform(w, lambda x: x / list_sum(w)) AS p FROM w),
+c AS (SELECT *, list_reverse_sort(p) AS d, list_sort(p) AS u, -list_sum(list_transform(p, lambda x: x * ln(x + 1e-10))) AS h FROM p)"""
+
+
+def probabilities(spark, sf):
+    """A class distribution per event."""
+    weights = F.array((F.col("k") + 1).cast("double"), F.col("value") + 1, F.lit(40.0))
+    rows = activity(spark, sf).select("user_id", "event_id", "ts", "us", "k", "value", weights.alias("_w"))
+    return rows.withColumn("_t", levels.array_sum(F.col("_w"))).withColumn("p", F.transform("_w", lambda x: x / F.col("_t"))).drop("_w", "_t")
+
+
+@query(
+    "confidence_metrics",
+    PROBS_SQL + """SELECT event_id, round(d[1], 6) AS confidence, round(d[1] - d[2], 6) AS margin, round((d[1] - d[2]) / d[1], 6) AS normalized_margin, round(h, 6) AS entropy, round(1 - h / ln(3), 6) + 0.0 AS entropy_confidence,
+  round(2 * (u[1] + 2 * u[2] + 3 * u[3]) / (3 * list_sum(u)) - 4.0 / 3, 6) + 0.0 AS gini_coefficient, round(list_var_pop(p), 6) AS probability_variance, round(d[1] + d[2], 6) AS top_2_confidence FROM c""",
+)
+def confidence_metrics(spark, sf):
+    measures = levels.probability_measures(F.col("p"), 3)
+    measures.pop("top_3_confidence")
+    return probabilities(spark, sf).select("event_id", *[r6(c).alias(n) for n, c in measures.items()])
+
+
+RELIABLE_SQL = PROBS_SQL + """, rel AS (SELECT event_id, ts, user_id, us, d[1] AS confidence, greatest(0, least(1, d[1] - h / ln(10) + greatest(0, 0.1 - 0.02) + (d[1] - d[2]) / d[1] * 0.1)) AS reliability FROM c)"""
+
+
+def reliable(spark, sf):
+    p = F.col("p")
+    measures = levels.probability_measures(p, 3)
+    score_of = levels.reliability(measures["confidence"], measures["entropy"], F.lit(0.02), measures["normalized_margin"])
+    return probabilities(spark, sf).select(
+        "user_id", "event_id", "ts", "us", measures["confidence"].alias("confidence"), score_of.alias("reliability")
+    )
+
+
+@query("reliability", RELIABLE_SQL + " SELECT event_id, round(confidence, 6) AS confidence, round(reliability, 6)::DOUBLE AS reliability FROM rel")
+def reliability(spark, sf):
+    return reliable(spark, sf).select("event_id", r6("confidence").alias("confidence"), r6("reliability").alias("reliability"))
+
+
+ENSEMBLE = [("k + 1.0", "value + 1.0", "40.0"), ("k + 20.0", "value + 1.0", "60.0"), ("100.0 - k", "value * 0.5 + 1", "50.0")]
+
+
+@query(
+    "uncertainty_metrics",
+    ACT + ", raw_w AS (" + " UNION ALL ".join(
+        f"SELECT event_id, {m} AS model, {c} AS class, (({w}) / ({' + '.join(f'({x})' for x in ws)}))::DOUBLE AS p FROM act" for m, ws in enumerate(ENSEMBLE) for c, w in enumerate(ws)
+    ) + """), pc AS (SELECT event_id, class, avg(p) AS m, var_pop(p) AS v, sum(-p * ln(p + 1e-10)) AS own FROM raw_w GROUP BY 1, 2),
+s AS (SELECT event_id, avg(v) AS epistemic, sum(-m * ln(m + 1e-10)) AS aleatoric, sum(-m * ln(m + 1e-10)) - sum(own) / 3 AS mi, 1 - max(m) AS predictive FROM pc GROUP BY 1),
+ch AS (SELECT event_id, model, first(class ORDER BY p DESC, class) AS choice FROM raw_w GROUP BY 1, 2), ag AS (SELECT event_id, 1 - var_pop(choice) / count(DISTINCT choice) AS agreement FROM ch GROUP BY 1)
+SELECT event_id, round(epistemic, 6) AS epistemic, round(aleatoric, 6) AS aleatoric, round(mi, 6) + 0.0 AS mutual_information, round(predictive, 6) AS predictive, round(aleatoric + epistemic, 6) AS total,
+  round(agreement, 6) AS agreement FROM s JOIN ag USING (event_id)""",
+)
+def uncertainty_metrics(spark, sf):
+    rows = activity(spark, sf)
+    structs = []
+    for m, weights in enumerate(ENSEMBLE):
+        exprs = [F.expr(w.replace(".0", ".0D").replace("0.5", "0.5D")).cast("double") for w in weights]
+        total = exprs[0] + exprs[1] + exprs[2]
+        structs += [F.struct(F.lit(m).alias("model"), F.lit(c).alias("class"), (e / total).alias("p")) for c, e in enumerate(exprs)]
+    long = rows.select("event_id", F.inline(F.array(*structs)))
+    out = Q.uncertainty(long)
+    names = ["epistemic", "aleatoric", "mutual_information", "predictive", "total", "agreement"]
+    return out.select("event_id", *[r6(n).alias(n) for n in names])
+
+
+@query(
+    "confidence_stats",
+    RELIABLE_SQL + f"""SELECT {level_sql('confidence', 'confidence')} AS level, count(*) AS predictions, round(avg(reliability), 6) AS mean_score, round(count(*) / (SELECT count(*) FROM rel), 6) AS share FROM rel GROUP BY 1""",
+)
+def confidence_stats(spark, sf):
+    rows = reliable(spark, sf).withColumn("level", levels.level(F.col("confidence"), "confidence"))
+    out = Q.confidence_levels(rows, "level", "reliability")
+    return out.withColumns({"mean_score": r6("mean_score"), "share": r6("share")})
+
+
+@query(
+    "confidence_trend",
+    RELIABLE_SQL + f"""SELECT event_id, round(avg(reliability) OVER w, 6) AS recent_mean, round(stddev_pop(reliability) OVER w, 6) AS recent_std FROM rel WINDOW w AS {rows_sql(99)}""",
+)
+def confidence_trend(spark, sf):
+    """Mean and deviation of the last 100 scores of a user."""
+    rows, w = framed(reliable(spark, sf), ["user_id"], back=100)
+    frame = w.rowsBetween(-99, 0)
+    out = settled(
+        rows.withColumns({"recent_mean": F.avg("reliability").over(frame), "recent_std": F.stddev_pop("reliability").over(frame)})
+    )
+    return out.select("event_id", r6("recent_mean").alias("recent_mean"), r6("recent_std").alias("recent_std"))
+
+
+CONF_DRIFT_SQL = RELIABLE_SQL + """, nn AS (SELECT reliability AS s, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM rel),
+ww AS (SELECT avg(s) FILTER (WHERE rn <= 100) AS rm, avg(s) FILTER (WHERE rn > 100) AS om, stddev_pop(s) FILTER (WHERE rn <= 100) AS rs, stddev_pop(s) FILTER (WHERE rn > 100) AS os,
+  median(s) FILTER (WHERE rn <= 100) AS rmed, median(s) FILTER (WHERE rn > 100) AS omed, var_samp(s) FILTER (WHERE rn <= 100) AS vn, var_samp(s) FILTER (WHERE rn > 100) AS vm FROM nn WHERE rn <= 200),
+dd AS (SELECT *, rm - om AS drift, (om - rm) / sqrt((99 * vn + 99 * vm) / 198 * (2 / 100)) AS t, CASE WHEN abs(rm - om) > 0.1 THEN 'high' WHEN abs(rm - om) > 0.05 THEN 'medium' ELSE 'low' END AS severity FROM ww)"""
+
+
+@query(
+    "confidence_drift",
+    CONF_DRIFT_SQL + """SELECT round(rm, 6) AS recent_mean, round(om, 6) AS older_mean, round(rs, 6) AS recent_std, round(os, 6) AS older_std, round(rmed, 6) AS recent_median, round(omed, 6) AS older_median,
+  round(drift, 6) + 0.0 AS mean_drift, round(t, 6) + 0.0 AS t_statistic, severity, CASE WHEN drift > 0 THEN 'increasing' ELSE 'decreasing' END AS direction FROM dd""",
+)
+def confidence_drift(spark, sf):
+    out = Q.confidence_drift(reliable(spark, sf), "reliability")
+    return out.select(*[c if c in ("severity", "direction") else r6(c).alias(c) for c in out.columns])
+
+
+@query(
+    "recalibration",
+    CONF_DRIFT_SQL + """, u AS (SELECT user_id, avg((confidence < 0.6)::INT) AS low_share, CAST(floor(((SELECT max(us) FROM rel) - min(us)) / 86400000000.0) AS BIGINT) + 5 AS days_since FROM rel GROUP BY 1),
+j AS (SELECT user_id, days_since, low_share, severity = 'high' AS high, abs(t) > 1.96 AS significant, low_share > 0.3 AS low FROM u, dd)
+SELECT user_id, high OR significant OR low AS needed, CASE WHEN high OR low THEN 'high' WHEN significant THEN 'medium' WHEN days_since > 30 THEN 'medium' ELSE 'low' END AS priority,
+  high::INT + significant::INT + (days_since > 30)::INT + low::INT AS reasons FROM j""",
+)
+def recalibration(spark, sf):
+    rows = reliable(spark, sf)
+    as_of = rows.agg(F.max("us")).scalar()
+    drift = Q.confidence_drift(rows, "reliability")
+    days = F.floor((as_of - F.min("us")) / 86_400_000_000.0) + 5
+    users = rows.groupBy("user_id").agg(share(F.col("confidence") < 0.6).alias("low_share"), days.alias("days_since"))
+    joined = users.withColumns(
+        {"severity": drift.select("severity").scalar(), "significant": F.abs(drift.select("t_statistic").scalar()) > 1.96}
+    )
+    out = Q.recalibration(joined)
+    return out.select("user_id", "needed", "priority", F.size("reasons").alias("reasons"))
+
+
+@query(
+    "performance_summary",
+    LABELLED_SQL + """SELECT prediction, count(*) AS n, round(avg((label = prediction)::INT), 6) AS accuracy, round(avg(greatest(p, 1 - p)), 6) AS mean_confidence,
+  round(stddev_pop(greatest(p, 1 - p)), 6) AS std_confidence, round(avg((greatest(p, 1 - p) < 0.7)::INT), 6) AS low_share FROM l GROUP BY 1""",
+)
+def performance_summary(spark, sf):
+    sure = F.greatest(F.col("p"), 1 - F.col("p"))
+    return labelled(spark, sf).groupBy("prediction").agg(
+        F.count(F.lit(1)).alias("n"), r6(share(F.col("label") == F.col("prediction"))).alias("accuracy"), r6(F.avg(sure)).alias("mean_confidence"),
+        r6(F.stddev_pop(sure)).alias("std_confidence"), r6(share(sure < 0.7)).alias("low_share"),
+    )
