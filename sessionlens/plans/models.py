@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from sessionlens.functions import levels
+from sessionlens.functions import levels, text
+from sessionlens.operators import explain, forest
+from sessionlens.operators import learning as L
 from sessionlens.operators import quality as Q
 from sessionlens.operators.aggregates import r6, share
 from sessionlens.operators.joins import long_features
@@ -271,3 +275,243 @@ def performance_summary(spark, sf):
         F.count(F.lit(1)).alias("n"), r6(share(F.col("label") == F.col("prediction"))).alias("accuracy"), r6(F.avg(sure)).alias("mean_confidence"),
         r6(F.stddev_pop(sure)).alias("std_confidence"), r6(share(sure < 0.7)).alias("low_share"),
     )
+
+
+# --- models -----------------------------------------------------------------------------------------------
+
+DOC_FEATURES = ["n_chars", "words", "digits", "capitals", "lines"]
+
+
+def document_rows(spark, sf, label: str = "quality"):
+    """Labelled documents with plain text features."""
+    t = F.col("text")
+    documents = read(spark, sf, "documents").select(
+        "doc_id",
+        F.col("n_chars").cast("double").alias("n_chars"),
+        text.word_count(t).cast("double").alias("words"),
+        text.digit_share(t).alias("digits"),
+        (F.regexp_count(t, F.lit("[A-Z]")) / F.greatest(F.length(t), F.lit(1))).alias("capitals"),
+        F.regexp_count(t, F.lit("\n")).cast("double").alias("lines"),
+    )
+    labels = read(spark, sf, "labels").select("doc_id", F.col(label).alias("label"))
+    return documents.join(labels, "doc_id")
+
+
+def embeddings(spark, sf):
+    rows = read(spark, sf, "embeddings")
+    return rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+SCALED_SQL = """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
+s AS (SELECT vec_id, d, CASE WHEN stddev_pop(x) OVER (PARTITION BY d) > 0 THEN (x - avg(x) OVER (PARTITION BY d)) / stddev_pop(x) OVER (PARTITION BY d) ELSE 0 END AS z FROM e)"""
+
+
+@query(
+    "vectorize_scale",
+    SCALED_SQL + " SELECT vec_id, round(max(CASE WHEN d = 1 THEN z END), 6) AS first_scaled, round(sqrt(sum(z * z)), 6) AS length FROM s GROUP BY 1",
+)
+def vectorize_scale(spark, sf):
+    scaled = L.standardise(embeddings(spark, sf), "vec_id", "embedding")
+    length = F.sqrt(levels.array_sum(F.transform("scaled", lambda x: x * x)))
+    return scaled.select("vec_id", r6(F.get("scaled", F.lit(0))).alias("first_scaled"), r6(length).alias("length"))
+
+
+@query("pca_95")
+def pca_95(spark, sf):
+    projected, k = L.principal(L.standardise(embeddings(spark, sf), "vec_id", "embedding"))
+    kept = levels.array_sum(F.transform("components", lambda x: x * x))
+    return projected.select("vec_id", F.lit(k).alias("components_kept"), r6(kept).alias("kept_square"))
+
+
+@query(
+    "robust_minmax_scale",
+    """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, median(value) AS q2, quantile_cont(value, 0.75) AS q3, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1)
+SELECT event_id, round((value - q2) / (q3 - q1), 9) + 0.0 AS robust, round((value - lo) / (hi - lo), 9) AS minmax FROM events JOIN q USING (event_type)""",
+)
+def robust_minmax_scale(spark, sf):
+    rows = read(spark, sf, "events").select("event_id", "event_type", "value")
+    out = L.robust_and_minmax(rows, ["event_type"], "value")
+    return out.select("event_id", (F.round("robust", 9) + F.lit(0.0)).alias("robust"), F.round("minmax", 9).alias("minmax"))
+
+
+@query("isolation_forest")
+def isolation_forest(spark, sf):
+    rows = embeddings(spark, sf)
+    nodes = forest.fit(rows, "vec_id", "embedding")
+    scored = forest.score(rows, "embedding", nodes)
+    limit = forest.cutoff(scored, "anomaly_score", 0.1)
+    return scored.select("vec_id", r6("anomaly_score").alias("anomaly_score"), (F.col("anomaly_score") > limit).alias("is_anomaly"))
+
+
+@query("one_class")
+def one_class(spark, sf):
+    scored = L.kernel_distance(embeddings(spark, sf), "embedding")
+    limit = forest.cutoff(scored, "distance", 0.1)
+    return scored.select("vec_id", r6("distance").alias("distance"), (F.col("distance") > limit).alias("is_anomaly"))
+
+
+@query(
+    "density_outlier",
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rn FROM events),
+p AS (SELECT a.event_type, a.event_id, abs(a.value - b.value) AS d, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.value - b.value)) AS n FROM o a JOIN o b ON a.event_type = b.event_type AND b.rn BETWEEN a.rn - 5 AND a.rn + 5 AND a.rn <> b.rn),
+k AS (SELECT event_type, event_id, d FROM p WHERE n = 5), m AS (SELECT event_type, avg(d) AS m FROM k GROUP BY 1)
+SELECT event_id, round(d, 6) AS k_distance, round(d / m, 6) AS outlier_score, d / m > 3 AS is_outlier FROM k JOIN m USING (event_type)""",
+)
+def density_outlier(spark, sf):
+    rows = read(spark, sf, "events").select("event_id", "event_type", "value")
+    out = L.neighbour_distance(rows, ["event_type"], "value", "event_id", k=5)
+    return out.select(
+        "event_id", r6("k_distance").alias("k_distance"), r6("outlier_score").alias("outlier_score"), (F.col("outlier_score") > 3).alias("is_outlier")
+    )
+
+
+@query("reconstruction_error")
+def reconstruction_error(spark, sf):
+    projected, _ = L.principal(L.standardise(embeddings(spark, sf), "vec_id", "embedding"), keep=0.8)
+    error = projected.withColumn("error", L.reconstruction_error(projected))
+    return error.select("vec_id", r6("error").alias("error"), r6(F.least(F.col("error") / 10, F.lit(1.0))).alias("anomaly_score"))
+
+
+@query("supervised_anomaly")
+def supervised_anomaly(spark, sf):
+    rows = L.assembled(document_rows(spark, sf, "toxic"), DOC_FEATURES)
+    scored = L.supervised(rows)
+    return scored.select("doc_id", "label", r6("p").alias("p"), (F.col("p") > 0.5).alias("is_anomaly"))
+
+
+@query("threat_classifiers")
+def threat_classifiers(spark, sf):
+    """Privilege and transfer models on daily indicator counts of users; rare positives get noisy copies."""
+    flags = text.keyword_flags(["admin_elevation", "sudo_usage", "file_transfer", "cloud_services", "network_upload"])
+    rows = activity(spark, sf).groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        *[F.count_if(c).cast("double").alias(n) for n, c in flags.items()], F.avg(F.hour("ts")).alias("hour"),
+    )
+    columns = [*flags, "hour"]
+    labelled_rows = rows.withColumn("label", ((F.col("admin_elevation") + F.col("sudo_usage")) >= 2).cast("int"))
+    train = L.assembled(L.with_noise_positives(labelled_rows.select(*columns, "label"), columns), columns)
+    models = L.threat_models(train)
+    out = L.assembled(labelled_rows, columns)
+    for name, model in models.items():
+        out = model.transform(out).withColumn(f"p_{name}", r6(L.probability_of_one())).drop("rawPrediction", "probability", "prediction")
+    return out.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "label", "p_forest", "p_boosted")
+
+
+@query("typing_identity")
+def typing_identity(spark, sf):
+    """Who is it: accuracy of three classifiers on held-out vectors, and the share accepted at 0.8."""
+    rows = embeddings(spark, sf).select("vec_id", F.col("label").cast("int").alias("label"), array_to_vector("embedding").alias("features")).cache()
+    classes = rows.agg(F.max("label")).first()[0] + 1
+    train, held_out = L.stratified_split(rows, "label", "vec_id")
+    out = None
+    for name, model in L.identity_models(train, 64, classes).items():
+        scored = model.transform(held_out)
+        sure = F.array_max(vector_to_array("probability")) if "probability" in scored.columns else F.lit(None).cast("double")
+        part = scored.agg(
+            F.lit(name).alias("model"), r6(share(F.col("prediction") == F.col("label"))).alias("accuracy"),
+            r6(share(sure >= 0.8)).alias("accepted"), F.count(F.lit(1)).alias("n"),
+        )
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("risk_regressors")
+def risk_regressors(spark, sf):
+    rows = activity(spark, sf).select(
+        "event_id", F.col("k").cast("double").alias("k"), F.hour("ts").cast("double").alias("hour"), F.weekday("ts").cast("double").alias("day"),
+        F.col("size").cast("double").alias("size"), score().alias("label"),
+    )
+    vectors = L.assembled(rows, ["k", "hour", "day", "size"])
+    train, held_out = L.stratified_split(vectors, "event_id", "event_id")
+    models = L.risk_models(train)
+    scored = L.mean_prediction(held_out, models)
+    error = F.col("prediction") - F.col("label")
+    spread = F.var_pop("label")
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg(error * error)).alias("mse"), r6(1 - F.avg(error * error) / spread).alias("r2"),
+        r6(F.avg("prediction")).alias("mean_prediction"),
+    )
+
+
+@query("soft_vote")
+def soft_vote(spark, sf):
+    rows = L.assembled(document_rows(spark, sf), DOC_FEATURES)
+    forest_model = L.RandomForestClassifier(labelCol="label", numTrees=30, seed=L.SEED).fit(rows)
+    network = L.MultilayerPerceptronClassifier(labelCol="label", layers=[len(DOC_FEATURES), 10, 2], maxIter=50, seed=L.SEED).fit(rows)
+    out = L.soft_vote(rows, [forest_model, network])
+    return out.select("doc_id", "label", r6("p").alias("p"))
+
+
+@query("grid_search")
+def grid_search(spark, sf):
+    rows = L.assembled(document_rows(spark, sf), DOC_FEATURES).select("features", "label").cache()
+    found = L.grid_search(rows)
+    return spark.createDataFrame(found, "model STRING, parameters STRING, score DOUBLE")
+
+
+@query("calibrate")
+def calibrate(spark, sf):
+    rows = labelled(spark, sf).select("doc_id", "p", F.col("label").cast("double").alias("label"))
+    out = L.calibrate(rows, "p")
+    return out.select("doc_id", "label", r6("isotonic").alias("isotonic"), r6("sigmoid").alias("sigmoid"))
+
+
+def quality_forest(rows):
+    return L.RandomForestClassifier(labelCol="label", numTrees=20, maxDepth=5, seed=L.SEED).fit(L.assembled(rows, DOC_FEATURES))
+
+
+def scorer(model):
+    return lambda df: model.transform(df).withColumn("p", L.probability_of_one())
+
+
+@query("global_importance")
+def global_importance(spark, sf):
+    """Built-in and permutation importance of a forest's features."""
+    rows = document_rows(spark, sf).cache()
+    model = quality_forest(rows)
+    hit = F.avg(((F.col("p") > 0.5).cast("int") == F.col("label")).cast("double"))
+    permuted = explain.permutation_importance(rows, "doc_id", DOC_FEATURES, scorer(model), hit, repeats=5)
+    built_in = F.create_map(*[F.lit(v) for pair in zip(DOC_FEATURES, map(float, model.featureImportances.toArray())) for v in pair])
+    return permuted.select(
+        "feature", r6(built_in[F.col("feature")]).alias("built_in"), r6("importance").alias("permutation"), r6("spread").alias("spread")
+    )
+
+
+@query("shapley_sampled")
+def shapley_sampled(spark, sf):
+    rows = document_rows(spark, sf).cache()
+    model = quality_forest(rows)
+    values = explain.shapley(rows, rows.orderBy("doc_id"), "doc_id", DOC_FEATURES, scorer(model))
+    return values.select("doc_id", "feature", r6("value").alias("value"))
+
+
+@query("local_surrogate")
+def local_surrogate(spark, sf):
+    rows = document_rows(spark, sf).cache()
+    model = quality_forest(rows)
+    stats = rows.agg(*[F.stddev_pop(c).alias(c) for c in DOC_FEATURES]).first()
+    weights = explain.local_surrogate(rows, "doc_id", DOC_FEATURES, scorer(model), stats.asDict(), draws=100)
+    return weights.select("doc_id", "feature", r6("weight").alias("weight"))
+
+
+@query("decision_paths")
+def decision_paths(spark, sf):
+    rows = document_rows(spark, sf)
+    tree = DecisionTreeClassifier(labelCol="label", maxDepth=4, seed=L.SEED).fit(L.assembled(rows, DOC_FEATURES))
+    paths = explain.decision_paths(rows, "doc_id", DOC_FEATURES, explain.tree_nodes(tree, spark), depth=4)
+    return paths.select("doc_id", F.array_join("path", " and ").alias("path"), "prediction")
+
+
+@query("feature_select_tfidf")
+def feature_select_tfidf(spark, sf):
+    """The two most separating text features and the summed TF-IDF weight of each document."""
+    selected = L.select_features(L.assembled(document_rows(spark, sf), DOC_FEATURES), 2)
+    words = read(spark, sf, "documents").select("doc_id", text.words(F.col("text")).alias("words"))
+    weights = L.term_weights(words, "words").select("doc_id", levels.array_sum(vector_to_array("tfidf")).alias("weight"))
+    return selected.join(weights, "doc_id").select(
+        "doc_id", F.transform(vector_to_array("selected"), lambda x: F.round(x, 4)).cast("string").alias("selected"), F.round("weight", 4).alias("weight")
+    )
+
+
+@query("dp_counts")
+def dp_counts(spark, sf):
+    return L.private_counts(read(spark, sf, "events"), "user_id", "event_type")
