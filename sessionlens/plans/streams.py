@@ -1,0 +1,144 @@
+"""Streaming jobs, drained over the given tables and compared with their batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sessionlens.functions import patterns as P
+from sessionlens.functions.levels import level
+from sessionlens.operators.aggregates import r6
+from sessionlens.operators.joins import checked_broadcast, recommended_actions
+from sessionlens.plans.catalog import ORACLES, query
+from sessionlens.plans.joins import KIND_ANOMALIES, SCORE, lists_sql, score
+from sessionlens.plans.rows import level_sql
+from sessionlens.plans.tables import ACT, activity, read, with_roles
+from sessionlens.schema import EVENTS_TABLE
+from sessionlens.session import scratch_path
+from sessionlens.streaming import jobs, state
+
+# Bounds the rows of one key that a stateful task sorts at a time.
+BATCH_BYTES = "1g"
+LAST = "(SELECT max(us) - 600000000 FROM act)"
+
+
+def events(spark, sf, **limits):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return with_roles(jobs.event_stream(spark, f"{sf}/events.parquet", **limits))
+
+
+@query("stream_ingest", "SELECT event_id, user_id, event_type, value, props FROM events")
+def stream_ingest(spark, sf):
+    """JSON files appended to a table, micro-batch by micro-batch."""
+    path = scratch_path(spark, "incoming")
+    read(spark, sf, "events").write.json(path)
+    stream = spark.readStream.schema(EVENTS_TABLE).json(path)
+    table, _ = jobs.run(stream, "ingest")
+    return table.select("event_id", "user_id", "event_type", "value", "props")
+
+
+@query(
+    "alert_sink",
+    ACT + f" SELECT event_id, kind, {level_sql(SCORE, 'alert')} AS severity FROM act WHERE {SCORE} > 0.8",
+)
+def alert_sink(spark, sf):
+    found = jobs.alerts(events(spark, sf), score(), 0.8)
+    rows = found.select("event_id", "kind", level(F.col("score"), "alert").alias("severity"))
+    path = jobs.run_batches(rows, "alerts", jobs.write_batch)
+    return spark.read.schema(rows.schema).parquet(path).select("event_id", "kind", "severity")
+
+
+@query("micro_batch", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def micro_batch(spark, sf):
+    """Several files, one per micro-batch; counts per batch, summed."""
+    path = scratch_path(spark, "files")
+    read(spark, sf, "events").repartition(4, "event_id").write.parquet(path)
+    stream = jobs.event_stream(spark, path, files_per_trigger=1)
+
+    def count(df, batch, out):
+        jobs.write_batch(df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), batch, out)
+
+    counted = spark.read.schema("event_type STRING, n LONG").parquet(jobs.run_batches(stream, "micro", count))
+    return counted.groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "tumbling_counts",
+    ACT + f""", w AS (SELECT us // 3600000000 * 3600000000 AS start_us, kind, value FROM act)
+SELECT start_us, start_us + 3600000000 AS end_us, kind, count(*) AS n, round(sum(value), 4) AS total FROM w
+WHERE start_us + 3600000000 <= {LAST} GROUP BY 1, 2, 3""",
+)
+def tumbling_counts(spark, sf):
+    table, _ = jobs.run(jobs.tumbling(events(spark, sf), "1 hour", "kind"), "tumbling")
+    return table.withColumn("total", F.round("total", 4))
+
+
+@query(
+    "sliding_rate",
+    ACT + f""", w AS (SELECT unnest(range(us // 60000000 * 60000000 - 540000000, us // 60000000 * 60000000 + 1, 60000000)) AS start_us FROM act)
+SELECT start_us, start_us + 600000000 AS end_us, count(*) AS n FROM w WHERE start_us + 600000000 <= {LAST} GROUP BY 1, 2""",
+)
+def sliding_rate(spark, sf):
+    return jobs.run(jobs.sliding(events(spark, sf), "10 minutes", "1 minute"), "sliding")[0]
+
+
+@query(
+    "session_windows",
+    ACT + f""", g AS (SELECT user_id, us, event_id, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) >= 7200000000, true)::INT AS fresh FROM act),
+s AS (SELECT user_id, us, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id) AS session FROM g)
+SELECT user_id, min(us) AS start_us, max(us) + 7200000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, session HAVING max(us) + 7200000000 <= {LAST}""",
+)
+def session_windows(spark, sf):
+    return jobs.run(jobs.sessions(events(spark, sf), "2 hours"), "sessions")[0]
+
+
+@query("stateful_risk", ORACLES["risk_feedback"])
+def stateful_risk(spark, sf):
+    base = F.least(F.col("value") / 100, F.lit(1.0))
+    rows = events(spark, sf, bytes_per_trigger=BATCH_BYTES).select("user_id", "event_id", "us", "kind", base.alias("base"))
+    table, _ = jobs.run(state.stateful_risk(rows, cold_start=20, same_kind=6), "risk")
+    return table.select("event_id", r6("risk").alias("risk"))
+
+
+@query("stateful_baseline")
+def stateful_baseline(spark, sf):
+    rows = events(spark, sf, bytes_per_trigger=BATCH_BYTES).select("user_id", "event_id", "us", "value", F.col("x").cast("double").alias("x"))
+    table, _ = jobs.run(state.stateful_baseline(rows, ["value", "x"], window=40, limit=0.3), "baseline")
+    return table.select("event_id", "established", r6("drift").alias("drift"), "refreshed")
+
+
+@query("stream_alert_dedup", ORACLES["alert_suppress"])
+def stream_alert_dedup(spark, sf):
+    found = jobs.alerts(events(spark, sf, bytes_per_trigger=BATCH_BYTES), score(), 0.0).filter("score >= 0.5")
+    rows = found.select("kind", F.floor(F.col("score") * 10).alias("band"), "event_id", "us")
+    return jobs.run(state.suppress_alerts(rows, 14_400_000_000), "dedup")[0].select("event_id", "kind", "band", "us")
+
+
+@query("late_policy")
+def late_policy(spark, sf):
+    """A second file with late rows: what was counted, and what the watermark dropped."""
+    path = scratch_path(spark, "late")
+    rows = read(spark, sf, "events")
+    late = F.col("event_id") % 10 == 0
+    rows.filter(~late).coalesce(1).write.mode("append").parquet(path)
+    rows.filter(late).coalesce(1).write.mode("append").parquet(path)
+    stream = with_roles(jobs.event_stream(spark, path, files_per_trigger=1))
+    table, progress = jobs.run(jobs.tumbling(stream, "1 hour"), "late")
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+    return table.agg(F.sum("n").alias("counted")).withColumn("dropped_groups", F.lit(dropped))
+
+
+@query(
+    "stream_static_enrich",
+    ACT + f""", p AS (SELECT user_id, round(avg(value), 6) AS usual FROM act GROUP BY 1),
+f AS (SELECT event_id, user_id, {level_sql(SCORE, 'threat')} AS level, CASE kind {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in KIND_ANOMALIES.items())} END AS kind FROM act)
+SELECT event_id, level, usual, array_to_string(list_concat({lists_sql(P.LEVEL_RECOMMENDATIONS, 'level')}, {lists_sql(P.TYPE_RECOMMENDATIONS, 'kind')}), ',') AS actions FROM f JOIN p USING (user_id)""",
+)
+def stream_static_enrich(spark, sf):
+    """Each streamed event with its user's profile and the recommended actions."""
+    profile = activity(spark, sf).groupBy("user_id").agg(r6(F.avg("value")).alias("usual"))
+    table = F.create_map(*[F.lit(v) for pair in KIND_ANOMALIES.items() for v in pair])
+    rows = events(spark, sf).select("event_id", "user_id", level(score(), "threat").alias("level"), table[F.col("kind")].alias("kind"))
+    joined = rows.join(checked_broadcast(profile), "user_id").select(
+        "event_id", "level", "usual", F.array_join(recommended_actions(F.col("level"), F.col("kind")), ",").alias("actions")
+    )
+    return jobs.run(joined, "enriched")[0]
