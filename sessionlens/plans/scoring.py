@@ -268,6 +268,16 @@ def threat_level_type(spark, sf):
     return typed(spark, sf).select("event_id", "threat", "type")
 
 
+@query("threat_level", ACT + COMBINE_SQL + TYPED_SQL + " SELECT threat, count(*) AS n, round(avg(risk), 6) AS mean_risk FROM t GROUP BY 1")
+def threat_level(spark, sf):
+    return typed(spark, sf).groupBy("threat").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("risk")).alias("mean_risk"))
+
+
+@query("anomaly_type", ACT + COMBINE_SQL + TYPED_SQL + " SELECT type, count(*) AS n, round(avg(risk), 6) AS mean_risk FROM t GROUP BY 1")
+def anomaly_type(spark, sf):
+    return typed(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("risk")).alias("mean_risk"))
+
+
 @query(
     "evidence_rows",
     ACT + COMBINE_SQL + """, e AS (SELECT event_id, 'ml_model_detection' AS type, 'model_a' AS source, a::DOUBLE AS strength, (a * b)::DOUBLE AS contribution FROM r WHERE a > 0.6

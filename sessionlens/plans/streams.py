@@ -17,7 +17,7 @@ from sessionlens.session import scratch_path
 from sessionlens.streaming import jobs, state
 
 # Bounds the rows of one key that a stateful task sorts at a time.
-BATCH_BYTES = "1g"
+BATCH_BYTES = 2**30
 LAST = "(SELECT max(us) - 600000000 FROM act)"
 
 

@@ -17,7 +17,7 @@ from sessionlens.session import scratch_path
 LATENESS = "10 minutes"
 
 
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, bytes_per_trigger: str | None = None) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, bytes_per_trigger: int | None = None) -> DataFrame:
     """The events table as a stream of files; the trigger limits bound each micro-batch.
 
     A file source wants a folder or a pattern. The pattern below matches exactly the given name, be it
