@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +12,39 @@ from pyspark.sql import functions as F
 from sessionlens.functions import patterns as P
 
 
+# What a match of a pattern must hold; testing for it first spares most texts the pattern.
+DIGITS_3 = "[0-9]{3}"
+MUST_CONTAIN = {P.EMAIL: "@", P.LOG_URL: "://", P.PLAIN_URL: "://", P.WINDOWS_PATH: ":\\", P.CLOCK_TIME: ":"}
+MUST_MATCH = {P.LOG_PHONE: DIGITS_3, P.LOG_CARD: DIGITS_3, P.LOG_SSN: DIGITS_3, P.CARD_GROUPS: DIGITS_3, P.SSN_DASHED: DIGITS_3}
+
+
+def any_of(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
-    """Whether the lower-cased text contains one of the words: one scan by one alternation."""
-    alternation = "|".join(re.escape(w) for w in words)
-    return F.lower(text).rlike(alternation)
+    """Whether the lower-cased text contains one of the words."""
+    lowered = F.lower(text)
+    return any_of(lowered.contains(w) for w in words)
+
+
+def may_match(text: Column, expression: str) -> Column:
+    """A cheap condition without which the pattern cannot match."""
+    if expression in MUST_CONTAIN:
+        return text.contains(MUST_CONTAIN[expression])
+    if expression in MUST_MATCH:
+        return text.rlike(MUST_MATCH[expression])
+    return F.lit(True)
+
+
+def found(text: Column, expression: str, ignore_case: bool = False) -> Column:
+    if ignore_case and re.fullmatch("[a-z]+", expression):
+        return F.lower(text).contains(expression)
+    return may_match(text, expression) & text.rlike(("(?i)" if ignore_case else "") + expression)
 
 
 def matches_any(text: Column, expressions: Iterable[str]) -> Column:
-    return text.rlike("(?i)" + "|".join(f"(?:{e})" for e in expressions))
+    return any_of(found(text, e, ignore_case=True) for e in expressions)
 
 
 def keyword_flags(names: Iterable[str] | None = None) -> dict[str, Column]:
@@ -35,12 +61,11 @@ def keyword_flags(names: Iterable[str] | None = None) -> dict[str, Column]:
 
 def sensitive_clipboard(text: Column) -> Column:
     kinds = [e for t in P.SENSITIVE_TYPES for e in P.CONTENT_TYPES[t]]
-    markers = "|".join(re.escape(m) for m in P.KEY_MARKERS)
-    return matches_any(text, kinds) | text.rlike(markers)
+    return matches_any(text, kinds) | any_of(text.contains(m) for m in P.KEY_MARKERS)
 
 
 def sensitive_typed(text: Column) -> Column:
-    return contains_any(text, P.TYPED_SENSITIVE) | text.rlike(P.CARD_GROUPS) | text.rlike(P.SSN_DASHED)
+    return contains_any(text, P.TYPED_SENSITIVE) | found(text, P.CARD_GROUPS) | found(text, P.SSN_DASHED)
 
 
 def sensitive_data(text: Column, with_email: bool = True) -> Column:
@@ -57,7 +82,7 @@ def has_file_path(text: Column) -> Column:
 
 
 def has_url(text: Column) -> Column:
-    return text.rlike("(?i)" + P.PLAIN_URL)
+    return found(text, P.PLAIN_URL, ignore_case=True)
 
 
 def content_type(text: Column) -> Column:
@@ -96,9 +121,9 @@ def redact_pii(df: DataFrame, column: str, into: str) -> DataFrame:
     """
     out = df.withColumn(into, F.col(column))
     for name, expression in P.REDACTED_PATTERNS.items():
-        found = F.array_distinct(F.regexp_extract_all(F.col(into), F.lit(expression), F.lit(0)))
-        tagged = F.aggregate(found, F.col(into), _hash_tag(name))
-        out = out.withColumn(into, tagged)
+        hits = F.array_distinct(F.regexp_extract_all(F.col(into), F.lit(expression), F.lit(0)))
+        tagged = F.when(may_match(F.col(into), expression), F.aggregate(hits, F.col(into), _hash_tag(name)))
+        out = out.withColumn(into, tagged.otherwise(F.col(into)))
     return out
 
 
@@ -187,7 +212,7 @@ def clipboard_preview(text: Column, cap: int = 100) -> Column:
 
 def content_tags(text: Column) -> Column:
     """Tags of the patterns found, then of form and script, in a fixed order."""
-    found = [F.when(text.rlike(e), name) for name, e in P.TAG_PATTERNS.items()]
+    kinds = [F.when(found(text, e), name) for name, e in P.TAG_PATTERNS.items()]
     script = (
         F.when(text.rlike("[а-яёА-ЯЁ]"), "cyrillic")
         .when(text.rlike("[一-龯]"), "chinese")
@@ -200,12 +225,12 @@ def content_tags(text: Column) -> Column:
         F.when(text.rlike(r"\d") & (F.length(text) > 3), "contains_numbers"),
         script,
     ]
-    return F.filter(F.array(*found, *form), lambda t: t.isNotNull())
+    return F.filter(F.array(*kinds, *form), lambda t: t.isNotNull())
 
 
 def words(text: Column, min_length: int = 2) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.filter(found, lambda w: F.length(w) >= min_length)
+    every = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.filter(every, lambda w: F.length(w) >= min_length)
 
 
 def word_count(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.functions import clock, text
@@ -171,26 +171,29 @@ def threat_score(scores: dict[str, Column], correlation: Column, recent: Column,
     return F.least(F.lit(1.0), start * factor)
 
 
-def correlation_over(a: Column, b: Column, w: WindowSpec) -> Column:
-    """Correlation inside a frame; NULL where one side does not vary."""
-    spread = F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)
-    return F.try_divide(F.covar_pop(a, b).over(w), spread)
-
-
 def indicator_correlation(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
-    """Mean absolute correlation between indicator counts over the last n events; undefined ones count 0."""
+    """Mean absolute correlation between indicator counts over the last n events; undefined ones count 0.
+
+    The counts are whole numbers, so the sums are exact and a constant column is seen as such.
+    """
     rows, w = framed(df, GROUP, back=n)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    names = [f"_c{i}" for i in range(len(pairs))]
     frame = last(w, n)
-    out = rows.withColumns(
-        {c: correlation_over(F.col(a), F.col(b), frame) for c, (a, b) in zip(names, pairs)}
-        | {"_n": size_of(frame)}
-    )
-    parts = [F.coalesce(F.abs(c), F.lit(0.0)) for c in names]
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    sums = {f"_s_{a}": F.sum(a).over(frame) for a in columns}
+    products = {f"_p_{a}_{b}": F.sum(F.col(a) * F.col(b)).over(frame) for a, b in pairs}
+    out = settled(rows.withColumns(sums | products | {"_n": size_of(frame)}))
+
+    def cov(a: str, b: str) -> Column:
+        return F.col("_n") * F.col(f"_p_{a}_{b}") - F.col(f"_s_{a}") * F.col(f"_s_{b}")
+
+    parts = [
+        F.coalesce(F.abs(F.try_divide(cov(a, b).cast("double"), F.sqrt((cov(a, a) * cov(b, b)).cast("double")))), F.lit(0.0))
+        for a, b in pairs
+        if a != b
+    ]
     mean = sum(parts[1:], parts[0]) / len(parts)
-    full = settled(out.withColumn("correlation", F.when(F.col("_n") == n, clamp(mean)).otherwise(0.0)))
-    return full.drop("_n", *names)
+    full = out.withColumn("correlation", F.when(F.col("_n") == n, clamp(mean)).otherwise(0.0))
+    return full.drop("_n", *sums, *products)
 
 
 def dimension_columns(names: list[str]) -> dict[str, list[str]]:

@@ -9,7 +9,7 @@ it to the blocking time after it. The summaries are chained, then each piece is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -53,20 +53,40 @@ def chain(pieces: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, i
     return out
 
 
+def thin_sorted(df: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
+    """Thin whole groups in one pass over sorted partitions; only the last blocking time is held."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, blocked = None, FREE
+        for batch in batches:
+            times = batch["us"].to_numpy()
+            starts = batch[keys].ne(batch[keys].shift()).any(axis=1).to_numpy().nonzero()[0]
+            keep = []
+            for start, end in zip(starts, np.append(starts[1:], len(batch))):
+                key = tuple(batch[k].iloc[start] for k in keys)
+                if key != current:
+                    current, blocked = key, FREE
+                part = times[start:end]
+                kept = keep_from(part, gap_us, blocked)
+                if len(kept):
+                    blocked = int(part[kept[-1]]) + gap_us
+                    keep.append(kept + start)
+            if keep:
+                yield batch.iloc[np.concatenate(keep)]
+
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, "us", "event_id")
+    return ordered.mapInPandas(fold, df.schema)
+
+
 def thin(df: DataFrame, keys: Sequence[str], gap_us: int) -> DataFrame:
     """The kept rows as (keys, event_id, us), in the order of (ts, event_id)."""
     keys = list(keys)
     rows = df.select(*keys, "event_id", "ts", "us")
     kept_schema = df.select(*keys, "event_id", "us").schema
 
-    def whole(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values(["us", "event_id"])
-        kept = keep_from(piece["us"].to_numpy(), gap_us, FREE)
-        return piece.iloc[kept][[*keys, "event_id", "us"]]
-
     bound = setting(df.sparkSession, GROUP_ROWS_KEY, GROUP_ROWS_DEFAULT)
     if not largest_group_exceeds(rows.select(*keys), keys, bound):
-        return rows.drop("ts").groupBy(*keys).applyInPandas(whole, kept_schema)
+        return thin_sorted(rows.drop("ts"), keys, gap_us).select(*kept_schema.names)
 
     placed, w = framed(rows, keys, back=1)
     free = F.coalesce(F.col("us") - F.lag("us").over(w) >= gap_us, F.lit(True))
@@ -74,7 +94,7 @@ def thin(df: DataFrame, keys: Sequence[str], gap_us: int) -> DataFrame:
     group = [*keys, "_run"]
     cut = slices(runs, group)
     if cut is None:
-        return runs.select(*group, "event_id", "us").groupBy(*group).applyInPandas(whole, kept_schema)
+        return thin_sorted(runs.select(*group, "event_id", "us"), group, gap_us).select(*kept_schema.names)
 
     pieces = cut_lineage(cut.select(*group, SLICE, "event_id", "us"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*group, SLICE).schema)

@@ -90,41 +90,42 @@ def recent_context(df: DataFrame, kinds: Sequence[str], n: int = 10, burst: floa
 
 
 def recent_rhythm(df: DataFrame, n: int = 10, bins: int = 10) -> DataFrame:
-    """Mean, deviation, variation, entropy, bursts and pauses of the intervals among the last n events."""
+    """Mean, deviation, variation, entropy, bursts and pauses of the intervals among the last n events.
+
+    The n - 1 intervals are plain columns, so everything stays inside generated code. The entropy follows
+    from how many intervals share each interval's bin: log2 m - mean(log2 of that number).
+    """
     rows, w = framed(df, GROUP, back=n)
-    inner = last(w, n - 1)
+    m = n - 1
+    names = [f"_g{j}" for j in range(m)]
     gaps = rows.withColumn("_g", gap_seconds(w) * 1000)
-    listed = settled(
-        gaps.withColumns(
-            {
-                "_full": size_of(last(w, n)) == n,
-                "_list": F.collect_list("_g").over(inner),
-                "mean": F.avg("_g").over(inner),
-                "std": F.stddev_pop("_g").over(inner),
-            }
-        ).drop("_g")
-    ).filter("_full")
-    lo, hi = F.array_min("_list"), F.array_max("_list")
-    place = F.transform(
-        "_list", lambda g: F.when(hi > lo, F.least(F.floor((g - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(0)
-    )
-    shares = F.transform(
-        F.sequence(F.lit(0), F.lit(bins - 1)),
-        lambda b: F.size(F.filter(F.col("_place"), lambda p: p == b)) / F.size("_list"),
-    )
-    return (
-        listed.withColumn("_place", place)
-        .withColumn("_shares", shares)
-        .withColumns(
-            {
-                "variation": F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(0.0),
-                "entropy": F.aggregate("_shares", F.lit(0.0), lambda a, p: F.when(p > 0, a - p * F.log2(p)).otherwise(a)),
-                "bursts": F.size(F.filter("_list", lambda g: g < F.col("mean") * 0.5)),
-                "pauses": F.size(F.filter("_list", lambda g: g > F.col("mean") * 2.0)),
-            }
-        )
-        .drop("_full", "_list", "_place", "_shares")
-    )
+    wide = gaps.withColumns({name: F.lag("_g", j).over(w) for j, name in enumerate(names)} | {"_n": size_of(last(w, n))})
+    full = settled(wide).filter(F.col("_n") == n).drop("_g", "_n")
+    values = [F.col(g) for g in names]
+    mean = sum(values[1:], values[0]) / m
+    lo, hi = F.least(*values), F.greatest(*values)
+    stats = full.withColumns({"mean": mean, "_lo": lo, "_hi": hi})
+    off = [(v - F.col("mean")) * (v - F.col("mean")) for v in values]
+    width = F.col("_hi") - F.col("_lo")
+    places = {
+        f"_b{j}": F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(0)
+        for j, v in enumerate(values)
+    }
+    placed = stats.withColumns(places | {"std": F.sqrt(sum(off[1:], off[0]) / m)})
+
+    def how_many(conditions: list[Column]) -> Column:
+        ones = [F.when(c, 1).otherwise(0) for c in conditions]
+        return sum(ones[1:], ones[0])
+
+    shared = [F.log2(how_many([F.col(a) == F.col(b) for b in places])) for a in places]
+    return placed.withColumns(
+        {
+            "variation": F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(0.0),
+            "entropy": F.log2(F.lit(float(m))) - sum(shared[1:], shared[0]) / m,
+            "bursts": how_many([v < F.col("mean") * 0.5 for v in values]),
+            "pauses": how_many([v > F.col("mean") * 2.0 for v in values]),
+        }
+    ).drop(*names, *places, "_lo", "_hi")
 
 
 def ngram_shares(df: DataFrame, key: str = "key", n: int = 50, least: int = 10) -> DataFrame:

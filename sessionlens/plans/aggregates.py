@@ -14,7 +14,7 @@ from sessionlens.operators.sequence import framed, newest, settled
 from sessionlens.plans.catalog import query
 from sessionlens.plans.joins import EVENTS_W, LONG_SQL, SCORE, features, r6, score
 from sessionlens.plans.rows import contains_sql, level_sql, tags_sql
-from sessionlens.plans.tables import ACT, activity, read
+from sessionlens.plans.tables import ACT, activity, read, texts
 
 WORD = r"[\p{L}\p{N}_]+"
 ENTROPY = "log2(sum(n)) - sum(n * log2(n)) / sum(n)"
@@ -43,7 +43,7 @@ def event_counts(spark, sf):
 SELECT word, count(*) AS n FROM w WHERE length(word) >= 2 GROUP BY 1""",
 )
 def word_freq(spark, sf):
-    return A.word_frequency(read(spark, sf, "documents"), text.words(F.col("text")))
+    return A.word_frequency(texts(spark, sf), text.words(F.col("text")))
 
 
 @query(
@@ -51,7 +51,7 @@ def word_freq(spark, sf):
     f"WITH t AS (SELECT unnest({tags_sql()}) AS tag FROM documents) SELECT tag, count(*) AS n FROM t GROUP BY 1",
 )
 def pattern_counts(spark, sf):
-    tags = read(spark, sf, "documents").select(F.explode(text.content_tags(F.col("text"))).alias("tag"))
+    tags = texts(spark, sf).select(F.explode(text.content_tags(F.col("text"))).alias("tag"))
     return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 

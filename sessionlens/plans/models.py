@@ -16,7 +16,7 @@ from sessionlens.operators.sequence import framed, settled
 from sessionlens.plans.catalog import query
 from sessionlens.plans.joins import SCORE, score
 from sessionlens.plans.rows import level_sql
-from sessionlens.plans.tables import ACT, activity, read
+from sessionlens.plans.tables import ACT, activity, read, texts
 from sessionlens.plans.windows import rows_sql
 
 LABELLED_SQL = """WITH l AS (SELECT doc_id, n_chars, quality AS label, CASE WHEN n_chars BETWEEN 300 AND 6000 THEN 1 ELSE 0 END AS prediction,
@@ -285,7 +285,7 @@ DOC_FEATURES = ["n_chars", "words", "digits", "capitals", "lines"]
 def document_rows(spark, sf, label: str = "quality"):
     """Labelled documents with plain text features."""
     t = F.col("text")
-    documents = read(spark, sf, "documents").select(
+    documents = texts(spark, sf).select(
         "doc_id",
         F.col("n_chars").cast("double").alias("n_chars"),
         text.word_count(t).cast("double").alias("words"),
@@ -374,7 +374,7 @@ def reconstruction_error(spark, sf):
 
 @query("supervised_anomaly")
 def supervised_anomaly(spark, sf):
-    rows = L.assembled(document_rows(spark, sf, "toxic"), DOC_FEATURES)
+    rows = L.assembled(document_rows(spark, sf, "toxic"), DOC_FEATURES).cache()
     scored = L.supervised(rows)
     return scored.select("doc_id", "label", r6("p").alias("p"), (F.col("p") > 0.5).alias("is_anomaly"))
 
@@ -434,7 +434,7 @@ def risk_regressors(spark, sf):
 
 @query("soft_vote")
 def soft_vote(spark, sf):
-    rows = L.assembled(document_rows(spark, sf), DOC_FEATURES)
+    rows = L.assembled(document_rows(spark, sf), DOC_FEATURES).cache()
     forest_model = L.RandomForestClassifier(labelCol="label", numTrees=30, seed=L.SEED).fit(rows)
     network = L.MultilayerPerceptronClassifier(labelCol="label", layers=[len(DOC_FEATURES), 10, 2], maxIter=50, seed=L.SEED).fit(rows)
     out = L.soft_vote(rows, [forest_model, network])
@@ -505,7 +505,7 @@ def decision_paths(spark, sf):
 def feature_select_tfidf(spark, sf):
     """The two most separating text features and the summed TF-IDF weight of each document."""
     selected = L.select_features(L.assembled(document_rows(spark, sf), DOC_FEATURES), 2)
-    words = read(spark, sf, "documents").select("doc_id", text.words(F.col("text")).alias("words"))
+    words = texts(spark, sf).select("doc_id", text.words(F.col("text")).alias("words"))
     weights = L.term_weights(words, "words").select("doc_id", levels.array_sum(vector_to_array("tfidf")).alias("weight"))
     return selected.join(weights, "doc_id").select(
         "doc_id", F.transform(vector_to_array("selected"), lambda x: F.round(x, 4)).cast("string").alias("selected"), F.round("weight", 4).alias("weight")

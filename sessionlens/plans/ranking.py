@@ -13,7 +13,7 @@ from sessionlens.plans.aggregates import WORD
 from sessionlens.plans.catalog import query
 from sessionlens.plans.joins import SCORE, score
 from sessionlens.plans.rows import level_sql
-from sessionlens.plans.tables import ACT, activity, read
+from sessionlens.plans.tables import ACT, activity, texts
 from sessionlens.plans.windows import TIME_SQL, spent
 
 
@@ -23,7 +23,7 @@ from sessionlens.plans.windows import TIME_SQL, spent
 SELECT word, count(*) AS n FROM w WHERE length(word) >= 2 GROUP BY 1 ORDER BY n DESC, word LIMIT 20""",
 )
 def top_words(spark, sf):
-    counts = word_frequency(read(spark, sf, "documents"), text.words(F.col("text")))
+    counts = word_frequency(texts(spark, sf), text.words(F.col("text")))
     return K.top(counts, 20, F.desc("n"), F.asc("word"))
 
 

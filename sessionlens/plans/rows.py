@@ -9,7 +9,7 @@ from sessionlens.functions import patterns as P
 from sessionlens.operators import filters
 from sessionlens.operators.sequence import framed, settled
 from sessionlens.plans.catalog import query
-from sessionlens.plans.tables import ACT, activity, read
+from sessionlens.plans.tables import ACT, activity, read, texts
 
 SPACE = r"[\s\x0b\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -127,7 +127,7 @@ _MARK = "(" + " OR ".join(f"contains(text, {quoted(m)})" for m in P.KEY_MARKERS)
 )
 def sensitive_flags(spark, sf):
     t = F.col("text")
-    return read(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id",
         text.sensitive_clipboard(t).alias("clipboard_sensitive"),
         text.sensitive_typed(t).alias("typed_sensitive"),
@@ -165,7 +165,7 @@ def _redact_sql() -> str:
 
 @query("redact_pii", _redact_sql())
 def redact_pii(spark, sf):
-    return text.redact_pii(read(spark, sf, "documents"), "text", "redacted").select("doc_id", "redacted")
+    return text.redact_pii(texts(spark, sf), "text", "redacted").select("doc_id", "redacted")
 
 
 @query(
@@ -176,7 +176,7 @@ def redact_pii(spark, sf):
 )
 def sanitize_text(spark, sf):
     t = F.col("text")
-    return read(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id",
         text.sanitize(t, "hash").alias("hashed"),
         text.sanitize(t, "mask").alias("masked"),
@@ -197,7 +197,7 @@ def type_sql(column: str) -> str:
 
 @query("content_type", f"SELECT doc_id, {type_sql('text')} AS content_type FROM documents")
 def content_type(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", text.content_type(F.col("text")).alias("content_type"))
+    return texts(spark, sf).select("doc_id", text.content_type(F.col("text")).alias("content_type"))
 
 
 @query(
@@ -213,7 +213,7 @@ FROM d""",
 )
 def content_disclosure(spark, sf):
     t = F.col("text")
-    typed = read(spark, sf, "documents").select(
+    typed = texts(spark, sf).select(
         "doc_id", "text", text.content_type(t).alias("kind"), text.sensitive_clipboard(t).alias("sensitive")
     )
     kind, sensitive = F.col("kind"), F.col("sensitive")
@@ -234,7 +234,7 @@ def _title_sql() -> str:
 
 @query("redact_title", f"SELECT doc_id, md5({_title_sql()}) AS title_md5, length({_title_sql()}) AS title_length FROM documents")
 def redact_title(spark, sf):
-    titles = read(spark, sf, "documents").select("doc_id", text.redact_title(F.col("text")).alias("title"))
+    titles = texts(spark, sf).select("doc_id", text.redact_title(F.col("text")).alias("title"))
     return titles.select("doc_id", F.md5("title").alias("title_md5"), F.length("title").alias("title_length"))
 
 
@@ -247,7 +247,7 @@ _FLAT = f"trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-
 SELECT doc_id, CASE WHEN length(t) > 1000 THEN substr(t, 1, 1000) || '...' ELSE t END AS cleaned FROM d""",
 )
 def clean_content(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+    return texts(spark, sf).select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
 def _symbols_sql(column: str) -> str:
@@ -299,7 +299,7 @@ def tags_sql(column: str = "text") -> str:
 
 @query("content_tags", f"SELECT doc_id, array_to_string({tags_sql()}, ',') AS tags FROM documents")
 def content_tags(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.array_join(text.content_tags(F.col("text")), ",").alias("tags"))
+    return texts(spark, sf).select("doc_id", F.array_join(text.content_tags(F.col("text")), ",").alias("tags"))
 
 
 @query(
@@ -311,7 +311,7 @@ def content_tags(spark, sf):
 )
 def clipboard_features(spark, sf):
     t = F.col("text")
-    return read(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id",
         F.length(t).alias("length"),
         text.word_count(t).alias("words"),
@@ -549,7 +549,7 @@ SELECT conv_id, turn, kind, length(text) AS length, sha256(text) AS content_hash
 )
 def safe_history(spark, sf):
     t = F.col("text")
-    typed = read(spark, sf, "conversations").withColumn("kind", text.content_type(t))
+    typed = texts(spark, sf, "conversations").withColumn("kind", text.content_type(t))
     shown = (F.length(t) <= 100) & ~F.col("kind").isin("password", "api_key")
     preview = F.concat(F.substring(t, 1, 50), F.when(F.length(t) > 50, "...").otherwise(""))
     return typed.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionlens.functions import text
 from sessionlens.plans.catalog import query
 from sessionlens.plans.tables import ACT, activity
-from sessionlens.session import scratch_path
+from sessionlens.session import scratch_path, spread
 from sessionlens.sources import export, logs, sealed
 
 AS_OF = 1704067200.0
@@ -17,7 +17,7 @@ SEAL_KEY = "000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f"
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
     """Events in the stored form."""
-    return activity(spark, sf).select(
+    return spread(activity(spark, sf)).select(
         "event_id",
         (F.col("us") / 1e6).alias("timestamp"),
         F.col("kind").alias("event_type"),
@@ -158,7 +158,7 @@ FROM (SELECT CASE WHEN bad THEN NULL ELSE kind END AS kind_or_null, bad,
 )
 def parse_dispatch(spark, sf):
     """Parsed lines and the number of unparsable ones, counted and not raised."""
-    parsed = logs.parse_any(_mixed_lines(activity(spark, sf)).select("event_id", "line"), F.lit(AS_OF))
+    parsed = logs.parse_any(_mixed_lines(spread(activity(spark, sf))).select("event_id", "line"), F.lit(AS_OF))
     return parsed.groupBy(F.coalesce("event_type", F.lit("(unparsed)")).alias("event_type")).agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(logs.CORRUPT).alias("errors"),
@@ -172,7 +172,7 @@ def parse_dispatch(spark, sf):
 )
 def union_formats(spark, sf):
     """A mixed-format log as one event list."""
-    parsed = logs.parse_any(_mixed_lines(activity(spark, sf)).select("event_id", "line"), F.lit(AS_OF))
+    parsed = logs.parse_any(_mixed_lines(spread(activity(spark, sf))).select("event_id", "line"), F.lit(AS_OF))
     return parsed.filter(~F.col(logs.CORRUPT)).drop(logs.CORRUPT)
 
 
@@ -214,9 +214,11 @@ def _sealed_lines(spark, sf):
 
 
 def _unsealed(lines: DataFrame) -> DataFrame:
-    plain = sealed.unseal(lines, "line", F.unhex(F.lit(SEAL_KEY))).withColumnRenamed("line", "json")
+    plain = sealed.unseal(lines, "line", F.unhex(F.lit(SEAL_KEY)))
     schema = "event_id LONG, timestamp DOUBLE, event_type STRING, content STRING, window_name STRING"
-    parsed = plain.filter("json IS NOT NULL").select(F.from_json("json", schema).alias("e")).select("e.*")
+    # Exploding drops the lines that stayed sealed; a filter would be pushed below and decrypt twice.
+    opened = plain.select(F.explode(F.array_compact(F.array("line"))).alias("json"))
+    parsed = opened.select(F.from_json("json", schema).alias("e")).select("e.*")
     return parsed.withColumn("timestamp", F.round("timestamp", 6))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlens.session import spread
+
 # What the five event types and the numbers in props stand for.
 KINDS = {"signup": "keyboard", "click": "mouse", "purchase": "clipboard", "view": "window", "error": "usb"}
 APPS = [
@@ -27,6 +29,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of long texts, spread over the cores."""
+    return spread(read(spark, sf_dir, name))
+
+
 def lookup(index: Column, values: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
 
