@@ -150,24 +150,24 @@ def tree_nodes(model, spark) -> DataFrame:
 def decision_paths(df: DataFrame, id_column: str, columns: Sequence[str], nodes: DataFrame, depth: int) -> DataFrame:
     """The conditions each row meets from the root to its leaf: (id, path, prediction).
 
-    One join with the node table per level; a tree of bounded depth has a bounded number of nodes.
+    A tree of bounded depth has a bounded number of nodes, numbered from the root; they travel with the
+    plan as one array, and each level is one projection.
     """
-    table = F.broadcast(nodes)
+    fields = ["id", "prediction", "leftChild", "rightChild", "feature", "threshold"]
+    tree = nodes.agg(F.array_sort(F.collect_list(F.struct(*fields)))).scalar()
     names = F.array(*[F.lit(c) for c in columns])
     walk = df.select(id_column, F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")).withColumns(
-        {"id": F.lit(0), "path": F.array().cast("array<string>")}
+        {"_tree": tree, "id": F.lit(0), "path": F.array().cast("array<string>")}
     )
     for _ in range(depth):
-        at = walk.join(table, "id")
-        x = F.get("_x", F.col("feature"))
-        inner = F.col("leftChild") >= 0
-        left = x <= F.col("threshold")
-        told = F.concat(
-            F.get(names, F.col("feature")), F.when(left, " <= ").otherwise(" > "), F.round("threshold", 4).cast("string")
-        )
-        walk = at.select(
-            id_column, "_x",
-            F.when(inner, F.when(left, F.col("leftChild")).otherwise(F.col("rightChild"))).otherwise(F.col("id")).alias("id"),
+        at = F.col("_at")
+        x = F.get("_x", at["feature"])
+        inner = at["leftChild"] >= 0
+        left = x <= at["threshold"]
+        told = F.concat(F.get(names, at["feature"]), F.when(left, " <= ").otherwise(" > "), F.round(at["threshold"], 4).cast("string"))
+        walk = walk.withColumn("_at", F.get("_tree", F.col("id"))).select(
+            id_column, "_x", "_tree",
+            F.when(inner, F.when(left, at["leftChild"]).otherwise(at["rightChild"])).otherwise(F.col("id")).alias("id"),
             F.when(inner, F.concat("path", F.array(told))).otherwise(F.col("path")).alias("path"),
         )
-    return walk.join(table.select("id", "prediction"), "id").select(id_column, "path", "prediction")
+    return walk.select(id_column, "path", F.get("_tree", F.col("id"))["prediction"].alias("prediction"))

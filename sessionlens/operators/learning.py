@@ -94,7 +94,7 @@ def robust_and_minmax(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
     ).drop("_lo", "_hi", "_q1", "_q2", "_q3")
 
 
-def kernel_distance(df: DataFrame, values: str, features: int = 128, gamma: float | None = None, seed: int = SEED) -> DataFrame:
+def kernel_distance(df: DataFrame, values: str, features: int = 512, gamma: float | None = None, seed: int = SEED) -> DataFrame:
     """1 - similarity to the table's mean in the feature space of an RBF kernel (random Fourier features)."""
     size = df.select(F.size(values)).first()[0]
     gamma = 1.0 / size if gamma is None else gamma

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.operators.sequence import newest, running
+from sessionlens.operators.sequence import running
 
 
 def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -154,8 +154,10 @@ def confidence_levels(df: DataFrame, level: str, score: str) -> DataFrame:
 def confidence_drift(df: DataFrame, score: str, order: Sequence[str] = ("ts", "event_id"), window: int = 100) -> DataFrame:
     """The newest `window` scores against the `window` before: moments, t statistic and severity, as one row."""
     recent = df.orderBy(*[F.desc(c) for c in order]).limit(2 * window)
-    rows = newest(recent.withColumn("_all", F.lit(1)), ["_all"], 2 * window, order)
-    new, old = F.when(F.col("rn") <= window, F.col(score)), F.when(F.col("rn") > window, F.col(score))
+    listed = recent.agg(F.reverse(F.array_sort(F.collect_list(F.struct(*order, score)))).alias("_l"))
+    rows = listed.select(F.posexplode("_l").alias("_i", "_r"))
+    value = F.col("_r")[score]
+    new, old = F.when(F.col("_i") < window, value), F.when(F.col("_i") >= window, value)
     moments = rows.agg(
         F.avg(new).alias("recent_mean"), F.avg(old).alias("older_mean"),
         F.stddev_pop(new).alias("recent_std"), F.stddev_pop(old).alias("older_std"),
