@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.operators.sequence import framed, last_known, quantiles, running, settled
+from sessionlens.operators.sequence import attach, framed, last_known, quantiles, running, settled
 
 
 def r6(column: Column | str) -> Column:
@@ -51,7 +51,7 @@ def histogram_entropy(df: DataFrame, keys: Sequence[str], value: str, bins: int
     keys = list(keys)
     span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     place = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
-    binned = df.filter(F.col(value).isNotNull()).join(span, keys).withColumn(
+    binned = attach(df.filter(F.col(value).isNotNull()), span, keys).withColumn(
         "_bin", F.when(F.col("_hi") > F.col("_lo"), F.least(place, F.lit(bins - 1))).otherwise(0)
     )
     return category_entropy(binned, keys, "_bin")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sessionlens.functions import patterns as P
 from sessionlens.functions import text
 from sessionlens.functions.clock import parse_period
+from sessionlens.operators.sequence import attach
 
 
 def time_range(df: DataFrame, start: str | None = None, end: str | None = None, column: str = "ts") -> DataFrame:
@@ -49,10 +50,10 @@ def canonical_kind(label: Column) -> Column:
 def min_samples(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Rows of groups with at least `n` rows.
 
-    A count and a semi join: no group has to fit into one task, as `count() over (group)` would ask.
+    A count and a join: no group has to fit into one task, as `count() over (group)` would ask.
     """
     enough = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n).drop("_n")
-    return df.join(enough, list(keys), "left_semi")
+    return attach(df, enough, keys)
 
 
 def metric_alerts(df: DataFrame, ids: Sequence[str], limits: dict[str, float]) -> DataFrame:

@@ -10,14 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.functions import patterns as P
 from sessionlens.operators.sequence import framed, last_known, newest, settled
-from sessionlens.session import BROADCAST_ROWS_DEFAULT, BROADCAST_ROWS_KEY, cut_lineage, setting
-
-
-def checked_broadcast(df: DataFrame) -> DataFrame:
-    """Hint a broadcast when the table is small; otherwise leave the choice to the planner."""
-    bound = setting(df.sparkSession, BROADCAST_ROWS_KEY, BROADCAST_ROWS_DEFAULT)
-    small = df.limit(bound + 1).count() <= bound
-    return F.broadcast(df) if small else df
+from sessionlens.session import checked_broadcast, cut_lineage
 
 
 def press_release(df: DataFrame, group: str = "user_id") -> DataFrame:

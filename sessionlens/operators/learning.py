@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.functions.levels import array_sum
-from sessionlens.operators.sequence import framed, quantiles, settled
+from sessionlens.operators.sequence import attach, framed, quantiles, settled
 
 SEED = 42
 
@@ -86,7 +86,7 @@ def robust_and_minmax(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
     span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     fitted = quantiles(df, keys, value, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}).join(span, list(keys))
     x, iqr, width = F.col(value), F.col("_q3") - F.col("_q1"), F.col("_hi") - F.col("_lo")
-    return df.join(fitted, list(keys)).withColumns(
+    return attach(df, fitted, keys).withColumns(
         {
             "robust": F.when(iqr > 0, (x - F.col("_q2")) / iqr).otherwise(x - F.col("_q2")),
             "minmax": F.when(width > 0, (x - F.col("_lo")) / width).otherwise(0.0),
@@ -127,7 +127,7 @@ def neighbour_distance(df: DataFrame, keys: Sequence[str], value: str, tie: str,
         reach.append(far)
     distances = settled(rows.withColumn("k_distance", F.least(*reach)))
     mean = distances.groupBy(*keys).agg(F.avg("k_distance").alias("_mean"))
-    return distances.join(mean, list(keys)).withColumn(
+    return attach(distances, mean, keys).withColumn(
         "outlier_score", F.coalesce(F.try_divide("k_distance", "_mean"), F.lit(0.0))
     ).drop("_mean")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionlens.functions import clock, text
 from sessionlens.functions import patterns as P
 from sessionlens.functions.levels import array_sum, clamp, level, points, squash, weighted_mean
-from sessionlens.operators.sequence import framed, quantiles, settled
+from sessionlens.operators.sequence import attach, framed, quantiles, settled
 from sessionlens.operators.windows import GROUP, before, last, size_of, slope, span_seconds
 
 
@@ -272,7 +272,7 @@ def outlier_guard(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     x, reach = F.col(value), 3 * (F.col("q3") - F.col("q1"))
     outside = (x < F.col("q1") - reach) | (x > F.col("q3") + reach)
     decimals = F.length(F.split(x.cast("string"), r"\.")[1])
-    out = df.join(fences, keys).groupBy(*keys).agg(
+    out = attach(df, fences, keys).groupBy(*keys).agg(
         F.avg(outside.cast("double")).alias("outlier_share"), F.avg(decimals).alias("mean_decimals")
     )
     return out.withColumns(

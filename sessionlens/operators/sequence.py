@@ -207,6 +207,27 @@ def newest(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str] = TI
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
+def attach(df: DataFrame, values: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join one row of values per group to all rows of the group, over groups of any size.
+
+    Oversized groups are dealt out to several parts by the hash of their rows, and their values are copied
+    to each part. Only the oversized keys are broadcast: at most table size / bound of them.
+    """
+    keys = list(keys)
+    bound = setting(df.sparkSession, GROUP_ROWS_KEY, GROUP_ROWS_DEFAULT)
+    if not largest_group_exceeds(df.select(*keys), keys, bound):
+        return df.join(values, keys, how)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound)
+    parts = F.broadcast(sizes.select(*keys, F.ceil(F.col("_n") / bound).alias("_parts")))
+    rest = [c for c in df.columns if c not in keys] or keys
+    dealt = df.join(parts, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*rest), F.coalesce("_parts", F.lit(1))))
+    copies = values.join(parts, keys, "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))
+    )
+    joined = dealt.drop("_parts").join(copies.drop("_parts"), [*keys, "_part"], how)
+    return joined.drop("_part")
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per group.
 
@@ -226,4 +247,4 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
         ]
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         outputs.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
-    return ranked.join(size, keys).groupBy(*keys, "_total").agg(*picks).select(*keys, *outputs)
+    return attach(ranked, size, keys).groupBy(*keys, "_total").agg(*picks).select(*keys, *outputs)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sessionlens.functions import clock
 from sessionlens.operators.aggregates import transitions
-from sessionlens.operators.sequence import framed, last_known, running, settled
+from sessionlens.operators.sequence import attach, framed, last_known, running, settled
+from sessionlens.session import checked_broadcast, cut_lineage
 
 GROUP = ["user_id"]
 
@@ -292,7 +293,7 @@ def sliding_bursts(df: DataFrame, n: int = 10, factor: float = 2.0) -> DataFrame
     out = rows.withColumns({"_n": size_of(frame), "_span": span_seconds(frame)})
     rates = settled(out).filter((F.col("_n") == n) & (F.col("_span") > 0)).select(*GROUP, (n / F.col("_span")).alias("rate"))
     mean = rates.groupBy(*GROUP).agg(F.avg("rate").alias("mean_rate"))
-    return rates.join(mean, GROUP).groupBy(*GROUP).agg(
+    return attach(rates, mean, GROUP).groupBy(*GROUP).agg(
         F.max("mean_rate").alias("mean_rate"), F.count_if(F.col("rate") > factor * F.col("mean_rate")).alias("bursts")
     )
 
@@ -416,7 +417,7 @@ def moving_average(df: DataFrame, value: str, alpha: float = 0.1, start: float =
     ranked = running(df, GROUP, {"_rn": F.lit(1).cast("long")})
     total = df.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"))
     weight = alpha * F.pow(F.lit(1 - alpha), F.col("_n") - F.col("_rn"))
-    return ranked.join(total, GROUP).groupBy(*GROUP).agg(
+    return attach(ranked, total, GROUP).groupBy(*GROUP).agg(
         (F.sum(weight * F.col(value)) + start * F.pow(F.lit(1 - alpha), F.max("_n"))).alias("ema")
     )
 
@@ -440,8 +441,10 @@ def sequence_likelihood(df: DataFrame, kind: str = "event_type", n: int = 50) ->
     logs = counts.join(leaving, "previous").select(
         F.col("previous").alias("_prev"), F.col("next").alias(kind), F.ln(F.col("n") / F.col("_out")).alias("_logp")
     )
+    # Written first, so that the size of the table is known before it is joined to all rows.
+    table = checked_broadcast(cut_lineage(logs))
     rows, w = framed(df, GROUP, back=1)
-    stepped = settled(rows.withColumn("_prev", F.lag(kind).over(w))).join(logs, ["_prev", kind], "left")
+    stepped = settled(rows.withColumn("_prev", F.lag(kind).over(w))).join(table, ["_prev", kind], "left")
     framed_rows, w = framed(stepped, GROUP, back=n)
     return settled(framed_rows.withColumn("likelihood", F.avg("_logp").over(last(w, n)))).drop("_prev", "_logp")
 

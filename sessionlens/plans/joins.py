@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sessionlens.functions import patterns as P
 from sessionlens.functions.levels import level
 from sessionlens.operators import joins
+from sessionlens.operators.sequence import attach
 from sessionlens.plans.catalog import query
 from sessionlens.plans.rows import level_sql
 from sessionlens.plans.tables import ACT, activity, read
@@ -132,9 +133,9 @@ SELECT event_id, user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, coalesc
   coalesce(last_type, '') AS last_type FROM act LEFT JOIN h USING (user_id)""",
 )
 def enrich_history(spark, sf):
-    rows = activity(spark, sf)
+    rows = activity(spark, sf).select("user_id", "event_id", "ts", "event_type", "value")
     history = joins.recent_history(rows.filter(F.col("value") > 100).select("user_id", "event_id", "ts", "event_type"))
-    return rows.join(history, "user_id", "left").select(
+    return attach(rows, history, ["user_id"], "left").select(
         "event_id",
         F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")).alias("session_id"),
         F.coalesce(F.array_join("recent", ","), F.lit("")).alias("recent"),

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from sessionlens.functions import patterns as P
 from sessionlens.functions.levels import level
 from sessionlens.operators.aggregates import r6
-from sessionlens.operators.joins import checked_broadcast, recommended_actions
+from sessionlens.operators.joins import recommended_actions
 from sessionlens.plans.catalog import ORACLES, query
 from sessionlens.plans.joins import KIND_ANOMALIES, SCORE, lists_sql, score
 from sessionlens.plans.rows import level_sql
 from sessionlens.plans.tables import ACT, activity, read, with_roles
 from sessionlens.schema import EVENTS_TABLE
-from sessionlens.session import scratch_path
+from sessionlens.session import checked_broadcast, scratch_path
 from sessionlens.streaming import jobs, state
 
 # Bounds the rows of one key that a stateful task sorts at a time.
@@ -99,7 +99,23 @@ def stateful_risk(spark, sf):
     return table.select("event_id", r6("risk").alias("risk"))
 
 
-@query("stateful_baseline")
+def baseline_sql(window: int, limit: float) -> str:
+    """The baseline's life cycle, row by row."""
+
+    def part(f: str) -> str:
+        held = f"list_transform(s, lambda t: t.{f})"
+        return f"CASE WHEN list_var_pop({held}) > 1e-8 THEN least(1, abs(p.{f} - list_avg({held})) / sqrt(list_var_pop({held})) / 5) END"
+
+    return ACT.replace("WITH raw", "WITH RECURSIVE raw") + f""", o AS (SELECT event_id, user_id, value AS v, x::DOUBLE AS x, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM act),
+r AS (SELECT user_id, event_id, rn, [{{'v': v, 'x': x}}] AS s, false AS est, NULL::DOUBLE AS drift, false AS refreshed FROM o WHERE rn = 1
+  UNION ALL SELECT user_id, event_id, rn, CASE WHEN NOT was THEN list_append(s, {{'v': v, 'x': x}}) WHEN d > {limit} THEN s[-{window // 5}:] ELSE s END,
+    was OR len(s) + 1 >= {max(10, window // 4)}, d, coalesce(d > {limit}, false)
+  FROM (SELECT p.user_id, p.event_id, p.rn, p.v, p.x, r.s, r.est AS was, CASE WHEN r.est THEN list_avg(list_filter([{part('v')}, {part('x')}], lambda z: z IS NOT NULL)) END AS d
+    FROM r JOIN o p ON p.user_id = r.user_id AND p.rn = r.rn + 1))
+SELECT event_id, est AS established, round(drift, 6) AS drift, refreshed FROM r"""
+
+
+@query("stateful_baseline", baseline_sql(40, 0.3))
 def stateful_baseline(spark, sf):
     rows = events(spark, sf, bytes_per_trigger=BATCH_BYTES).select("user_id", "event_id", "us", "value", F.col("x").cast("double").alias("x"))
     table, _ = jobs.run(state.stateful_baseline(rows, ["value", "x"], window=40, limit=0.3), "baseline")

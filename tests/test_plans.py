@@ -24,6 +24,17 @@ def test_time_range_is_pushed_to_the_scan(spark):
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint>" in plan
 
 
+def test_newest_rows_are_cut_before_the_shuffle(spark):
+    plan = plan_of(queries()["latest_per_user"](spark, SMALL))
+    before_shuffle = plan.split("Exchange", 1)[1]
+    assert "WindowGroupLimit" in before_shuffle
+
+
+def test_the_flagship_shuffles_events_once(spark):
+    plan = plan_of(queries()["user_risk_summary"](spark, SMALL))
+    assert plan.count("Exchange hashpartitioning(user_id") == 1
+
+
 @pytest.mark.parametrize("name", names())
 def test_no_pair_join_and_no_single_task_window(spark, name):
     plan = plan_of(queries()[name](spark, SMALL))

@@ -149,3 +149,10 @@ def test_ema_matches_the_recurrence(spark, skewed):
         for x in part["value"]:
             m = 0.1 * x + 0.9 * m
         assert abs(got[user] - m) < 1e-9
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_attach(skewed, sliced, how):
+    means = skewed.groupBy("user_id").agg(F.avg("value").alias("mean")).filter("user_id <> 2")
+    got = Q.attach(skewed, means, ["user_id"], how).select("event_id", "mean")
+    assert rows_of(got) == rows_of(skewed.join(means, "user_id", how).select("event_id", "mean"))
