@@ -15,9 +15,14 @@ def r6(column: Column | str) -> Column:
     return F.round(column, 6) + F.lit(0.0)
 
 
-def r10(column: Column | str) -> Column:
-    """Rounded to ten places, for products of short decimals that tie at six."""
-    return F.round(column, 10) + F.lit(0.0)
+def r9(column: Column | str) -> Column:
+    """Rounded to nine places, for means of short decimals, which tie at six."""
+    return F.round(column, 9) + F.lit(0.0)
+
+
+def r12(column: Column | str) -> Column:
+    """Rounded to twelve places, for products of short decimals, which tie at nine."""
+    return F.round(column, 12) + F.lit(0.0)
 
 
 def share(condition: Column) -> Column:

@@ -376,10 +376,11 @@ def _profile_features():
     ACT + ", f AS (" + " UNION ALL ".join(
         f"SELECT user_id, '{n}' AS feature, CASE WHEN kind = '{k}' THEN {c} ELSE 0 END::DOUBLE AS x FROM act"
         for n, k, c in (("dwell", "keyboard", "value"), ("size", "clipboard", "size"), ("position", "mouse", "x"))
-    ) + ") SELECT user_id, feature, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM f GROUP BY 1, 2",
+    ) + ") SELECT user_id, feature, count(*) AS n, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std FROM f GROUP BY 1, 2",
 )
 def user_profile(spark, sf):
-    return rounded(profiles.feature_profile(activity(spark, sf), ["user_id"], _profile_features()), "user_id", "feature", "n")
+    out = profiles.feature_profile(activity(spark, sf), ["user_id"], _profile_features())
+    return out.withColumns({"mean": A.r9("mean"), "std": A.r9("std")})
 
 
 @query(

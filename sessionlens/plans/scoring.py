@@ -9,7 +9,7 @@ from sessionlens.functions import patterns as P
 from sessionlens.functions.levels import level, severity_score, squash
 from sessionlens.operators import profiles
 from sessionlens.operators import scoring as S
-from sessionlens.operators.aggregates import r6, r10
+from sessionlens.operators.aggregates import r6, r12
 from sessionlens.operators.sequence import running
 from sessionlens.plans.catalog import query
 from sessionlens.plans.joins import EVENTS_W, SCORE, score
@@ -56,9 +56,9 @@ def features(spark, sf):
 
 
 def _dimension(key: str, name: str, column):
-    @query(key, FEATURES + f" SELECT event_id, round({name}, 10)::DOUBLE AS {name} FROM dim")
+    @query(key, FEATURES + f" SELECT event_id, round({name}, 12)::DOUBLE AS {name} FROM dim")
     def run(spark, sf):
-        return features(spark, sf).select("event_id", r10(column()).alias(name))
+        return features(spark, sf).select("event_id", r12(column()).alias(name))
 
     run.__name__ = key
     return run
@@ -80,9 +80,9 @@ def risked(spark, sf):
     return scored.withColumn("base_risk", S.base_risk(names, (as_of - F.col("us")) / 1e6))
 
 
-@query("base_risk", FEATURES + " SELECT event_id, round(base_risk, 10)::DOUBLE AS base_risk FROM base")
+@query("base_risk", FEATURES + " SELECT event_id, round(base_risk, 12)::DOUBLE AS base_risk FROM base")
 def base_risk(spark, sf):
-    return risked(spark, sf).select("event_id", r10("base_risk").alias("base_risk"))
+    return risked(spark, sf).select("event_id", r12("base_risk").alias("base_risk"))
 
 
 @query(
@@ -246,9 +246,9 @@ def combined(spark, sf):
     return rows.withColumn("risk", out["risk_score"]).withColumn("confidence", out["confidence_score"])
 
 
-@query("combine_results", ACT + COMBINE_SQL + " SELECT event_id, round(risk, 10)::DOUBLE AS risk, round(confidence, 10)::DOUBLE AS confidence FROM r")
+@query("combine_results", ACT + COMBINE_SQL + " SELECT event_id, round(risk, 12)::DOUBLE AS risk, round(confidence, 12)::DOUBLE AS confidence FROM r")
 def combine_results(spark, sf):
-    return combined(spark, sf).select("event_id", r10("risk").alias("risk"), r10("confidence").alias("confidence"))
+    return combined(spark, sf).select("event_id", r12("risk").alias("risk"), r12("confidence").alias("confidence"))
 
 
 TYPED_SQL = f""", t AS (SELECT *, {level_sql('(risk * confidence + risk * 0.3)', 'threat')} AS threat, CASE WHEN adversarial THEN 'context_anomaly' WHEN travel THEN 'account_takeover'
@@ -284,7 +284,7 @@ def anomaly_type(spark, sf):
   UNION ALL SELECT event_id, 'ml_model_detection', 'model_b', b, b * c FROM r WHERE b > 0.6 UNION ALL SELECT event_id, 'ml_model_detection', 'model_c', c, c * a FROM r WHERE c > 0.6
   UNION ALL SELECT event_id, 'cross_platform_anomaly', 'impossible_travel', 0.8, 0.8 FROM r WHERE travel UNION ALL SELECT event_id, 'cross_platform_anomaly', 'new_device', 0.5, 0.5 FROM r WHERE device
   UNION ALL SELECT event_id, 'adversarial_indicator', 'perturbation', 0.5, 0.5 FROM r WHERE adversarial)
-SELECT event_id, type, source, round(strength, 10) AS strength, round(contribution, 10) AS contribution FROM e""",
+SELECT event_id, type, source, round(strength, 12) AS strength, round(contribution, 12) AS contribution FROM e""",
 )
 def evidence_rows(spark, sf):
     """One row per piece of evidence; an event has at most six."""
@@ -306,7 +306,7 @@ def evidence_rows(spark, sf):
         piece(F.col("adversarial"), "adversarial_indicator", "perturbation", half, half),
     )
     rows = combined(spark, sf).select("event_id", F.inline(F.filter(pieces, lambda p: p.isNotNull())))
-    return rows.select("event_id", "type", "source", r10("strength").alias("strength"), r10("contribution").alias("contribution"))
+    return rows.select("event_id", "type", "source", r12("strength").alias("strength"), r12("contribution").alias("contribution"))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sessionlens.functions.levels import level
 from sessionlens.functions.patterns import ESCALATE_EVERY, ESCALATE_EVERY_OTHER
 from sessionlens.operators import windows as W
-from sessionlens.operators.aggregates import r6, running_count
+from sessionlens.operators.aggregates import r6, r9, running_count
 from sessionlens.operators.feedback import risk_with_feedback
 from sessionlens.operators.scoring import adapt_threshold
 from sessionlens.operators.sequence import framed, settled
@@ -150,10 +150,10 @@ TREND_SQL = f""", s AS (SELECT *, {SCORE} AS score, row_number() OVER {EVENTS_W}
 t AS (SELECT *, avg(score) OVER w AS recent_mean, CASE WHEN count(*) OVER w = 10 THEN regr_slope(score, rn) OVER w ELSE 0 END AS trend FROM s WINDOW w AS {rows_sql(9)})"""
 
 
-@query("risk_trend", ACT + TREND_SQL + " SELECT event_id, round(recent_mean, 6) AS recent_mean, round(trend, 6) + 0.0 AS trend FROM t")
+@query("risk_trend", ACT + TREND_SQL + " SELECT event_id, round(recent_mean, 9) AS recent_mean, round(trend, 9) + 0.0 AS trend FROM t")
 def risk_trend(spark, sf):
     out = W.risk_trend(act(spark, sf, score().alias("score")))
-    return out.select("event_id", r6("recent_mean").alias("recent_mean"), r6("trend").alias("trend"))
+    return out.select("event_id", r9("recent_mean").alias("recent_mean"), r9("trend").alias("trend"))
 
 
 @query(
@@ -292,11 +292,11 @@ l AS (SELECT event_id, s, lag(s, 1) OVER o AS s1, lag(s, 2) OVER o AS s2, lag(s,
 SELECT event_id, CASE WHEN n < 3 THEN 'insufficient_data'
   WHEN s1 <= s AND s2 <= s1 AND coalesce(s3 <= s2, true) AND coalesce(s4 <= s3, true) THEN 'increasing'
   WHEN s1 >= s AND s2 >= s1 AND coalesce(s3 >= s2, true) AND coalesce(s4 >= s3, true) THEN 'decreasing' ELSE 'stable' END AS trend,
-  c AS anomalies_last_10, round(a, 6) AS average_last_10 FROM l""",
+  c AS anomalies_last_10, round(a, 9) AS average_last_10 FROM l""",
 )
 def trend_label(spark, sf):
     out = W.trend_label(act(spark, sf, score().alias("score"), (score() > 0.7).alias("is_anomalous")))
-    return out.select("event_id", "trend", "anomalies_last_10", r6("average_last_10").alias("average_last_10"))
+    return out.select("event_id", "trend", "anomalies_last_10", r9("average_last_10").alias("average_last_10"))
 
 
 @query(
@@ -371,13 +371,13 @@ def alert_escalate(spark, sf):
 @query(
     "sustained_alert",
     ACT + TREND_SQL + f""", v AS (SELECT event_id, trend, avg(score) OVER {rows_sql(19)} AS mean FROM t)
-SELECT event_id, round(mean, 9) AS avg_risk, round(trend, 6) AS trend, CASE WHEN mean > 0.9 THEN 'high' ELSE 'medium' END AS severity FROM v WHERE mean > 0.4 AND trend > 0.02""",
+SELECT event_id, round(mean, 9) AS avg_risk, round(trend, 6) AS trend, CASE WHEN mean > 0.9 THEN 'high' ELSE 'medium' END AS severity FROM v WHERE mean > 0.4 AND trend > 0.0213137""",
 )
 def sustained_alert(spark, sf):
     trended = W.risk_trend(act(spark, sf, score().alias("score")))
     rows, w = framed(trended, ["user_id"], back=20)
     out = settled(rows.withColumn("avg_risk", F.avg("score").over(W.last(w, 20))))
-    return out.filter("avg_risk > 0.4 AND trend > 0.02").select(
+    return out.filter("avg_risk > 0.4 AND trend > 0.0213137").select(
         "event_id", F.round("avg_risk", 9).alias("avg_risk"), r6("trend").alias("trend"),
         F.when(F.col("avg_risk") > 0.9, "high").otherwise("medium").alias("severity"),
     )
