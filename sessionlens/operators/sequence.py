@@ -15,11 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from sessionlens.session import GROUP_ROWS_DEFAULT, GROUP_ROWS_KEY, setting
+from sessionlens.session import GROUP_ROWS_DEFAULT, GROUP_ROWS_KEY, checked_broadcast, cut_lineage, setting
 
 TIME_ORDER = ("ts", "event_id")
 SLICE = "_slice"
 HALO = "_halo"
+WHOLE = -1  # the slice number of a group that is not cut
 
 
 def minute_of(column: str = "ts") -> Column:
@@ -35,7 +36,9 @@ def largest_group_exceeds(df: DataFrame, keys: Sequence[str], bound: int) -> boo
 
 
 def slices(df: DataFrame, keys: Sequence[str], grid: Column | None = None) -> DataFrame | None:
-    """Number consecutive slices of oversized groups; None when no group is oversized.
+    """Number consecutive slices of oversized groups from 0, and mark other groups as WHOLE.
+
+    None when no group is oversized.
 
     The window below runs over grid cells, not rows, so its size is bounded by the span of the grid.
     """
@@ -52,9 +55,11 @@ def slices(df: DataFrame, keys: Sequence[str], grid: Column | None = None) -> Da
         .withColumn(SLICE, F.floor(before / F.lit(bound)))
         .drop("_n")
     )
+    # Written first: the slice table is small beside the rows, and its size is then known.
+    table = checked_broadcast(cut_lineage(starts))
     return (
-        gridded.join(starts, [*keys, "_cell"], "left")
-        .withColumn(SLICE, F.coalesce(SLICE, F.lit(0).cast("long")))
+        gridded.join(table, [*keys, "_cell"], "left")
+        .withColumn(SLICE, F.coalesce(SLICE, F.lit(WHOLE).cast("long")))
         .drop("_cell")
     )
 
@@ -85,7 +90,8 @@ def framed(
     def edge(depth: int, newest: bool) -> DataFrame:
         direction = [F.col(c).desc() if newest else F.col(c).asc() for c in order]
         return (
-            cut.withColumn("_rn", F.row_number().over(per_slice.orderBy(*direction)))
+            cut.filter(F.col(SLICE) != WHOLE)
+            .withColumn("_rn", F.row_number().over(per_slice.orderBy(*direction)))
             .filter(F.col("_rn") <= depth)
             .groupBy(*keys, SLICE)
             .agg(F.array_sort(F.collect_list(row)).alias("_rows"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 GROUP_ROWS_KEY = "spark.sessionlens.maxGroupRows"
 GROUP_ROWS_DEFAULT = 2_000_000
 BROADCAST_ROWS_KEY = "spark.sessionlens.maxBroadcastRows"
-BROADCAST_ROWS_DEFAULT = 200_000
+BROADCAST_ROWS_DEFAULT = 500_000
 
 
 def local_session(cpus: int | str = 8, app: str = "sessionlens") -> SparkSession:
