@@ -3,12 +3,15 @@
 The final scores depend on earlier final scores, so the exact result looks sequential. But each row has
 only two possible results, with and without the raise, and the raise is settled as soon as it is the
 same under the lowest and the highest possible scores before it. Starting from both bounds, a few passes
-of plain windows settle almost all rows; passes repeat until none is open. Each pass settles at least the
-first open row of every group, so the loop ends, and no group has to pass through one task.
+of plain windows settle almost all rows. Later rounds take up only the rows still open and the rows their
+mean reads. Each pass settles at least the first open row of every group, so the rounds end, and no group
+has to pass through one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,31 @@ from sessionlens.session import cut_lineage
 HISTORY = 10
 
 
+def is_open() -> Column:
+    """Whether the bounds of a row still differ."""
+    return F.col("_lo") < F.col("_hi")
+
+
+def settle(state: DataFrame, base: str, passes: int) -> DataFrame:
+    """Tighten the bounds of the open rows; a row whose last scores are not all at hand stays open."""
+    rows, w = framed(state, GROUP, back=HISTORY * passes)
+    past = before(w, HISTORY)
+    for _ in range(passes):
+        known = is_open() & (size_of(past) == HISTORY)
+        rows = rows.withColumns(
+            {
+                "_up": known & (F.col(base) > 1.5 * F.avg("_hi").over(past)),
+                "_down": known & (F.col(base) <= 1.5 * F.avg("_lo").over(past)),
+            }
+        ).withColumns(
+            {
+                "_lo": F.when(F.col("_up"), F.col("_raised")).otherwise(F.col("_lo")),
+                "_hi": F.when(F.col("_down"), F.col("_plain")).otherwise(F.col("_hi")),
+            }
+        )
+    return cut_lineage(settled(rows).drop("_up", "_down"))
+
+
 def risk_with_feedback(
     df: DataFrame, base: str = "base", kind: str = "kind", cold_start: int = 250, same_kind: int = 15,
     decay: float = 0.95, passes: int = 4,
@@ -40,23 +68,16 @@ def risk_with_feedback(
     state = rows.withColumns({"_plain": plain, "_raised": raised}).withColumns(
         {"_lo": F.col("_plain"), "_hi": F.when(can_raise, F.col("_raised")).otherwise(F.col("_plain"))}
     )
+    state = settle(state, base, passes)
+    results = [state.filter(~is_open())]
     while True:
-        state, w = framed(state, GROUP, back=HISTORY * passes)
-        for _ in range(passes):
-            past = before(w, HISTORY)
-            known = can_raise & (size_of(past) == HISTORY) & (F.col("_lo") < F.col("_hi"))
-            state = state.withColumns(
-                {
-                    "_up": known & (F.col(base) > 1.5 * F.avg("_hi").over(past)),
-                    "_down": known & (F.col(base) <= 1.5 * F.avg("_lo").over(past)),
-                }
-            ).withColumns(
-                {
-                    "_lo": F.when(F.col("_up"), F.col("_raised")).otherwise(F.col("_lo")),
-                    "_hi": F.when(F.col("_down"), F.col("_plain")).otherwise(F.col("_hi")),
-                }
-            )
-        state = cut_lineage(settled(state).drop("_up", "_down"))
-        if state.filter(F.col("_lo") < F.col("_hi")).isEmpty():
+        rows, w = framed(state, GROUP, ahead=HISTORY)
+        needed = F.max(is_open()).over(w.rowsBetween(0, HISTORY))
+        part = cut_lineage(settled(rows.withColumn("_needed", needed)).filter("_needed").withColumn("_was", is_open()))
+        if part.isEmpty():
             break
-    return state.withColumn("risk", F.col("_lo")).drop("_i", "_often", "_plain", "_raised", "_lo", "_hi")
+        state = settle(part.drop("_needed"), base, 2 * passes)
+        results.append(state.filter(F.col("_was") & ~is_open()).drop("_was"))
+        state = state.drop("_was")
+    whole = reduce(DataFrame.unionByName, results)
+    return whole.withColumn("risk", F.col("_lo")).drop("_i", "_often", "_plain", "_raised", "_lo", "_hi")
