@@ -86,7 +86,8 @@ def ks_drift(long: DataFrame, in_second: Column, alpha: float = 0.05) -> DataFra
     upto = running(counts, ["feature"], {"_ca": F.col("_a"), "_cb": F.col("_b")}, order=["x"], grid=F.floor(F.col("x") * 4))
     gap = F.abs(F.col("_ca") / F.col("n") - F.col("_cb") / F.col("m"))
     out = upto.join(F.broadcast(sizes), "feature").groupBy("feature", "n", "m").agg(F.max(gap).alias("statistic"))
-    scale = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
+    n, m = F.col("n").cast("double"), F.col("m").cast("double")
+    scale = F.sqrt(n * m / (n + m))
     return out.withColumn("p_value", kolmogorov_tail(scale * F.col("statistic"))).withColumn("drifted", F.col("p_value") < alpha)
 
 

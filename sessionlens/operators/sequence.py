@@ -46,10 +46,19 @@ def slices(df: DataFrame, keys: Sequence[str], grid: Column | None = None) -> Da
     keys = list(keys)
     if not largest_group_exceeds(df.select(*keys), keys, bound):
         return None
-    gridded = df.withColumn("_cell", minute_of() if grid is None else grid)
-    cells = gridded.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    gridded = df.withColumn("_cell", minute_of() if grid is None else grid).withColumn("_sub", F.lit(0).cast("long"))
+    cells = gridded.groupBy(*keys, "_cell", "_sub").agg(F.count(F.lit(1)).alias("_n"))
+    if grid is None:
+        # A minute of one group that is itself oversized is cut at milliseconds.
+        crowded = cut_lineage(cells.filter(F.col("_n") > bound).select(*keys, "_cell", F.lit(True).alias("_fine")))
+        if not crowded.isEmpty():
+            within_minute = F.floor(F.pmod(F.unix_micros("ts"), F.lit(60_000_000)) / F.lit(1000))
+            gridded = gridded.join(F.broadcast(crowded), [*keys, "_cell"], "left").withColumn(
+                "_sub", F.when(F.col("_fine"), within_minute).otherwise(F.col("_sub"))
+            ).drop("_fine")
+            cells = gridded.groupBy(*keys, "_cell", "_sub").agg(F.count(F.lit(1)).alias("_n"))
     oversized = cells.groupBy(*keys).agg(F.sum("_n").alias("_total")).filter(F.col("_total") > bound)
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell")) - F.col("_n")
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell", "_sub")) - F.col("_n")
     starts = (
         cells.join(oversized.drop("_total"), keys, "left_semi")
         .withColumn(SLICE, F.floor(before / F.lit(bound)))
@@ -58,9 +67,9 @@ def slices(df: DataFrame, keys: Sequence[str], grid: Column | None = None) -> Da
     # Written first: the slice table is small beside the rows, and its size is then known.
     table = checked_broadcast(cut_lineage(starts))
     return (
-        gridded.join(table, [*keys, "_cell"], "left")
+        gridded.join(table, [*keys, "_cell", "_sub"], "left")
         .withColumn(SLICE, F.coalesce(SLICE, F.lit(WHOLE).cast("long")))
-        .drop("_cell")
+        .drop("_cell", "_sub")
     )
 
 

@@ -263,13 +263,14 @@ def label_alignment(spark, sf):
 @query(
     "geo_enrich",
     """WITH r AS (SELECT n_name AS place, n_nationkey::BIGINT * 171798691 AS low, n_nationkey::BIGINT * 171798691 + 171798690 AS high FROM nation),
-e AS (SELECT event_id, (event_id * 2654435761) % 4294967296 AS ip FROM events)
+e AS (SELECT event_id, (event_id % 4294967296) * 1103515245 % 4294967296 AS ip FROM events)
 SELECT event_id, ip, place FROM e JOIN r ON ip BETWEEN low AND high""",
 )
 def geo_enrich(spark, sf):
     """Addresses as numbers against a supplied table of address ranges; nothing is looked up on the web."""
     start = F.col("n_nationkey") * F.lit(171798691).cast("long")
     ranges = read(spark, sf, "nation").select(F.col("n_name").alias("place"), start.alias("low"), (start + 171798690).alias("high"))
-    ip = (F.col("event_id") * F.lit(2654435761).cast("long")) % F.lit(4294967296).cast("long")
+    wrap = F.lit(4294967296).cast("long")
+    ip = (F.col("event_id") % wrap) * F.lit(1103515245).cast("long") % wrap
     points = read(spark, sf, "events").select("event_id", ip.alias("ip"))
     return joins.range_lookup(points, "ip", ranges, "low", "high", 2**25).select("event_id", "ip", "place")

@@ -34,6 +34,16 @@ def test_group_is_really_sliced(skewed, sliced):
     assert cut.count() == skewed.count()
 
 
+def test_crowded_minutes_are_cut_finer(skewed, sliced):
+    dense = skewed.withColumn("ts", F.timestamp_micros(F.floor(F.col("us") / 20_000)))
+    cut = Q.slices(dense, ["user_id"])
+    assert cut.groupBy("user_id", Q.SLICE).count().agg(F.max("count")).first()[0] <= 2 * 20
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 0)
+    rows, sw = Q.framed(dense, ["user_id"], back=3)
+    got = Q.settled(rows.withColumn("l", F.collect_list("k").over(sw.rowsBetween(-3, 0)))).select("event_id", "l")
+    assert rows_of(got) == rows_of(dense.select("event_id", F.collect_list("k").over(w).alias("l")))
+
+
 @pytest.mark.parametrize(("back", "ahead"), [(1, 0), (7, 0), (60, 0), (0, 5), (3, 3)])
 def test_framed(skewed, sliced, back, ahead):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-back, ahead)
