@@ -13,6 +13,8 @@ GROUP_ROWS_DEFAULT = 2_000_000
 BROADCAST_ROWS_KEY = "spark.sessionlens.maxBroadcastRows"
 BROADCAST_ROWS_DEFAULT = 500_000
 
+_OWN_DIRS: dict[str, str] = {}  # application -> the folder of a local session without spark.checkpoint.dir
+
 
 def local_session(cpus: int | str = 8, app: str = "sessionlens") -> SparkSession:
     """A local session for tests and benches; on a cluster the caller brings its own session."""
@@ -46,9 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="sessionlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIRS:
+        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="sessionlens-")
+    return _OWN_DIRS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
