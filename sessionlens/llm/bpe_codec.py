@@ -7,7 +7,8 @@ character, and changes between ASCII letters, digits and punctuation. The fragme
 each once (with the library) and remembers its ids and decoded bytes in a bounded memo.
 
 Defined cases: null counts as empty (no ids); strings of special tokens inside a text become their ids, as the library
-does by default; an empty table gives an empty result; very long texts are cut like others.
+does by default; an empty table gives an empty result; input
+columns with the names of new ones are replaced; very long texts are cut like others.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from sessionlens.llm.catalog import documents, query
 from sessionlens.llm.vocab import CACHE_ENTRIES, chunks, vocabulary
@@ -128,11 +130,13 @@ def codec(path: str) -> Codec:
 
 def encode_decode(df: DataFrame, path: str, text: str = "text", digests: bool = False) -> DataFrame:
     """`df` without its text, with `ids` and `decoded`; or with their digests (`n_tokens`, `ids_sha256`, `decoded_sha256`)."""
-    kept = [c for c in df.columns if c != text]
-    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    schema = df.select(*kept).schema
-    for field in added.split(", "):
-        schema = schema.add(*field.split(" "))
+    added = T.StructType()
+    if digests:
+        added = added.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    else:
+        added = added.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    kept = [c for c in df.columns if c not in (text, *added.names)]
+    schema = T.StructType([df.schema[c] for c in kept] + added.fields)
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,24 +7,27 @@ the quotas used here (the row count divided evenly, remainders to the lowest sha
 Only the number of rows per cell is ever gathered (`CELLS` rows, however large the table); the walk over the ring turns
 them into a plan of (cell, ranks from..to -> shard), which is broadcast (at most `CELLS` plus a few rows per shard).
 
-Defined cases: a null key falls back to the hash of the text, and where that is null too, to a fixed cell; rows with equal
-keys are ranked by the text's checksum and are interchangeable beyond that; an empty table gives an empty result.
+Defined cases: a null key is hashed by the `fallback` columns, and where those are null too, to a fixed cell; rows with
+equal keys are ranked by them and are interchangeable beyond that; an empty table gives an empty result; columns `shard`
+and `slot` of the input are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlens.llm.catalog import documents, query
+from sessionlens.llm.rows import field, packed, unpacked
 
 CELLS = 1 << 16
 PLAN = T.StructType([
-    T.StructField("_cell", T.IntegerType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()),
-    T.StructField("shard", T.IntegerType()), T.StructField("_slot", T.LongType()),
+    T.StructField("_at", T.IntegerType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()),
+    T.StructField("_shard", T.IntegerType()), T.StructField("_slot", T.LongType()),
 ])
 
 
@@ -80,25 +83,21 @@ def walk(counts: dict[int, int], points: list[tuple[int, int]], room: list[int])
     return plan
 
 
-def ring_shards(df: DataFrame, key: str, shards: int, vnodes: int = 64, tie: Column | None = None,
-                fallback: Column | None = None) -> DataFrame:
+def ring_shards(df: DataFrame, key: str, shards: int, vnodes: int = 64, fallback: Sequence[str] = ()) -> DataFrame:
     """`df` with `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard)."""
     spark = df.sparkSession
-    digest = F.xxhash64(key)
-    if fallback is not None:
-        digest = F.when(F.col(key).isNull(), fallback).otherwise(digest)
-    placed = df.withColumn("_h", digest).withColumn("_cell", F.pmod("_h", F.lit(CELLS)).cast("int"))
+    digest = F.xxhash64(field(key))
+    if fallback:
+        digest = F.when(field(key).isNull(), F.xxhash64(*map(field, fallback))).otherwise(digest)
+    placed = packed(df).withColumn("_h", digest).withColumn("_cell", F.pmod("_h", F.lit(CELLS)).cast("int"))
     counts = {r["_cell"]: r["count"] for r in placed.groupBy("_cell").count().collect()}  # CELLS rows at most
     plan = walk(counts, ring(shards, vnodes), quotas(sum(counts.values()), shards))
-    order = [F.col("_h"), F.col(key)] + ([tie] if tie is not None else [])
+    order = [F.col("_h"), field(key), *map(field, fallback)]
     ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy(*order)).cast("long"))
-    table = F.broadcast(spark.createDataFrame(plan, PLAN).withColumnRenamed("_cell", "_at"))
+    table = F.broadcast(spark.createDataFrame(plan, PLAN))
     inside = (F.col("_cell") == F.col("_at")) & F.col("_rank").between(F.col("_from"), F.col("_to"))
-    return (
-        ranked.join(table, inside)
-        .withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from"))
-        .drop("_h", "_cell", "_rank", "_at", "_from", "_to", "_slot")
-    )
+    return unpacked(ranked.join(table, inside), df.columns, {
+        "shard": F.col("_shard"), "slot": F.col("_slot") + F.col("_rank") - F.col("_from")})
 
 
 @query("op2_sharding")
@@ -109,7 +108,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    out = ring_shards(docs, "doc_id", 40, tie=F.struct("text_crc32", "size"), fallback=F.xxhash64("text_crc32", "size"))
+    out = ring_shards(docs, "doc_id", 40, fallback=["text_crc32", "size"])
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),

@@ -10,7 +10,8 @@ pre-tokenizer looks across it. Pieces of plain Latin letters are pre-tokens as t
 tokenizer file's own pre-tokenizer.
 
 Defined cases: null counts as empty (0 bytes, 0 tokens); strings of special tokens inside a text count as one token each,
-as the library does by default; an empty table gives an empty result.
+as the library does by default; an empty table gives an empty result;
+input columns with the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -52,13 +53,6 @@ class Merger:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.rank[at], NONE)
 
-    def ranks(self, symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The rank of the pair that starts at each symbol; none at the last symbol of a sequence."""
-        out = np.full(len(symbols), NONE)
-        at = np.flatnonzero(~last)
-        out[at] = self.look_up(symbols[at].astype(np.int64) * self.size + symbols[at + 1])
-        return out
-
     def counts(self, words: list[bytes]) -> np.ndarray:
         """The number of symbols left of each word (none of them empty)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -160,7 +154,7 @@ def counter(path: str) -> Counter:
 
 def token_counts(df: DataFrame, path: str, text: str = "text", column: str = "n_tokens") -> DataFrame:
     """`df` without its text, with the number of its tokens and UTF-8 bytes (`n_bytes`)."""
-    kept = [c for c in df.columns if c != text]
+    kept = [c for c in df.columns if c not in (text, "n_bytes", column)]
     out = df.select(*kept).withColumns({"n_bytes": F.lit(0).cast("long"), column: F.lit(0).cast("long")})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
