@@ -52,13 +52,13 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def chunks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Consecutive row ranges of a batch with their texts (null: empty), of about CHUNK_BYTES each or one text."""
+def chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive row ranges of a batch with their texts (null: empty), of about `size` bytes each or one text."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     start = 0
     while start < batch.num_rows:
         ends = np.cumsum(sizes[start:], dtype=np.int64)
-        stop = start + max(1, int(np.searchsorted(ends, CHUNK_BYTES, side="right")))
+        stop = start + max(1, int(np.searchsorted(ends, size, side="right")))
         yield batch.slice(start, stop - start), [x or "" for x in column.slice(start, stop - start).to_pylist()]
         start = stop
