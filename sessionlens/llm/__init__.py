@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["sharding", "exact_dedup", "bpe_codec", "token_counts", "packing", "line_dedup", "language_id", "quality_rules", "ngram_join"]
+MODULES = ["sharding", "exact_dedup", "bpe_codec", "token_counts", "packing", "line_dedup", "language_id", "quality_rules", "ngram_join", "secret_scan"]
 
 
 def load():

@@ -11,7 +11,8 @@ phrase has begun. Texts are parsed in segments of `SEGMENT` letters, so a very l
 
 Learned languages are the non-null labels. Their number of rows is counted over the table; sampled rows are those with the
 lowest text hashes. Defined cases: null text, and text without letters, gives `und` with score 0; ties go to the
-alphabetically first language; without labelled rows every text is `und`; an empty table gives an empty result.
+alphabetically first language; without labelled rows every text is `und`; an empty table gives an empty result;
+input columns with the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -205,10 +206,10 @@ def sample(df: DataFrame, text: str, lang: str) -> dict[str, str]:
     return {name: " ".join(pieces)[:CHARS_PER_LANGUAGE] for name, pieces in samples.items()}
 
 
-def predict_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`df` without its text, with `lang_pred` and `score`."""
+def predict_language(df: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """`df`, without its text unless it is to be kept, with `lang_pred` and `score`."""
     added = T.StructType().add("lang_pred", "string").add("score", "double")
-    kept = [c for c in df.columns if c not in (text, *added.names)]
+    kept = [c for c in df.columns if c not in added.names and (keep_text or c != text)]
     schema = T.StructType([df.schema[c] for c in kept] + added.fields)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by languages x CHARS_PER_LANGUAGE
 
