@@ -112,7 +112,7 @@ def hourly_activity(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataF
 
 def forward_fill(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Fill missing values from the last row that had one."""
-    filled = last_known(df, [group], {f"_{c}": F.col(c) for c in columns}, order=["event_id"], inclusive=True, grid=F.floor(F.col("event_id") / 1000))
+    filled = last_known(df, [group], {f"_{c}": F.col(c) for c in columns}, order=["event_id"], inclusive=True, by=F.col("event_id"))
     return filled.drop(*columns).withColumnsRenamed({f"_{c}": c for c in columns})
 
 

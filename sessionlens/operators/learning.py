@@ -118,7 +118,7 @@ def neighbour_distance(df: DataFrame, keys: Sequence[str], value: str, tie: str,
 
     In sorted order the k nearest lie among the k before and the k after, so 2k neighbours per row suffice.
     """
-    rows, w = framed(df, keys, back=k, ahead=k, order=[value, tie], grid=F.floor(F.col(value) * 16))
+    rows, w = framed(df, keys, back=k, ahead=k, order=[value, tie], by=F.col(value))
     reach = []
     for below in range(k + 1):
         left = F.col(value) - F.lag(value, below).over(w)

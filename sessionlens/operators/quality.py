@@ -56,7 +56,7 @@ def registry_summary(registry: DataFrame, model: str = "model", version: str = "
 def performance_drift(runs: DataFrame, model: str = "model", version: str = "version", metric: str = "metric", tail: int = 3, least: int = 5, limit: float = 0.05) -> DataFrame:
     """Mean metric of all but the last runs minus the mean of the last ones."""
     size = runs.groupBy(model).agg(F.count(F.lit(1)).alias("runs"))
-    ranked = running(runs, [model], {"_rn": F.lit(1).cast("long")}, order=[version], grid=F.floor(F.col(version) / 100)).join(size, model)
+    ranked = running(runs, [model], {"_rn": F.lit(1).cast("long")}, order=[version], by=F.col(version)).join(size, model)
     recent = F.col("_rn") > F.col("runs") - tail
     out = ranked.filter(F.col("runs") >= least).groupBy(model).agg(
         F.max("runs").alias("runs"), (F.avg(F.when(~recent, F.col(metric))) - F.avg(F.when(recent, F.col(metric)))).alias("drop")
@@ -77,18 +77,20 @@ def kolmogorov_tail(x: Column, terms: int = 100) -> Column:
 def ks_drift(long: DataFrame, in_second: Column, alpha: float = 0.05) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic per feature, with its asymptotic p-value.
 
-    Equal values are counted per sample first; the two distribution functions are then running sums.
+    Equal values are counted per sample first; the two distribution functions are then running sums. With an empty
+    sample there is nothing to compare: no statistic, and no drift.
     """
     counts = long.groupBy("feature", "x").agg(
         F.count_if(~in_second).alias("_a"), F.count_if(in_second).alias("_b")
     )
     sizes = counts.groupBy("feature").agg(F.sum("_a").alias("n"), F.sum("_b").alias("m"))
-    upto = running(counts, ["feature"], {"_ca": F.col("_a"), "_cb": F.col("_b")}, order=["x"], grid=F.floor(F.col("x") * 4))
-    gap = F.abs(F.col("_ca") / F.col("n") - F.col("_cb") / F.col("m"))
+    upto = running(counts, ["feature"], {"_ca": F.col("_a"), "_cb": F.col("_b")}, order=["x"], by=F.col("x"))
+    gap = F.abs(F.try_divide("_ca", "n") - F.try_divide("_cb", "m"))
     out = upto.join(F.broadcast(sizes), "feature").groupBy("feature", "n", "m").agg(F.max(gap).alias("statistic"))
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
     scale = F.sqrt(n * m / (n + m))
-    return out.withColumn("p_value", kolmogorov_tail(scale * F.col("statistic"))).withColumn("drifted", F.col("p_value") < alpha)
+    tail = F.when(F.col("statistic").isNotNull(), kolmogorov_tail(scale * F.col("statistic")))
+    return out.withColumn("p_value", tail).withColumn("drifted", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
 
 
 def retrain_due(models: DataFrame, as_of: Column, interval_days: int = 7, least: int = 100) -> DataFrame:
@@ -153,7 +155,10 @@ def confidence_levels(df: DataFrame, level: str, score: str) -> DataFrame:
 
 
 def confidence_drift(df: DataFrame, score: str, order: Sequence[str] = ("ts", "event_id"), window: int = 100) -> DataFrame:
-    """The newest `window` scores against the `window` before: moments, t statistic and severity, as one row."""
+    """The newest `window` scores against the `window` before: moments, t statistic and severity, as one row.
+
+    With fewer scores than both windows take, severity and direction are `insufficient_data`.
+    """
     recent = df.orderBy(*[F.desc(c) for c in order]).limit(2 * window)
     listed = recent.agg(F.reverse(F.array_sort(F.collect_list(F.struct(*order, score)))).alias("_l"))
     rows = listed.select(F.posexplode("_l").alias("_i", "_r"))
@@ -166,13 +171,14 @@ def confidence_drift(df: DataFrame, score: str, order: Sequence[str] = ("ts", "e
         F.count(new).alias("_n"), F.count(old).alias("_m"), F.var_samp(new).alias("_vn"), F.var_samp(old).alias("_vm"),
     )
     n, m = F.col("_n"), F.col("_m")
-    pooled = ((n - 1) * F.col("_vn") + (m - 1) * F.col("_vm")) / (n + m - 2)
+    pooled = F.try_divide((n - 1) * F.col("_vn") + (m - 1) * F.col("_vm"), n + m - 2)
+    few = (n < window) | (m < window)
     drift = F.col("recent_mean") - F.col("older_mean")
     return (
         moments.withColumn("mean_drift", drift)
-        .withColumn("t_statistic", F.try_divide(-drift, F.sqrt(pooled * (1 / n + 1 / m))))
-        .withColumn("severity", F.when(F.abs(drift) > 0.1, "high").when(F.abs(drift) > 0.05, "medium").otherwise("low"))
-        .withColumn("direction", F.when(drift > 0, "increasing").otherwise("decreasing"))
+        .withColumn("t_statistic", F.try_divide(-drift, F.sqrt(pooled * (F.try_divide(F.lit(1), n) + F.try_divide(F.lit(1), m)))))
+        .withColumn("severity", F.when(few, "insufficient_data").when(F.abs(drift) > 0.1, "high").when(F.abs(drift) > 0.05, "medium").otherwise("low"))
+        .withColumn("direction", F.when(few, "insufficient_data").when(drift > 0, "increasing").otherwise("decreasing"))
         .drop("_n", "_m", "_vn", "_vm")
     )
 

@@ -51,7 +51,7 @@ def rank_named(values: DataFrame, by: Column) -> DataFrame:
 
 def snapshot_diff(snapshots: DataFrame, group: str, at: str, members: str) -> DataFrame:
     """What appeared and what went between consecutive snapshots (arrays) of a group."""
-    rows, w = framed(snapshots, [group], back=1, order=[at], grid=F.unix_date(at))
+    rows, w = framed(snapshots, [group], back=1, order=[at], by=F.unix_date(at))
     nothing = F.array().cast(snapshots.schema[members].dataType)
     diffed = rows.withColumn("_before", F.coalesce(F.lag(members).over(w), nothing))
     return settled(diffed).select(

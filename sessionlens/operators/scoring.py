@@ -271,7 +271,10 @@ def outlier_guard(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     fences = quantiles(df, keys, value, {"q1": 0.25, "q3": 0.75})
     x, reach = F.col(value), 3 * (F.col("q3") - F.col("q1"))
     outside = (x < F.col("q1") - reach) | (x > F.col("q3") + reach)
-    decimals = F.length(F.split(x.cast("string"), r"\.")[1])
+    text = x.cast("string")
+    plain = F.rtrim(F.expr(f"cast(try_cast(`{value}` AS decimal(38, 15)) AS string)"), F.lit("0"))
+    written = F.when(F.contains(text, F.lit("E")), F.concat(plain, F.when(F.endswith(plain, F.lit(".")), "0").otherwise("")))
+    decimals = F.length(F.get(F.split(F.coalesce(written, text), r"\."), F.lit(1)))
     out = attach(df, fences, keys).groupBy(*keys).agg(
         F.avg(outside.cast("double")).alias("outlier_share"), F.avg(decimals).alias("mean_decimals")
     )

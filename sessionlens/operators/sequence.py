@@ -11,6 +11,8 @@ last known values before it (`last_known`). Both ways give the same rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -21,11 +23,15 @@ TIME_ORDER = ("ts", "event_id")
 SLICE = "_slice"
 HALO = "_halo"
 WHOLE = -1  # the slice number of a group that is not cut
+CELLS = 4096
+REFINEMENTS = 4
 
 
-def minute_of(column: str = "ts") -> Column:
-    """The default cutting grid: slices are cut at minute borders of the event time."""
-    return F.floor(F.unix_micros(column) / F.lit(60_000_000))
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL is a value like any other."""
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    equal = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right.withColumnsRenamed(names), reduce(and_, equal), how).drop(*names.values())
 
 
 def largest_group_exceeds(df: DataFrame, keys: Sequence[str], bound: int) -> bool:
@@ -35,42 +41,50 @@ def largest_group_exceeds(df: DataFrame, keys: Sequence[str], bound: int) -> boo
     return not df.groupBy(*keys).count().filter(F.col("count") > bound).limit(1).isEmpty()
 
 
-def slices(df: DataFrame, keys: Sequence[str], grid: Column | None = None) -> DataFrame | None:
-    """Number consecutive slices of oversized groups from 0, and mark other groups as WHOLE.
+def cell_of(x: Column, low: Column, high: Column) -> Column:
+    """The cell of x between low and high, in the sort order of Spark: NULL first, NaN last."""
+    return (
+        F.when(x.isNull(), -1).when(F.isnan(x), CELLS + 1).when(low.isNull() | (x <= low), 0).when(x >= high, CELLS)
+        .otherwise(F.floor((x - low) / (high - low) * CELLS)).cast("long")
+    )
+
 
-    None when no group is oversized.
+def slices(df: DataFrame, keys: Sequence[str], by: Column | None = None) -> DataFrame | None:
+    """Number consecutive slices of oversized groups from 0, and mark other groups as WHOLE.
 
-    The window below runs over grid cells, not rows, so its size is bounded by the span of the grid.
+    None when no group is oversized. `by` is the first column of the order (default: the event time). Its range in a
+    group is divided into cells, and a cell with more rows than the bound is divided again by its own range,
+    so slices hold at most twice the bound unless that many rows share one value or nearly so. The window runs over
+    cells, not rows.
     """
     bound = setting(df.sparkSession, GROUP_ROWS_KEY, GROUP_ROWS_DEFAULT)
     keys = list(keys)
     if not largest_group_exceeds(df.select(*keys), keys, bound):
         return None
-    gridded = df.withColumn("_cell", minute_of() if grid is None else grid).withColumn("_sub", F.lit(0).cast("long"))
-    cells = gridded.groupBy(*keys, "_cell", "_sub").agg(F.count(F.lit(1)).alias("_n"))
-    if grid is None:
-        # A minute of one group that is itself oversized is cut at milliseconds.
-        crowded = cut_lineage(cells.filter(F.col("_n") > bound).select(*keys, "_cell", F.lit(True).alias("_fine")))
-        if not crowded.isEmpty():
-            within_minute = F.floor(F.pmod(F.unix_micros("ts"), F.lit(60_000_000)) / F.lit(1000))
-            gridded = gridded.join(F.broadcast(crowded), [*keys, "_cell"], "left").withColumn(
-                "_sub", F.when(F.col("_fine"), within_minute).otherwise(F.col("_sub"))
-            ).drop("_fine")
-            cells = gridded.groupBy(*keys, "_cell", "_sub").agg(F.count(F.lit(1)).alias("_n"))
-    oversized = cells.groupBy(*keys).agg(F.sum("_n").alias("_total")).filter(F.col("_total") > bound)
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell", "_sub")) - F.col("_n")
-    starts = (
-        cells.join(oversized.drop("_total"), keys, "left_semi")
-        .withColumn(SLICE, F.floor(before / F.lit(bound)))
-        .drop("_n")
+    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")).filter(F.col("_total") > bound)
+    rows = matched(
+        df.withColumn("_x", (F.unix_micros("ts") if by is None else by).cast("double")),
+        checked_broadcast(cut_lineage(totals)), keys, "left",
     )
-    # Written first: the slice table is small beside the rows, and its size is then known.
+    finite = F.when(~F.isnan("_x") & (F.abs("_x") < F.lit(float("inf"))), F.col("_x"))
+    ends = [F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_low"), F.max(finite).alias("_high")]
+    cells: list[str] = []
+    ranges = rows.filter("_total IS NOT NULL").groupBy(*keys).agg(*ends)
+    for depth in range(REFINEMENTS):
+        table = checked_broadcast(cut_lineage(ranges.drop("_n")))
+        rows = matched(rows, table, [*keys, *cells], "left")
+        rows = rows.withColumn(f"_c{depth}", cell_of(F.col("_x"), F.col("_low"), F.col("_high"))).drop("_low", "_high")
+        cells.append(f"_c{depth}")
+        held = cut_lineage(rows.filter("_total IS NOT NULL").groupBy(*keys, *cells).agg(*ends))
+        ranges = held.filter((F.col("_n") > bound) & (F.col("_high") > F.col("_low")))
+        if ranges.isEmpty():
+            break
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(*cells)) - F.col("_n")
+    starts = held.select(*keys, *cells, F.floor(before / F.lit(bound)).alias(SLICE))
     table = checked_broadcast(cut_lineage(starts))
-    return (
-        gridded.join(table, [*keys, "_cell", "_sub"], "left")
-        .withColumn(SLICE, F.coalesce(SLICE, F.lit(WHOLE).cast("long")))
-        .drop("_cell", "_sub")
-    )
+    out = matched(rows, table, [*keys, *cells], "left")
+    number = F.when(F.col("_total").isNull(), WHOLE).otherwise(F.col(SLICE)).cast("long")
+    return out.withColumn(SLICE, number).drop("_x", "_total", *cells)
 
 
 def framed(
@@ -79,7 +93,7 @@ def framed(
     back: int = 0,
     ahead: int = 0,
     order: Sequence[str] = TIME_ORDER,
-    grid: Column | None = None,
+    by: Column | None = None,
 ) -> tuple[DataFrame, WindowSpec]:
     """Rows and a window for frames reaching at most `back` rows back and `ahead` rows ahead.
 
@@ -87,7 +101,7 @@ def framed(
     Call `settled` on the result to drop the copies.
     """
     keys, order = list(keys), list(order)
-    cut = slices(df, keys, grid)
+    cut = slices(df, keys, by)
     if cut is None:
         return df.withColumn(HALO, F.lit(False)), Window.partitionBy(*keys).orderBy(*order)
 
@@ -134,11 +148,11 @@ def running(
     keys: Sequence[str],
     totals: dict[str, Column],
     order: Sequence[str] = TIME_ORDER,
-    grid: Column | None = None,
+    by: Column | None = None,
 ) -> DataFrame:
     """Running sums up to and including each row, over groups of any size."""
     keys, order = list(keys), list(order)
-    cut = slices(df, keys, grid)
+    cut = slices(df, keys, by)
     if cut is None:
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: F.sum(c).over(upto) for name, c in totals.items()})
@@ -148,31 +162,11 @@ def running(
         *keys, SLICE, *[F.coalesce(F.sum(f"_s_{n}").over(across), F.lit(0)).alias(f"_c_{n}") for n in totals]
     )
     within = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(carry, [*keys, SLICE])
+    joined = matched(cut, carry, [*keys, SLICE])
     out = joined.withColumns({n: F.col(f"_c_{n}") + F.sum(c).over(within) for n, c in totals.items()})
     return out.drop(SLICE, *[f"_c_{n}" for n in totals])
 
 
-def running_extreme(
-    df: DataFrame, keys: Sequence[str], name: str, value: Column, order: Sequence[str] = TIME_ORDER,
-    lowest: bool = True, grid: Column | None = None,
-) -> DataFrame:
-    """Running minimum (or maximum) up to and including each row, over groups of any size."""
-    keys, order = list(keys), list(order)
-    agg, pick = (F.min, F.least) if lowest else (F.max, F.greatest)
-    cut = slices(df, keys, grid)
-    if cut is None:
-        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, agg(value).over(upto))
-    across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = cut.groupBy(*keys, SLICE).agg(agg(value).alias("_m")).select(
-        *keys, SLICE, agg("_m").over(across).alias("_c")
-    )
-    within = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(carry, [*keys, SLICE])
-    return joined.withColumn(name, pick(F.col("_c"), agg(value).over(within))).drop(SLICE, "_c")
-
-
 def last_known(
     df: DataFrame,
     keys: Sequence[str],
@@ -180,14 +174,14 @@ def last_known(
     order: Sequence[str] = TIME_ORDER,
     inclusive: bool = False,
     forward: bool = False,
-    grid: Column | None = None,
+    by: Column | None = None,
 ) -> DataFrame:
     """As-of lookup inside a group: the nearest earlier (or later) non-null value of each expression.
 
     `inclusive` lets the row itself answer.
     """
     keys, order = list(keys), list(order)
-    cut = slices(df, keys, grid)
+    cut = slices(df, keys, by)
     end = 0 if inclusive else (1 if forward else -1)
     frame = (end, Window.unboundedFollowing) if forward else (Window.unboundedPreceding, end)
     nearest = F.first if forward else F.last
@@ -205,7 +199,7 @@ def last_known(
         *keys, SLICE, *[nearest(f"_s_{n}", ignorenulls=True).over(across).alias(f"_c_{n}") for n in values]
     )
     w = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(*frame)
-    joined = cut.join(carry, [*keys, SLICE])
+    joined = matched(cut, carry, [*keys, SLICE])
     out = joined.withColumns(
         {n: F.coalesce(nearest(c, ignorenulls=True).over(w), F.col(f"_c_{n}")) for n, c in values.items()}
     )
@@ -226,21 +220,20 @@ def attach(df: DataFrame, values: DataFrame, keys: Sequence[str], how: str = "in
     """Join one row of values per group to all rows of the group, over groups of any size.
 
     Oversized groups are dealt out to several parts by the hash of their rows, and their values are copied
-    to each part. Only the oversized keys are broadcast: at most table size / bound of them.
+    to each part. NULL is a key like any other.
     """
     keys = list(keys)
     bound = setting(df.sparkSession, GROUP_ROWS_KEY, GROUP_ROWS_DEFAULT)
     if not largest_group_exceeds(df.select(*keys), keys, bound):
-        return df.join(values, keys, how)
+        return matched(df, values, keys, how)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound)
-    parts = F.broadcast(sizes.select(*keys, F.ceil(F.col("_n") / bound).alias("_parts")))
+    parts = checked_broadcast(cut_lineage(sizes.select(*keys, F.ceil(F.col("_n") / bound).alias("_parts"))))
     rest = [c for c in df.columns if c not in keys] or keys
-    dealt = df.join(parts, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*rest), F.coalesce("_parts", F.lit(1))))
-    copies = values.join(parts, keys, "left").withColumn(
+    dealt = matched(df, parts, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*rest), F.coalesce("_parts", F.lit(1))))
+    copies = matched(values, parts, keys, "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))
     )
-    joined = dealt.drop("_parts").join(copies.drop("_parts"), [*keys, "_part"], how)
-    return joined.drop("_part")
+    return matched(dealt.drop("_parts"), copies.drop("_parts"), [*keys, "_part"], how).drop("_part")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -252,7 +245,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     size = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = running(counts, keys, {"_upto": F.col("_n")}, order=[value], grid=F.floor(F.col(value) * 16))
+    ranked = running(counts, keys, {"_upto": F.col("_n")}, order=[value], by=F.col(value))
     picks, outputs = [], []
     for name, p in probs.items():
         rank = (F.col("_total") - 1) * F.lit(p)

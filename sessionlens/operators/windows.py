@@ -358,26 +358,31 @@ def baseline_drift(
 ) -> DataFrame:
     """Mean of min(1, |z| / 5) over the features against a rolling baseline of the rows before.
 
-    The rolling sums are differences of running sums, so a long window costs no more than a short one.
+    The rolling sums are differences of running sums, so a long window costs no more than a short one; values are
+    centred on the user's mean first, so the sums do not cancel.
     """
-    rows, w = framed(df, GROUP, back=window)
+    means = df.groupBy(*GROUP).agg(*[F.avg(f).alias(f"_m_{f}") for f in features])
+    centred = attach(df, means, GROUP).withColumns({f"_x_{f}": F.col(f) - F.col(f"_m_{f}") for f in features})
+    rows, w = framed(centred.drop(*[f"_m_{f}" for f in features]), GROUP, back=window)
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
     sums, parts, checked = {"_n": F.least(size_of(before(w, window)), F.lit(window))}, [], []
     for f in features:
-        for name, x in ((f"_s_{f}", F.col(f)), (f"_q_{f}", F.col(f) * F.col(f))):
-            sums[name] = F.coalesce(F.sum(x.cast("double")).over(upto), F.lit(0.0))
+        x = F.col(f"_x_{f}").cast("double")
+        for name, v in ((f"_s_{f}", x), (f"_q_{f}", x * x)):
+            sums[name] = F.coalesce(F.sum(v).over(upto), F.lit(0.0))
     out = rows.withColumns(sums)
     rolled = {c: F.col(c) - F.coalesce(F.lag(c, window).over(w), F.lit(0.0)) for c in sums if c != "_n"}
     out = out.withColumns(rolled)
     for f in features:
-        mean = F.col(f"_s_{f}") / F.col("_n")
-        var = F.greatest(F.lit(0.0), F.col(f"_q_{f}") / F.col("_n") - mean * mean)
-        spread = var > 1e-8
-        parts.append(F.when(spread, F.least(F.lit(1.0), F.abs(F.col(f) - mean) / F.sqrt(var) / 5.0)).otherwise(0.0))
+        mean = F.try_divide(f"_s_{f}", "_n")
+        var = F.greatest(F.lit(0.0), F.try_divide(f"_q_{f}", "_n") - mean * mean)
+        spread = F.coalesce(var > 1e-8, F.lit(False))
+        z = F.try_divide(F.abs(F.col(f"_x_{f}") - mean), F.sqrt(var)) / 5.0
+        parts.append(F.when(spread, F.least(F.lit(1.0), z)).otherwise(0.0))
         checked.append(F.when(spread, 1).otherwise(0))
     total, count = sum(parts[1:], parts[0]), sum(checked[1:], checked[0])
-    drift = F.when((F.col("_n") >= cold_start) & (count > 0), total / count)
-    done = settled(out.withColumn("drift", drift)).drop(*sums)
+    drift = F.when(F.col("_n") >= cold_start, F.try_divide(total, count))
+    done = settled(out.withColumn("drift", drift)).drop(*sums, *[f"_x_{f}" for f in features])
     return done.withColumn("drifted", F.coalesce(F.col("drift") > limit, F.lit(False)))
 
 
