@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.functions import patterns as P
-from sessionlens.operators.sequence import framed, last_known, newest, settled
+from sessionlens.operators.sequence import framed, last_known, running, settled
 from sessionlens.session import checked_broadcast, cut_lineage
 
 
@@ -79,17 +79,28 @@ def component_scores(events: DataFrame, scores: dict[str, DataFrame], on: str =
     return joined.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in scores})
 
 
-def recent_history(anomalies: DataFrame, n: int = 10, group: str = "user_id") -> DataFrame:
-    """The newest `n` anomalies of each group as one row."""
-    return (
-        newest(anomalies, [group], n)
-        .groupBy(group)
-        .agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("rn", "event_id"))), lambda r: r["event_id"]).alias("recent"),
-            F.count(F.lit(1)).alias("recent_anomalies"),
-            F.max(F.when(F.col("rn") == 1, F.col("event_type"))).alias("last_type"),
-        )
-    )
+def recent_history(df: DataFrame, anomalous: Column, value: str, n: int = 10, group: str = "user_id") -> DataFrame:
+    """Each row with what was known of its group before it: the last `n` anomalies, newest first, and the usual value.
+
+    Adds `recent` (event ids), `recent_anomalies`, `last_type`, `indicators` (distinct event types among them, sorted) and
+    `usual` (mean of the value over all earlier rows, NULL for the first).
+    """
+    found, w = framed(df.filter(anomalous).select(group, "ts", "event_id", "event_type"), [group], back=n - 1)
+    one = F.struct("event_id", "event_type")
+    lists = settled(found.withColumn("_upto", F.reverse(F.collect_list(one).over(w.rowsBetween(-(n - 1), 0)))))
+    marked = df.join(lists.select("event_id", "_upto"), "event_id", "left")
+    known = last_known(marked, [group], {"_known": F.col("_upto")})
+    totals = running(known, [group], {"_rows": F.lit(1).cast("long"), "_sum": F.col(value)})
+    before = F.coalesce("_known", F.array().cast("array<struct<event_id:bigint,event_type:string>>"))
+    return totals.withColumns(
+        {
+            "recent": F.transform(before, lambda r: r["event_id"]),
+            "recent_anomalies": F.size(before),
+            "last_type": F.get(F.transform(before, lambda r: r["event_type"]), F.lit(0)),
+            "indicators": F.array_sort(F.array_distinct(F.transform(before, lambda r: r["event_type"]))),
+            "usual": F.try_divide(F.col("_sum") - F.col(value), F.col("_rows") - 1),
+        }
+    ).drop("_upto", "_known", "_rows", "_sum")
 
 
 def _table(mapping: dict[str, list[str]]) -> Column:
@@ -154,7 +165,7 @@ def impossible_travel(df: DataFrame, group: str = "user_id", km: float = 1000.0,
 
 
 def range_lookup(df: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: int) -> DataFrame:
-    """Join points to the disjoint ranges that hold them.
+    """Join points to the disjoint ranges that hold them; a point outside all ranges keeps NULLs.
 
     Both sides meet on fixed-width buckets, so the range condition is checked inside an equi-join. A bucket
     may hold many points, but the pairs stay few, since the ranges do not overlap.
@@ -164,7 +175,10 @@ def range_lookup(df: DataFrame, point: str, ranges: DataFrame, low: str, high: s
     )
     points = df.withColumn("_bucket", F.floor(F.col(point) / width))
     held = F.col(point).between(F.col(low), F.col(high))
-    return points.join(checked_broadcast(buckets), "_bucket").filter(held).drop("_bucket")
+    inside = (F.col("_bucket") == F.col("_range_bucket")) & held
+    return points.join(
+        checked_broadcast(buckets.withColumnRenamed("_bucket", "_range_bucket")), inside, "left"
+    ).drop("_bucket", "_range_bucket")
 
 
 def _cells(points: DataFrame, eps: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,12 @@ from sessionlens.operators.sequence import attach, framed, quantiles, settled
 from sessionlens.operators.windows import GROUP, before, last, size_of, slope, span_seconds
 
 
-def adapt_threshold(daily: DataFrame, start: float = 0.7, least: int = 5, margin: float = 0.1, step: float = 0.05) -> DataFrame:
-    """Move a threshold day by day towards the mean of the day's scores.
+def adapt_threshold(daily: DataFrame, keys: Sequence[str], start: float = 0.7, least: int = 5, margin: float = 0.1, step: float = 0.05) -> DataFrame:
+    """Move each key's threshold day by day towards the mean of the day's scores.
 
-    The input has one row per day (day, n, mean), so the array folded here is as long as the calendar.
+    The input has one row per key and day (day, n, mean), so an array folded here is as long as the calendar.
     """
-    days = daily.agg(F.array_sort(F.collect_list(F.struct("day", "n", "mean"))).alias("days"))
+    days = daily.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("day", "n", "mean"))).alias("days"))
 
     def move(state, d):
         thr = state["thr"]
@@ -31,7 +33,7 @@ def adapt_threshold(daily: DataFrame, start: float = 0.7, least: int = 5, margin
         return F.struct(new.alias("thr"), F.concat(state["out"], F.array(row)).alias("out"))
 
     zero = F.struct(F.lit(start).alias("thr"), F.array().cast("array<struct<day:date,threshold:double>>").alias("out"))
-    return days.select(F.inline(F.aggregate("days", zero, move, lambda s: s["out"])))
+    return days.select(*keys, F.inline(F.aggregate("days", zero, move, lambda s: s["out"])))
 
 
 def risk_features(df: DataFrame, score: str = "score") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sessionlens.functions import patterns as P
 from sessionlens.functions.levels import level
 from sessionlens.operators import joins
-from sessionlens.operators.sequence import attach
+
 from sessionlens.plans.catalog import query
 from sessionlens.plans.rows import level_sql
 from sessionlens.plans.tables import ACT, activity, read
@@ -125,22 +125,25 @@ def component_scores(spark, sf):
 
 @query(
     "enrich_history",
-    ACT + """, a AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
-  FROM act WHERE value > 100),
-h AS (SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY rn) AS recent, count(*) AS n, max(CASE WHEN rn = 1 THEN event_type END) AS last_type
-  FROM a WHERE rn <= 10 GROUP BY 1)
+    ACT + """, a AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS j FROM act WHERE value > 100),
+c AS (SELECT user_id, event_id, ts, count(*) FILTER (WHERE value > 100) OVER w AS c, avg(value) OVER w AS usual FROM act
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT c.event_id, string_agg(a.event_id::VARCHAR, ',' ORDER BY a.j DESC) AS recent, count(*) AS n, max(CASE WHEN a.j = c.c THEN a.event_type END) AS last_type,
+  array_to_string(list_sort(list_distinct(list(a.event_type))), ',') AS indicators FROM c JOIN a ON a.user_id = c.user_id AND a.j BETWEEN c.c - 9 AND c.c GROUP BY 1)
 SELECT event_id, user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, coalesce(recent, '') AS recent, coalesce(n, 0) AS recent_anomalies,
-  coalesce(last_type, '') AS last_type FROM act LEFT JOIN h USING (user_id)""",
+  coalesce(last_type, '') AS last_type, coalesce(indicators, '') AS indicators, round(usual, 9) AS usual FROM c LEFT JOIN h USING (event_id)""",
 )
 def enrich_history(spark, sf):
+    """Each event with its user's anomalies before it."""
     rows = activity(spark, sf).select("user_id", "event_id", "ts", "event_type", "value")
-    history = joins.recent_history(rows.filter(F.col("value") > 100).select("user_id", "event_id", "ts", "event_type"))
-    return attach(rows, history, ["user_id"], "left").select(
+    return joins.recent_history(rows, F.col("value") > 100, "value").select(
         "event_id",
         F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")).alias("session_id"),
-        F.coalesce(F.array_join("recent", ","), F.lit("")).alias("recent"),
-        F.coalesce("recent_anomalies", F.lit(0)).alias("recent_anomalies"),
+        F.array_join("recent", ",").alias("recent"),
+        "recent_anomalies",
         F.coalesce("last_type", F.lit("")).alias("last_type"),
+        F.array_join("indicators", ",").alias("indicators"),
+        F.round("usual", 9).alias("usual"),
     )
 
 
@@ -264,7 +267,7 @@ def label_alignment(spark, sf):
     "geo_enrich",
     """WITH r AS (SELECT n_name AS place, n_nationkey::BIGINT * 171798691 AS low, n_nationkey::BIGINT * 171798691 + 171798690 AS high FROM nation),
 e AS (SELECT event_id, (event_id % 4294967296) * 1103515245 % 4294967296 AS ip FROM events)
-SELECT event_id, ip, place FROM e JOIN r ON ip BETWEEN low AND high""",
+SELECT event_id, ip, place FROM e LEFT JOIN r ON ip BETWEEN low AND high""",
 )
 def geo_enrich(spark, sf):
     """Addresses as numbers against a supplied table of address ranges; nothing is looked up on the web."""

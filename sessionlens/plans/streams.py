@@ -12,15 +12,21 @@ from sessionlens.plans.catalog import ORACLES, query
 from sessionlens.plans.joins import KIND_ANOMALIES, SCORE, lists_sql, score
 from sessionlens.plans.rows import level_sql
 from sessionlens.plans.tables import ACT, activity, read, with_roles
+from sessionlens.plans.windows import ALERTS_SQL
 from sessionlens.schema import EVENTS_TABLE
 from sessionlens.session import checked_broadcast, scratch_path
 from sessionlens.streaming import jobs, state
 
-# Bounds the rows of one key that a stateful task sorts at a time.
+# Bounds a micro-batch; results do not depend on it.
 BATCH_BYTES = 2**30
 LAST = "(SELECT max(us) - 600000000 FROM act)"
 
 
+def passed_sql(sql: str, column: str = "event_id") -> str:
+    """The rows of a batch twin that a drained stream has released."""
+    return f"SELECT o.* FROM ({sql}) o JOIN events e USING ({column}) WHERE epoch_us(e.ts) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM events)"
+
+
 def events(spark, sf, **limits):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return with_roles(jobs.event_stream(spark, f"{sf}/events.parquet", **limits))
@@ -91,10 +97,10 @@ def session_windows(spark, sf):
     return jobs.run(jobs.sessions(events(spark, sf), "2 hours"), "sessions")[0]
 
 
-@query("stateful_risk", ORACLES["risk_feedback"])
+@query("stateful_risk", passed_sql(ORACLES["risk_feedback"]))
 def stateful_risk(spark, sf):
     base = F.least(F.col("value") / 100, F.lit(1.0))
-    rows = events(spark, sf, bytes_per_trigger=BATCH_BYTES).select("user_id", "event_id", "us", "kind", base.alias("base"))
+    rows = events(spark, sf, bytes_per_trigger=BATCH_BYTES).select("user_id", "event_id", "ts", "us", "kind", base.alias("base"))
     table, _ = jobs.run(state.stateful_risk(rows, cold_start=20, same_kind=6), "risk")
     return table.select("event_id", r6("risk").alias("risk"))
 
@@ -115,18 +121,21 @@ r AS (SELECT user_id, event_id, rn, [{{'v': v, 'x': x}}] AS s, false AS est, NUL
 SELECT event_id, est AS established, round(drift, 6) AS drift, refreshed FROM r"""
 
 
-@query("stateful_baseline", baseline_sql(40, 0.3))
+@query("stateful_baseline", passed_sql(baseline_sql(40, 0.3)))
 def stateful_baseline(spark, sf):
-    rows = events(spark, sf, bytes_per_trigger=BATCH_BYTES).select("user_id", "event_id", "us", "value", F.col("x").cast("double").alias("x"))
+    rows = events(spark, sf, bytes_per_trigger=BATCH_BYTES).select("user_id", "event_id", "ts", "us", "value", F.col("x").cast("double").alias("x"))
     table, _ = jobs.run(state.stateful_baseline(rows, ["value", "x"], window=40, limit=0.3), "baseline")
     return table.select("event_id", "established", r6("drift").alias("drift"), "refreshed")
 
 
-@query("stream_alert_dedup", ORACLES["alert_suppress"])
+@query(
+    "stream_alert_dedup",
+    ALERTS_SQL + " SELECT event_id, user_id, kind, band, us FROM sent WHERE us <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM a)",
+)
 def stream_alert_dedup(spark, sf):
     found = jobs.alerts(events(spark, sf, bytes_per_trigger=BATCH_BYTES), score(), 0.0).filter("score >= 0.5")
-    rows = found.select("kind", F.floor(F.col("score") * 10).alias("band"), "event_id", "us")
-    return jobs.run(state.suppress_alerts(rows, 14_400_000_000), "dedup")[0].select("event_id", "kind", "band", "us")
+    rows = found.select("user_id", "kind", F.floor(F.col("score") * 10).alias("band"), "event_id", "ts", "us")
+    return jobs.run(state.suppress_alerts(rows, 14_400_000_000), "dedup")[0].select("event_id", "user_id", "kind", "band", "us")
 
 
 @query(
@@ -156,14 +165,14 @@ def late_policy(spark, sf):
     "stream_static_enrich",
     ACT + f""", p AS (SELECT user_id, round(avg(value), 6) AS usual FROM act GROUP BY 1),
 f AS (SELECT event_id, user_id, {level_sql(SCORE, 'threat')} AS level, CASE kind {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in KIND_ANOMALIES.items())} END AS kind FROM act)
-SELECT event_id, level, usual, array_to_string(list_concat({lists_sql(P.LEVEL_RECOMMENDATIONS, 'level')}, {lists_sql(P.TYPE_RECOMMENDATIONS, 'kind')}), ',') AS actions FROM f JOIN p USING (user_id)""",
+SELECT event_id, level, usual, array_to_string(list_concat({lists_sql(P.LEVEL_RECOMMENDATIONS, 'level')}, {lists_sql(P.TYPE_RECOMMENDATIONS, 'kind')}), ',') AS actions FROM f LEFT JOIN p USING (user_id)""",
 )
 def stream_static_enrich(spark, sf):
-    """Each streamed event with its user's profile and the recommended actions."""
+    """Each streamed event with its user's profile, if there is one yet, and the recommended actions."""
     profile = activity(spark, sf).groupBy("user_id").agg(r6(F.avg("value")).alias("usual"))
     table = F.create_map(*[F.lit(v) for pair in KIND_ANOMALIES.items() for v in pair])
     rows = events(spark, sf).select("event_id", "user_id", level(score(), "threat").alias("level"), table[F.col("kind")].alias("kind"))
-    joined = rows.join(checked_broadcast(profile), "user_id").select(
+    joined = rows.join(checked_broadcast(profile), "user_id", "left").select(
         "event_id", "level", "usual", F.array_join(recommended_actions(F.col("level"), F.col("kind")), ",").alias("actions")
     )
     return jobs.run(joined, "enriched")[0]

@@ -343,29 +343,36 @@ def risk_feedback(spark, sf):
     return out.select("event_id", r6("risk").alias("risk"))
 
 
-@query(
-    "alert_suppress",
-    ACT.replace("WITH raw", "WITH RECURSIVE raw") + f""", a AS (SELECT event_id, kind, CAST(floor({SCORE} * 10) AS BIGINT) AS band, us FROM act WHERE {SCORE} >= 0.5), {greedy_sql('a', 'kind, band', 14_400_000_000)}
-SELECT min(a.event_id) AS event_id, kept.kind, kept.band, kept.us FROM kept JOIN a USING (kind, band, us) GROUP BY 2, 3, 4""",
-)
-def alert_suppress(spark, sf):
-    """At most one alert per kind and score band in four hours since the last one sent."""
+ALERTS_SQL = ACT.replace("WITH raw", "WITH RECURSIVE raw") + f""", a AS (SELECT event_id, user_id, kind, CAST(floor({SCORE} * 10) AS BIGINT) AS band, {SCORE} AS score, us
+  FROM act WHERE {SCORE} >= 0.5), {greedy_sql('a', 'user_id, kind, band', 14_400_000_000)},
+sent AS (SELECT min(a.event_id) AS event_id, user_id, kind, band, us FROM kept JOIN a USING (user_id, kind, band, us) GROUP BY 2, 3, 4, 5)"""
+
+
+def sent_alerts(spark, sf):
+    """At most one alert per user, kind and score band in four hours since the last one sent."""
     alerts = act(spark, sf, "kind", F.floor(score() * 10).alias("band"), score().alias("score")).filter("score >= 0.5")
-    return thin(alerts, ["kind", "band"], 14_400_000_000).select("event_id", "kind", "band", "us")
+    return alerts, thin(alerts, ["user_id", "kind", "band"], 14_400_000_000)
+
+
+@query("alert_suppress", ALERTS_SQL + " SELECT event_id, user_id, kind, band, us FROM sent")
+def alert_suppress(spark, sf):
+    return sent_alerts(spark, sf)[1].select("event_id", "user_id", "kind", "band", "us")
 
 
 @query(
     "alert_escalate",
-    ACT + f""", a AS (SELECT event_id, {level_sql(SCORE, 'alert')} AS severity, ts FROM act WHERE {SCORE} >= 0.7),
-n AS (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY ts, event_id) AS n FROM a)
-SELECT event_id, severity, n FROM n WHERE n % CASE severity WHEN 'medium' THEN 5 WHEN 'high' THEN 3 WHEN 'critical' THEN 1 ELSE 10 END = 0""",
+    ALERTS_SQL + f""", s AS (SELECT event_id, a.user_id, {level_sql('a.score', 'alert')} AS severity, a.us FROM sent JOIN a USING (event_id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, severity ORDER BY us, event_id) AS n FROM s)
+SELECT event_id, user_id, severity, n FROM n WHERE n % CASE severity WHEN 'medium' THEN 5 WHEN 'high' THEN 3 WHEN 'critical' THEN 1 ELSE 10 END = 0""",
 )
 def alert_escalate(spark, sf):
-    alerts = act(spark, sf, score().alias("score")).filter("score >= 0.7")
+    """Every n-th alert sent for a user at a severity."""
+    alerts, sent = sent_alerts(spark, sf)
+    graded = alerts.join(sent.select("event_id"), "event_id", "left_semi").withColumn("severity", level(F.col("score"), "alert"))
     table = F.create_map(*[F.lit(v) for pair in ESCALATE_EVERY.items() for v in pair])
-    counted = running_count(alerts.withColumn("severity", level(F.col("score"), "alert")), ["severity"])
+    counted = running_count(graded, ["user_id", "severity"])
     every = F.coalesce(F.try_element_at(table, F.col("severity")), F.lit(ESCALATE_EVERY_OTHER))
-    return counted.filter(F.col("n") % every == 0).select("event_id", "severity", "n")
+    return counted.filter(F.col("n") % every == 0).select("event_id", "user_id", "severity", "n")
 
 
 @query(
@@ -385,18 +392,19 @@ def sustained_alert(spark, sf):
 
 @query(
     "adaptive_threshold",
-    ACT.replace("WITH raw", "WITH RECURSIVE raw") + f""", d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, avg({SCORE}) AS mean FROM act WHERE {SCORE} >= 0.5 GROUP BY 1),
-o AS (SELECT *, row_number() OVER (ORDER BY day) AS i FROM d),
-f AS (SELECT 0::BIGINT AS i, NULL::DATE AS day, 0.6::DOUBLE AS thr UNION ALL SELECT o.i, o.day, CASE WHEN o.n <= 5 THEN thr WHEN o.mean > thr + 0.1 THEN greatest(0.5, thr - 0.05)
-  WHEN o.mean < thr - 0.1 THEN least(0.9, thr + 0.05) ELSE thr END FROM f JOIN o ON o.i = f.i + 1)
-SELECT strftime(day, '%Y-%m-%d') AS day, round(thr, 6) AS threshold FROM f WHERE i > 0""",
+    ACT.replace("WITH raw", "WITH RECURSIVE raw") + f""", d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, avg({SCORE}) AS mean FROM act WHERE {SCORE} >= 0.5 GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM d),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::DATE AS day, 0.6::DOUBLE AS thr FROM d UNION ALL SELECT o.user_id, o.i, o.day,
+  CASE WHEN o.n <= 1 THEN thr WHEN o.mean > thr + 0.1 THEN greatest(0.5, thr - 0.05)
+  WHEN o.mean < thr - 0.1 THEN least(0.9, thr + 0.05) ELSE thr END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, round(thr, 6) AS threshold FROM f WHERE i > 0""",
 )
 def adaptive_threshold(spark, sf):
-    """The threshold after each day: a fold over one row per day."""
-    incidents = activity(spark, sf).filter(score() >= 0.5).select(F.to_date("ts").alias("day"), score().alias("score"))
-    daily = incidents.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"))
-    out = adapt_threshold(daily, start=0.6)
-    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), r6("threshold").alias("threshold"))
+    """Each user's threshold after each of their days: a fold over one row per day."""
+    incidents = activity(spark, sf).filter(score() >= 0.5).select("user_id", F.to_date("ts").alias("day"), score().alias("score"))
+    daily = incidents.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"))
+    out = adapt_threshold(daily, ["user_id"], start=0.6, least=1)
+    return out.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), r6("threshold").alias("threshold"))
 
 
 @query(

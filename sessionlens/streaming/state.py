@@ -1,12 +1,14 @@
-"""Stateful scorers: small per-key state, carried over micro-batches.
+"""Stateful scorers: small per-key state, in event-time order whatever the micro-batches hold.
 
-The rows of a key inside one micro-batch are put in time order first, so their number must be bounded:
-limit the batch at the source (files or bytes per trigger).
+Rows wait in their key's state until the watermark has passed them, and are then taken in the order of (us, event_id), so
+results do not depend on how files arrive or batches are cut. Rows later than the watermark are dropped by Spark. A key
+holds the rows of one watermark delay at most, besides the few numbers of its memory; with a `ttl`, a key without
+events for that long is forgotten.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import exp
 
 import numpy as np
@@ -16,12 +18,58 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sessionlens.operators.thinning import FREE, keep_from
 
+LATENESS = "10 minutes"
+
 # --- fixed values: history lengths and factors of the risk feedback ---
 HISTORY, RECENT_KINDS = 10, 20
 
 
-def ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(["us", "event_id"])
+def in_time_order(
+    stream: DataFrame, keys: list[str], columns: dict[str, str], memory: dict[str, str],
+    step: Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]], result: str,
+    lateness: str = LATENESS, ttl_us: int | None = None,
+) -> DataFrame:
+    """Call `step(rows, memory)` for each key with rows the watermark has passed, sorted; it returns results and new memory.
+
+    `columns` are the types of the columns it reads (with `event_id` and `us`), `memory` those of its state.
+    """
+    held = ["event_id", "us", *(c for c in columns if c not in ("event_id", "us"))]
+    kinds = {"event_id": "long", "us": "long"} | columns
+    names = [f.split(" ")[0] for f in result.split(", ")]
+
+    def take(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs() * 1000
+        stored = state.get if state.exists else None
+        parts = [pd.DataFrame(dict(zip(held, stored[: len(held)], strict=True)), columns=held)] if stored else []
+        parts = [p for p in (*parts, *(b[held] for b in batches)) if len(p)]
+        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=held)
+        kept = stored[len(held): -1] if stored and stored[-1] is not None else None
+        last = stored[-1] if stored else None
+        rows = rows.sort_values(["us", "event_id"])
+        ready = rows["us"].to_numpy(dtype="int64") <= passed
+        out = None
+        if ready.any():
+            due = rows[ready]
+            out, kept = step(due, tuple(kept) if kept is not None else None)
+            last = int(due["us"].iloc[-1])
+        rest = rows[~ready]
+        if not len(rest) and (last is None or (ttl_us is not None and last + ttl_us <= passed)):
+            if state.exists:
+                state.remove()
+        else:
+            empty = [None] * len(memory)
+            lists = [rest[c].tolist() for c in held]
+            state.update((*lists, *(kept if kept is not None else empty), last if kept is not None else None))
+            if len(rest):
+                state.setTimeoutTimestamp(max(int(rest["us"].iloc[0]) // 1000 + 1, passed // 1000 + 1))
+            elif ttl_us is not None:
+                state.setTimeoutTimestamp(max((last + ttl_us) // 1000 + 1, passed // 1000 + 1))
+        if out is not None and len(out):
+            yield out.assign(**dict(zip(keys, key, strict=True)))[names]
+
+    schema = ", ".join([*(f"held_{c} array<{kinds[c]}>" for c in held), *(f"{n} {t}" for n, t in memory.items()), "last long"])
+    return stream.withWatermark("ts", lateness).groupBy(*keys).applyInPandasWithState(
+        take, result, schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def squash(x: float) -> float:
@@ -44,23 +92,24 @@ def feedback_step(base: float, kind: str, finals: list[float], kinds: list[str],
     return final
 
 
-def stateful_risk(stream: DataFrame, cold_start: int = 250, same_kind: int = 15, decay: float = 0.95) -> DataFrame:
-    """Risk with feedback per user, live. Columns: user_id, event_id, us, kind, base."""
+def stateful_risk(
+    stream: DataFrame, cold_start: int = 250, same_kind: int = 15, decay: float = 0.95, lateness: str = LATENESS,
+    ttl_us: int | None = None,
+) -> DataFrame:
+    """Risk with feedback per user, live. Columns: user_id, event_id, ts, us, kind, base."""
 
-    def score(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        finals, kinds, seen = ([], [], 0) if not state.exists else (list(state.get[0]), list(state.get[1]), state.get[2])
-        rows = ordered(batches)
+    def score(rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        finals, kinds, seen = ([], [], 0) if memory is None else (list(memory[0]), list(memory[1]), memory[2])
         risk = []
-        for base, kind in zip(rows["base"], rows["kind"]):
+        for base, kind in zip(rows["base"], rows["kind"], strict=True):
             risk.append(feedback_step(base, kind, finals, kinds, seen, cold_start, same_kind, decay))
             seen += 1
-        state.update((finals, kinds, seen))
-        yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "risk": risk})
+        return pd.DataFrame({"event_id": rows["event_id"], "risk": risk}), (finals, kinds, seen)
 
-    return stream.groupBy("user_id").applyInPandasWithState(
-        score, "user_id long, event_id long, risk double", "finals array<double>, kinds array<string>, seen long",
-        "append", GroupStateTimeout.NoTimeout,
-    )
+    return in_time_order(
+        stream, ["user_id"], {"kind": "string", "base": "double"},
+        {"finals": "array<double>", "kinds": "array<string>", "seen": "long"}, score,
+        "user_id long, event_id long, risk double", lateness, ttl_us)
 
 
 def baseline_steps(points: np.ndarray, samples: list[list[float]], established: bool, window: int, limit: float) -> tuple[list, list, bool]:
@@ -85,43 +134,44 @@ def baseline_steps(points: np.ndarray, samples: list[list[float]], established:
     return out, samples, established
 
 
-def stateful_baseline(stream: DataFrame, features: list[str], window: int = 1000, limit: float = 0.15) -> DataFrame:
-    """Baseline life cycle per user. Columns: user_id, event_id, us and the features."""
+def stateful_baseline(
+    stream: DataFrame, features: list[str], window: int = 1000, limit: float = 0.15, lateness: str = LATENESS,
+    ttl_us: int | None = None,
+) -> DataFrame:
+    """Baseline life cycle per user. Columns: user_id, event_id, ts, us and the features."""
 
-    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flat, established = ([], False) if not state.exists else (list(state.get[0]), state.get[1])
+    def follow(rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        flat, established = ([], False) if memory is None else (list(memory[0]), memory[1])
         samples = [flat[i : i + len(features)] for i in range(0, len(flat), len(features))]
-        rows = ordered(batches)
-        steps, samples, established = baseline_steps(rows[features].to_numpy(dtype=float), samples, established, window, limit)
-        state.update(([x for s in samples for x in s], established))
-        yield pd.DataFrame(
+        points = rows[features].to_numpy(dtype=float)
+        steps, samples, established = baseline_steps(points, samples, established, window, limit)
+        out = pd.DataFrame(
             {
-                "user_id": rows["user_id"], "event_id": rows["event_id"],
-                "established": [s[0] for s in steps], "drift": [s[1] for s in steps], "refreshed": [s[2] for s in steps],
+                "event_id": rows["event_id"], "established": [s[0] for s in steps],
+                "drift": [s[1] for s in steps], "refreshed": [s[2] for s in steps],
             }
         )
+        return out, ([x for s in samples for x in s], established)
 
-    return stream.groupBy("user_id").applyInPandasWithState(
-        follow, "user_id long, event_id long, established boolean, drift double, refreshed boolean",
-        "samples array<double>, established boolean", "append", GroupStateTimeout.NoTimeout,
-    )
+    return in_time_order(
+        stream, ["user_id"], {f: "double" for f in features}, {"samples": "array<double>", "established": "boolean"}, follow,
+        "user_id long, event_id long, established boolean, drift double, refreshed boolean", lateness, ttl_us)
 
 
-def suppress_alerts(stream: DataFrame, gap_us: int) -> DataFrame:
-    """One alert per kind and score band within the gap since the last one sent. Columns: kind, band, event_id, us."""
+def suppress_alerts(stream: DataFrame, gap_us: int, lateness: str = LATENESS) -> DataFrame:
+    """One alert per user, kind and score band within the gap since the last one sent; a key is forgotten after the gap.
 
-    def thin(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        blocked = state.get[0] if state.exists else FREE
-        rows = ordered(batches)
-        times = rows["us"].to_numpy()
+    Columns: user_id, kind, band, event_id, ts, us.
+    """
+
+    def thin(rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        blocked = FREE if memory is None else memory[0]
+        times = rows["us"].to_numpy(dtype="int64")
         kept = keep_from(times, gap_us, blocked)
         if len(kept):
             blocked = int(times[kept[-1]]) + gap_us
-        state.update((blocked,))
-        yield rows.iloc[kept][["kind", "band", "event_id", "us"]]
-
-    return stream.groupBy("kind", "band").applyInPandasWithState(
-        thin, "kind string, band long, event_id long, us long", "blocked long", "append", GroupStateTimeout.NoTimeout
-    )
-
+        return rows.iloc[kept][["event_id", "us"]], (blocked,)
 
+    return in_time_order(
+        stream, ["user_id", "kind", "band"], {}, {"blocked": "long"}, thin,
+        "user_id long, kind string, band long, event_id long, us long", lateness, gap_us)

@@ -12,13 +12,21 @@ from sessionlens.streaming.state import baseline_steps
 from test_sequences import brute_feedback
 
 
-@pytest.fixture(scope="module")
-def arrivals(spark):
-    """The events in five files that arrive in time order."""
+CLOSING = 10**9  # the user of a last event that lets the watermark pass all others
+SPAN = "4000 days"
+
+
+@pytest.fixture(scope="module", params=[1, 4, 16])
+def arrivals(spark, request):
+    """The events shuffled over some files, one micro-batch each, and one event long after."""
     path = scratch_path(spark, "arrivals")
     rows = read(spark, SMALL, "events").cache()
-    for part in range(5):
-        rows.filter(F.floor(F.col("event_id") / 200) == part).coalesce(1).write.mode("append").parquet(path)
+    for part in range(request.param):
+        mine = F.pmod(F.xxhash64("event_id"), F.lit(request.param)) == part
+        rows.filter(mine).coalesce(1).write.mode("append").parquet(path)
+    late = rows.limit(1).withColumns({"user_id": F.lit(CLOSING).cast("long"), "event_id": F.lit(CLOSING).cast("long"),
+                                      "ts": F.expr("ts + INTERVAL 9000 DAYS")})
+    late.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -26,32 +34,46 @@ def stream(spark, path):
     return with_roles(jobs.event_stream(spark, path, files_per_trigger=1))
 
 
-def test_state_is_carried_over_batches(spark, arrivals):
+def events(spark):
+    return with_roles(read(spark, SMALL, "events"))
+
+
+def test_risk_does_not_depend_on_batches(spark, arrivals):
     base = F.least(F.col("value") / 60, F.lit(1.0))
-    rows = stream(spark, arrivals).select("user_id", "event_id", "us", "kind", base.alias("base"))
-    table, progress = jobs.run(state.stateful_risk(rows, cold_start=15, same_kind=6), "risk")
-    assert sum(p["numInputRows"] > 0 for p in progress) == 5
+    columns = ["user_id", "event_id", "ts", "us", "kind", base.alias("base")]
+    table, progress = jobs.run(
+        state.stateful_risk(stream(spark, arrivals).select(*columns), cold_start=15, same_kind=6, lateness=SPAN), "risk")
     got = {r.event_id: r.risk for r in table.collect()}
-    batch = with_roles(read(spark, SMALL, "events")).select("user_id", "event_id", "us", "kind", base.alias("base"))
-    want = brute_feedback(batch.toPandas(), 15, 6)
+    want = brute_feedback(events(spark).select(*columns).drop("ts").toPandas(), 15, 6)
     assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-12 for e in want)
 
 
-def test_alert_suppression_over_batches(spark, arrivals):
+def test_alert_suppression_does_not_depend_on_batches(spark, arrivals):
     band = F.floor(F.least(F.col("value") / 60, F.lit(1.0)) * 10).alias("band")
-    rows = stream(spark, arrivals).select("kind", band, "event_id", "us")
-    got = jobs.run(state.suppress_alerts(rows, 7_200_000_000), "dedup")[0].collect()
-    batch = with_roles(read(spark, SMALL, "events")).select("kind", band, "event_id", "ts", "us")
-    want = thin(batch, ["kind", "band"], 7_200_000_000).collect()
-    key = lambda r: (r.kind, r.band, r.event_id, r.us)
-    assert sorted(map(key, got)) == sorted(map(key, want))
+    columns = ["user_id", "kind", band, "event_id", "ts", "us"]
+    got, progress = jobs.run(
+        state.suppress_alerts(stream(spark, arrivals).select(*columns), 7_200_000_000, lateness=SPAN), "dedup")
+    want = thin(events(spark).select(*columns), ["user_id", "kind", "band"], 7_200_000_000).collect()
+    key = lambda r: (r.user_id, r.kind, r.band, r.event_id, r.us)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want))
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 1  # all keys but the closing one are forgotten
+
+
+def test_one_user_does_not_silence_another(spark):
+    rows = spark.createDataFrame(
+        [(u, "mouse", 9, 10 * u + i, 1000 * i + u) for u in (1, 2) for i in range(3)],
+        "user_id long, kind string, band long, event_id long, us long",
+    ).withColumn("ts", F.timestamp_micros("us"))
+    got = thin(rows, ["user_id", "kind", "band"], 10**9)
+    assert sorted(r.user_id for r in got.collect()) == [1, 2]
 
 
-def test_baseline_over_batches(spark, arrivals):
-    rows = stream(spark, arrivals).select("user_id", "event_id", "us", "value", F.col("x").cast("double").alias("x"))
-    table, _ = jobs.run(state.stateful_baseline(rows, ["value", "x"], window=40, limit=0.3), "baseline")
+def test_baseline_does_not_depend_on_batches(spark, arrivals):
+    columns = ["user_id", "event_id", "ts", "us", "value", F.col("x").cast("double").alias("x")]
+    table, _ = jobs.run(
+        state.stateful_baseline(stream(spark, arrivals).select(*columns), ["value", "x"], 40, 0.3, lateness=SPAN), "baseline")
     got = {r.event_id: (r.established, r.refreshed) for r in table.collect()}
-    pdf = with_roles(read(spark, SMALL, "events")).select("user_id", "event_id", "us", "value", "x").toPandas()
+    pdf = events(spark).select("user_id", "event_id", "us", "value", "x").toPandas()
     for _, part in pdf.sort_values(["us", "event_id"]).groupby("user_id"):
         steps, _, _ = baseline_steps(part[["value", "x"]].to_numpy(dtype=float), [], False, 40, 0.3)
         assert [got[e] for e in part["event_id"]] == [(s[0], s[2]) for s in steps]
