@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from sessionlens.functions import patterns as P
 
 
+# Classes of the patterns (digits, words, white space, word borders) are those of Unicode.
+UNICODE, UNICODE_CASE = "(?U)", "(?iU)"
+BLANK = r"(?U)[\s\x1c-\x1f]"
+
 # What a match of a pattern must hold; testing for it first spares most texts the pattern.
-DIGITS_3 = "[0-9]{3}"
+DIGITS_3 = UNICODE + r"\d{3}"
 MUST_CONTAIN = {P.EMAIL: "@", P.LOG_URL: "://", P.PLAIN_URL: "://", P.WINDOWS_PATH: ":\\", P.CLOCK_TIME: ":"}
 MUST_MATCH = {P.LOG_PHONE: DIGITS_3, P.LOG_CARD: DIGITS_3, P.LOG_SSN: DIGITS_3, P.CARD_GROUPS: DIGITS_3, P.SSN_DASHED: DIGITS_3}
 
@@ -40,7 +44,7 @@ def may_match(text: Column, expression: str) -> Column:
 def found(text: Column, expression: str, ignore_case: bool = False) -> Column:
     if ignore_case and re.fullmatch("[a-z]+", expression):
         return F.lower(text).contains(expression)
-    return may_match(text, expression) & text.rlike(("(?i)" if ignore_case else "") + expression)
+    return may_match(text, expression) & text.rlike((UNICODE_CASE if ignore_case else UNICODE) + expression)
 
 
 def matches_any(text: Column, expressions: Iterable[str]) -> Column:
@@ -78,7 +82,7 @@ def has_credentials(text: Column) -> Column:
 
 
 def has_file_path(text: Column) -> Column:
-    return text.rlike(f"(?:{P.ANY_WINDOWS_PATH})|(?:{P.ANY_UNIX_PATH})")
+    return text.rlike(f"{UNICODE}(?:{P.ANY_WINDOWS_PATH})|(?:{P.ANY_UNIX_PATH})")
 
 
 def has_url(text: Column) -> Column:
@@ -87,12 +91,12 @@ def has_url(text: Column) -> Column:
 
 def content_type(text: Column) -> Column:
     """The first typed pattern group that matches, else the form of the text."""
-    out = F.when(F.coalesce(F.trim(F.regexp_replace(text, r"\s", " ")), F.lit("")) == "", "empty")
+    out = F.when(F.coalesce(F.trim(F.regexp_replace(text, BLANK, " ")), F.lit("")) == "", "empty")
     for name, expressions in P.CONTENT_TYPES.items():
         out = out.when(matches_any(text, expressions), name)
-    words = F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "))
+    words = F.size(F.split(F.trim(F.regexp_replace(text, BLANK + "+", " ")), " "))
     return (
-        out.when(text.rlike(r"^\d+$"), "numeric")
+        out.when(text.rlike(UNICODE + r"\A\d+\z"), "numeric")
         .when(F.regexp_count(text, F.lit("\n")) >= 3, "multiline_text")
         .when(words == 1, "single_word")
         .when(text.rlike("^(http://|https://|ftp://)"), "url")
@@ -121,7 +125,7 @@ def redact_pii(df: DataFrame, column: str, into: str) -> DataFrame:
     """
     out = df.withColumn(into, F.col(column))
     for name, expression in P.REDACTED_PATTERNS.items():
-        hits = F.array_distinct(F.regexp_extract_all(F.col(into), F.lit(expression), F.lit(0)))
+        hits = F.array_distinct(F.regexp_extract_all(F.col(into), F.lit(UNICODE + expression), F.lit(0)))
         tagged = F.when(may_match(F.col(into), expression), F.aggregate(hits, F.col(into), _hash_tag(name)))
         out = out.withColumn(into, tagged.otherwise(F.col(into)))
     return out
@@ -173,9 +177,9 @@ def disclosure(
 def redact_title(title: Column) -> Column:
     out = title
     for expression in P.TITLE_SECRETS:
-        out = F.regexp_replace(out, "(?i)" + expression, "[REDACTED]")
+        out = F.regexp_replace(out, UNICODE_CASE + expression, "[REDACTED]")
     out = F.regexp_replace(out, P.TITLE_PATH, "[FILE_PATH]")
-    return F.regexp_replace(out, P.PLAIN_URL, "[URL]")
+    return F.regexp_replace(out, UNICODE + P.PLAIN_URL, "[URL]")
 
 
 # --- cleaning --------------------------------------------------------------------------------------------
@@ -222,7 +226,7 @@ def content_tags(text: Column) -> Column:
     form = [
         F.when(F.length(text) > 50, "long_content"),
         F.when(shouted, "caps_lock"),
-        F.when(text.rlike(r"\d") & (F.length(text) > 3), "contains_numbers"),
+        F.when(text.rlike(UNICODE + r"\d") & (F.length(text) > 3), "contains_numbers"),
         script,
     ]
     return F.filter(F.array(*kinds, *form), lambda t: t.isNotNull())
@@ -235,8 +239,8 @@ def words(text: Column, min_length: int = 2) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for a blank text."""
-    return F.regexp_count(text, F.lit(r"\S+"))
+    return F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
 
 
 def digit_share(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\d")) / F.greatest(F.length(text), F.lit(1))
+    return F.regexp_count(text, F.lit(UNICODE + r"\d")) / F.greatest(F.length(text), F.lit(1))

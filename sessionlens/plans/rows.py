@@ -18,8 +18,37 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+# The Unicode classes of the patterns, spelled out for the oracle's pattern engine.
+CLASSES = {
+    "d": r"\p{Nd}", "w": r"\p{L}\p{M}\p{N}\p{Pc}",
+    "s": r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}",
+}
+
+
+def uni(pattern: str) -> str:
+    """A pattern with Unicode classes in place of the short ones; word borders stay those of the engine."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            name, i = pattern[i + 1], i + 1
+            body = CLASSES.get(name.lower()) if name != "D" else None
+            if body is None:
+                out.append("\\" + name)
+            elif name.isupper():
+                out.append(f"[^{body}]")
+            else:
+                out.append(body if inside else f"[{body}]")
+        else:
+            if c in "[]":
+                inside = c == "["
+            out.append(c)
+        i += 1
+    return "".join(out)
+
+
 def any_of(column: str, patterns, flag: str = "i") -> str:
-    alternation = "|".join(f"(?:{p})" for p in patterns)
+    alternation = "|".join(f"(?:{uni(p)})" for p in patterns)
     return f"regexp_matches({column}, {quoted(alternation)}, '{flag}')"
 
 
@@ -111,6 +140,22 @@ def keyword_flags(spark, sf):
     return flagged.groupBy("user_id").agg(*[F.count_if(n).alias(n) for n in flags])
 
 
+CONTENT_WORDS = {n: ws for n, (column, ws) in P.KEYWORD_INDICATORS.items() if column == "content"}
+
+
+@query(
+    "keyword_flags_text",
+    "SELECT source, " + ", ".join(f"count(*) FILTER (WHERE {contains_sql('text', ws)}) AS {n}" for n, ws in CONTENT_WORDS.items())
+    + " FROM documents GROUP BY source",
+)
+def keyword_flags_text(spark, sf):
+    """The content indicators over whole documents, counted per source."""
+    flags = text.keyword_flags(CONTENT_WORDS)
+    rows = texts(spark, sf).select("source", F.col("text").alias("content"))
+    flagged = rows.select("source", *[c.alias(n) for n, c in flags.items()])
+    return flagged.groupBy("source").agg(*[F.count_if(n).alias(n) for n in flags])
+
+
 _CLIP = any_of("text", [e for t in P.SENSITIVE_TYPES for e in P.CONTENT_TYPES[t]])
 _MARK = "(" + " OR ".join(f"contains(text, {quoted(m)})" for m in P.KEY_MARKERS) + ")"
 
@@ -118,8 +163,8 @@ _MARK = "(" + " OR ".join(f"contains(text, {quoted(m)})" for m in P.KEY_MARKERS)
 @query(
     "sensitive_flags",
     f"""SELECT doc_id, {_CLIP} OR {_MARK} AS clipboard_sensitive,
-  {contains_sql('text', P.TYPED_SENSITIVE)} OR regexp_matches(text, {quoted(P.CARD_GROUPS)})
-    OR regexp_matches(text, {quoted(P.SSN_DASHED)}) AS typed_sensitive,
+  {contains_sql('text', P.TYPED_SENSITIVE)} OR regexp_matches(text, {quoted(uni(P.CARD_GROUPS))})
+    OR regexp_matches(text, {quoted(uni(P.SSN_DASHED))}) AS typed_sensitive,
   {any_of('text', [P.SSN_DASHED, P.CARD_GROUPS, P.PASSWORD_PAIR, P.API_KEY_PAIR, P.EMAIL])} AS sensitive_data,
   {contains_sql('text', P.CREDENTIAL_WORDS)} AS has_credentials,
   {any_of('text', [P.ANY_WINDOWS_PATH, P.ANY_UNIX_PATH], 'c')} AS has_file_path,
@@ -144,7 +189,7 @@ SSN_LOOSE = r"\b\d{3}[-.]?\d{2}[-.]?\d{4}\b"
 def ssn_matches(column: str) -> str:
     """SSN matches without look-ahead, which the oracle's pattern engine lacks."""
     digits = "regexp_replace(m, '[-.]', '', 'g')"
-    return f"""list_filter(regexp_extract_all({column}, {quoted(SSN_LOOSE)}), lambda m:
+    return f"""list_filter(regexp_extract_all({column}, {quoted(uni(SSN_LOOSE))}), lambda m:
       substr({digits}, 1, 3) NOT IN ('000', '666') AND substr({digits}, 1, 1) <> '9'
       AND substr({digits}, 4, 2) <> '00' AND substr({digits}, 6, 4) <> '0000')"""
 
@@ -153,7 +198,7 @@ def _redact_sql() -> str:
     steps, source = [], "documents"
     for i, (name, pattern) in enumerate(P.REDACTED_PATTERNS.items()):
         column = "text" if i == 0 else "t"
-        found = ssn_matches(column) if name == "SSN" else f"regexp_extract_all({column}, {quoted(pattern)})"
+        found = ssn_matches(column) if name == "SSN" else f"regexp_extract_all({column}, {quoted(uni(pattern))})"
         fold = (
             f"list_reduce(list_prepend({column}, {found}), "
             f"lambda acc, m: replace(acc, m, '[{name}_' || substr(sha256(m), 1, 8) || ']'))"
@@ -186,10 +231,10 @@ def sanitize_text(spark, sf):
 
 
 def type_sql(column: str) -> str:
-    blank = f"trim(regexp_replace(coalesce({column}, ''), '\\s', ' ', 'g')) = ''"
+    blank = f"trim(regexp_replace(coalesce({column}, ''), '[{CLASSES['s']}]', ' ', 'g')) = ''"
     groups = " ".join(f"WHEN {any_of(column, ps)} THEN '{n}'" for n, ps in P.CONTENT_TYPES.items())
-    word = f"len(string_split(trim(regexp_replace({column}, '\\s+', ' ', 'g')), ' ')) = 1"
-    return f"""CASE WHEN {blank} THEN 'empty' {groups} WHEN regexp_full_match({column}, '\\d+') THEN 'numeric'
+    word = f"len(string_split(trim(regexp_replace({column}, '[{CLASSES['s']}]+', ' ', 'g')), ' ')) = 1"
+    return f"""CASE WHEN {blank} THEN 'empty' {groups} WHEN regexp_full_match({column}, '\\p{{Nd}}+') THEN 'numeric'
       WHEN length({column}) - length(replace({column}, chr(10), '')) >= 3 THEN 'multiline_text'
       WHEN {word} THEN 'single_word' WHEN regexp_matches({column}, '^(http://|https://|ftp://)') THEN 'url'
       WHEN regexp_matches({column}, '^(/|C:\\\\|D:\\\\)') THEN 'file_path' ELSE 'text' END"""
@@ -227,9 +272,9 @@ def content_disclosure(spark, sf):
 def _title_sql() -> str:
     out = "text"
     for p in P.TITLE_SECRETS:
-        out = f"regexp_replace({out}, {quoted(p)}, '[REDACTED]', 'gi')"
+        out = f"regexp_replace({out}, {quoted(uni(p))}, '[REDACTED]', 'gi')"
     out = f"regexp_replace({out}, {quoted(P.TITLE_PATH)}, '[FILE_PATH]', 'g')"
-    return f"regexp_replace({out}, {quoted(P.PLAIN_URL)}, '[URL]', 'g')"
+    return f"regexp_replace({out}, {quoted(uni(P.PLAIN_URL))}, '[URL]', 'g')"
 
 
 @query("redact_title", f"SELECT doc_id, md5({_title_sql()}) AS title_md5, length({_title_sql()}) AS title_length FROM documents")
@@ -284,13 +329,13 @@ def key_symbols(spark, sf):
 def tags_sql(column: str = "text") -> str:
     found = [
         f"CASE WHEN len({ssn_matches(column)}) > 0 THEN 'ssn' END" if n == "ssn"
-        else f"CASE WHEN regexp_matches({column}, {quoted(p)}) THEN '{n}' END"
+        else f"CASE WHEN regexp_matches({column}, {quoted(uni(p))}) THEN '{n}' END"
         for n, p in P.TAG_PATTERNS.items()
     ]
     form = [
         f"CASE WHEN length({column}) > 50 THEN 'long_content' END",
         f"CASE WHEN upper({column}) = {column} AND lower({column}) <> {column} AND length({column}) > 5 THEN 'caps_lock' END",
-        f"CASE WHEN regexp_matches({column}, '\\d') AND length({column}) > 3 THEN 'contains_numbers' END",
+        f"CASE WHEN regexp_matches({column}, '\\p{{Nd}}') AND length({column}) > 3 THEN 'contains_numbers' END",
         f"CASE WHEN regexp_matches({column}, '[а-яёА-ЯЁ]') THEN 'cyrillic' WHEN regexp_matches({column}, '[一-龯]') THEN 'chinese'"
         f" WHEN regexp_matches({column}, '[ひらがなカタカナ]') THEN 'japanese' END",
     ]
