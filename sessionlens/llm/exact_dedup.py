@@ -54,7 +54,7 @@ def split_round(spark: SparkSession, rows: DataFrame, width: int) -> tuple[str,
     same = (F.col("_group") == F.col("_g")) & (F.col("_head") == F.col("_hd")) & (F.col("_ends") == F.col("_e"))
     state = F.when(F.col("_next").isNull(), "alone").when(F.col("_ends"), "equal").otherwise("open")
     (
-        rows.join(shared, same, "left")
+        rows.join(shared.hint("merge"), same, "left")  # the same plan at every size
         .withColumn("_state", state)
         .withColumn("_group", F.col("_next"))
         .withColumn("_rest", F.when(F.col("_state") == "open", F.expr(f"substring(_rest, {width + 1})")))
