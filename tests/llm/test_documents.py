@@ -1,0 +1,420 @@
+"""The other operators on odd documents, and against brute force."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from odd_documents import SMALL, clashing, nothing, odd  # noqa: F401
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sessionlens.llm import (
+    catalog, exact_dedup, language_id, line_dedup, ngram_join, packing, quality_rules, secret_scan, sharding, shingles,
+)
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DICTIONARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def plain(rows):
+    return sorted(tuple(map(str, r)) for r in rows)
+
+
+# --- oracles -------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op6_exact_dedup"])
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    cur = con.execute(catalog.ORACLES[name])
+    columns = [d[0] for d in cur.description]
+    assert plain(catalog.QUERIES[name](spark, SMALL).select(*columns).collect()) == plain(cur.fetchall())
+
+
+# --- language identification ---------------------------------------------------------------------------
+
+
+def brute_phrases(text, sample):
+    """Greedy phrases of a text against a sample, segment by segment."""
+    n = 0
+    text = language_id.letters(text)
+    for at in range(0, len(text), language_id.SEGMENT):
+        part, i = text[at: at + language_id.SEGMENT], 0
+        while i < len(part):
+            j = i + 1
+            while j <= len(part) and part[i:j] in sample:
+                j += 1
+            i = max(i + 1, j - 1)
+            n += 1
+    return n
+
+
+def test_phrases_are_longest_matches():
+    r = np.random.default_rng(4)
+    make = lambda n, letters: "".join(r.choice(list(letters), n))
+    samples = {"a": make(900, "abc de"), "b": make(700, "cde fg")}
+    model = language_id.Model(samples)
+    texts = [make(n, "abcdefgh ,.1") for n in (1, 5, 80, 3000, 5000)] + ["", "...", " a ", "zz"]
+    got, lens = model.phrases(texts)
+    for k, name in enumerate(model.languages):
+        sample = language_id.letters(samples[name])
+        assert [int(x) for x in got[:, k]] == [brute_phrases(t, sample) for t in texts]
+    assert lens.tolist() == [len(language_id.letters(t)) for t in texts]
+
+
+def test_held_out_languages(spark):
+    sf = SMALL.replace("0.001", "0.01")
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = language_id.op1_language_id(spark, sf).collect()
+    assert len(rows) == len(lang)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held) > 100
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_of_odd_documents(odd, clashing, nothing):
+    model = language_id.fitted(odd)
+    for df in (odd, clashing):
+        rows = language_id.predict_language(df, model, keep_text=True).collect()
+        assert len(rows) == odd.count()
+        for r in rows:
+            assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+    assert language_id.predict_language(nothing, language_id.fitted(nothing)).isEmpty()
+    assert {r.lang_pred for r in language_id.predict_language(odd, language_id.fitted(nothing)).collect()} == {"und"}
+
+
+# --- sharding ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("shards", [1, 7, 40])
+def test_shards_differ_by_one_row(odd, clashing, nothing, shards):
+    for df in (odd, clashing):
+        rows = sharding.ring_shards(df, "doc_id", shards, fallback=["text"]).collect()
+        slots = collections.defaultdict(list)
+        for r in rows:
+            slots[r.shard].append(r.slot)
+        sizes = [len(slots[s]) for s in range(shards)]
+        assert sum(sizes) == odd.count() and max(sizes) - min(sizes) <= 1
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert sharding.ring_shards(nothing, "doc_id", shards).isEmpty()
+
+
+def test_one_more_shard_moves_few_rows(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    a = {r.doc_id: r.shard for r in sharding.ring_shards(df, "doc_id", 10).collect()}
+    b = {r.doc_id: r.shard for r in sharding.ring_shards(df, "doc_id", 11).collect()}
+    moved = sum(a[k] != b[k] for k in a) / len(a)
+    assert 1 / 11 <= moved < 0.45  # dealing by a modulus moves 10 / 11
+    sizes = collections.Counter(a.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_sharding_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for r in sharding.op2_sharding(spark, SMALL).collect():
+        raw = docs[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+
+
+# --- line deduplication --------------------------------------------------------------------------------
+
+
+def brute_lines(rows, least):
+    """Texts after removal, from (doc_id, text, source) rows of distinct (doc_id, text)."""
+    sites, first = collections.defaultdict(set), {}
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest()))
+    for _, text, site in rows:
+        for line in (text or "").split("\n"):
+            sites[line.strip(" \t\x0b\x0c\r")].add(site or "")
+    out = {}
+    for doc_id, text, _ in order:
+        stay = []
+        for k, line in enumerate((text or "").split("\n")):
+            body = line.strip(" \t\x0b\x0c\r")
+            if not body or len(sites[body]) < least or first.setdefault(body, (doc_id, text, k)) == (doc_id, text, k):
+                stay.append(line)
+        out[doc_id, text] = "\n".join(stay)
+    return out
+
+
+def test_lines_of_odd_documents(odd, clashing, nothing):
+    want = brute_lines([(r.doc_id, r.text, r.source) for r in odd.collect() if r.doc_id is not None], 10)
+    keyed = odd.withColumn("doc_id", F.col("doc_id")).filter("doc_id IS NOT NULL")
+    for df in (keyed, clashing.filter("doc_id IS NOT NULL")):
+        rows = line_dedup.line_dedup(df.withColumn("before", F.col("text"))).collect()
+        assert len(rows) == keyed.count()
+        for r in rows:
+            assert (r.text or "") == want[r.doc_id, r.before] and (r.text is None) == (r.before is None)
+        assert sum(r.n_removed for r in rows) == 13
+    assert line_dedup.line_dedup(odd).count() == odd.count() and line_dedup.line_dedup(nothing).isEmpty()
+
+
+def test_near_threshold_lines_are_counted_exactly(spark):
+    rows = [(100 * n + s, f"line {n}", f"site{s}") for n in range(1, 31) for s in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_dedup.line_dedup(df, min_sites=17).filter("n_removed > 0").select("doc_id").collect()
+    assert {r.doc_id // 100 for r in got} == set(range(17, 31))
+
+
+# --- exact deduplication -------------------------------------------------------------------------------
+
+
+def brute_copies(rows):
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r.text or "")].append(r)
+    out = []
+    for body, members in groups.items():
+        best = min(members, key=lambda r: (-len(r.text or ""), r.doc_id is None, r.doc_id or 0))
+        sha = hashlib.sha256(body.encode()).hexdigest()
+        out += [(str(r.doc_id), str(best.doc_id), str(len(members)), sha) for r in members]
+    return sorted(out), len(groups)
+
+
+def test_copies_of_odd_documents(spark, odd, clashing, nothing):
+    tail = "y" * 100_000  # equal for several rounds, then not
+    more = spark.createDataFrame(
+        [(200 + i, tail + str(i % 2), "xx", "a", 1) for i in range(4)] + [(300, tail[:64], "xx", "a", 1), (301, tail[:64], "xx", "a", 1)],
+        odd.schema)
+    for df in (odd.unionByName(more), clashing.unionByName(more, allowMissingColumns=True)):
+        rows = exact_dedup.exact_dedup(df).collect()
+        want, groups = brute_copies(df.collect())
+        assert sorted((str(r.doc_id), str(r.keep_id), str(r.group_size), r.text_sha256) for r in rows) == want
+        assert sum(r.kept for r in rows) == groups
+    assert exact_dedup.exact_dedup(nothing).isEmpty()
+
+
+# --- n-gram join ---------------------------------------------------------------------------------------
+
+
+def brute_join(rows, similarity=0.8):
+    """(group's smallest doc_id, links) per doc_id, from (doc_id, text) rows."""
+    sets, first = {}, {}
+    for doc_id, text in sorted(rows):
+        w = tuple(WORD.findall(text or ""))
+        first.setdefault(w, doc_id)
+        sets[w] = {w[i: i + 5] for i in range(max(1, len(w) - 4))} if w else set()
+    names, parent = list(sets), {w: w for w in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = collections.Counter()
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            both = len(sets[a] & sets[b])
+            if both and both >= similarity * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
+                parent[root(a)] = root(b)
+    low = {}
+    for w in names:
+        low[root(w)] = min(low.get(root(w), first[w]), first[w])
+    out = {}
+    for doc_id, text in rows:
+        w = tuple(WORD.findall(text or ""))
+        out[doc_id] = (low[root(w)], links[w])
+    return out
+
+
+def near_family(n, seed=2):
+    """Texts that differ from one text in a few words each, some of them near each other."""
+    r = np.random.default_rng(seed)
+    base = [f"w{i}" for i in r.integers(0, 5000, 150)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(int(r.integers(0, 5))):
+            w[int(r.integers(0, len(w)))] = f"c{r.integers(0, 9)}"
+        out.append((1000 + k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [1000, 8])
+def test_links_of_a_dense_family(spark, monkeypatch, bucket):
+    """With a small bucket the family is split, and compared in blocks; no link may get lost or count twice."""
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+    rows = near_family(60) + [(i, f"common start of all these texts number {i} " + " ".join(f"u{i}x{j}" for j in range(20)))
+                              for i in range(40)]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_join(rows)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == want
+    assert sum(r.kept for r in got) == len({c for c, _ in want.values()}) < 60
+
+
+def test_groups_of_odd_documents(odd, clashing, nothing):
+    for df in (odd, clashing):
+        rows = ngram_join.ngram_join(df).collect()
+        want = brute_join([(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None])
+        assert {r.doc_id: (r.class_id, r.n_links) for r in rows if r.doc_id is not None} == want
+        assert len(rows) == odd.count() and sum(r.kept for r in rows) == len({c for c, _ in want.values()}) + 1
+    assert ngram_join.ngram_join(nothing).isEmpty()
+
+
+def test_join_query(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.op4_ngram_jaccard(spark, SMALL).collect()} == brute_join(docs)
+
+
+def test_components_of_long_chains(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100 + (7 * i) % 31, 100 + (7 * i + 7) % 31) for i in range(31)] + [(500, 501)]
+    got = {r.node: r.root for r in ngram_join.components(spark.createDataFrame(edges, "node long, label long")).collect()}
+    want = {i: 0 for i in range(61)} | {100 + i: 100 for i in range(31)} | {500: 500, 501: 500}
+    assert got == want
+
+
+def test_signatures_estimate_similarity():
+    texts = [t for _, t in near_family(30)]
+    hashes, counts = shingles.Words(texts).shingles()
+    signature, items = shingles.signatures(hashes, counts), shingles.sets(texts)
+    error = [abs((signature[i] == signature[j]).mean() - len(np.intersect1d(items[i], items[j])) / len(np.union1d(items[i], items[j])))
+             for i in range(30) for j in range(i)]
+    assert np.mean(error) < 0.06
+    assert ngram_join.runs(0.999, 0.8) == 7
+
+
+# --- quality rules -------------------------------------------------------------------------------------
+
+
+def brute_counts(text):
+    text = text or ""
+    w = WORD.findall(text)
+    count = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    held = {j for i in range(len(w) - 2) if count[w[i], w[i + 1], w[i + 2]] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return (len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(held))
+
+
+def test_counts_of_odd_documents(odd, clashing, nothing):
+    for df in (odd, clashing):
+        rows = quality_rules.quality(df.withColumn("before", F.col("text"))).collect()
+        assert len(rows) == odd.count()
+        for r in rows:
+            n, chars, symbols, copied, repeats = brute_counts(r.before)
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, copied, repeats)
+            assert r.base_failed == (n < 50 or 100 * repeats > 50 * n) and not (r.kept and r.base_failed)
+    assert quality_rules.quality(nothing).isEmpty()
+
+
+def test_windows_that_share_a_hash(spark, monkeypatch):
+    """With all hashes equal, the words themselves must decide."""
+    monkeypatch.setattr(quality_rules.F, "hash", lambda *a: F.lit(7))
+    texts = ["a b c a b c d", "a b c x a b d x a b c", "a a a a", "a b c d e f", "x y z q x y z q x y z"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select("text", quality_rules.repeat_words(F.split("text", " ")).alias("n")).collect()
+    assert {r.text: r.n for r in got} == {t: brute_counts(t)[4] for t in texts}
+
+
+def test_label_model_finds_the_bad(spark):
+    """Planted classes: bad documents fail two rules that good ones hardly ever fail; others vote at random."""
+    r = np.random.default_rng(0)
+    patterns = collections.Counter()
+    for _ in range(4000):
+        bad = r.random() < 0.1
+        v = [(-1 if r.random() < (0.8 if bad else 0.02) else 1) for _ in range(2)]
+        v += [int(r.choice([-1, 0, 1], p=[0.02, 0.3, 0.68])) for _ in range(2)]
+        patterns[(*v, bad)] += 1
+    votes = collections.Counter()
+    for p, n in patterns.items():
+        votes[p[:-1]] += n
+    model = quality_rules.LabelModel(["a", "b", "c", "d"], dict(votes))
+    right = sum(n for p, n in patterns.items() if (model.posterior(p[:-1]) < 0.5) == p[-1])
+    assert right / 4000 > 0.95
+    assert quality_rules.LabelModel(["a"], {}).posterior((1,)) > 0.5
+
+
+def test_quality_against_labels(spark):
+    sf = SMALL.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality_rules.op7_quality_rules(spark, sf).join(labels, "doc_id").filter("NOT base_failed").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.05
+
+
+# --- secret scans --------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def forest():
+    return secret_scan.trained(secret_scan.made_findings(), DICTIONARY)
+
+
+def test_forest_on_findings_it_has_not_seen(forest):
+    held = secret_scan.made_findings(seed=99)
+    x = np.array([secret_scan.features(*f[:4], DICTIONARY) for f in held])
+    y = np.array([f[4] for f in held])
+    assert ((forest.probability(x) >= 0.5) == y).mean() > 0.97
+
+
+def test_secrets_are_marked_and_false_positives_stay(spark, forest):
+    secret, uuid = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "123e4567-e89b-12d3-a456-426614174000"
+    text = f'x token = "{secret}" y http://site/items/{uuid} z {secret[:16]}'
+    df = spark.createDataFrame([(1, text, "a"), (2, None, None)], "doc_id long, text string, source string")
+    out = {r.doc_id: r.text for r in secret_scan.scan_secrets(df, forest, DICTIONARY, redact=True).collect()}
+    assert secret not in out[1] and secret_scan.MARK in out[1] and uuid in out[1] and out[2] is None
+    found = secret_scan.scan_secrets(df, forest, DICTIONARY).filter("doc_id = 1").first().findings
+    assert [(f.start, f.end) for f in found if f.is_secret] == [(text.index(secret), text.index(secret) + 40)]
+
+
+def test_secrets_of_odd_documents(odd, clashing, nothing):
+    model = secret_scan.fitted(odd, DICTIONARY)
+    for df in (odd, clashing):
+        rows = secret_scan.scan_secrets(df, model, DICTIONARY).collect()
+        assert len(rows) == odd.count() and {r.doc_id for r in rows if any(f.is_secret for f in r.findings)} == {11}
+        assert secret_scan.scan_secrets(df, model, DICTIONARY, redact=True).columns == df.columns
+    assert secret_scan.scan_secrets(nothing, secret_scan.fitted(nothing, DICTIONARY), DICTIONARY).isEmpty()
+
+
+def test_secret_query_finds_all_planted(spark):
+    sf = SMALL.replace("0.001", "0.01")
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = secret_scan.op9_secret_scans(spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        planted = re.findall(r'(?i)token = "([0-9a-f]{40})"', docs[r.doc_id])
+        assert r.n_secrets >= len(planted)
+        assert sum(f.is_secret for f in r.findings if docs[r.doc_id][f.start:f.end].isdigit()) == 0
+
+
+# --- pipeline ------------------------------------------------------------------------------------------
+
+
+def test_pipeline_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["language_id", "line_dedup", "ngram_jaccard", "secret_scan", "best_fit_packing"]
+    first = stages["language_id"](spark, docs, SMALL).cache()
+    assert first.columns == columns and first.count() == docs.filter(F.col("text").rlike(r"\p{L}")).count()
+    second = stages["line_dedup"](spark, first, SMALL).cache()
+    rows = first.collect()
+    want = brute_lines([(r.doc_id, r.text, r.source) for r in rows], line_dedup.MIN_SITES)
+    whole = {k: v for k, v in want.items() if v.strip() or not (k[1] or "").strip()}
+    assert sorted((r.doc_id, r.text) for r in second.collect()) == sorted((k[0], v) for k, v in whole.items())
+    third = stages["ngram_jaccard"](spark, second, SMALL).cache()
+    joined = brute_join([(r.doc_id, r.text) for r in second.collect()])
+    assert sorted(r.doc_id for r in third.collect()) == sorted({c for c, _ in joined.values()})
+    fourth = stages["secret_scan"](spark, third, SMALL).cache()
+    assert fourth.columns == columns and fourth.count() == third.count()
+    assert fourth.filter(F.col("text").rlike('(?i)token = "[0-9a-f]{40}"')).isEmpty()
+    assert fourth.filter("n_chars != length(text)").isEmpty()
+    packed = stages["best_fit_packing"](spark, fourth, SMALL)
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in fourth.collect()}
+    assert plain(corpus_pipeline.run(spark, SMALL).select("doc_id", "piece", "length").collect()) == plain(
+        packed.select("doc_id", "piece", "length").collect())
+
+
+def test_stages_on_odd_documents(spark, odd, nothing):
+    for docs in (odd, nothing):
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SMALL)
+        rows = docs.collect()
+        assert len({r.sequence_id for r in rows}) >= packing.lower_bound(np.array([r.length for r in rows], int), 2048)
