@@ -84,7 +84,8 @@ class Model:
     """The automata of all languages in one table of signed states; a negative entry means that a phrase ended there.
 
     Entry of state s and code c: the state after c if s has a transition; else minus the state that a new phrase begins
-    with (the root's transition, or the root for a letter that the sample lacks). States count from 1.
+    with: the root's transition, or for a letter that the sample lacks a state in which every phrase has ended. States
+    count from 1.
     """
 
     def __init__(self, samples: dict[str, str]):
@@ -98,11 +99,14 @@ class Model:
             text = letters(samples[x])
             table = Automaton([self.code.get(c, OTHER) for c in text], self.size).table
             table[:, OTHER] = -1  # letters outside the alphabet are never matched
-            root = np.where(table[0] >= 0, table[0], 0) + base
-            tables.append(np.where(table >= 0, table + base, -root))
+            lone = base + len(table)
+            begun = np.where(table[0] >= 0, table[0] + base, lone)
+            signed = np.where(table >= 0, table + base, -begun)
+            signed[0] = begun  # at the start of a text there is no phrase to end
+            tables += [signed, -begun[None, :]]
             self.roots.append(base)
             self.weights.append(np.log2(max(2, len(text))))
-            base += len(table)
+            base = lone + 1
         pad = np.zeros((1, self.size), np.int32)
         self.table = np.concatenate([pad, *tables]).astype(np.int32) if tables else pad
         wide = np.full(0x250, GAP, np.int8)
