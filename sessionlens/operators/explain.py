@@ -62,15 +62,16 @@ def shapley(
 
     For each row and random feature order, features are switched one by one from a background row's values
     to the row's own; each step's change of the score goes to its feature. All steps are rows of one table
-    that the model scores in one pass.
+    that the model scores in one pass. Of the background, the `permutations` rows with the lowest hashes are used.
     """
     size = len(columns)
     rng = np.random.default_rng(SEED)
     orders = [rng.permutation(size).tolist() for _ in range(permutations)]
     steps = F.explode(F.sequence(F.lit(0), F.lit(size))).alias("_step")
     table = F.array(*[F.array(*[F.lit(o.index(c)) for c in range(size)]) for o in orders])  # place of each feature
-    reference = background.select(F.struct(*[F.col(c).alias(c) for c in columns]).alias("_ref"))
-    pool = reference.limit(permutations).agg(F.collect_list("_ref")).scalar()
+    reference = background.orderBy(F.xxhash64(F.lit(SEED), id_column)).limit(permutations).select(
+        F.struct(*[F.col(c).alias(c) for c in columns]).alias("_ref"))
+    pool = reference.agg(F.collect_list("_ref")).scalar()
     spread = (
         rows.select(id_column, *columns)
         .withColumn("_pool", pool)

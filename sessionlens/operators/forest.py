@@ -48,16 +48,25 @@ def grow(points: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple
 
 
 def sample_for_trees(df: DataFrame, id_column: str, trees: int, sample_size: int, seed: int) -> DataFrame:
-    """Rows with the tree they help to grow, about `sample_size` per tree, chosen by hash."""
-    n = df.count()
+    """Rows with the tree they help to grow, about `sample_size` per tree.
+
+    One rule at every size: a hash of the row gives the number of its draws (Poisson with mean trees x sample_size / rows),
+    and each draw picks a tree by another hash. A row helps the same tree once.
+    """
+    mean = trees * sample_size / max(df.count(), 1)
+    term = total = math.exp(-min(mean, 600.0))
+    steps = []  # the share of rows with at most 0, 1, 2, ... draws
+    while total < 1 - 1e-9 and len(steps) < 10 * trees:
+        steps.append(total)
+        term *= mean / len(steps)
+        total += term
     whole = 2**31
-    if n > trees * sample_size:
-        draw = F.pmod(F.xxhash64(F.lit(seed), id_column), F.lit(whole))
-        taken = df.filter(draw < int(whole * trees * sample_size / n))
-        return taken.withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), id_column), F.lit(trees)).cast("int"))
-    share = min(1.0, sample_size / max(n, 1))
-    spread = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    return spread.filter(F.pmod(F.xxhash64(F.lit(seed), id_column, "tree"), F.lit(whole)) < int(whole * share))
+    u = F.pmod(F.xxhash64(F.lit(seed), id_column), F.lit(whole)) / F.lit(whole)
+    draws = F.size(F.filter(F.array(*[F.lit(x) for x in steps]), lambda x: x <= F.col("_u")))
+    pick = F.transform(
+        F.sequence(F.lit(1), F.col("_draws")), lambda k: F.pmod(F.xxhash64(F.lit(seed + 1), id_column, k), F.lit(trees)).cast("int"))
+    drawn = df.withColumn("_u", u).withColumn("_draws", draws).filter("_draws > 0")
+    return drawn.withColumn("tree", F.explode(F.array_distinct(pick))).drop("_u", "_draws")
 
 
 def fit(df: DataFrame, id_column: str, features: str, trees: int = 100, sample_size: int = 256, seed: int = 42) -> DataFrame:

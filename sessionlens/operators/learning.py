@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (
     IDF,
     PCA,
@@ -27,7 +27,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlens.functions.levels import array_sum
@@ -147,27 +147,34 @@ def probability_of_one(column: str = "probability") -> Column:
     return vector_to_array(column)[1]
 
 
-def supervised(df: DataFrame, trees: int = 50) -> DataFrame:
-    """Random forest on balanced weights; `p` is the probability of an anomaly."""
-    model = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, seed=SEED).fit(balanced(df))
+def supervised(df: DataFrame, trees: int = 100, train: DataFrame | None = None) -> DataFrame:
+    """Random forest on balanced weights; `p` is the probability of an anomaly. Give `train` to score other rows than it learns."""
+    rows = balanced(df if train is None else train)
+    model = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, seed=SEED).fit(rows)
     return model.transform(df).withColumn("p", probability_of_one())
 
 
-def with_noise_positives(df: DataFrame, columns: Sequence[str], least: int = 5, copies: int = 20, seed: int = SEED) -> DataFrame:
-    """Where positives are rarer than `least`, add noisy copies of rows as positives."""
+def with_noise_positives(
+    df: DataFrame, columns: Sequence[str], least: int = 5, most: int = 10, part: int = 10, deviation: float = 0.5, seed: int = SEED
+) -> DataFrame:
+    """Where positives are rarer than `least`, add noisy copies of rows as positives.
+
+    The copies are `most` rows, or one in `part` of all rows if that is fewer; the noise has the given deviation.
+    """
     if df.filter("label = 1").limit(least).count() >= least:
         return df
-    noisy = df.orderBy(F.xxhash64(*columns)).limit(copies)
+    noisy = df.orderBy(F.xxhash64(*columns)).limit(max(1, min(most, df.count() // part)))
     return df.unionByName(
-        noisy.withColumns({c: F.col(c) + F.randn(seed + i) for i, c in enumerate(columns)} | {"label": F.lit(1)})
+        noisy.withColumns({c: F.col(c) + deviation * F.randn(seed + i) for i, c in enumerate(columns)} | {"label": F.lit(1)})
     )
 
 
-def threat_models(df: DataFrame, trees: int = 30) -> dict[str, object]:
-    """A forest and a boosted classifier on the same features."""
+def threat_models(df: DataFrame, trees: int = 100, rounds: int = 10) -> dict[str, object]:
+    """A forest and a boosted classifier on the same features, with weights that balance the classes."""
+    rows = balanced(df)
     return {
-        "forest": RandomForestClassifier(labelCol="label", numTrees=trees, seed=SEED).fit(df),
-        "boosted": GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=SEED).fit(df),
+        "forest": RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, seed=SEED).fit(rows),
+        "boosted": GBTClassifier(labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=3, seed=SEED).fit(rows),
     }
 
 
@@ -203,11 +210,6 @@ def mean_prediction(df: DataFrame, models: dict[str, object]) -> DataFrame:
     return out.withColumn("prediction", sum(parts[1:], parts[0]) / len(parts))
 
 
-def regression_metrics(df: DataFrame, prediction: str) -> dict[str, float]:
-    evaluator = RegressionEvaluator(labelCol="label", predictionCol=prediction)
-    return {m: float(evaluator.evaluate(df, {evaluator.metricName: m})) for m in ("mse", "r2")}
-
-
 def soft_vote(df: DataFrame, models: Sequence[object]) -> DataFrame:
     """The mean class probability of several classifiers."""
     out = df
@@ -236,11 +238,12 @@ def grid_search(df: DataFrame, folds: int = 3, parallelism: int = 4):
     return rows
 
 
-def calibrate(df: DataFrame, score: str, label: str = "label") -> DataFrame:
-    """Isotonic and sigmoid calibration of a score."""
-    isotonic = IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="isotonic").fit(df)
+def calibrate(df: DataFrame, score: str, label: str = "label", train: DataFrame | None = None) -> DataFrame:
+    """Isotonic and sigmoid calibration of a score, fitted on `train` (default: the rows themselves)."""
+    learned = df if train is None else train
+    isotonic = IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="isotonic").fit(learned)
     vectors = assembled(df, [score])
-    logistic = LogisticRegression(labelCol=label, featuresCol="features").fit(vectors)
+    logistic = LogisticRegression(labelCol=label, featuresCol="features").fit(assembled(learned, [score]))
     out = logistic.transform(isotonic.transform(vectors))
     return out.withColumn("sigmoid", probability_of_one()).drop("features", "rawPrediction", "probability", "prediction")
 
@@ -263,11 +266,19 @@ def term_weights(df: DataFrame, words: str, size: int = 100) -> DataFrame:
 
 
 def private_counts(
-    df: DataFrame, user: str, category: str, epsilon: float = 1.0, per_user: int = 5, seed: int = SEED
+    df: DataFrame, user: str, category: str, epsilon: float = 1.0, per_user: int = 5, seed: int | None = None
 ) -> DataFrame:
-    """Counts per category where each user adds at most `per_user` per category, with Laplace noise."""
-    own = df.groupBy(user, category).agg(F.least(F.count(F.lit(1)), F.lit(per_user)).alias("_n"))
-    totals = own.groupBy(category).agg(F.sum("_n").alias("_t"))
-    u = F.rand(seed) - 0.5
+    """Counts per category with Laplace noise, differentially private for users: a user adds at most `per_user` to all counts
+    together, so noise of scale per_user / epsilon costs epsilon in all.
+
+    A user's share is taken from their categories in the order of a hash. Without a seed the noise cannot be repeated,
+    and so not be removed; give one in tests only.
+    """
+    own = df.groupBy(user, category).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(user).orderBy(F.xxhash64(user, category)).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.greatest(F.lit(0), per_user - F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    clipped = own.withColumn("_n", F.least("_n", left))
+    totals = clipped.groupBy(category).agg(F.sum("_n").alias("_t"))
+    u = (F.rand() if seed is None else F.rand(seed)) - 0.5
     noise = -F.lit(per_user / epsilon) * F.signum(F.col("_u")) * F.ln(1 - 2 * F.abs("_u"))
     return totals.withColumn("_u", u).withColumn("noisy_count", F.col("_t") + noise).drop("_t", "_u")

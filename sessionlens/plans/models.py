@@ -374,8 +374,9 @@ def reconstruction_error(spark, sf):
 
 @query("supervised_anomaly")
 def supervised_anomaly(spark, sf):
-    rows = L.assembled(document_rows(spark, sf, "toxic"), DOC_FEATURES).cache()
-    scored = L.supervised(rows)
+    """A toxicity forest, scored on documents it has not learned."""
+    train, held_out = L.stratified_split(L.assembled(document_rows(spark, sf, "toxic"), DOC_FEATURES), "label", "doc_id", 0.5)
+    scored = L.supervised(held_out, train=train)
     return scored.select("doc_id", "label", r6("p").alias("p"), (F.col("p") > 0.5).alias("is_anomaly"))
 
 
@@ -434,10 +435,11 @@ def risk_regressors(spark, sf):
 
 @query("soft_vote")
 def soft_vote(spark, sf):
-    rows = L.assembled(document_rows(spark, sf), DOC_FEATURES).cache()
-    forest_model = L.RandomForestClassifier(labelCol="label", numTrees=30, seed=L.SEED).fit(rows)
+    """Votes on documents that the models have not learned."""
+    rows, held_out = L.stratified_split(L.assembled(document_rows(spark, sf), DOC_FEATURES), "label", "doc_id", 0.5)
+    forest_model = L.RandomForestClassifier(labelCol="label", numTrees=100, seed=L.SEED).fit(rows)
     network = L.MultilayerPerceptronClassifier(labelCol="label", layers=[len(DOC_FEATURES), 10, 2], maxIter=50, seed=L.SEED).fit(rows)
-    out = L.soft_vote(rows, [forest_model, network])
+    out = L.soft_vote(held_out, [forest_model, network])
     return out.select("doc_id", "label", r6("p").alias("p"))
 
 
@@ -450,8 +452,10 @@ def grid_search(spark, sf):
 
 @query("calibrate")
 def calibrate(spark, sf):
+    """Calibrated scores of documents that the calibration has not seen."""
     rows = labelled(spark, sf).select("doc_id", "p", F.col("label").cast("double").alias("label"))
-    out = L.calibrate(rows, "p")
+    train, held_out = L.stratified_split(rows, "label", "doc_id", 0.5)
+    out = L.calibrate(held_out, "p", train=train)
     return out.select("doc_id", "label", r6("isotonic").alias("isotonic"), r6("sigmoid").alias("sigmoid"))
 
 
@@ -480,7 +484,7 @@ def global_importance(spark, sf):
 def shapley_sampled(spark, sf):
     rows = document_rows(spark, sf).cache()
     model = quality_forest(rows)
-    values = explain.shapley(rows, rows.orderBy("doc_id"), "doc_id", DOC_FEATURES, scorer(model))
+    values = explain.shapley(rows, rows, "doc_id", DOC_FEATURES, scorer(model))
     return values.select("doc_id", "feature", r6("value").alias("value"))
 
 
@@ -489,7 +493,7 @@ def local_surrogate(spark, sf):
     rows = document_rows(spark, sf).cache()
     model = quality_forest(rows)
     stats = rows.agg(*[F.stddev_pop(c).alias(c) for c in DOC_FEATURES]).first()
-    weights = explain.local_surrogate(rows, "doc_id", DOC_FEATURES, scorer(model), stats.asDict(), draws=100)
+    weights = explain.local_surrogate(rows, "doc_id", DOC_FEATURES, scorer(model), stats.asDict())
     return weights.select("doc_id", "feature", r6("weight").alias("weight"))
 
 

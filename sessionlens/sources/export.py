@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +24,22 @@ def csv_rows(df: DataFrame) -> DataFrame:
     ).select(*CSV_COLUMNS)
 
 
-def flat_rows(df: DataFrame, limit: int = 1000) -> DataFrame:
-    """One `metadata_<key>` column per metadata key found.
+def flat_rows(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """One `metadata_<key>` column per key: the given keys, else all keys found.
 
-    A table needs its columns before it is written, so the distinct keys are read first; more than
-    `limit` of them are an error, since such a map is data and not a record.
+    A table needs its columns before it is written, so without `keys` the distinct keys are read first. For maps that are
+    data and not a record, name the wide keys and write `long_rows` beside them.
     """
-    keys = df.select(F.explode(F.map_keys("metadata")).alias("k")).distinct().orderBy("k").limit(limit + 1)
-    names = [row.k for row in keys.collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} metadata keys")
+    if keys is None:
+        found = df.select(F.explode(F.map_keys("metadata")).alias("k")).distinct().orderBy("k")
+        keys = [row.k for row in found.collect()]
     kept = [c for c in df.columns if c != "metadata"]
-    return df.select(*kept, *[F.col("metadata").getItem(n).alias(f"metadata_{n}") for n in names])
+    return df.select(*kept, *[F.col("metadata").getItem(k).alias(f"metadata_{k}") for k in keys])
+
+
+def long_rows(df: DataFrame, *ids: str) -> DataFrame:
+    """One row per event and metadata key: the id columns, key, value."""
+    return df.select(*ids, F.explode("metadata").alias("key", "value"))
 
 
 def text_blocks(df: DataFrame) -> DataFrame:

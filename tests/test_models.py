@@ -128,5 +128,24 @@ def test_calibration_is_monotone(spark):
 
 def test_private_counts_stay_near_the_clipped_totals(spark):
     rows = spark.range(5000).select((F.col("id") % 100).alias("u"), (F.col("id") % 4).alias("c"))
-    out = {r.c: r.noisy_count for r in L.private_counts(rows, "u", "c", epsilon=5.0, per_user=3).collect()}
+    out = {r.c: r.noisy_count for r in L.private_counts(rows, "u", "c", epsilon=5.0, per_user=3, seed=1).collect()}
     assert all(abs(n - 75) < 25 for n in out.values())
+
+
+def test_a_user_adds_a_bounded_total(spark):
+    """One user in all of 50 categories: the counts add up to the bound, but for the noise."""
+    rows = spark.range(5000).select(F.lit(1).alias("u"), (F.col("id") % 50).alias("c"))
+    total = L.private_counts(rows, "u", "c", epsilon=1e6, per_user=7, seed=1).agg(F.sum("noisy_count")).first()[0]
+    assert abs(total - 7) < 1e-2
+    a, b = (L.private_counts(rows, "u", "c").agg(F.sum("noisy_count")).first()[0] for _ in range(2))
+    assert a != b
+
+
+def test_flat_export_has_no_cap(spark):
+    from sessionlens.sources import export
+
+    df = spark.range(3).select("id", F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(1200)), lambda i: F.struct(
+        F.concat(F.lit("k"), i.cast("string")).alias("k"), i.cast("string").alias("v")))).alias("metadata"))
+    assert len(export.flat_rows(df).columns) == 1201
+    assert export.flat_rows(df, ["k7"]).columns == ["id", "metadata_k7"]
+    assert export.long_rows(df, "id").count() == 3600
