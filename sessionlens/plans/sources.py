@@ -326,10 +326,10 @@ def rolling_store(spark, sf):
     path = scratch_path(spark, "store")
     rows = activity(spark, sf).select("event_id", "kind", F.to_date("ts").alias("day"))
     export.write_rolling(rows.repartition("day"), path)
+    export.expire_old_days(spark, path, 7)
     stored = spark.read.schema("event_id LONG, kind STRING, day DATE").parquet(path)
     return (
-        export.keep_newest_days(stored, 7)
-        .groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"))
+        stored.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -340,9 +340,13 @@ def rolling_store(spark, sf):
 SELECT kind, count(*) AS n FROM act WHERE ts >= (SELECT max(ts) FROM act) - INTERVAL 14 DAY GROUP BY 1""",
 )
 def retention(spark, sf):
-    rows = activity(spark, sf)
-    as_of = rows.agg(F.max("ts")).scalar()
-    return export.drop_expired(rows, as_of, days=14).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """A store by day from which rows older than two weeks are removed."""
+    path = scratch_path(spark, "kept")
+    rows = activity(spark, sf).select("event_id", "kind", "ts", F.to_date("ts").alias("day"))
+    export.write_rolling(rows.repartition("day"), path)
+    export.expire_before(spark, path, "event_id LONG, kind STRING, ts TIMESTAMP", rows.agg(F.max("ts")).first()[0], days=14)
+    stored = spark.read.schema("event_id LONG, kind STRING, ts TIMESTAMP, day DATE").parquet(path)
+    return stored.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlens.session import cut_lineage, drop_scratch
 from sessionlens.sources.logs import time_range
 
 # The export column order.
@@ -85,12 +87,29 @@ def write_rolling(df: DataFrame, path: str, max_records: int = 1_000_000) -> Non
     df.write.mode("append").option("maxRecordsPerFile", max_records).partitionBy("day").parquet(path)
 
 
-def keep_newest_days(df: DataFrame, days: int) -> DataFrame:
-    """Rows of the newest `days` days present; the filter prunes the other day folders."""
-    newest = df.select("day").distinct().orderBy(F.desc("day")).limit(days)
-    return df.join(F.broadcast(newest), "day", "left_semi")
-
-
-def drop_expired(df: DataFrame, as_of: Column, days: int = 90, ts: str = "ts") -> DataFrame:
-    """Rows of the last `days` days before `as_of`."""
-    return df.filter(F.col(ts) >= as_of - F.make_dt_interval(F.lit(days)))
+def day_folders(spark: SparkSession, path: str) -> dict[str, str]:
+    """The day folders of a store: day -> path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    paths = [str(f.getPath().toString()) for f in listed if f.isDirectory()]
+    return {p.rsplit("day=", 1)[1]: p for p in sorted(paths) if "day=" in p}
+
+
+def expire_old_days(spark: SparkSession, path: str, days: int) -> list[str]:
+    """Delete all but the newest `days` day folders of a store; returns the days deleted."""
+    folders = day_folders(spark, path)
+    old = sorted(folders)[:-days] if days else sorted(folders)
+    for day in old:
+        drop_scratch(spark, folders[day])
+    return old
+
+
+def expire_before(spark: SparkSession, path: str, schema: str, as_of: datetime, days: int = 90, ts: str = "ts") -> None:
+    """Remove rows older than `days` days before `as_of` from a store: older day folders go, the day of the limit is rewritten."""
+    limit = as_of - timedelta(days=days)
+    for day, folder in day_folders(spark, path).items():
+        if day < limit.date().isoformat():
+            drop_scratch(spark, folder)
+        elif day == limit.date().isoformat():
+            rest = cut_lineage(spark.read.schema(schema).parquet(folder).filter(F.col(ts) >= F.lit(limit)))
+            rest.write.mode("overwrite").parquet(folder)
