@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlens.operators.learning import SEED, assembled
@@ -15,40 +15,31 @@ from sessionlens.session import scratch_path
 Scorer = Callable[[DataFrame], DataFrame]  # adds a column `p` to rows with a `features` vector
 
 
-def shuffled(df: DataFrame, id_column: str, value: str, seed: int, block: int = 10_000) -> DataFrame:
-    """Rows (id, value) with the values permuted.
+def permuted(df: DataFrame, id_column: str, columns: Sequence[str], repeats: int, seed: int, block: int = 10_000) -> DataFrame:
+    """All rows once per feature and repeat, with that feature's values permuted: adds `feature` and `repeat`.
 
-    Rows fall into random blocks by hash; inside a block, the value in place i of one random order goes to
-    the row in place i of another. No block outgrows a task and no single order over all rows is needed.
+    Rows fall into blocks by hash and are put in a random order there; the value comes from the row a random distance
+    further on in the block's circle. No block outgrows a task, and one join makes all permutations.
     """
-    n = df.count()
-    blocks = max(1, n // block)
-    placed = df.select(id_column, value).withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), id_column), F.lit(blocks)))
-
-    def ranked(salt: int, *columns: str) -> DataFrame:
-        draw = F.xxhash64(F.lit(salt), id_column)
-        listed = placed.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct(draw.alias("d"), id_column, value))).alias("_l"))
-        rows = listed.select("_b", F.posexplode("_l").alias("_i", "_r"))
-        return rows.select("_b", "_i", *[F.col("_r")[c].alias(c) for c in columns])
-
-    return ranked(seed + 1, id_column).join(ranked(seed + 2, value), ["_b", "_i"]).select(id_column, value)
+    blocks = max(1, df.count() // block)
+    order = Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + 1), id_column), id_column)
+    placed = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), id_column), F.lit(blocks))).withColumns(
+        {"_at": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("_b"))})
+    runs = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat")) for c in columns for r in range(repeats)])
+    step = 1 + F.pmod(F.xxhash64(F.lit(seed + 2), "_b", "feature", "repeat"), F.greatest(F.col("_n") - 1, F.lit(1)))
+    spread = placed.select("*", F.inline(runs)).withColumn("_from", F.pmod(F.col("_at") + step, F.col("_n")))
+    source = placed.select(F.col("_b").alias("_b2"), F.col("_at").alias("_at2"), F.struct(*columns).alias("_other"))
+    moved = spread.join(source, (F.col("_b") == F.col("_b2")) & (F.col("_from") == F.col("_at2")))
+    changed = {c: F.when(F.col("feature") == c, F.col("_other")[c]).otherwise(F.col(c)) for c in columns}
+    return moved.withColumns(changed).drop("_b", "_at", "_n", "_from", "_b2", "_at2", "_other")
 
 
 def permutation_importance(
     df: DataFrame, id_column: str, columns: Sequence[str], scorer: Scorer, metric: Column, repeats: int = 5
 ) -> DataFrame:
-    """Mean drop of the metric when one feature is shuffled: (feature, importance, spread)."""
+    """Mean drop of the metric when one feature is permuted: (feature, importance, spread). All runs are scored in one pass."""
     base = scorer(assembled(df, columns)).agg(metric.alias("m")).scalar()
-    parts = []
-    for c_number, column in enumerate(columns):
-        for r in range(repeats):
-            mixed = df.drop(column).join(shuffled(df, id_column, column, SEED + 101 * c_number + 7 * r), id_column)
-            parts.append(
-                scorer(assembled(mixed, columns)).agg(metric.alias("_m")).select(F.lit(column).alias("feature"), "_m")
-            )
-    runs = parts[0]
-    for part in parts[1:]:
-        runs = runs.union(part)
+    runs = scorer(assembled(permuted(df, id_column, columns, repeats, SEED), columns)).groupBy("feature", "repeat").agg(metric.alias("_m"))
     drop = base - F.col("_m")
     return runs.withColumn("_d", drop).groupBy("feature").agg(
         F.avg("_d").alias("importance"), F.stddev_pop("_d").alias("spread")

@@ -80,12 +80,24 @@ def test_density_points_match_brute_force(spark):
         assert got[tuple(p)] == (bool(core[i]), bool(not core[i] and not (near[i] & core).any()))
 
 
-def test_shuffled_is_a_permutation(spark):
-    df = spark.range(500).withColumn("v", F.col("id") * 10)
-    out = explain.shuffled(df, "id", "v", 7, block=100).collect()
-    assert sorted(r.id for r in out) == list(range(500))
-    assert sorted(r.v for r in out) == [10 * i for i in range(500)]
-    assert sum(r.v == 10 * r.id for r in out) < 50
+def test_each_run_permutes_one_feature(spark):
+    df = spark.range(500).select("id", (F.col("id") * 10).alias("v"), (F.col("id") * 3).alias("w"))
+    out = explain.permuted(df, "id", ["v", "w"], 2, 7, block=100).collect()
+    assert len(out) == 2000
+    for feature in ("v", "w"):
+        for repeat in (0, 1):
+            run = [r for r in out if (r.feature, r.repeat) == (feature, repeat)]
+            assert sorted(r.v for r in run) == [10 * i for i in range(500)] and sorted(r.w for r in run) == [3 * i for i in range(500)]
+            assert sum(r.v == 10 * r.id for r in run) == (0 if feature == "v" else 500)
+            assert sum(r.w == 3 * r.id for r in run) == (0 if feature == "w" else 500)
+
+
+def test_only_the_used_feature_is_important(spark):
+    df = spark.range(400).select("id", F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("label", F.col("a"))
+    score = lambda rows: rows.withColumn("p", F.col("a"))
+    fit = -F.avg((F.col("p") - F.col("label")) * (F.col("p") - F.col("label")))
+    got = {r.feature: r.importance for r in explain.permutation_importance(df, "id", ["a", "b"], score, fit, 3).collect()}
+    assert abs(got["b"]) < 1e-12 and got["a"] > 0.05
 
 
 def test_shapley_values_add_up_to_the_difference(spark):
