@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from sessionlens.llm.catalog import documents, query
-from sessionlens.llm.vocab import CACHE_ENTRIES, chunks, vocabulary
+from sessionlens.llm.vocab import chunks, unknown, vocabulary
 from sessionlens.session import spread
 
 #: Last two bytes of the white space characters beyond ASCII.
@@ -95,8 +95,6 @@ class Codec:
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
-        if len(self.memo) > CACHE_ENTRIES:
-            self.memo.clear()
         cut = []
         raw = [t.encode() for t in texts]
         plain = [i for i, t in enumerate(raw) if not self.special.search(t)]
@@ -108,9 +106,9 @@ class Codec:
                 parts = self.special.split(t)
                 cut.append([f for k, p in enumerate(parts) for f in ([p] if k % 2 else self.fragments([p])[0])])
         known = self.memo
-        missing = {f for pieces in cut for f in pieces if f not in known}
+        missing = unknown(cut, known)
         if missing:
-            self.learn(list(missing))
+            self.learn(missing)
         out = []
         for pieces in cut:
             both = [known[f] for f in pieces]

@@ -15,6 +15,7 @@ are cut; repeated rows are packed like any others; an empty table gives an empty
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlens.llm.catalog import documents, query
-from sessionlens.llm.vocab import CACHE_ENTRIES, chunks, vocabulary
+from sessionlens.llm.token_counts import Merger
+from sessionlens.llm.vocab import chunks, unknown, vocabulary
 from sessionlens.session import drop_scratch, scratch_path, spread
 
 CAPACITY = 2048
@@ -37,25 +39,58 @@ SETTLED = 0.995
 END_ID = 0
 
 
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space: every word is encoded once and remembered."""
+    """Ids of texts by a tokenizer that drops white space and case: every word is encoded once and remembered.
+
+    A word of Latin letters, in any capitals and with or without punctuation marks behind it, is put together from
+    its lower-case letters and its marks, between which the tokenizer always splits. Such letters are normalised and one
+    pre-token already, so their bytes are merged as arrays; all else goes to the library.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = vocabulary(path).tokenizer
+        self.tokenizer, self.merger = vocabulary(path).tokenizer, Merger(vocabulary(path))
         self.memo: dict[bytes, bytes] = {}
 
+    def learn_letters(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self.memo]
+        if new:
+            counts, ids = self.merger.merge(new)
+            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            self.memo.update(zip(new, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+
+    def learn_others(self, words: set[str]) -> None:
+        new = [w for w in words if w.encode() not in self.memo]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.memo[w.encode()] = np.array(e.ids, "<u4").tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > CACHE_ENTRIES:
-            self.memo.clear()
         cut = [t.encode().split() for t in texts]
         known = self.memo
-        missing = list({w for words in cut for w in words if w not in known})
+        missing = unknown(cut, known)
         if missing:
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False),
-                            strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in cut]
+            latin, others, made = set(), set(), []
+            for raw in missing:
+                word = raw.decode()
+                stem = word.rstrip(MARKS)
+                if LATIN.fullmatch(stem):
+                    marks, low = word[len(stem):], stem.lower().encode()
+                    latin.add(low)
+                    if marks:
+                        others.add(marks)
+                    made.append((raw, low, marks.encode()))
+                else:
+                    others.add(word)
+            self.learn_letters(latin)
+            self.learn_others(others)
+            for raw, stem, marks in made:
+                if raw not in known:
+                    known[raw] = known[stem] + known[marks] if marks else known[stem]
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

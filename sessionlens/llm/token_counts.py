@@ -24,9 +24,10 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionlens.llm.catalog import documents, query
-from sessionlens.llm.vocab import CACHE_ENTRIES, Vocabulary, byte_symbols, chunks, vocabulary
+from sessionlens.llm.vocab import Vocabulary, byte_symbols, chunks, unknown, vocabulary
 from sessionlens.session import spread
 
 LIMIT = 512
@@ -44,9 +45,7 @@ class Merger:
         keys = left * vocab.size + right
         order = np.argsort(keys, kind="stable")
         self.size, self.keys, self.rank, self.new = vocab.size, keys[order], order, new.astype(np.int32)
-        self.base = vocab.id_of_byte
-        pairs = self.base.astype(np.int64)[:, None] * vocab.size + self.base[None, :]
-        self.byte_rank = self.look_up(pairs.ravel()).astype(np.int64)
+        self.base, self.last = vocab.id_of_byte, vocab.id_of_last_byte
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
         """The rank of each pair, or NONE."""
@@ -55,16 +54,21 @@ class Merger:
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """The number of symbols left of each word (none of them empty)."""
+        return self.merge(words, False)[0]
+
+    def merge(self, words: list[bytes], keep: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The number of symbols left of each word, and with `keep` the symbols of all words in a row."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         result = sizes.copy()
         raw = np.frombuffer(b"".join(words), np.uint8)
-        which = np.repeat(np.arange(len(words)), sizes)
+        which = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         last = np.zeros(len(raw), bool)
         last[np.cumsum(sizes) - 1] = True
-        symbols = self.base[raw]
+        symbols = np.where(last, self.last[raw], self.base[raw])
         ranks = np.full(len(raw), NONE)
         at = np.flatnonzero(~last)
-        ranks[at] = self.byte_rank[raw[at].astype(np.int64) * 256 + raw[at + 1]]
+        ranks[at] = self.look_up(symbols[at].astype(np.int64) * self.size + symbols[at + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             starts = np.flatnonzero(np.concatenate(([True], last[:-1])))
             lowest = np.minimum.reduceat(ranks, starts)
@@ -72,6 +76,8 @@ class Merger:
             result[which[starts]] = lengths
             alive = np.repeat(lowest != NONE, lengths)
             if not alive.all():
+                if keep:
+                    done.append((which[~alive], symbols[~alive]))
                 symbols, which, last, ranks = symbols[alive], which[alive], last[alive], ranks[alive]
                 lowest, lengths = lowest[lowest != NONE], lengths[lowest != NONE]
             if not len(symbols):
@@ -95,7 +101,10 @@ class Merger:
             ranks[at] = NONE
             at = at[~last[at]]
             ranks[at] = self.look_up(symbols[at].astype(np.int64) * self.size + symbols[at + 1])
-        return result
+        if not done:
+            return result, symbols
+        which, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
+        return result, symbols[np.argsort(which, kind="stable")]
 
 
 class Counter:
@@ -122,8 +131,6 @@ class Counter:
             self.memo[piece] = sum(next(counts) for _ in words)
 
     def __call__(self, texts: list[str]) -> list[int]:
-        if len(self.memo) > CACHE_ENTRIES:
-            self.memo.clear()
         cut, extra = [], []
         for text in texts:
             n = 0
@@ -135,9 +142,9 @@ class Counter:
                 cut.append(PIECES.findall(text))
             extra.append(n)
         known = self.memo
-        missing = {x for pieces in cut for x in pieces if x not in known}
+        missing = unknown(cut, known)
         if missing:
-            self.learn(list(missing))
+            self.learn(missing)
         value = known.__getitem__
         return [sum(map(value, pieces)) + n for pieces, n in zip(cut, extra, strict=True)]
 
@@ -155,7 +162,7 @@ def counter(path: str) -> Counter:
 def token_counts(df: DataFrame, path: str, text: str = "text", column: str = "n_tokens") -> DataFrame:
     """`df` without its text, with the number of its tokens and UTF-8 bytes (`n_bytes`)."""
     kept = [c for c in df.columns if c not in (text, "n_bytes", column)]
-    out = df.select(*kept).withColumns({"n_bytes": F.lit(0).cast("long"), column: F.lit(0).cast("long")})
+    schema = T.StructType([df.schema[c] for c in kept]).add("n_bytes", "long").add(column, "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(path)
@@ -163,9 +170,9 @@ def token_counts(df: DataFrame, path: str, text: str = "text", column: str = "n_
             for part, texts in chunks(batch, text):
                 n = pa.array(tokens(texts), pa.int64())
                 size = pa.array([len(x.encode()) for x in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), size, n], [*kept, "n_bytes", column])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), size, n], schema.names)
 
-    return spread(df).mapInArrow(count, out.schema)
+    return spread(df).mapInArrow(count, schema)
 
 
 @query("op10_token_counts")

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 """Texts are worked on in chunks of about this size, so memory does not grow with an Arrow batch."""
 
-CACHE_ENTRIES = 400_000
-"""A worker's memo of fragments is emptied when it holds this many."""
+MEMO_ENTRIES = 240_000
+MEMO_KEPT = 80_000
+"""A worker's memo of fragments is cut back to the ones learned first, mostly the frequent ones, when it is full."""
 
 
 def byte_symbols() -> dict[str, int]:
@@ -41,7 +43,10 @@ class Vocabulary:
         self.bytes_of = {i: bytes(table[c] for c in token) for token, i in ids.items()}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.size = max(self.bytes_of) + 1
-        self.id_of_byte = np.array([ids[c] for c, _ in sorted(table.items(), key=lambda x: x[1])], dtype=np.int32)
+        end = model.get("end_of_word_suffix") or ""
+        in_order = [c for c, _ in sorted(table.items(), key=lambda x: x[1])]
+        self.id_of_byte = np.array([ids[c] for c in in_order], dtype=np.int32)
+        self.id_of_last_byte = np.array([ids[c + end] for c in in_order], dtype=np.int32)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.merges = np.array([(ids[a], ids[b], ids[a + b]) for a, b in merges], dtype=np.int64)
 
@@ -52,6 +57,15 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def unknown(pieces: Iterable[Sequence], memo: dict) -> list:
+    """The distinct pieces that the memo lacks; a full memo is cut back first."""
+    if len(memo) > MEMO_ENTRIES:
+        kept = dict(islice(memo.items(), MEMO_KEPT))
+        memo.clear()
+        memo.update(kept)
+    return [x for x in set(chain.from_iterable(pieces)) if x not in memo]
+
+
 def chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Consecutive row ranges of a batch with their texts (null: empty), of about `size` bytes each or one text."""
     column = batch.column(batch.schema.get_field_index(text))
