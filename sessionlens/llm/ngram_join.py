@@ -3,8 +3,9 @@
 Texts with the same sequence of words form one class; classes are joined. Each class has a signature of 64 minwise
 coordinates, which agree between two classes as often as their shingle sets are similar. A run splits all classes by the
 value of a randomly chosen coordinate (a shared sampled token), and splits every bucket above `BUCKET` classes again by
-further coordinates, 1 / similarity of them on average per bucket. Runs repeat until a pair at the threshold that
-has to survive two splits is found with probability `RECALL`; `runs()` gives the number.
+further coordinates, 1 / similarity of them on average per bucket. No two runs start with the same coordinate. Runs are
+added until a pair at the threshold that has to survive as many splits as the most split bucket went through is found with
+probability `RECALL`; `runs()` gives the number.
 
 Buckets of at most `BUCKET` classes are compared pair by pair. So are, exactly and in blocks of `BUCKET` classes, larger
 buckets whose classes are alike on average (splitting does not shrink them) and those left after `LEVELS` splits; no
@@ -22,7 +23,8 @@ with the smallest doc_id stays (null last, then the first written); an empty tab
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from functools import reduce
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +46,37 @@ DENSE = 0.6
 SLACK = 5.4
 """Signatures may fall short of the threshold by this many standard deviations before a pair is passed over."""
 
+RUN = np.uint64(0x9E3779B97F4A7C15)
+CHILD = (np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7))
+"""Salts of the runs' nodes and of a node's children."""
+
 CHUNK = 1 << 20
 SIGNED = "doc_id {id}, text_key long, d1 long, d2 long, shingles long, signature binary"
 MEMBER = "parent long, coordinate int, node long, used long, class long"
 
 
-def runs(recall: float = RECALL, similarity: float = SIMILARITY) -> int:
-    """Runs after which a pair at the threshold that must survive two splits has been found with this probability."""
-    return ceil(log(1 - recall) / log(1 - similarity**2))
+def recall_of(starts: int, splits: int, similarity: float = SIMILARITY) -> float:
+    """Probability that a pair of this similarity stays together through `splits` splits in one of `starts` runs.
+
+    Given the m coordinates in which the pair agrees, first coordinates are drawn without replacement, those further down
+    without replacement along each path.
+    """
+    second, total = min(1.0, 1 / similarity - 1), 0.0
+    for m in range(COORDINATES + 1):
+        meets = 1.0
+        for used in range(splits - 1, 0, -1):
+            one = max(0, m - used) / (COORDINATES - used) * meets
+            meets = 1 - (1 - one) * (1 - second * one)
+        missed = sum(comb(m, k) * comb(COORDINATES - m, starts - k) * (1 - meets)**k for k in range(starts + 1))
+        total += comb(COORDINATES, m) * similarity**m * (1 - similarity)**(COORDINATES - m) * (
+            1 - missed / comb(COORDINATES, starts))
+    return total
+
+
+def runs(recall: float = RECALL, similarity: float = SIMILARITY, splits: int = 2) -> int:
+    """Runs after which a pair at the threshold that must survive the splits has been found with this probability; all
+    coordinates start one where that is not enough."""
+    return next((n for n in range(1, COORDINATES) if recall_of(n, splits, similarity) >= recall), COORDINATES)
 
 
 def agreeing(similarity: float) -> int:
@@ -80,43 +105,51 @@ def signed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return spread(rows).mapInArrow(sign, SIGNED.format(id=kind))
 
 
+def begun(run: int, signature: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, coordinate, child node, coordinates used) of each row's child in a run; each run has its own coordinate."""
+    at = np.full(len(signature), np.argsort(mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)))[run], np.int64)
+    seed = mixed(np.full(len(signature), run + 1, np.uint64) * RUN)
+    child = mixed(seed + signature[np.arange(len(at)), at].astype(np.uint64))
+    return np.arange(len(at)), at, child.view(np.int64), np.int64(1) << at
+
+
 def children(node: np.ndarray, used: np.ndarray, signature: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
     """(row, coordinate, child node, coordinates used) of each row's children: per node one coordinate that is still
     unused, and with the probability that makes 1 / similarity on average a second one."""
-    out = []
+    out, gone = [], used.copy()
     for k in range(2):
-        draw = mixed(node.view(np.uint64) + np.uint64(k + 1))
+        draw = mixed(node.view(np.uint64) ^ CHILD[k])
         rows = np.arange(len(node))
         if k:
             rows = rows[(draw % np.uint64(1000)).astype(np.float64) < 1000 * (1 / similarity - 1)]
         first = (draw[rows] >> np.uint64(40)).astype(np.int64) % COORDINATES
         at = first.copy()
         for _ in range(COORDINATES):
-            taken = (used[rows] >> at) & 1 == 1
+            taken = (gone[rows] >> at) & 1 == 1
             if not taken.any():
                 break
             at = np.where(taken, (at + 1) % COORDINATES, at)
         value = signature[rows, at].astype(np.uint64)
         child = mixed(mixed(node[rows].view(np.uint64) + at.astype(np.uint64)) + value)
         out.append((rows, at, child.view(np.int64), used[rows] | (np.int64(1) << at)))
+        gone[rows] |= np.int64(1) << at
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def split(members: DataFrame, similarity: float) -> DataFrame:
-    """The children of members (node, used, class, signature); members without a node start the runs."""
-    starts = runs(similarity=similarity)
+def split(members: DataFrame, similarity: float, started: range | None = None) -> DataFrame:
+    """The children of members (node, used, class, signature); with `started`, of classes that begin these runs."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
             name = batch.column("class").to_numpy(zero_copy_only=False)
-            if "node" in batch.schema.names:
-                nodes = [(batch.column("node").to_numpy(zero_copy_only=False),
-                          batch.column("used").to_numpy(zero_copy_only=False))]
+            if started is not None:
+                nodes = [(np.full(len(name), r + 1, np.int64), begun(r, signature)) for r in started]
             else:
-                nodes = [(np.full(len(name), r + 1, np.int64), np.zeros(len(name), np.int64)) for r in range(starts)]
-            for node, used in nodes:
-                rows, at, child, mask = children(node, used, signature, similarity)
+                node = batch.column("node").to_numpy(zero_copy_only=False)
+                used = batch.column("used").to_numpy(zero_copy_only=False)
+                nodes = [(node, children(node, used, signature, similarity))]
+            for node, (rows, at, child, mask) in nodes:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[rows]), pa.array(at.astype(np.int32)), pa.array(child), pa.array(mask), pa.array(name[rows])],
                     ["parent", "coordinate", "node", "used", "class"])
@@ -130,12 +163,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def leaves_of(classes: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, class, blocks) of all buckets with two or more classes; `blocks` over 1 for those compared in blocks."""
-    signs = classes.filter("shingles > 0").select("class", "signature")
-    members = written(split(signs, similarity), "join-members")
-    found = []
+def grown(signs: DataFrame, similarity: float, started: range) -> tuple[list[DataFrame], int]:
+    """Parts of (leaf, class, blocks) of the buckets of some runs, and the splits that the most split bucket went through."""
+    members = written(split(signs, similarity, started), "join-members")
+    found, splits = [], 1
     for level in range(LEVELS + 1):
+        if level and not members.isEmpty():
+            splits = level + 1
         sizes = written(members.groupBy("node").agg(F.count("*").alias("n"), F.first("parent").alias("parent"),
                                                     F.first("coordinate").alias("coordinate")).filter("n > 1"), "join-sizes")
         small = sizes.filter(F.col("n") <= BUCKET).select("node", F.lit(1).alias("blocks"))
@@ -158,10 +192,18 @@ def leaves_of(classes: DataFrame, similarity: float) -> DataFrame:
         found.append(held.join(apart, "node", "left_semi").select(
             F.col("node").alias("leaf"), "class", blocks.alias("blocks")))
         members = next_members.join(dense, "parent", "left_anti")
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return written(out, "join-leaves")
+    return found, splits
+
+
+def leaves_of(classes: DataFrame, similarity: float, recall: float = RECALL) -> DataFrame:
+    """(leaf, class, blocks) of all buckets with two or more classes; `blocks` over 1 for those compared in blocks."""
+    signs = classes.filter("shingles > 0").select("class", "signature")
+    found, done, splits = [], 0, 2
+    while (needed := runs(recall, similarity, splits)) > done:
+        parts, deepest = grown(signs, similarity, range(done, needed))
+        found += parts
+        done, splits = needed, max(splits, deepest)
+    return written(reduce(DataFrame.unionByName, found), "join-leaves")
 
 
 def bucket_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

@@ -282,6 +282,42 @@ def test_signatures_estimate_similarity():
     assert ngram_join.runs(0.999, 0.8) == 7
 
 
+@pytest.mark.parametrize("splits", [2, 5, 9])
+def test_runs_reach_the_recall_at_the_depth_of_the_splits(splits):
+    """Pairs at the threshold through the runs' own paths, all splits forced."""
+    r = np.random.default_rng(3)
+    n = 20_000
+    left = r.integers(0, 2**32, (n, shingles.COORDINATES), dtype=np.uint32)
+    agree = r.random(left.shape) < 0.8
+    met, firsts = np.zeros(n, bool), []
+    for run in range(ngram_join.runs(0.999, 0.8, splits)):
+        rows, at, node, used = ngram_join.begun(run, left)
+        firsts.append(int(at[0]))
+        stay = agree[rows, at]
+        rows, node, used = rows[stay], node[stay], used[stay]
+        for _ in range(splits - 1):
+            back, at, node, used = ngram_join.children(node, used, left[rows], 0.8)
+            assert len({*zip(rows[back].tolist(), node.tolist(), strict=True)}) == len(node)
+            stay = agree[rows[back], at]
+            rows, node, used = rows[back][stay], node[stay], used[stay]
+        met[rows] = True
+    assert len(set(firsts)) == len(firsts)
+    assert 0.998 < met.mean() and abs(met.mean() - ngram_join.recall_of(len(firsts), splits)) < 0.001
+
+
+def test_deep_splits_get_more_runs(spark, monkeypatch):
+    """The texts share half of their words, so that buckets of two are split again and again."""
+    monkeypatch.setattr(ngram_join, "BUCKET", 2)
+    grown, asked = ngram_join.grown, []
+    monkeypatch.setattr(ngram_join, "grown", lambda *a: asked.append((a[-1], grown(*a))) or asked[-1][1])
+    common = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, common + " " + " ".join(f"u{i // 2}x{j}" for j in range(60)) + f" e{i}") for i in range(40)]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_join(rows)
+    deepest = max(2, *(splits for _, (_, splits) in asked))
+    assert deepest > 2 and [r for part, _ in asked for r in part] == list(range(ngram_join.runs(splits=deepest)))
+
+
 # --- quality rules -------------------------------------------------------------------------------------
 
 
