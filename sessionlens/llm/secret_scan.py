@@ -42,7 +42,10 @@ MAX_LABELLED = 2000
 TREES, DEPTH, LEAST = 40, 8, 4
 MARK = "[REDACTED SECRET]"
 
-CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_\-=]{14,}[A-Za-z0-9+/=]")
+CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_\-]{12,}[A-Za-z0-9+/](?:={1,2}(?![A-Za-z0-9+/_\-=]))?")
+"""An '=' belongs to a candidate as padding at its end only, so that the key of an assignment stays to its left."""
+
+LEAST_LETTERS = 16
 LEFT = 40
 NAMES = re.compile(
     r"(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|auth|credential|bearer|private[_-]?key)")
@@ -129,27 +132,37 @@ def made_findings(seed: int = 7) -> list[tuple[str, str, str, str, int]]:
     syllables = ["con", "ter", "ation", "ment", "pre", "log", "user", "data", "set", "get", "ing", "able", "view", "list"]
     paths = ["src/app.py", "config/settings.yml", "site/page", "", "deploy/run.sh", "notes"]
     out = []
+
+    def add(value: str, left: str, right: str, path: str, label: int) -> None:
+        """The finding as found() gives it for a text that holds it."""
+        at = range(len(left), len(left) + len(value))
+        out.extend((v, x, y, path, label) for a, b, v, x, y in found(left + value + right) if (a, b) == (at.start, at.stop))
+
     for _ in range(60):
         for value in ("AKIA" + some(upper, 16), "ghp_" + some(alnum, 36), "sk_live_" + some(alnum, 24), some(hexa, 40),
                       some(hexa, 32), some(alnum, 40), some(alnum + "+/", 43) + "=", "eyJ" + some(alnum, 60)):
             quote, name = r.choice(['"', "'", ""]), r.choice(names)
             left = f"{name}{r.choice([' = ', '=', ': '])}{quote}"
-            out.append((value, left, quote + "\n", r.choice(paths), 1))
+            add(value, left, quote + "\n", r.choice(paths), 1)
         for value in ("AKIA" + some(upper, 16), "ghp_" + some(alnum, 36), "sk_live_" + some(alnum, 24)):
-            out.append((value, r.choice(plain) + " ", " and", r.choice(paths), 1))
+            add(value, r.choice(plain) + " ", " and", r.choice(paths), 1)
+        for left, right in ((f"{r.choice(names).upper()}=", "\n"), (f"export {r.choice(names).upper()}=", "\n"),
+                            (f"https://site/list?page=2&{r.choice(names)}=", "&sort=up")):
+            add(some(r.choice([hexa, alnum]), r.choice([32, 40])), left, right, r.choice(paths), 1)
         uuid = "-".join([some(hexa, 8), some(hexa, 4), some(hexa, 4), some(hexa, 4), some(hexa, 12)])
         word = "_".join(r.choice(syllables) + r.choice(syllables) for _ in range(3)) + str(r.randint(1, 99))
         for value, left, right, path in (
             (uuid, "https://site/items/", " ", "web/page"), (uuid, "id: ", "\n", "logs"), (some(hexa, 40), "commit ", "\n", "log"),
             (some(hexa, 64), "sha256 checksum ", "\n", "release"), (some("0123456789", 16), r.choice(plain) + " ", " ", ""),
             (word, r.choice(plain) + " ", " ", "src/app.py"), (word, f"{r.choice(names)} = ", "\n", "src/app.py"),
+            (word, f"{r.choice(names)}=", "\n", "src/app.py"), (uuid, "https://site/list?id=", "&sort=up", "web/page"),
             ("your_api_key_here_" + str(r.randint(1, 9)), f'{r.choice(names)} = "', '"', "docs/setup"),
             ("xxxxxxxxxxxxxxxx" + str(r.randint(10, 99)), f'{r.choice(names)}: "', '"', "example"),
             ("example_token_" + str(r.randint(100, 999)), f'{r.choice(names)} = "', '"', "tests/fixture"),
             (f"2024{r.randint(1000, 9999)}-{r.randint(1000, 9999)}-report", r.choice(plain) + " ", " ", "notes"),
             (some(alnum, 30), "image/png;base64,", " ", "page.html"),
         ):
-            out.append((value, left, right, path, 0))
+            add(value, left, right, path, 0)
     return out
 
 
@@ -223,7 +236,7 @@ def found(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, value, left, right) of the candidates of a text."""
     for m in CANDIDATE.finditer(text):
         value = m.group()
-        if any(c.isdigit() for c in value):
+        if len(value) >= LEAST_LETTERS and any(c.isdigit() for c in value):
             a, b = m.span()
             yield a, b, value, text[max(0, a - LEFT): a], text[b: b + 8]
 

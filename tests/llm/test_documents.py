@@ -421,6 +421,19 @@ def test_secret_query_finds_all_planted(spark):
         assert sum(f.is_secret for f in r.findings if docs[r.doc_id][f.start:f.end].isdigit()) == 0
 
 
+@pytest.mark.parametrize("left, right", [("API_KEY=", "\n"), ("export AUTH_TOKEN=", "\n"), ("AWS_SECRET_ACCESS_KEY_2=", "\n"),
+                                         ("https://site/a?access_token=", "&b=1")])
+def test_unspaced_assignments(forest, left, right):
+    """The key of an assignment is left of the value, not part of it."""
+    for value in ("40d78a459f86d081884c7d659a2feaa0c55ad015", "Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZg=="):
+        text = left + value + right
+        hits = [f for f in secret_scan.found(text) if f[2] in text[len(left):]]
+        assert [f[2:4] for f in hits] == [(value, left[-secret_scan.LEFT:])]
+        assert secret_scan.strict_label(*hits[0][2:4]) == 1
+        x = np.array([secret_scan.features(*hits[0][2:], "", DICTIONARY)])
+        assert forest.probability(x)[0] >= secret_scan.THRESHOLD
+
+
 # --- pipeline ------------------------------------------------------------------------------------------
 
 
