@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are unbroken runs of key characters with a digit. Each is described by its length, its character classes and
+Candidates are unbroken runs of 16 or more key characters, runs joined by dots of which one is that long, values of keys
+named like a secret whatever their length and signs, passwords in URLs, and blocks of private keys. Each is described by its length, its character classes and
 the changes between them, its entropy, how likely its letters follow each other in ordinary words, the share of it that
 dictionary words cover, its path (the place the text came from) and the words in front of it. A random forest trained on
 labelled findings gives the probability that it is a secret; candidates below the threshold are dropped as false positives.
@@ -13,7 +14,7 @@ The dictionary is the list of whole words of a public tokenizer file.
 Scanning and scoring need one pass over the texts; only the forest and dictionary are sent to the tasks (both bounded).
 
 Defined cases: null text counts as empty and has no findings; candidates of any length are read whole; equal findings at
-several places are all reported; a null path counts as empty; an empty table gives an empty result.
+several places are all reported, and so is one within another (redaction cuts what any of them covers); a null path counts as empty; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,9 +47,15 @@ CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_\-]{12,}[A-Za-z0-9+/](?:={1,2}(
 """An '=' belongs to a candidate as padding at its end only, so that the key of an assignment stays to its left."""
 
 LEAST_LETTERS = 16
+DOTTED = re.compile(r"(?<![A-Za-z0-9_\-.])[A-Za-z0-9_\-]++(?:\.[A-Za-z0-9_\-]++)++")
+URL_PASSWORD = re.compile(r"""://[^\s:/@"'<>]*+:([^\s/@"'<>]++)(?=@)""")
+BLOCK = re.compile(
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:(?!-----)[\s\S])*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:\s+[A-Za-z0-9+/=]{16,})*)")
 LEFT = 40
 NAMES = re.compile(
     r"(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|auth|credential|bearer|private[_-]?key)")
+NAMED = re.compile(NAMES.pattern + r"""[\w\-]{0,40}["'\]]{0,2}\s{0,3}(?:=>|:=|=|:)\s{0,3}(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'`<>]+))""")
 TESTING = re.compile(r"(?i)test|example|sample|fixture|mock|docs?/|demo|placeholder|dummy")
 ASSIGNED = re.compile(r"""(?:=|:|=>)\s*["']?$|["']$|(?i:bearer\s+)$""")
 PLACEHOLDER = re.compile(r"(?i)your|example|xxxx|changeme|placeholder|dummy|sample|insert|redacted|0{8}|1234567|abcdefg")
@@ -101,7 +108,7 @@ def features(value: str, left: str, right: str, path: str, words: str) -> list[f
     """The description of one candidate; `words` is the tokenizer file with the dictionary."""
     n, kinds = len(value), [kind(c) for c in value]
     share = [kinds.count(k) / n for k in range(4)]
-    changes = sum(a != b for a, b in zip(kinds[:-1], kinds[1:], strict=True)) / (n - 1)
+    changes = sum(a != b for a, b in zip(kinds[:-1], kinds[1:], strict=True)) / max(1, n - 1)
     counts = np.unique(list(value), return_counts=True)[1] / n
     table, low = followers(words), [ord(c) - 97 for c in value.lower()]
     steps = [table[a, b] for a, b in zip(low[:-1], low[1:], strict=True) if 0 <= a < 26 and 0 <= b < 26]
@@ -113,7 +120,9 @@ def features(value: str, left: str, right: str, path: str, words: str) -> list[f
         float(all(c in "0123456789abcdefABCDEF" for c in value)), float(value.isdigit()), value.count("-") / n,
         value.count("/") / n, float(bool(named)), len(left) - named[-1].end() if named else LEFT,
         float(bool(ASSIGNED.search(left))), float(right[:1] in "\"'" and right != ""), float("@" in right[:2]),
-        float(bool(TESTING.search(path))), float("/" in left[-1:]), len(path),
+        float(bool(TESTING.search(path))), float("/" in left[-1:]), len(path), float(value.startswith("-----BEGIN")),
+        value.count(".") / n, float(any(c in "(){}[]<>$ " for c in value)), float("://" in left and right[:1] == "@"),
+        float(value.lower() in dictionary(words)), float(value.isalpha()),
     ]
     near = [0.0] * NEAR_WORDS
     for w in re.findall(r"[A-Za-z]+", left.lower())[-3:]:
@@ -163,6 +172,36 @@ def made_findings(seed: int = 7) -> list[tuple[str, str, str, str, int]]:
             (some(alnum, 30), "image/png;base64,", " ", "page.html"),
         ):
             add(value, left, right, path, 0)
+        signs, letter = alnum + "!@#$%^*?", alnum[:52]
+        plainer = alnum + "!#$%^*"
+        human = r.choice(syllables) + r.choice(syllables) + str(r.randint(1, 999)) + r.choice("!#$%*") + some(letter, r.randint(0, 4))
+        for value in (some(signs, r.randint(8, 14)) + r.choice("0123456789"), human, some(letter, 32)):
+            quote, name = r.choice(['"', "'"]), r.choice(names)
+            add(value, f"{name}{r.choice([' = ', '=', ': '])}{quote}", quote + "\n", r.choice(paths), 1)
+            add(value, f"{name.upper()}=", "\n", r.choice(paths), 1)
+        for value in (human, some(plainer, r.randint(8, 16)), some(letter, 10) + str(r.randint(0, 9))):
+            scheme, user = r.choice(["postgres", "https", "redis", "mysql"]), r.choice(["bob", "admin", "user", "app"])
+            add(value, f"{scheme}://{user}:", "@" + r.choice(["db", "localhost", "10.0.0.1", "host.net"]) + ":5432/x", r.choice(paths), 1)
+        jwt = "eyJ" + some(alnum, 33) + ".eyJ" + some(alnum, r.randint(40, 80)) + "." + some(alnum + "-_", 42) + "A"
+        for value in (jwt, "SG." + some(alnum, 22) + "." + some(alnum, 43)):
+            add(value, r.choice([f"{r.choice(names)}=", "Authorization: Bearer ", r.choice(plain) + " ", 'x = "']), "\n", r.choice(paths), 1)
+        kind_of_key = r.choice(["RSA ", "EC ", "OPENSSH ", ""])
+        body = "\n".join(some(alnum + "+/", 64) for _ in range(r.randint(4, 26)))
+        add(f"-----BEGIN {kind_of_key}PRIVATE KEY-----\n{body}\n-----END {kind_of_key}PRIVATE KEY-----", r.choice(["", "key:\n", "x "]),
+            "\n", r.choice(paths), 1)
+        prose = r.choice(["the", "nobody", "some", "that", "because", "Smith", "Johnson", "never", "people", "keep", "this", "your"])
+        code = r.choice(["None", "null", "true", "false", "get_password()", "${DB_PASSWORD}", 'os.environ["TOKEN"]', "args.password",
+                         "{{secret}}", "input()", "********", "str", "string", "required", "self.token"])
+        long_word = "-".join(r.choice(syllables) + r.choice(syllables) for _ in range(r.randint(3, 5)))
+        for value, left, right, path in (
+            (prose, r.choice(["the secret: ", "author: ", "password: ", "token: "]), " is", "notes"), (code, f"{r.choice(names)} = ", "\n", "src/app.py"),
+            (code, f"{r.choice(names)}=", "\n", "src/app.py"), (str(r.randint(1, 9999)), f"max_{r.choice(names)}s: ", "\n", "src/app.py"),
+            (long_word, r.choice(plain) + " ", " and", "web/page"), (long_word.replace("-", "/"), "https://site/", " ", "web/page"),
+            (long_word.replace("-", ""), r.choice(plain) + " ", " ", "notes"), ("x" * r.randint(16, 99), "", " ", "notes"),
+            (r.choice(["password", "pass", "changeme", "<password>"]), "postgres://user:", "@host/db", "docs/setup"),
+            (some(letter[26:], 8) + ".report-" + long_word + str(r.randint(1, 99)) + ".html", "https://", " ", "web/page"),
+        ):
+            add(value, left, right, path, 0)
     return out
 
 
@@ -170,9 +209,11 @@ def strict_label(value: str, left: str) -> int | None:
     """A label for a candidate whose surroundings leave no doubt, else None."""
     if PLACEHOLDER.search(value):
         return 0
+    if BLOCK.fullmatch(value):
+        return 1 if len(value) > 200 else None
     named, assigned = bool(NAMES.search(left)), bool(ASSIGNED.search(left))
-    if named and assigned and not value.isdigit():
-        return 1
+    if named and assigned and len(value) >= LEAST_LETTERS and any(c.isdigit() for c in value) and not value.isdigit():
+        return 1 if CANDIDATE.fullmatch(value) or DOTTED.fullmatch(value) else None
     return None if named or assigned or value.startswith(PREFIXES) else 0
 
 
@@ -232,13 +273,48 @@ class Forest:
         return total / len(self.trees)
 
 
+def spans(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the candidates of all forms; forms may give the same place."""
+    for m in CANDIDATE.finditer(text):
+        if len(m.group()) >= LEAST_LETTERS:
+            yield m.span()
+    if "." in text:
+        for m in DOTTED.finditer(text):
+            if m.group().startswith(PREFIXES) or any(
+                    len(x) >= LEAST_LETTERS and any(c.isdigit() for c in x) for x in m.group().split(".")):
+                yield m.span()
+    if "://" in text:
+        for m in URL_PASSWORD.finditer(text):
+            yield m.span(1)
+    if "-----BEGIN " in text:
+        for m in BLOCK.finditer(text):
+            yield m.span()
+    for m in NAMED.finditer(text):
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 3:
+            before = re.search(r"[?&][\w\-]*$", text[max(0, m.start() - LEFT): m.start()])
+            if before and "&" in text[a:b]:  # a parameter of a URL
+                b = text.index("&", a)
+            while b > a and text[b - 1] in ",;)]}.":
+                b -= 1
+        if b > a:
+            yield a, b
+
+
 def found(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, value, left, right) of the candidates of a text."""
-    for m in CANDIDATE.finditer(text):
-        value = m.group()
-        if len(value) >= LEAST_LETTERS and any(c.isdigit() for c in value):
-            a, b = m.span()
-            yield a, b, value, text[max(0, a - LEFT): a], text[b: b + 8]
+    for a, b in sorted(set(spans(text))):
+        yield a, b, text[a:b], text[max(0, a - LEFT): a], text[b: b + 8]
+
+
+def redacted(text: str, places: list[tuple[int, int]]) -> str:
+    """The text with a mark for each stretch that the places, sorted by start, cover."""
+    out, end = [], 0
+    for a, b in places:
+        if a >= end:
+            out += [text[end:a], MARK]
+        end = max(end, b)
+    return "".join([*out, text[end:]])
 
 
 def trained(findings: list[tuple[str, str, str, str, int]], words: str) -> Forest:
@@ -301,10 +377,9 @@ def scan_secrets(df: DataFrame, forest: Forest, words: str, text: str = "text",
                 if redact:
                     column = part.column(text).to_pylist()
                     for k, t in enumerate(texts):
-                        for a, b, _, s in reversed(hits[k]):
-                            if s >= THRESHOLD:
-                                t = t[:a] + MARK + t[b:]
-                                column[k] = t
+                        places = [(a, b) for a, b, _, s in hits[k] if s >= THRESHOLD]
+                        if places:
+                            column[k] = redacted(t, places)
                     arrays = [pa.array(column, part.column(text).type) if c == text else part.column(c) for c in kept]
                     yield pa.RecordBatch.from_arrays(arrays, kept)
                 else:
