@@ -7,7 +7,9 @@ is the share by which the best cost stays below the second (1 where only one lan
 
 Letters are lower-cased, each run of other characters is one gap. Parsing is vectorised: many texts take one step
 at a time through the automata's transition tables, in which a missing transition already leads to the state after a new
-phrase has begun. Texts are parsed in segments of `SEGMENT` letters, so a very long text is no chain of as many steps.
+phrase has begun. Texts are parsed in segments of `SEGMENT` letters, so a very long text is no chain of as many steps. Every letter of
+the samples has a code: the `ALPHABET` most frequent ones have columns in the tables, the transitions of all others are
+looked up in one sorted list.
 
 Learned languages are the non-null labels. Their number of rows is counted over the table; sampled rows are those with the
 lowest text hashes. Defined cases: null text, and text without letters, gives `und` with score 0; ties go to the
@@ -47,7 +49,10 @@ def letters(text: str) -> str:
 
 
 class Automaton:
-    """Suffix automaton of a sequence of codes as a dense table: state x code -> state, -1 where there is none."""
+    """Suffix automaton of a sequence of codes as a dense table: state x code -> state, -1 where there is none.
+
+    Transitions by codes from `size` on are in `rare`, as (state, code, state).
+    """
 
     def __init__(self, codes: list[int], size: int):
         step: list[dict[int, int]] = [{}]
@@ -76,8 +81,10 @@ class Automaton:
                     link[q] = link[new] = twin
             last = new
         self.table = np.full((len(step), size), -1, np.int32)
+        self.rare = [(s, c, to) for s, edges in enumerate(step) for c, to in edges.items() if c >= size]
         for s, edges in enumerate(step):
-            self.table[s, list(edges.keys())] = list(edges.values())
+            near = {c: to for c, to in edges.items() if c < size}
+            self.table[s, list(near.keys())] = list(near.values())
 
 
 class Model:
@@ -91,15 +98,22 @@ class Model:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(x for x in samples if letters(samples[x]))
         seen = Counter(c for x in self.languages for c in letters(samples[x]) if c != " ")
-        alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-        self.code = {c: i + 2 for i, c in enumerate(sorted(alphabet))} | {" ": GAP}
-        self.size = len(self.code) + 1
+        ranked = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        alphabet = [*sorted(ranked[:ALPHABET]), *ranked[ALPHABET:]]
+        self.code = {c: i + 2 for i, c in enumerate(alphabet)} | {" ": GAP}
+        self.size, self.all = min(ALPHABET, len(alphabet)) + 2, len(alphabet) + 2
+        edges, self.begun = [], np.zeros((len(self.languages), self.all - self.size), np.int32)
         self.weights, tables, self.roots, base = [], [], [], 1
-        for x in self.languages:
+        for k, x in enumerate(self.languages):
             text = letters(samples[x])
-            table = Automaton([self.code.get(c, OTHER) for c in text], self.size).table
-            table[:, OTHER] = -1  # letters outside the alphabet are never matched
+            automaton = Automaton([self.code[c] for c in text], self.size)
+            table = automaton.table
             lone = base + len(table)
+            self.begun[k] = lone
+            for s, c, to in automaton.rare:
+                edges.append(((base + s) * self.all + c, base + to))
+                if s == 0:
+                    self.begun[k, c - self.size] = base + to
             begun = np.where(table[0] >= 0, table[0] + base, lone)
             signed = np.where(table >= 0, table + base, -begun)
             signed[0] = begun  # at the start of a text there is no phrase to end
@@ -109,7 +123,10 @@ class Model:
             base = lone + 1
         pad = np.zeros((1, self.size), np.int32)
         self.table = np.concatenate([pad, *tables]).astype(np.int32) if tables else pad
-        wide = np.full(0x250, GAP, np.int8)
+        edges.sort()
+        self.edges = np.array([e for e, _ in edges] + [np.iinfo(np.int64).max], np.int64)
+        self.ends = np.array([to for _, to in edges] + [0], np.int32)
+        wide = np.full(0x250, GAP, np.int32)
         for cp in range(0x250):
             low = chr(cp).lower()
             if chr(cp).isalpha():
@@ -124,7 +141,7 @@ class Model:
         if far.any():
             points_far, back = np.unique(points[far], return_inverse=True)
             known = np.array([
-                self.code.get(chr(p).lower(), OTHER) if chr(p).isalpha() else GAP for p in points_far.tolist()], np.int8)
+                self.code.get(chr(p).lower(), OTHER) if chr(p).isalpha() else GAP for p in points_far.tolist()], np.int32)
             codes[far] = known[back]
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))  # with the end mark
         at = np.flatnonzero(codes != GAP)
@@ -134,11 +151,19 @@ class Model:
         apart = np.zeros(len(at), np.int64)
         apart[1:] = (np.diff(at) > 1) & (owner[1:] == owner[:-1])
         place = np.arange(len(at)) + np.cumsum(apart)
-        out = np.full(place[-1] + 1, GAP, np.int8)
+        out = np.full(place[-1] + 1, GAP, np.int32)
         out[place] = codes[at]
         lens = np.bincount(owner, minlength=len(texts)) + np.bincount(owner, apart, len(texts)).astype(np.int64)
         return out, lens
 
+    def rare(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The entries of states (language x text) for codes without a column."""
+        key = state.astype(np.int64) * self.all + code
+        at = np.searchsorted(self.edges, key)
+        begun = self.begun[:, code - self.size]
+        missing = np.where(state == np.array(self.roots, np.int32)[:, None], begun, -begun)
+        return np.where(self.edges[at] == key, self.ends[at], missing)
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text and language, and the texts' lengths in codes."""
         codes, lens = self.codes(texts)
@@ -160,8 +185,11 @@ class Model:
         flat, width = self.table.ravel(), np.int32(self.size)
         for t in range(longest):
             m = active[t]
-            c = codes[start[:m] + t].astype(np.int32)
-            new = flat[state[:, :m] * width + c]
+            c = codes[start[:m] + t]
+            far = np.flatnonzero(c >= width)
+            new = flat[state[:, :m] * width + (np.where(c >= width, GAP, c) if len(far) else c)]
+            if len(far):
+                new[:, far] = self.rare(state[:, far], c[far])
             ends = new < 0
             broken[:, :m] += ends
             np.abs(new, out=new)

@@ -68,6 +68,20 @@ def test_phrases_are_longest_matches():
     assert lens.tolist() == [len(language_id.letters(t)) for t in texts]
 
 
+def test_rare_scripts_beside_latin_languages():
+    """Letters beyond the tables' columns count too; among them two languages of one script, and one of many letters."""
+    r = np.random.default_rng(4)
+    kinds = {"a": range(0x61, 0x7B), "b": range(0xDF, 0x17F), "el": range(0x3B1, 0x3CA), "ru": range(0x430, 0x450),
+             "uk": range(0x430, 0x450), "zh": range(0x4E00, 0x5200)}
+    words = {k: ["".join(chr(c) for c in r.choice(list(v), 5)) for _ in range(60)] for k, v in kinds.items()}
+    text = {k: " ".join(r.choice(v, 3000 if k in "ab" else 150)) for k, v in words.items()}
+    model = language_id.Model(text)
+    probes = {k: " ".join(r.choice(v, 12)) for k, v in words.items()}
+    assert [x for x, _ in model.predict(list(probes.values()))] == list(probes)
+    for name, got in zip(model.languages, model.phrases(list(probes.values()))[0].T, strict=True):
+        assert got.tolist() == [brute_phrases(p, language_id.letters(text[name])) for p in probes.values()]
+
+
 def test_held_out_languages(spark):
     sf = SMALL.replace("0.001", "0.01")
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
