@@ -11,8 +11,8 @@ phrase has begun. Texts are parsed in segments of `SEGMENT` letters, so a very l
 the samples has a code: the `ALPHABET` most frequent ones have columns in the tables, the transitions of all others are
 looked up in one sorted list.
 
-Learned languages are the non-null labels. Their number of rows is counted over the table; sampled rows are those with the
-lowest text hashes. Defined cases: null text, and text without letters, gives `und` with score 0; ties go to the
+Learned languages are the non-null labels. Their number of distinct texts is estimated over the table; sampled texts are
+those with the lowest hashes, copies counting once. Defined cases: null text, and text without letters, gives `und` with score 0; ties go to the
 alphabetically first language; without labelled rows every text is `und`; an empty table gives an empty result;
 input columns with the names of new ones are replaced.
 """
@@ -221,7 +221,8 @@ def sample(df: DataFrame, text: str, lang: str) -> dict[str, str]:
     """
     rows = df.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    texts = F.approx_count_distinct(F.xxhash64("text"))
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(texts.alias("n")).collect()}
     if not counts:
         return {}
     share: Column = F.lit(0.0)

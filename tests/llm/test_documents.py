@@ -82,6 +82,14 @@ def test_rare_scripts_beside_latin_languages():
         assert got.tolist() == [brute_phrases(p, language_id.letters(text[name])) for p in probes.values()]
 
 
+def test_languages_of_many_copies_are_learned(spark):
+    """Ten thousand rows of twenty texts each: all texts are learned, however many copies they have."""
+    df = spark.range(60_000).select((F.col("id") % 6).cast("string").alias("lang"), "id").withColumn(
+        "text", F.concat(F.translate("lang", "012345", "uvwxyz"), F.expr("translate(CAST(id DIV 6 % 20 AS STRING), '0123456789', 'abcdefghij')")))
+    got = language_id.sample(df, "text", "lang")
+    assert {k: len(v.split()) for k, v in got.items()} == {str(k): 20 for k in range(6)}
+
+
 def test_held_out_languages(spark):
     sf = SMALL.replace("0.001", "0.01")
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
