@@ -372,11 +372,17 @@ def reconstruction_error(spark, sf):
     return error.select("vec_id", r6("error").alias("error"), r6(F.least(F.col("error") / 10, F.lit(1.0))).alias("anomaly_score"))
 
 
+def cross_fitted(rows, score):
+    """All rows, each hash half scored by `score(half, train)` with the other half as `train`."""
+    one, two = L.stratified_split(rows, "label", "doc_id", 0.5)
+    return score(one, two).unionByName(score(two, one))
+
+
 @query("supervised_anomaly")
 def supervised_anomaly(spark, sf):
-    """A toxicity forest, scored on documents it has not learned."""
-    train, held_out = L.stratified_split(L.assembled(document_rows(spark, sf, "toxic"), DOC_FEATURES), "label", "doc_id", 0.5)
-    scored = L.supervised(held_out, train=train)
+    """Toxicity forests; each document is scored by the one that has not learned it."""
+    rows = L.assembled(document_rows(spark, sf, "toxic"), DOC_FEATURES)
+    scored = cross_fitted(rows, lambda half, train: L.supervised(half, train=train))
     return scored.select("doc_id", "label", r6("p").alias("p"), (F.col("p") > 0.5).alias("is_anomaly"))
 
 
@@ -435,11 +441,13 @@ def risk_regressors(spark, sf):
 
 @query("soft_vote")
 def soft_vote(spark, sf):
-    """Votes on documents that the models have not learned."""
-    rows, held_out = L.stratified_split(L.assembled(document_rows(spark, sf), DOC_FEATURES), "label", "doc_id", 0.5)
-    forest_model = L.RandomForestClassifier(labelCol="label", numTrees=100, seed=L.SEED).fit(rows)
-    network = L.MultilayerPerceptronClassifier(labelCol="label", layers=[len(DOC_FEATURES), 10, 2], maxIter=50, seed=L.SEED).fit(rows)
-    out = L.soft_vote(held_out, [forest_model, network])
+    """Votes on each document of the models that have not learned it."""
+    def vote(half, train):
+        forest_model = L.RandomForestClassifier(labelCol="label", numTrees=100, seed=L.SEED).fit(train)
+        network = L.MultilayerPerceptronClassifier(labelCol="label", layers=[len(DOC_FEATURES), 10, 2], maxIter=50, seed=L.SEED).fit(train)
+        return L.soft_vote(half, [forest_model, network])
+
+    out = cross_fitted(L.assembled(document_rows(spark, sf), DOC_FEATURES), vote)
     return out.select("doc_id", "label", r6("p").alias("p"))
 
 
@@ -452,10 +460,9 @@ def grid_search(spark, sf):
 
 @query("calibrate")
 def calibrate(spark, sf):
-    """Calibrated scores of documents that the calibration has not seen."""
+    """Calibrated scores of all documents, each by the calibration that has not seen it."""
     rows = labelled(spark, sf).select("doc_id", "p", F.col("label").cast("double").alias("label"))
-    train, held_out = L.stratified_split(rows, "label", "doc_id", 0.5)
-    out = L.calibrate(held_out, "p", train=train)
+    out = cross_fitted(rows, lambda half, train: L.calibrate(half, "p", train=train))
     return out.select("doc_id", "label", r6("isotonic").alias("isotonic"), r6("sigmoid").alias("sigmoid"))
 
 

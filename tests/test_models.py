@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from sessionlens.operators import explain, forest, joins
 from sessionlens.operators import learning as L
-from sessionlens.plans.models import DOC_FEATURES, document_rows, quality_forest, scorer
+from sessionlens.plans.models import DOC_FEATURES, cross_fitted, document_rows, labelled, quality_forest, scorer
+from sessionlens.plans.models import calibrate, soft_vote, supervised_anomaly
 
 
 @pytest.fixture(scope="module")
@@ -138,6 +139,24 @@ def test_calibration_is_monotone(spark):
     assert all(a.isotonic <= b.isotonic + 1e-12 and a.sigmoid <= b.sigmoid + 1e-12 for a, b in zip(out, out[1:]))
 
 
+@pytest.mark.parametrize("query", [supervised_anomaly, soft_vote, calibrate])
+def test_every_labelled_document_is_answered(spark, query):
+    got = [r.doc_id for r in query(spark, SMALL).collect()]
+    assert sorted(got) == sorted(r.doc_id for r in labelled(spark, SMALL).select("doc_id").collect())
+
+
+def test_each_half_is_scored_by_the_other(spark):
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
+    calls = []
+
+    def score(half, train):
+        calls.append(({r.doc_id for r in half.collect()}, {r.doc_id for r in train.collect()}))
+        return half
+
+    assert cross_fitted(rows, score).count() == 200
+    assert calls[0] == calls[1][::-1] and calls[0][0].isdisjoint(calls[0][1])
+
+
 def test_private_counts_stay_near_the_clipped_totals(spark):
     rows = spark.range(5000).select((F.col("id") % 100).alias("u"), (F.col("id") % 4).alias("c"))
     out = {r.c: r.noisy_count for r in L.private_counts(rows, "u", "c", epsilon=5.0, per_user=3, seed=1).collect()}
