@@ -7,8 +7,9 @@ dictionary words cover, its path (the place the text came from) and the words in
 labelled findings gives the probability that it is a secret; candidates below the threshold are dropped as false positives.
 
 Labelled findings are those made from the formats and placeholders below, plus a bounded sample of candidates of the
-table (the `MAX_LABELLED` with the lowest hashes) that a strict rule labels: a quoted or assigned value of a key named
-like a secret is one, a candidate without any such name, quote or assignment near it is none, others are left out.
+table (of each label half of `MAX_LABELLED`, those with the lowest hashes, copies counting once) that a strict rule
+labels: a quoted or assigned value of a key named like a secret is one, a candidate without any such name, quote or
+assignment near it is none, others are left out.
 The dictionary is the list of whole words of a public tokenizer file.
 
 Scanning and scoring need one pass over the texts; only the forest and dictionary are sent to the tasks (both bounded).
@@ -40,6 +41,7 @@ from sessionlens.session import spread
 
 THRESHOLD = 0.5
 MAX_LABELLED = 2000
+PARTS = 4
 TREES, DEPTH, LEAST = 40, 8, 4
 MARK = "[REDACTED SECRET]"
 
@@ -323,28 +325,53 @@ def trained(findings: list[tuple[str, str, str, str, int]], words: str) -> Fores
     return Forest(x, np.array([f[4] for f in findings]))
 
 
+def lowest(rows: Iterator[tuple], most: int) -> list[tuple]:
+    """Of each label the `most` rows (h, path, right, value, left, label) with the lowest hashes, the smallest row per hash."""
+    best: tuple[dict, dict] = ({}, {})
+    for row in rows:
+        held = best[row[-1]]
+        if row[0] not in held or row < held[row[0]]:
+            held[row[0]] = row
+            if len(held) > 4 * most:
+                for h in sorted(held)[most:]:
+                    del held[h]
+    return [held[h] for held in best for h in sorted(held)[:most]]
+
+
 def labelled_sample(df: DataFrame, text: str, path: str, most: int = MAX_LABELLED) -> list[tuple[str, str, str, str, int]]:
-    """Candidates of the table that the strict rule labels, the `most` with the lowest hashes."""
-    schema = "value string, left string, right string, path string, label int, h long"
+    """Candidates of the table that the strict rule labels; of each label the `most` / 2 with the lowest hashes.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Copies (equal left and value) count once. Each task keeps its lowest, `PARTS` tasks keep the lowest of those.
+    """
+    names = ["h", "path", "right", "value", "left", "label"]
+    kinds = [pa.int64(), *[pa.string()] * 4, pa.int32()]
+    schema = "h long, path string, right string, value string, left string, label int"
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                rows = []
                 for t, where in zip(texts, part.column("path").to_pylist(), strict=True):
                     for _, _, value, left, right in found(t):
                         label = strict_label(value, left)
                         if label is not None:
                             h = hashlib.blake2b(f"{left}\0{value}".encode(), digest_size=7).digest()
-                            rows.append((value[:4096], left, right, where, label, int.from_bytes(h, "big")))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                kinds = [pa.string()] * 4 + [pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                                 ["value", "left", "right", "path", "label", "h"])
+                            yield int.from_bytes(h, "big"), where, right, value[:4096], left, label
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield batch_of(lowest(labelled(batches), most // 2))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+        yield batch_of(lowest(rows, most // 2))
 
     rows = df.select(F.col(text).alias("text"), F.coalesce(F.col(path), F.lit("")).cast("string").alias("path"))
-    low = spread(rows).mapInArrow(scan, schema).orderBy("h", "path", "right").limit(most)
-    return [(r["value"], r["left"], r["right"], r["path"], r["label"]) for r in low.collect()]  # `most` rows
+    few = spread(rows).mapInArrow(scan, schema).repartition(PARTS, "h").mapInArrow(merge, schema)
+    low = lowest((tuple(r) for r in few.collect()), most // 2)  # at most `PARTS` x `most` rows
+    return [(value, left, right, path, label) for _, path, right, value, left, label in low]
 
 
 def scan_secrets(df: DataFrame, forest: Forest, words: str, text: str = "text", path: str = "source",

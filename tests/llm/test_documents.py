@@ -479,6 +479,16 @@ def test_overlapping_places_are_cut_once():
     assert secret_scan.redacted("abcdefgh", [(1, 4), (2, 6), (7, 8)]) == "a" + secret_scan.MARK + "g" + secret_scan.MARK
 
 
+def test_copies_do_not_fill_the_labelled_sample(spark):
+    """However many copies a finding has, it counts once, and both labels get their share."""
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(30)]
+    texts = [f'x token = "{k}"' for k in keys[:10] for _ in range(40)] + [f"see build {k} now" for k in keys[10:] for _ in range(40)]
+    df = spark.createDataFrame([(t, f"p{i}") for i, t in enumerate(texts)], "text string, source string").repartition(5)
+    got = secret_scan.labelled_sample(df, "text", "source", most=20)
+    assert len({f[0] for f in got}) == len(got) == 20 and sum(f[4] for f in got) == 10
+    assert len(secret_scan.labelled_sample(df, "text", "source")) == 30
+
+
 # --- pipeline ------------------------------------------------------------------------------------------
 
 
