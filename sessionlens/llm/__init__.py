@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["sharding", "exact_dedup", "bpe_codec", "token_counts", "packing", "line_dedup", "language_id", "quality_rules", "ngram_join", "secret_scan"]
+MODULES = ["sharding", "exact_dedup", "bpe_codec", "token_counts", "packing", "line_dedup", "language_id", "quality_rules", "ngram_join", "secret_scan",
+           "alignment"]
 
 
 def load():
