@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ["sharding", "exact_dedup", "bpe_codec", "token_counts", "packing", "line_dedup", "language_id", "quality_rules", "ngram_join", "secret_scan",
-           "alignment", "lexical_search"]
+           "alignment", "lexical_search", "suffix_dedup"]
 
 
 def load():
