@@ -22,8 +22,10 @@ memory follows the longest run without a blank.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +48,10 @@ SLICE_ROWS = 1_000_000
 PIECES = re.compile(f" (?:[^ ]+|(?<=[{WHITE}]) +)*")
 """A space and what follows, up to the next space behind a character that is not white."""
 
+JOINED = 1 << 15
+"""Characters of pieces that are encoded as one text."""
+
+BLANKS = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
 LINK = T.StructType().add("pair", "long").add("n", "long")
 OUT = (
     T.StructType().add("n_a", "long").add("n_b", "long").add("n_groups", "long").add("n_links", "long")
@@ -137,6 +143,7 @@ class Aligner:
     """Encodes with both tokenizers and aligns their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
@@ -156,31 +163,65 @@ class Aligner:
         self.blank = [self.b.piece_to_id("▁")]
         self.memo = Memo()
 
-    def learn(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
-        """Ids of A and of B of pieces, as bytes, and whether both give the piece back."""
-        both_a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
-        both_b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        out = {}
-        for piece, e, b in zip(pieces, both_a, both_b, strict=True):
-            a, b = e.ids, b or self.blank
+    def learn(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids of A and of B of pieces, as bytes; both empty where either does not give the piece back.
+
+        Pieces that end in a character that is not white are encoded as one text, as they would stand in a document."""
+        out, alone, block, size = {}, [], [], 0
+        for piece in pieces:
+            if piece[-1] in BLANKS:
+                alone.append(piece)
+                continue
+            block.append(piece)
+            size += len(piece)
+            if size >= JOINED:
+                alone += self.learn_joined(block, out)
+                block, size = [], 0
+        for piece in alone + self.learn_joined(block, out):
+            a, b = self.encoded(piece)
             raw = piece.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-            out[piece] = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes(), same
+            same = b"".join([self.bytes_a[i] for i in a.tolist()]) == raw == b"".join([self.bytes_b[i] for i in b.tolist()])
+            out[piece] = (a.tobytes(), b.tobytes()) if same else (b"", b"")
         return out
 
+    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A and of B of a text that begins with a blank."""
+        a = self.a.encode(text, add_special_tokens=False).ids
+        b = self.b.encode(text[1:], num_threads=1)
+        return np.array(a, np.int32), np.array(b or self.blank, np.int32)
+
+    def learn_joined(self, pieces: list[str], out: dict) -> list[str]:
+        """Pieces as one text; returns them where that text is not given back byte by byte."""
+        if not pieces:
+            return []
+        text = "".join(pieces)
+        raw = text.encode()
+        stops, sides = np.cumsum([len(p.encode()) for p in pieces]), []
+        for ids, table, long in zip(self.encoded(text), (self.bytes_a, self.bytes_b), (self.long_a, self.long_b), strict=True):
+            ends = np.cumsum(long[ids])
+            place = np.searchsorted(ends, stops)
+            if b"".join([table[i] for i in ids.tolist()]) != raw or (ends[place] != stops).any():
+                return pieces
+            data, cuts = ids.tobytes(), [0, *(4 * (place + 1)).tolist()]
+            sides.append([data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+        out.update(zip(pieces, zip(*sides, strict=True), strict=True))
+        return []
+
     def sections(self, texts: list[str]) -> Iterator[list[tuple[int, list[str], bool]]]:
         """Lists of (document, pieces, whether they close it) of about SECTION_BYTES; a long document comes in several."""
         batch, size = [], 0
         for i, text in enumerate(texts):
-            pieces = PIECES.findall(" " + text) if text else []
-            begin = 0
-            for k, piece in enumerate(pieces, 1):
-                size += len(piece)
-                if size >= SECTION_BYTES:
-                    yield [*batch, (i, pieces[begin:k], k == len(pieces))]
-                    batch, size, begin = [], 0, k
+            pieces, begin = PIECES.findall(" " + text) if text else [], 0
+            if size + len(text) >= SECTION_BYTES:
+                for k, piece in enumerate(pieces, 1):
+                    size += len(piece)
+                    if size >= SECTION_BYTES:
+                        yield [*batch, (i, pieces[begin:k], k == len(pieces))]
+                        batch, size, begin = [], 0, k
+            else:
+                size += len(text)
             if begin < len(pieces):
-                batch.append((i, pieces[begin:], True))
+                batch.append((i, pieces[begin:] if begin else pieces, True))
         if batch:
             yield batch
 
@@ -191,11 +232,12 @@ class Aligner:
         pairs: list[list] = [[] for _ in texts]
         bad = {i for i, text in enumerate(texts) if not text}
         for part in self.sections(texts):
-            found = self.memo.fetch((p for _, pieces, _ in part for p in pieces), self.learn)
-            bad.update(i for i, pieces, _ in part if not all(found[p][2] for p in pieces))
-            part = [x for x in part if x[0] not in bad]
-            if part:
-                self.align(part, found, hashes, numbers, pairs)
+            found = self.memo.fetch(chain.from_iterable([pieces for _, pieces, _ in part]), self.learn)
+            ids = [(i, *zip(*map(found.__getitem__, pieces), strict=True), closes) for i, pieces, closes in part]
+            bad.update(i for i, a, _, _ in ids if b"" in a)
+            ids = [x for x in ids if x[0] not in bad]
+            if ids:
+                self.align(ids, hashes, numbers, pairs)
         out = []
         for i in range(len(texts)):
             if i in bad:
@@ -208,10 +250,10 @@ class Aligner:
             out.append((*numbers[i].tolist(), hashes[i].hexdigest(), keys, counts))
         return out
 
-    def align(self, part, found, hashes, numbers, pairs) -> None:
-        """One batch of sections: adds to the digests, numbers and pairs of their documents."""
-        raw_a = [b"".join([found[p][0] for p in pieces]) for _, pieces, _ in part]
-        raw_b = [b"".join([found[p][1] for p in pieces]) for _, pieces, _ in part]
+    def align(self, part, hashes, numbers, pairs) -> None:
+        """One batch of sections (document, ids of A and of B by pieces, whether they close it): adds to the digests, numbers
+        and pairs of their documents."""
+        raw_a, raw_b = [b"".join(x) for _, x, _, _ in part], [b"".join(x) for _, _, x, _ in part]
         size_a, size_b = (np.array([len(x) // 4 for x in raw]) for raw in (raw_a, raw_b))
         a, b = (np.frombuffer(b"".join(raw), np.int32) for raw in (raw_a, raw_b))
         end_a, end_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
@@ -234,7 +276,7 @@ class Aligner:
         section_of_a = np.repeat(np.arange(len(part)), size_a)
         last = np.zeros(len(b), bool)
         stop_b = np.cumsum(size_b) - 1
-        last[stop_b] = [closes for _, _, closes in part]
+        last[stop_b] = [x[-1] for x in part]
         spelt, upto = spelled(a, b, met_a, met_b, self.tables, last)
         spelt, cuts = spelt.tobytes(), [0, *upto[stop_b].tolist()]
         groups = np.bincount(section_of_a[met_a], minlength=len(part))
@@ -243,7 +285,7 @@ class Aligner:
         pair = a[link_a].astype(np.int64) * len(self.bytes_b) + b[link_b]
         keys, counts = np.unique(section_of_a[link_a] * room + pair, return_counts=True)
         bounds = np.searchsorted(keys, np.arange(len(part) + 1) * room)
-        for k, (i, _, _) in enumerate(part):
+        for k, (i, *_) in enumerate(part):
             hashes[i].update(spelt[cuts[k]: cuts[k + 1]])
             numbers[i] += (size_a[k], size_b[k], groups[k], links[k])
             own = slice(bounds[k], bounds[k + 1])

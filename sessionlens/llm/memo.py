@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from itertools import islice
+from itertools import chain, islice
 
 LIMIT_BYTES = 48 << 20
 LONGEST = 256
@@ -13,32 +13,38 @@ ENTRY_BYTES = 300
 """What the objects of an entry take beside their content, at most."""
 
 
-def size_of(piece: str | bytes, value: tuple) -> int:
-    """Bytes an entry takes, at most (a character takes up to four)."""
-    return ENTRY_BYTES + 4 * len(piece) + sum(len(v) if isinstance(v, bytes) else 32 for v in value)
+def taken(entries: dict[str, tuple]) -> int:
+    """Bytes that entries take, at most (a character takes up to four)."""
+    values = chain.from_iterable(entries.values())
+    return ENTRY_BYTES * len(entries) + 4 * sum(map(len, entries)) + sum(map(len, values))
 
 
 class Memo:
-    """Values of pieces; when it is full, those learned first stay, mostly the frequent ones."""
+    """Values (tuples of bytes) of pieces; when it is full, those learned first stay, mostly the frequent ones."""
 
     def __init__(self, limit: int = LIMIT_BYTES):
-        self.limit, self.size, self.store = limit, 0, {}
+        self.limit, self.size, self.store, self.passing = limit, 0, {}, []
 
-    def fetch(self, pieces: Iterable, learn: Callable[[list], dict]) -> dict:
-        """The values of all pieces; those the memo lacks are learned together."""
-        needed = set(pieces)
-        store = self.store
-        missing = [p for p in needed if p not in store]
-        new = learn(missing) if missing else {}
-        out = {p: new[p] if p in new else store[p] for p in needed}
-        fresh = {p: v for p, v in new.items() if len(p) <= LONGEST}
-        self.size += sum(map(size_of, fresh, fresh.values()))
-        store.update(fresh)
+    def make_room(self) -> None:
+        """Forget the long pieces of the last call, and all but the first third of a full memo."""
+        for p in self.passing:
+            del self.store[p]
+        self.passing = []
         if self.size > self.limit:
-            self.store, self.size = {}, 0
-            for p, v in islice(store.items(), len(store)):
-                self.size += size_of(p, v)
-                if self.size > self.limit // 3:
-                    break
-                self.store[p] = v
-        return out
+            share = self.limit / 3 / self.size
+            self.store = dict(islice(self.store.items(), int(len(self.store) * share)))
+            self.size = taken(self.store)
+            if self.size > self.limit:  # unlike sizes
+                self.store, self.size = {}, 0
+
+    def fetch(self, pieces: Iterable[str], learn: Callable[[list[str]], dict]) -> dict:
+        """A table with the values of all pieces, good until the next call; those it lacks are learned together."""
+        self.make_room()
+        store = self.store
+        missing = [p for p in set(pieces) if p not in store]
+        if missing:
+            new = learn(missing)
+            store.update(new)
+            self.passing = [p for p in missing if len(p) > LONGEST]
+            self.size += taken(new) - taken({p: new[p] for p in self.passing})
+        return store
