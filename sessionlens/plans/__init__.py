@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["sources", "rows", "joins", "aggregates", "windows", "ranking", "scoring", "models", "streams"]
+SECTIONS = ["sources", "rows", "joins", "aggregates", "windows", "ranking", "scoring", "models", "density", "streams"]
 
 
 def load():
