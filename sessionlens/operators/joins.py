@@ -181,6 +181,47 @@ def range_lookup(df: DataFrame, point: str, ranges: DataFrame, low: str, high: s
     ).drop("_bucket", "_range_bucket")
 
 
+def aligned_blocks(low: Column, high: Column, bits: int) -> Column:
+    """The fewest aligned blocks of 2^level numbers that make up the range low..high, as an array of (level, prefix).
+
+    At each level at most one block begins the range and one ends it, so a range makes 2 * bits blocks at most."""
+    blocks = []
+    for level in range(bits + 1):
+        first = F.shiftright(low + F.lit((1 << level) - 1).cast("long"), level)
+        last = F.shiftright(high + F.lit(1).cast("long"), level) - 1
+        some = first <= last
+        blocks.append(F.when(some & (first % 2 == 1), F.struct(F.lit(level).alias("level"), first.alias("prefix"))))
+        blocks.append(F.when(some & (last % 2 == 0), F.struct(F.lit(level).alias("level"), last.alias("prefix"))))
+    return F.filter(F.array(*blocks), lambda b: b.isNotNull())
+
+
+def narrowest_range(df: DataFrame, point: str, ranges: DataFrame, low: str, high: str, bits: int = 32) -> DataFrame:
+    """Join points to the narrowest of the ranges that hold them; ranges may nest and overlap.
+
+    Ranges are cut into aligned blocks, so a point lies in a block of a level exactly if its leading bits are the block's
+    prefix: one equi-join per level that occurs, without any range condition, and with one block per prefix. A range over
+    half of all numbers makes a few blocks, not one for each bucket. Of equally narrow ranges the one with the smallest
+    low end counts, then the one whose columns come first in order.
+
+    Numbers are from 0 to 2^bits - 1 (bits up to 61). Ranges that are empty or have a NULL end hold nothing; a NULL point, or
+    one outside all ranges, keeps NULLs.
+    """
+    payload = ranges.columns
+    rank = F.struct((F.col(high) - F.col(low)).alias("_w"), F.col(low).alias("_l"), F.struct(*payload).alias("_r"))
+    blocks = cut_lineage(
+        ranges.filter(F.col(low) <= F.col(high)).select(rank.alias("_rank"), F.explode(aligned_blocks(F.col(low), F.col(high), bits)).alias("_b"))
+        .groupBy(F.col("_b.level").alias("_level"), F.col("_b.prefix").alias("_prefix")).agg(F.min("_rank").alias("_rank")))
+    levels = [r[0] for r in blocks.select("_level").distinct().orderBy("_level").collect()]  # bits + 1 at most
+    out = df
+    for level in levels:
+        own = blocks.filter(F.col("_level") == level).select(F.col("_prefix").alias(f"_p{level}"), F.col("_rank").alias(f"_r{level}"))
+        out = out.join(checked_broadcast(own), F.shiftright(F.col(point), level) == F.col(f"_p{level}"), "left").drop(f"_p{level}")
+    found = [F.col(f"_r{level}") for level in levels]
+    nothing = F.lit(None).cast(blocks.schema["_rank"].dataType)
+    best = F.array_min(F.array(*found)) if found else nothing
+    return out.withColumn("_best", best).select(*df.columns, *(F.col("_best._r")[c].alias(c) for c in payload))
+
+
 def _cells(points: DataFrame, eps: float) -> DataFrame:
     side = eps / 2**0.5
     return points.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))

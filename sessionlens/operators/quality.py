@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionlens.functions.distributions import student_p
 from sessionlens.operators.sequence import running
 
 
@@ -155,7 +156,7 @@ def confidence_levels(df: DataFrame, level: str, score: str) -> DataFrame:
 
 
 def confidence_drift(df: DataFrame, score: str, order: Sequence[str] = ("ts", "event_id"), window: int = 100) -> DataFrame:
-    """The newest `window` scores against the `window` before: moments, t statistic and severity, as one row.
+    """The newest `window` scores against the `window` before: moments, t statistic with its p-value, and severity, as one row.
 
     With fewer scores than both windows take, severity and direction are `insufficient_data`.
     """
@@ -179,6 +180,7 @@ def confidence_drift(df: DataFrame, score: str, order: Sequence[str] = ("ts", "e
         .withColumn("t_statistic", F.try_divide(-drift, F.sqrt(pooled * (F.try_divide(F.lit(1), n) + F.try_divide(F.lit(1), m)))))
         .withColumn("severity", F.when(few, "insufficient_data").when(F.abs(drift) > 0.1, "high").when(F.abs(drift) > 0.05, "medium").otherwise("low"))
         .withColumn("direction", F.when(few, "insufficient_data").when(drift > 0, "increasing").otherwise("decreasing"))
+        .withColumn("p_value", student_p(F.col("t_statistic"), (n + m - 2).cast("double")))
         .drop("_n", "_m", "_vn", "_vm")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.functions import clock
 from sessionlens.operators.aggregates import transitions
-from sessionlens.operators.sequence import attach, framed, last_known, running, settled
+from sessionlens.operators.sequence import attach, framed, last_known, matched, running, settled
 from sessionlens.session import checked_broadcast, cut_lineage
 
 GROUP = ["user_id"]
@@ -454,6 +454,73 @@ def sequence_likelihood(df: DataFrame, kind: str = "event_type", n: int = 50) ->
     return settled(framed_rows.withColumn("likelihood", F.avg("_logp").over(last(w, n)))).drop("_prev", "_logp")
 
 
+def ngram_tables(rows: DataFrame, kind: str, least: int) -> dict[str, DataFrame]:
+    """Counts of sequences of one, two and three kinds; longer ones seen fewer than `least` times are left out.
+
+    Columns: the kinds (`_p2`, `_p1`, kind), `n` and, for one and two, `left`: before how many different kinds it follows."""
+    seen = cut_lineage(rows.groupBy("_p2", "_p1", kind).agg(F.count(F.lit(1)).alias("n")))
+    three = seen.filter(F.col("_p2").isNotNull() & (F.col("n") >= least))
+    two = seen.filter(F.col("_p1").isNotNull()).groupBy("_p1", kind).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    one = seen.groupBy(kind).agg(F.sum("n").alias("n"))
+    after_two = three.groupBy("_p1", kind).agg(F.count(F.lit(1)).alias("left"))
+    after_one = two.groupBy(kind).agg(F.count(F.lit(1)).alias("left"))
+    two = matched(two, after_two, ["_p1", kind], "left")
+    return {"seen": seen, "three": three, "two": cut_lineage(two), "one": cut_lineage(matched(one, after_one, [kind], "left"))}
+
+
+def ngram_probabilities(asked: DataFrame, tables: dict[str, DataFrame], kind: str, discount: float) -> DataFrame:
+    """p1, p2 and p3 of each asked (`_p2`, `_p1`, kind): probabilities of the kind after none, one and two kinds.
+
+    Interpolated with absolute discounts: of each count `discount` is taken away and given to the shorter context, down to
+    equal shares of all kinds. Within longer models a shorter sequence counts by the number of different kinds before it
+    (continuations), since its own count is spent where the longer one was seen. A context that is NULL or was not kept
+    leaves everything to the shorter one, so the probabilities after each context sum to 1, also of what was never seen.
+    """
+
+    def level(table: DataFrame, context: list[str], value: str, name: str) -> tuple[DataFrame, DataFrame]:
+        """Discounted shares and the mass left over, per context."""
+        some = table.filter(F.coalesce(F.col(value), F.lit(0)) > 0)
+        total = some.groupBy(*context).agg(F.sum(value).alias(f"_{name}_all"), F.count(F.lit(1)).alias(f"_{name}_kinds"))
+        return some.select(*context, kind, F.col(value).alias(f"_{name}")), total
+
+    def with_level(df: DataFrame, table: DataFrame, context: list[str], value: str, name: str, shorter: Column) -> tuple[DataFrame, Column]:
+        shares, total = level(table, context, value, name)
+        out = matched(df, checked_broadcast(shares), [*context, kind], "left")
+        every, kinds = F.col(f"_{name}_all"), F.col(f"_{name}_kinds")
+        if context:
+            out = matched(out, checked_broadcast(total), context, "left")
+        else:
+            every, kinds = (total.select(c).scalar() for c in (every, kinds))
+        own = F.greatest(F.coalesce(F.col(f"_{name}"), F.lit(0)) - discount, F.lit(0.0)) / every
+        rest = discount * kinds / every
+        return out, F.when(every > 0, own + rest * shorter).otherwise(shorter)
+
+    one, two, three = tables["one"], tables["two"], tables["three"]
+    kinds, events = one.agg(F.count(F.lit(1))).scalar(), one.agg(F.sum("n")).scalar()
+    base = matched(asked, checked_broadcast(one.select(kind, F.col("n").alias("_n"))), [kind], "left")
+    base, after_none = with_level(base, one, [], "left", "c1", 1 / kinds)
+    base, raw_two = with_level(base, two, ["_p1"], "n", "r2", after_none)
+    base, after_one = with_level(base, two, ["_p1"], "left", "c2", after_none)
+    base, raw_three = with_level(base, three, ["_p2", "_p1"], "n", "r3", after_one)
+    return base.select(*asked.columns, (F.coalesce("_n", F.lit(0)) / events).alias("p1"), raw_two.alias("p2"), raw_three.alias("p3"))
+
+
+def sequence_ngrams(df: DataFrame, kind: str = "event_type", n: int = 50, least: int = 2, discount: float = 0.75) -> DataFrame:
+    """Mean log-probability of the last n events under back-off models of one, two and three kinds (likelihood_1 to _3).
+
+    Models are over all groups; sequences never span groups. Each distinct sequence is scored once, and rows look theirs up.
+    """
+    rows, w = framed(df, GROUP, back=2)
+    stepped = settled(rows.withColumns({"_p1": F.lag(kind, 1).over(w), "_p2": F.lag(kind, 2).over(w)}))
+    tables = ngram_tables(stepped, kind, least)
+    scored = ngram_probabilities(tables["seen"].drop("n"), tables, kind, discount)
+    logs = cut_lineage(scored.select("_p2", "_p1", kind, *(F.ln(f"p{i}").alias(f"_l{i}") for i in (1, 2, 3))))
+    looked = matched(stepped, checked_broadcast(logs), ["_p2", "_p1", kind], "left").drop("_p1", "_p2")
+    framed_rows, w = framed(looked, GROUP, back=n)
+    means = {f"likelihood_{i}": F.avg(f"_l{i}").over(last(w, n)) for i in (1, 2, 3)}
+    return settled(framed_rows.withColumns(means)).drop("_l1", "_l2", "_l3")
+
+
 def since_last_device(df: DataFrame) -> DataFrame:
     """Seconds since the last earlier device event."""
     seen = last_known(df, GROUP, {"_usb": F.when(F.col("kind") == "usb", F.col("us"))})

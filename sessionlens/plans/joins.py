@@ -277,3 +277,23 @@ def geo_enrich(spark, sf):
     ip = (F.col("event_id") % wrap) * F.lit(1103515245).cast("long") % wrap
     points = read(spark, sf, "events").select("event_id", ip.alias("ip"))
     return joins.range_lookup(points, "ip", ranges, "low", "high", 2**25).select("event_id", "ip", "place")
+
+
+@query(
+    "geo_enrich_nested",
+    """WITH r AS (SELECT n_name AS place, n_nationkey::BIGINT * 171798691 AS low, n_nationkey::BIGINT * 171798691 + 171798690 AS high FROM nation
+  UNION ALL SELECT r_name, r_regionkey::BIGINT * 400000001, 2147483648 + r_regionkey::BIGINT * 500000003 FROM region),
+e AS (SELECT event_id, (event_id % 4294967296) * 1103515245 % 4294967296 AS ip FROM events)
+SELECT event_id, ip, place, high - low AS width FROM e LEFT JOIN r ON ip BETWEEN low AND high
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY high - low, low, place) = 1""",
+)
+def geo_enrich_nested(spark, sf):
+    """Addresses against ranges that nest and overlap: those of nations within those of regions, which cover half of all each."""
+    n, r = F.col("n_nationkey").cast("long") * 171798691, F.col("r_regionkey").cast("long")
+    ranges = read(spark, sf, "nation").select(F.col("n_name").alias("place"), n.alias("low"), (n + 171798690).alias("high")).unionByName(
+        read(spark, sf, "region").select(F.col("r_name").alias("place"), (r * 400000001).alias("low"), (r * 500000003 + 2147483648).alias("high")))
+    wrap = F.lit(4294967296).cast("long")
+    ip = (F.col("event_id") % wrap) * F.lit(1103515245).cast("long") % wrap
+    points = read(spark, sf, "events").select("event_id", ip.alias("ip"))
+    out = joins.narrowest_range(points, "ip", ranges, "low", "high")
+    return out.select("event_id", "ip", "place", (F.col("high") - F.col("low")).alias("width"))

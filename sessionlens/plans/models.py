@@ -231,13 +231,14 @@ def confidence_trend(spark, sf):
 CONF_DRIFT_SQL = RELIABLE_SQL + """, nn AS (SELECT reliability AS s, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM rel),
 ww AS (SELECT avg(s) FILTER (WHERE rn <= 100) AS rm, avg(s) FILTER (WHERE rn > 100) AS om, stddev_pop(s) FILTER (WHERE rn <= 100) AS rs, stddev_pop(s) FILTER (WHERE rn > 100) AS os,
   median(s) FILTER (WHERE rn <= 100) AS rmed, median(s) FILTER (WHERE rn > 100) AS omed, var_samp(s) FILTER (WHERE rn <= 100) AS vn, var_samp(s) FILTER (WHERE rn > 100) AS vm FROM nn WHERE rn <= 200),
-dd AS (SELECT *, rm - om AS drift, (om - rm) / sqrt((99 * vn + 99 * vm) / 198 * (2 / 100)) AS t, CASE WHEN abs(rm - om) > 0.1 THEN 'high' WHEN abs(rm - om) > 0.05 THEN 'medium' ELSE 'low' END AS severity FROM ww)"""
+dd AS (SELECT *, rm - om AS drift, (om - rm) / sqrt((99 * vn + 99 * vm) / 198 * (2 / 100)) AS t, CASE WHEN abs(rm - om) > 0.1 THEN 'high' WHEN abs(rm - om) > 0.05 THEN 'medium' ELSE 'low' END AS severity FROM ww),
+pp AS (SELECT 1 - sin(atan(abs(t) / sqrt(198))) * (SELECT sum(exp(lgamma(i + 0.5) - lgamma(i + 1) - ln(pi()) / 2 + i * ln(198 / (198 + t * t)))) FROM range(99) r(i)) AS p FROM dd)"""
 
 
 @query(
     "confidence_drift",
     CONF_DRIFT_SQL + """SELECT round(rm, 6) AS recent_mean, round(om, 6) AS older_mean, round(rs, 6) AS recent_std, round(os, 6) AS older_std, round(rmed, 6) AS recent_median, round(omed, 6) AS older_median,
-  round(drift, 6) + 0.0 AS mean_drift, round(t, 6) + 0.0 AS t_statistic, severity, CASE WHEN drift > 0 THEN 'increasing' ELSE 'decreasing' END AS direction FROM dd""",
+  round(drift, 6) + 0.0 AS mean_drift, round(t, 6) + 0.0 AS t_statistic, severity, CASE WHEN drift > 0 THEN 'increasing' ELSE 'decreasing' END AS direction, round(p, 6) + 0.0 AS p_value FROM dd, pp""",
 )
 def confidence_drift(spark, sf):
     out = Q.confidence_drift(reliable(spark, sf), "reliability")
@@ -247,7 +248,7 @@ def confidence_drift(spark, sf):
 @query(
     "recalibration",
     CONF_DRIFT_SQL + """, u AS (SELECT user_id, avg((confidence < 0.6)::INT) AS low_share, CAST(floor(((SELECT max(us) FROM rel) - min(us)) / 86400000000.0) AS BIGINT) + 5 AS days_since FROM rel GROUP BY 1),
-j AS (SELECT user_id, days_since, low_share, severity = 'high' AS high, abs(t) > 1.96 AS significant, low_share > 0.3 AS low FROM u, dd)
+j AS (SELECT user_id, days_since, low_share, severity = 'high' AS high, p < 0.05 AS significant, low_share > 0.3 AS low FROM u, dd, pp)
 SELECT user_id, high OR significant OR low AS needed, CASE WHEN high OR low THEN 'high' WHEN significant THEN 'medium' WHEN days_since > 30 THEN 'medium' ELSE 'low' END AS priority,
   high::INT + significant::INT + (days_since > 30)::INT + low::INT AS reasons FROM j""",
 )
@@ -258,7 +259,7 @@ def recalibration(spark, sf):
     days = F.floor((as_of - F.min("us")) / 86_400_000_000.0) + 5
     users = rows.groupBy("user_id").agg(share(F.col("confidence") < 0.6).alias("low_share"), days.alias("days_since"))
     joined = users.withColumns(
-        {"severity": drift.select("severity").scalar(), "significant": F.abs(drift.select("t_statistic").scalar()) > 1.96}
+        {"severity": drift.select("severity").scalar(), "significant": drift.select("p_value").scalar() < 0.05}
     )
     out = Q.recalibration(joined)
     return out.select("user_id", "needed", "priority", F.size("reasons").alias("reasons"))

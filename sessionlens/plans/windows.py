@@ -429,6 +429,28 @@ def seq_likelihood(spark, sf):
     return out.select("event_id", F.coalesce(r6("likelihood"), F.lit(0.0)).alias("likelihood"))
 
 
+NGRAM_SQL = ACT + f""", p AS (SELECT event_id, user_id, ts, event_type AS w, lag(event_type) OVER {EVENTS_W}) AS p1, lag(event_type, 2) OVER {EVENTS_W}) AS p2 FROM act),
+t3 AS (SELECT p2, p1, w, count(*) AS n FROM p WHERE p2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+t2 AS (SELECT p1, w, count(*) AS n FROM p WHERE p1 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+t1 AS (SELECT w, count(*) AS n FROM p GROUP BY 1), v AS (SELECT count(*) AS v, sum(n) AS total FROM t1),
+c2 AS (SELECT p1, w, count(*) AS n FROM t3 JOIN t2 USING (p1, w) GROUP BY ALL), c1 AS (SELECT w, count(*) AS n FROM t2 GROUP BY 1),
+s3 AS (SELECT p2, p1, sum(n) AS s, count(*) AS k FROM t3 GROUP BY ALL), s2 AS (SELECT p1, sum(n) AS s, count(*) AS k FROM t2 GROUP BY 1),
+d2 AS (SELECT p1, sum(n) AS s, count(*) AS k FROM c2 GROUP BY 1), d1 AS (SELECT sum(n) AS s, count(*) AS k FROM c1),
+q AS (SELECT p.*, t1.n / v.total AS q1, CASE WHEN d1.s > 0 THEN greatest(coalesce(c1.n, 0) - 0.75, 0) / d1.s + 0.75 * d1.k / d1.s / v.v ELSE 1 / v.v END AS b1
+  FROM p JOIN t1 USING (w) LEFT JOIN c1 USING (w), v, d1),
+q2 AS (SELECT q.*, coalesce(greatest(coalesce(t2.n, 0) - 0.75, 0) / s2.s + 0.75 * s2.k / s2.s * b1, b1) AS qq2, coalesce(greatest(coalesce(c2.n, 0) - 0.75, 0) / d2.s + 0.75 * d2.k / d2.s * b1, b1) AS b2
+  FROM q LEFT JOIN t2 USING (p1, w) LEFT JOIN s2 USING (p1) LEFT JOIN c2 USING (p1, w) LEFT JOIN d2 USING (p1)),
+q3 AS (SELECT q2.*, coalesce(greatest(coalesce(t3.n, 0) - 0.75, 0) / s3.s + 0.75 * s3.k / s3.s * b2, b2) AS qq3 FROM q2 LEFT JOIN t3 USING (p2, p1, w) LEFT JOIN s3 USING (p2, p1))
+SELECT event_id, round(avg(ln(q1)) OVER {rows_sql(49)}, 6) AS likelihood_1, round(avg(ln(qq2)) OVER {rows_sql(49)}, 6) AS likelihood_2, round(avg(ln(qq3)) OVER {rows_sql(49)}, 6) AS likelihood_3 FROM q3"""
+
+
+@query("seq_ngrams", NGRAM_SQL)
+def seq_ngrams(spark, sf):
+    """Likelihood of the last 50 events under back-off models of orders 1 to 3, sequences seen once left out."""
+    out = W.sequence_ngrams(act(spark, sf, "event_type"))
+    return out.select("event_id", *(r6(f"likelihood_{i}").alias(f"likelihood_{i}") for i in (1, 2, 3)))
+
+
 @query(
     "since_last_device",
     ACT + f""", s AS (SELECT event_id, us, last_value(CASE WHEN kind = 'usb' THEN us END IGNORE NULLS) OVER ({W_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d FROM act)

@@ -1,9 +1,10 @@
 """Stateful scorers: small per-key state, in event-time order whatever the micro-batches hold.
 
-Rows wait in their key's state until the watermark has passed them, and are then taken in the order of (us, event_id), so
-results do not depend on how files arrive or batches are cut. Rows later than the watermark are dropped by Spark. A key
-holds the rows of one watermark delay at most, besides the few numbers of its memory; with a `ttl`, a key without
-events for that long is forgotten.
+New rows are appended to their key's list state, chunk by chunk, without reading what waits there. An event-time timer fires
+once the watermark has passed the earliest of them; the rows it has passed are then taken in the order of (us, event_id), so
+results do not depend on how files arrive or batches are cut. Rows later than the watermark are dropped by Spark. A key holds
+the rows of one watermark delay at most, besides the few numbers of its value state; with a `ttl`, a key without events for
+that long is forgotten. The state lies in RocksDB, off the heap.
 """
 
 from __future__ import annotations
@@ -14,62 +15,86 @@ from math import exp
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sessionlens.operators.thinning import FREE, keep_from
 
+STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 LATENESS = "10 minutes"
 
 # --- fixed values: history lengths and factors of the risk feedback ---
 HISTORY, RECENT_KINDS = 10, 20
 
 
+Step = Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
+
+
+class InTimeOrder(StatefulProcessor):
+    """Calls `step(rows, memory)` for a key with the rows the watermark has passed, sorted; it returns results and new memory."""
+
+    def __init__(self, keys: list[str], held: dict[str, str], memory: dict[str, str], step: Step, names: list[str], ttl_us: int | None):
+        self.keys, self.held, self.memory, self.step, self.names, self.ttl_us = keys, held, memory, step, names, ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", ", ".join(f"{n} {t}" for n, t in self.held.items()))
+        self.known = handle.getValueState("known", ", ".join(f"{n} {t}" for n, t in [*self.memory.items(), ("last", "long")]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for chunk in rows:
+            lists = [chunk[c].tolist() for c in self.held]
+            self.waiting.appendList(list(zip(*lists, strict=True)))
+            earliest = int(chunk["us"].min())
+            first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            self.wake(first, timerValues)
+        return iter(())
+
+    def wake(self, us: int, timer_values) -> None:
+        """A timer for when the watermark has passed a time."""
+        self.handle.registerTimer(max(-(-us // 1000), timer_values.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self.waiting.get())
+        due = sorted((r for r in rows if r[1] <= passed), key=lambda r: (r[1], r[0]))
+        rest = [r for r in rows if r[1] > passed]
+        if due:
+            known = self.known.get()
+            out, kept = self.step(pd.DataFrame(due, columns=list(self.held)), tuple(known[:-1]) if known is not None else None)
+            self.known.update((*kept, int(due[-1][1])))
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        if rest:
+            self.wake(min(r[1] for r in rest), timerValues)
+        elif self.ttl_us is not None:
+            last = due[-1][1] if due else (self.known.get() or [None])[-1]
+            if last is not None and last + self.ttl_us <= passed:
+                self.known.clear()
+            elif last is not None:
+                self.wake(last + self.ttl_us, timerValues)
+        if due and len(out):
+            yield out.assign(**dict(zip(self.keys, key, strict=True)))[self.names]
+
+
 def in_time_order(
-    stream: DataFrame, keys: list[str], columns: dict[str, str], memory: dict[str, str],
-    step: Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]], result: str,
+    stream: DataFrame, keys: list[str], columns: dict[str, str], memory: dict[str, str], step: Step, result: str,
     lateness: str = LATENESS, ttl_us: int | None = None,
 ) -> DataFrame:
-    """Call `step(rows, memory)` for each key with rows the watermark has passed, sorted; it returns results and new memory.
+    """Run `step` over each key's rows in event-time order.
 
     `columns` are the types of the columns it reads (with `event_id` and `us`), `memory` those of its state.
     """
-    held = ["event_id", "us", *(c for c in columns if c not in ("event_id", "us"))]
-    kinds = {"event_id": "long", "us": "long"} | columns
+    stream.sparkSession.conf.set(STORE_KEY, STORE)
+    held = {"event_id": "long", "us": "long"} | columns
     names = [f.split(" ")[0] for f in result.split(", ")]
-
-    def take(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        passed = state.getCurrentWatermarkMs() * 1000
-        stored = state.get if state.exists else None
-        parts = [pd.DataFrame(dict(zip(held, stored[: len(held)], strict=True)), columns=held)] if stored else []
-        parts = [p for p in (*parts, *(b[held] for b in batches)) if len(p)]
-        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=held)
-        kept = stored[len(held): -1] if stored and stored[-1] is not None else None
-        last = stored[-1] if stored else None
-        rows = rows.sort_values(["us", "event_id"])
-        ready = rows["us"].to_numpy(dtype="int64") <= passed
-        out = None
-        if ready.any():
-            due = rows[ready]
-            out, kept = step(due, tuple(kept) if kept is not None else None)
-            last = int(due["us"].iloc[-1])
-        rest = rows[~ready]
-        if not len(rest) and (last is None or (ttl_us is not None and last + ttl_us <= passed)):
-            if state.exists:
-                state.remove()
-        else:
-            empty = [None] * len(memory)
-            lists = [rest[c].tolist() for c in held]
-            state.update((*lists, *(kept if kept is not None else empty), last if kept is not None else None))
-            if len(rest):
-                state.setTimeoutTimestamp(max(int(rest["us"].iloc[0]) // 1000 + 1, passed // 1000 + 1))
-            elif ttl_us is not None:
-                state.setTimeoutTimestamp(max((last + ttl_us) // 1000 + 1, passed // 1000 + 1))
-        if out is not None and len(out):
-            yield out.assign(**dict(zip(keys, key, strict=True)))[names]
-
-    schema = ", ".join([*(f"held_{c} array<{kinds[c]}>" for c in held), *(f"{n} {t}" for n, t in memory.items()), "last long"])
-    return stream.withWatermark("ts", lateness).groupBy(*keys).applyInPandasWithState(
-        take, result, schema, "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.withWatermark("ts", lateness).select(*keys, *(c for c in held if c not in keys), "ts").groupBy(*keys).transformWithStateInPandas(
+        InTimeOrder(keys, held, memory, step, names, ttl_us), result, "append", "eventTime")
 
 
 def squash(x: float) -> float:
