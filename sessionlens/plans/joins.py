@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.functions import patterns as P
 from sessionlens.functions.levels import level
+from sessionlens.operators.extractors import POLICY, default_policy, overridden, respond, standard_extractors
 from sessionlens.operators import joins
 
 from sessionlens.plans.catalog import query
@@ -297,3 +298,31 @@ def geo_enrich_nested(spark, sf):
     points = read(spark, sf, "events").select("event_id", ip.alias("ip"))
     out = joins.narrowest_range(points, "ip", ranges, "low", "high")
     return out.select("event_id", "ip", "place", (F.col("high") - F.col("low")).alias("width"))
+
+
+@query(
+    "custom_profile",
+    ACT + """ SELECT user_id, count(*) AS events, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 6) AS value_std, min(value) AS value_min, max(value) AS value_max,
+  round(avg((hour(ts) < 6)::INT), 6) AS night_share, round(avg((isodow(ts) >= 6)::INT), 6) AS weekend_share, count(DISTINCT app) AS applications,
+  count(DISTINCT device) AS devices, round(avg((kind = 'usb')::INT), 6) AS usb_share, max(length(content)) AS longest FROM act GROUP BY 1""",
+)
+def custom_profile(spark, sf):
+    """The standard features and those of a caller's extractor, from one scan and one aggregation."""
+    extractors = standard_extractors()
+    extractors.register("caller", lambda: {"usb_share": F.avg((F.col("kind") == "usb").cast("double")), "longest": F.max(F.length("content"))})
+    out = extractors.profile(activity(spark, sf), ["user_id"])
+    shares = [c for c in out.columns if c.endswith(("_share", "_mean", "_std"))]
+    return out.withColumns({c: F.round(c, 6) for c in shares})
+
+
+@query(
+    "response_handlers",
+    ACT + FINDINGS_SQL + f""", l AS (SELECT event_id, list_concat(list_concat(CASE level WHEN 'high' THEN ['call_owner', 'revoke_tokens'] WHEN 'low' THEN [] ELSE {lists_sql(P.LEVEL_ACTIONS, 'level')} END,
+  {lists_sql(P.TYPE_ACTIONS, 'kind')}), CASE WHEN confidence > 0.8 AND risk >= 0.7 THEN ['preserve_evidence'] ELSE [] END) AS a FROM f)
+SELECT event_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ',') AS actions FROM l""",
+)
+def response_handlers(spark, sf):
+    """Recommended actions by a caller's policy: other ones for high findings, none for low ones."""
+    changes = spark.createDataFrame([("level", "high", ["call_owner", "revoke_tokens"]), ("level", "low", [])], POLICY)
+    out = respond(findings(spark, sf), overridden(default_policy(spark), changes))
+    return out.select("event_id", F.array_join("actions", ",").alias("actions"))

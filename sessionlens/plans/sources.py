@@ -9,7 +9,7 @@ from sessionlens.functions import text
 from sessionlens.plans.catalog import query
 from sessionlens.plans.tables import ACT, activity
 from sessionlens.session import scratch_path, spread
-from sessionlens.sources import export, logs, sealed
+from sessionlens.sources import export, rolling, logs, sealed
 
 AS_OF = 1704067200.0
 SEAL_KEY = "000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f"
@@ -334,6 +334,27 @@ def rolling_store(spark, sf):
     )
 
 
+SEGMENT_BYTES, BACKUPS = 40_000, 3
+
+
+@query(
+    "rolling_segments",
+    ACT + f""", l AS (SELECT us, event_id, us || ' ' || kind || ' ' || content AS line, us < (SELECT quantile_disc(us, 0.5) FROM act) AS old FROM act),
+c AS (SELECT *, (sum(octet_length(encode(line)) + 1) OVER (PARTITION BY old ORDER BY us, event_id) - octet_length(encode(line)) - 1) // {SEGMENT_BYTES} AS seg FROM l),
+r AS (SELECT *, dense_rank() OVER (ORDER BY old::INT, seg DESC) AS rank FROM c)
+SELECT CAST({BACKUPS + 1} - rank AS INTEGER) AS place, count(*) AS n, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS bytes FROM r WHERE rank <= {BACKUPS + 1} GROUP BY 1""",
+)
+def rolling_segments(spark, sf):
+    """Two appends to a store of segments of 40,000 bytes, the newest and three backups; what is left of it."""
+    path = scratch_path(spark, "segments")
+    rows = activity(spark, sf)
+    line = F.concat_ws(" ", F.col("us").cast("string"), "kind", "content")
+    middle = rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY us)")).first()[0]
+    for part in (F.col("us") < middle, F.col("us") >= middle):
+        rolling.append(spark, rows.filter(part), path, line, SEGMENT_BYTES, BACKUPS)
+    return rolling.read(spark, path).groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("line") + 1).cast("long").alias("bytes"))
+
+
 @query(
     "retention",
     ACT + """
