@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from sessionlens.functions.levels import array_sum
 from sessionlens.operators.sequence import attach, framed, quantiles, settled
+from sessionlens.operators.validation import margin_rows, refitted, sigmoid_fits, with_probabilities
+from sessionlens.session import cut_lineage
 
 SEED = 42
 
@@ -178,7 +180,7 @@ def threat_models(df: DataFrame, trees: int = 100, rounds: int = 10) -> dict[str
     }
 
 
-def stratified_split(df: DataFrame, label: str, id_column: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def stratified_split(df: DataFrame, label: str, id_column: str | Column, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """A split by hash of (label, id): stable over reruns, and even within each label."""
     draw = F.pmod(F.xxhash64(label, id_column), F.lit(1000))
     return df.filter(draw < int(share * 1000)), df.filter(draw >= int(share * 1000))
@@ -188,11 +190,28 @@ def identity_models(train: DataFrame, inputs: int, classes: int, trees: int = 30
     """Classifiers of who is typing: forest, one linear SVM per person, and a small network."""
     return {
         "forest": RandomForestClassifier(labelCol="label", numTrees=trees, seed=SEED).fit(train),
-        "svm": OneVsRest(classifier=LinearSVC(maxIter=10), labelCol="label").fit(train),
+        "svm": OneVsRest(classifier=LinearSVC(maxIter=10), labelCol="label", parallelism=4).fit(train),
         "network": MultilayerPerceptronClassifier(labelCol="label", layers=[inputs, 100, 50, classes], maxIter=40, seed=SEED).fit(train),
     }
 
 
+def identity_scores(train: DataFrame, held_out: DataFrame, inputs: int, classes: int, folds: int = 2) -> dict[str, DataFrame]:
+    """Held-out rows scored by the classifiers of who is typing, each with `prediction` and `probabilities` that sum to 1.
+
+    The margins of the linear SVMs become probabilities by a sigmoid per person, fitted to margins of rows that the SVMs of
+    the other folds have not learned."""
+    svm = OneVsRest(classifier=LinearSVC(maxIter=10), labelCol="label", parallelism=4)
+    fold = F.pmod(F.xxhash64("features"), F.lit(folds))
+    unseen = refitted(train, svm.fit, fold, folds, parallelism=folds)
+    fits = sigmoid_fits(cut_lineage(margin_rows(unseen, "label")), "person", "margin", "hit")
+    fits = {k: fits.get(k, (1.0, 0.0)) for k in range(classes)}
+    out = {}
+    for name, model in identity_models(train, inputs, classes).items():
+        scored = model.transform(held_out)
+        out[name] = with_probabilities(scored, fits) if name == "svm" else scored.withColumn("probabilities", vector_to_array("probability"))
+    return out
+
+
 def risk_models(train: DataFrame, trees: int = 30) -> dict[str, object]:
     return {
         "forest": RandomForestRegressor(labelCol="label", numTrees=trees, maxDepth=10, seed=SEED).fit(train),

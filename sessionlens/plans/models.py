@@ -10,6 +10,7 @@ from sessionlens.functions import levels, text
 from sessionlens.operators import explain, forest
 from sessionlens.operators import learning as L
 from sessionlens.operators import quality as Q
+from sessionlens.operators import validation as V
 from sessionlens.operators.aggregates import r6, share
 from sessionlens.operators.joins import long_features
 from sessionlens.operators.sequence import framed, settled
@@ -18,6 +19,7 @@ from sessionlens.plans.joins import SCORE, score
 from sessionlens.plans.rows import level_sql
 from sessionlens.plans.tables import ACT, activity, read, texts
 from sessionlens.plans.windows import rows_sql
+from sessionlens.session import cut_lineage
 
 LABELLED_SQL = """WITH l AS (SELECT doc_id, n_chars, quality AS label, CASE WHEN n_chars BETWEEN 300 AND 6000 THEN 1 ELSE 0 END AS prediction,
   least(0.99, n_chars / 3000.0) AS p FROM documents JOIN labels USING (doc_id))"""
@@ -404,24 +406,90 @@ def threat_classifiers(spark, sf):
     return out.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "label", "p_forest", "p_boosted")
 
 
+TYPISTS = 5
+
+
+def typing_sessions(spark, sf):
+    """How a typist typed in a session of ten days: dwell and flight times, presses, and the pairs of keys by their place.
+
+    The typists are groups of users, as the given events are too few for a model of each user."""
+    rows, w = framed(activity(spark, sf), ["user_id"], back=1)
+    steps = settled(rows.withColumns({"_us": F.lag("us").over(w), "_k": F.lag("k").over(w)}))
+    flight = F.ln(1 + (F.col("us") - F.col("_us")) / 1e6)
+    pair = (F.col("_k") % 3) * 3 + F.col("k") % 3
+    zero = F.lit(0.0)
+    sessions = steps.groupBy("user_id", F.floor(F.dayofyear("ts") / 10).alias("session")).agg(
+        F.avg("value").alias("dwell"), F.coalesce(F.stddev_pop("value"), zero).alias("dwell_std"),
+        F.coalesce(F.avg(flight), zero).alias("flight"), F.coalesce(F.stddev_pop(flight), zero).alias("flight_std"),
+        share(F.col("action") == "press").alias("presses"),
+        *[F.coalesce(share(pair == i), zero).alias(f"pair{i}") for i in range(9)])
+    names = [c for c in sessions.columns if c not in ("user_id", "session")]
+    return L.assembled(sessions, names).select(
+        "user_id", "session", (F.col("user_id") % TYPISTS).cast("int").alias("label"), "features"), len(names)
+
+
 @query("typing_identity")
 def typing_identity(spark, sf):
-    """Who is it: accuracy of three classifiers on held-out vectors, and the share accepted at 0.8."""
-    rows = embeddings(spark, sf).select("vec_id", F.col("label").cast("int").alias("label"), array_to_vector("embedding").alias("features")).cache()
-    classes = rows.agg(F.max("label")).first()[0] + 1
-    train, held_out = L.stratified_split(rows, "label", "vec_id")
+    """Who is it: accuracy of three classifiers on held-out sessions, and the share accepted at a probability of 0.8."""
+    sessions, inputs = typing_sessions(spark, sf)
+    rows = cut_lineage(sessions)
+    train, held_out = L.stratified_split(rows, "label", F.hash("user_id", "session"))
     out = None
-    for name, model in L.identity_models(train, 64, classes).items():
-        scored = model.transform(held_out)
-        sure = F.array_max(vector_to_array("probability")) if "probability" in scored.columns else F.lit(None).cast("double")
+    for name, scored in L.identity_scores(train, held_out, inputs, TYPISTS).items():
         part = scored.agg(
             F.lit(name).alias("model"), r6(share(F.col("prediction") == F.col("label"))).alias("accuracy"),
-            r6(share(sure >= 0.8)).alias("accepted"), F.count(F.lit(1)).alias("n"),
-        )
+            r6(share(F.array_max("probabilities") >= 0.8)).alias("accepted"), F.count(F.lit(1)).alias("n"))
         out = part if out is None else out.union(part)
     return out
 
 
+REFIT_SQL = """WITH x AS (SELECT doc_id, quality AS label, doc_id % 5 AS fold, ln(1 + n_chars) AS a, ln(1 + length(text) - length(replace(text, chr(10), ''))) AS b,
+  ln(1 + length(regexp_replace(text, '[^A-Z]', '', 'g'))) AS c FROM documents JOIN labels USING (doc_id)),
+o AS (SELECT f.fold, x.label AS k, count(*) AS n, avg(a) AS ma, var_pop(a) + 1e-9 AS va, avg(b) AS mb, var_pop(b) + 1e-9 AS vb, avg(c) AS mc, var_pop(c) + 1e-9 AS vc
+  FROM x, (SELECT DISTINCT fold FROM x) f WHERE x.fold <> f.fold GROUP BY ALL),
+p AS (SELECT x.doc_id, x.fold, x.label, o.k AS prediction FROM x JOIN o USING (fold)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (ln(va) + (a - ma) ** 2 / va + ln(vb) + (b - mb) ** 2 / vb + ln(vc) + (c - mc) ** 2 / vc) / 2 - ln(n), k) = 1),
+s AS (SELECT fold, label AS k, count(*) AS support, count(*) FILTER (WHERE label = prediction) AS hits FROM p GROUP BY ALL),
+q AS (SELECT fold, prediction AS k, count(*) AS claimed FROM p GROUP BY ALL),
+e AS (SELECT fold, support, hits, coalesce(hits / claimed, 0) AS pr, hits / support AS re FROM s LEFT JOIN q USING (fold, k)),
+f AS (SELECT fold::VARCHAR AS fold, sum(support)::BIGINT AS n, sum(hits) / sum(support) AS accuracy, sum(pr * support) / sum(support) AS precision, sum(re * support) / sum(support) AS recall,
+  sum(coalesce(2 * pr * re / nullif(pr + re, 0), 0) * support) / sum(support) AS f1 FROM e GROUP BY fold),
+r AS (SELECT * FROM f UNION ALL SELECT 'mean', sum(n)::BIGINT, avg(accuracy), avg(precision), avg(recall), avg(f1) FROM f
+  UNION ALL SELECT 'std', sum(n)::BIGINT, stddev_pop(accuracy), stddev_pop(precision), stddev_pop(recall), stddev_pop(f1) FROM f)
+SELECT fold, n, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM r"""
+
+
+@query("cross_validation", REFIT_SQL)
+def cross_validation(spark, sf):
+    """Five models refitted on four fifths of the labelled documents each, reported on the fifth they have not seen."""
+    def grown(c):
+        return F.ln(1 + c.cast("double"))
+
+    t = F.col("text")
+    rows = texts(spark, sf).select(
+        "doc_id", grown(F.col("n_chars")).alias("a"), grown(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).alias("b"),
+        grown(F.length(F.regexp_replace(t, "[^A-Z]", ""))).alias("c"))
+    labels = read(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    scored = V.gaussian_refits(rows.join(labels, "doc_id"), ["a", "b", "c"], "label", F.col("doc_id") % 5)
+    report = V.fold_report(scored)
+    return report.select("fold", "n", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@query("refit_report")
+def refit_report(spark, sf):
+    """The same five folds for a forest and a boosted model, from one written feature table."""
+    rows = cut_lineage(L.assembled(document_rows(spark, sf), DOC_FEATURES).select("doc_id", "label", "features"))
+    kinds = {
+        "forest": lambda train: L.RandomForestClassifier(labelCol="label", numTrees=20, seed=L.SEED).fit(train),
+        "boosted": lambda train: L.GBTClassifier(labelCol="label", maxIter=5, seed=L.SEED).fit(train),
+    }
+    out = None
+    for name, fit in kinds.items():
+        report = V.fold_report(V.refitted(rows, fit, F.col("doc_id") % 5, 5)).withColumn("model", F.lit(name))
+        out = report if out is None else out.unionByName(report)
+    return out.select("model", "fold", "n", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
 @query("risk_regressors")
 def risk_regressors(spark, sf):
     rows = activity(spark, sf).select(
