@@ -187,10 +187,9 @@ def stratified_split(df: DataFrame, label: str, id_column: str | Column, share:
 
 
 def identity_models(train: DataFrame, inputs: int, classes: int, trees: int = 30) -> dict[str, object]:
-    """Classifiers of who is typing: forest, one linear SVM per person, and a small network."""
+    """Classifiers of who is typing that give probabilities: a forest and a small network."""
     return {
         "forest": RandomForestClassifier(labelCol="label", numTrees=trees, seed=SEED).fit(train),
-        "svm": OneVsRest(classifier=LinearSVC(maxIter=10), labelCol="label", parallelism=4).fit(train),
         "network": MultilayerPerceptronClassifier(labelCol="label", layers=[inputs, 100, 50, classes], maxIter=40, seed=SEED).fit(train),
     }
 
@@ -198,17 +197,30 @@ def identity_models(train: DataFrame, inputs: int, classes: int, trees: int = 30
 def identity_scores(train: DataFrame, held_out: DataFrame, inputs: int, classes: int, folds: int = 2) -> dict[str, DataFrame]:
     """Held-out rows scored by the classifiers of who is typing, each with `prediction` and `probabilities` that sum to 1.
 
-    The margins of the linear SVMs become probabilities by a sigmoid per person, fitted to margins of rows that the SVMs of
-    the other folds have not learned."""
-    svm = OneVsRest(classifier=LinearSVC(maxIter=10), labelCol="label", parallelism=4)
-    fold = F.pmod(F.xxhash64("features"), F.lit(folds))
-    unseen = refitted(train, svm.fit, fold, folds, parallelism=folds)
+    Linear SVMs, one per person, are fitted once for each fold on the rows of the other folds. A sigmoid per person turns
+    margins into probabilities; it is fitted to margins of rows that the SVM has not learned. Held-out rows get the mean of
+    the folds' probabilities, so no further fit is needed."""
+    svm = OneVsRest(classifier=LinearSVC(maxIter=10), labelCol="label", parallelism=classes)
+    models = []
+
+    def fit(rows: DataFrame):
+        models.append(svm.fit(rows))
+        return models[-1]
+
+    unseen = refitted(train, fit, F.pmod(F.xxhash64("features"), F.lit(folds)), folds, parallelism=folds)
     fits = sigmoid_fits(cut_lineage(margin_rows(unseen, "label")), "person", "margin", "hit")
     fits = {k: fits.get(k, (1.0, 0.0)) for k in range(classes)}
-    out = {}
+    mean = None
+    scored = held_out
+    for model in models:
+        scored = with_probabilities(model.transform(scored), fits).drop("rawPrediction", "prediction")
+        own = F.col("probabilities") if mean is None else F.zip_with("_mean", "probabilities", lambda x, y: x + y)
+        scored, mean = scored.withColumn("_mean", own).drop("probabilities"), True
+    scored = scored.withColumn("probabilities", F.transform("_mean", lambda x: x / folds)).drop("_mean")
+    best = F.array_position("probabilities", F.array_max("probabilities")) - 1
+    out = {"svm": scored.withColumn("prediction", best.cast("double"))}
     for name, model in identity_models(train, inputs, classes).items():
-        scored = model.transform(held_out)
-        out[name] = with_probabilities(scored, fits) if name == "svm" else scored.withColumn("probabilities", vector_to_array("probability"))
+        out[name] = model.transform(held_out).withColumn("probabilities", vector_to_array("probability"))
     return out
 
 
