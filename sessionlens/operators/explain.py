@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlens.operators.learning import SEED, assembled
+from sessionlens.operators.learning import SEED, assembled, drawn
 from sessionlens.session import scratch_path
 
 Scorer = Callable[[DataFrame], DataFrame]  # adds a column `p` to rows with a `features` vector
@@ -104,7 +104,7 @@ def local_surrogate(
     size = len(columns)
     width = 0.75 * size**0.5 if width is None else width
     spread = rows.select(id_column, *columns).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    noise = {f"_z{i}": F.when(F.col("_draw") == 0, 0.0).otherwise(F.randn(SEED + i)) for i in range(size)}
+    noise = {f"_z{i}": F.when(F.col("_draw") == 0, 0.0).otherwise(drawn(F.xxhash64(id_column, "_draw", F.lit(SEED + i)))) for i in range(size)}
     moved = spread.withColumns(noise)
     moved = moved.withColumns({c: F.col(c) + F.col(f"_z{i}") * F.lit(scales[c]) for i, c in enumerate(columns)})
     z = [F.col(f"_z{i}") for i in range(size)]

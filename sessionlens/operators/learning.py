@@ -156,6 +156,12 @@ def supervised(df: DataFrame, trees: int = 100, train: DataFrame | None = None)
     return model.transform(df).withColumn("p", probability_of_one())
 
 
+def drawn(key: Column) -> Column:
+    """A standard normal number that depends on the key alone, so a task that runs again draws the same one."""
+    unit = [(F.pmod(F.xxhash64(key, F.lit(i)), F.lit(2**40)) + 0.5) / 2**40 for i in (0, 1)]
+    return F.sqrt(-2 * F.ln(unit[0])) * F.cos(2 * np.pi * unit[1])
+
+
 def with_noise_positives(
     df: DataFrame, columns: Sequence[str], least: int = 5, most: int = 10, part: int = 10, deviation: float = 0.5, seed: int = SEED
 ) -> DataFrame:
@@ -167,17 +173,18 @@ def with_noise_positives(
         return df
     noisy = df.orderBy(F.xxhash64(*columns)).limit(max(1, min(most, df.count() // part)))
     return df.unionByName(
-        noisy.withColumns({c: F.col(c) + deviation * F.randn(seed + i) for i, c in enumerate(columns)} | {"label": F.lit(1)})
+        noisy.withColumns({c: F.col(c) + deviation * drawn(F.xxhash64(*columns, F.lit(seed + i))) for i, c in enumerate(columns)} | {"label": F.lit(1)})
     )
 
 
-def threat_models(df: DataFrame, trees: int = 100, rounds: int = 10) -> dict[str, object]:
-    """A forest and a boosted classifier on the same features, with weights that balance the classes."""
-    rows = balanced(df)
-    return {
-        "forest": RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, seed=SEED).fit(rows),
-        "boosted": GBTClassifier(labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=3, seed=SEED).fit(rows),
-    }
+def privilege_model(df: DataFrame, trees: int = 100):
+    """A forest on weights that balance the classes."""
+    return RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, seed=SEED).fit(balanced(df))
+
+
+def transfer_model(df: DataFrame, rounds: int = 10):
+    """A boosted classifier on weights that balance the classes."""
+    return GBTClassifier(labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=3, seed=SEED).fit(balanced(df))
 
 
 def stratified_split(df: DataFrame, label: str, id_column: str | Column, share: float = 0.8) -> tuple[DataFrame, DataFrame]:

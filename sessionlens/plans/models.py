@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionlens.functions import levels, text
@@ -389,21 +390,37 @@ def supervised_anomaly(spark, sf):
     return scored.select("doc_id", "label", r6("p").alias("p"), (F.col("p") > 0.5).alias("is_anomaly"))
 
 
+PRIVILEGE, TRANSFER = ["admin_elevation", "sudo_usage"], ["file_transfer", "cloud_services", "network_upload"]
+
+
+def daily_indicators(spark, sf):
+    """Indicator counts of a user's day, and whether the next active day has privilege or transfer indicators."""
+    flags = text.keyword_flags(PRIVILEGE + TRANSFER)
+    days = activity(spark, sf).groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        *[F.count_if(c).cast("double").alias(n) for n, c in flags.items()], F.avg(F.hour("ts")).alias("hour"), F.count(F.lit(1)).cast("double").alias("events"))
+    by_day = Window.partitionBy("user_id").orderBy("day")  # a row per day
+
+    def ahead(names):
+        return (F.lead(sum([F.col(n) for n in names[1:]], F.col(names[0]))).over(by_day) > 0).cast("int")
+
+    return days.withColumns({"privilege": ahead(PRIVILEGE), "transfer": ahead(TRANSFER)}).filter("privilege IS NOT NULL"), [*flags, "hour", "events"]
+
+
 @query("threat_classifiers")
 def threat_classifiers(spark, sf):
-    """Privilege and transfer models on daily indicator counts of users; rare positives get noisy copies."""
-    flags = text.keyword_flags(["admin_elevation", "sudo_usage", "file_transfer", "cloud_services", "network_upload"])
-    rows = activity(spark, sf).groupBy("user_id", F.to_date("ts").alias("day")).agg(
-        *[F.count_if(c).cast("double").alias(n) for n, c in flags.items()], F.avg(F.hour("ts")).alias("hour"),
-    )
-    columns = [*flags, "hour"]
-    labelled_rows = rows.withColumn("label", ((F.col("admin_elevation") + F.col("sudo_usage")) >= 2).cast("int"))
-    train = L.assembled(L.with_noise_positives(labelled_rows.select(*columns, "label"), columns), columns)
-    models = L.threat_models(train)
-    out = L.assembled(labelled_rows, columns)
-    for name, model in models.items():
-        out = model.transform(out).withColumn(f"p_{name}", r6(L.probability_of_one())).drop("rawPrediction", "probability", "prediction")
-    return out.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "label", "p_forest", "p_boosted")
+    """Will the user's next active day show privilege use, and will it show transfers: one model for each target.
+
+    Every row is scored by a model of other users; rare positives get noisy copies; the features are written once."""
+    days, columns = daily_indicators(spark, sf)
+    out = cut_lineage(L.assembled(days, columns))
+    for target, fit in {"privilege": L.privilege_model, "transfer": L.transfer_model}.items():
+        def one(train, target=target, fit=fit):
+            rows = train.select(*columns, F.col(target).alias("label"))
+            return fit(L.assembled(L.with_noise_positives(rows, columns), columns))
+
+        scored = V.refitted(out.drop("fold"), one, F.pmod(F.xxhash64("user_id"), F.lit(2)), 2, parallelism=2)
+        out = scored.withColumn(f"p_{target}", r6(L.probability_of_one())).drop("rawPrediction", "probability", "prediction")
+    return out.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "privilege", "transfer", "p_privilege", "p_transfer")
 
 
 TYPISTS = 5
@@ -492,14 +509,15 @@ def refit_report(spark, sf):
 
 @query("risk_regressors")
 def risk_regressors(spark, sf):
-    rows = activity(spark, sf).select(
-        "event_id", F.col("k").cast("double").alias("k"), F.hour("ts").cast("double").alias("hour"), F.weekday("ts").cast("double").alias("day"),
-        F.col("size").cast("double").alias("size"), score().alias("label"),
-    )
-    vectors = L.assembled(rows, ["k", "hour", "day", "size"])
+    """The risk of a user's next event from the one before it: error of the mean of three models on rows they have not seen."""
+    rows, w = framed(activity(spark, sf), ["user_id"], ahead=1)
+    ahead = settled(rows.withColumn("label", F.lead(score()).over(w))).filter("label IS NOT NULL")
+    numbers = ahead.select(
+        "event_id", "label", F.col("k").cast("double").alias("k"), F.hour("ts").cast("double").alias("hour"), F.weekday("ts").cast("double").alias("day"),
+        F.col("size").cast("double").alias("size"), *[(F.col("kind") == kind).cast("double").alias(kind) for kind in ("keyboard", "mouse", "usb")])
+    vectors = cut_lineage(L.assembled(numbers, ["k", "hour", "day", "size", "keyboard", "mouse", "usb"]).select("event_id", "label", "features"))
     train, held_out = L.stratified_split(vectors, "event_id", "event_id")
-    models = L.risk_models(train)
-    scored = L.mean_prediction(held_out, models)
+    scored = L.mean_prediction(held_out, L.risk_models(train))
     error = F.col("prediction") - F.col("label")
     spread = F.var_pop("label")
     return scored.agg(

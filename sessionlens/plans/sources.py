@@ -342,7 +342,7 @@ SEGMENT_BYTES, BACKUPS = 40_000, 3
     ACT + f""", l AS (SELECT us, event_id, us || ' ' || kind || ' ' || content AS line, us < (SELECT quantile_disc(us, 0.5) FROM act) AS old FROM act),
 c AS (SELECT *, (sum(octet_length(encode(line)) + 1) OVER (PARTITION BY old ORDER BY us, event_id) - octet_length(encode(line)) - 1) // {SEGMENT_BYTES} AS seg FROM l),
 r AS (SELECT *, dense_rank() OVER (ORDER BY old::INT, seg DESC) AS rank FROM c)
-SELECT CAST({BACKUPS + 1} - rank AS INTEGER) AS place, count(*) AS n, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS bytes FROM r WHERE rank <= {BACKUPS + 1} GROUP BY 1""",
+SELECT CAST(least({BACKUPS + 1}, (SELECT max(rank) FROM r)) - rank AS INTEGER) AS place, count(*) AS n, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS bytes FROM r WHERE rank <= {BACKUPS + 1} GROUP BY 1""",
 )
 def rolling_segments(spark, sf):
     """Two appends to a store of segments of 40,000 bytes, the newest and three backups; what is left of it."""

@@ -84,3 +84,32 @@ def test_planted_typists_are_told_apart(spark):
         assert all(abs(sum(x.probabilities) - 1) < 1e-9 and len(x.probabilities) == 4 for x in got)
         right = sum(x.label == x.probabilities.index(max(x.probabilities)) for x in got) / len(got)
         assert right > (0.6 if name == "network" else 0.9), (name, right)
+
+
+def test_draws_depend_on_their_key_only(spark):
+    df = spark.range(20_000).select("id", L.drawn(F.xxhash64("id", F.lit(3))).alias("z"))
+    again = {r.id: r.z for r in df.repartition(7).collect()}
+    values = [again[i] for i in range(20_000)]
+    assert {r.id: r.z for r in df.collect()} == again
+    mean = sum(values) / len(values)
+    assert abs(mean) < 0.03 and abs(sum((v - mean) ** 2 for v in values) / len(values) - 1) < 0.05
+    assert 0.65 < sum(abs(v) < 1 for v in values) / len(values) < 0.72
+
+
+def test_threats_are_told_from_the_day_before(spark):
+    """Targets lie a day ahead, and each row is scored by a model of other users."""
+    from conftest import SMALL
+
+    from sessionlens.plans import models
+
+    days, columns = models.daily_indicators(spark, SMALL)
+    rows = {(r.user_id, r.day): r for r in days.collect()}
+    assert not {"privilege", "transfer"} & set(columns)
+    for (user, day), r in rows.items():
+        later = min((d for u, d in rows if u == user and d > day), default=None)
+        if later:
+            after = rows[user, later]
+            assert r.privilege == int(after.admin_elevation + after.sudo_usage > 0)
+            assert r.transfer == int(after.file_transfer + after.cloud_services + after.network_upload > 0)
+    scored = models.threat_classifiers(spark, SMALL).collect()
+    assert len(scored) == len(rows) and all(0 <= r.p_privilege <= 1 and 0 <= r.p_transfer <= 1 for r in scored)
