@@ -325,7 +325,7 @@ WHERE CAST(ts AS DATE) IN (SELECT d FROM days) GROUP BY 1""",
 def rolling_store(spark, sf):
     path = scratch_path(spark, "store")
     rows = activity(spark, sf).select("event_id", "kind", F.to_date("ts").alias("day"))
-    export.write_rolling(rows.repartition("day"), path)
+    export.write_rolling(export.dealt_by_day(rows), path)
     export.expire_old_days(spark, path, 7)
     stored = spark.read.schema("event_id LONG, kind STRING, day DATE").parquet(path)
     return (
@@ -364,7 +364,7 @@ def retention(spark, sf):
     """A store by day from which rows older than two weeks are removed."""
     path = scratch_path(spark, "kept")
     rows = activity(spark, sf).select("event_id", "kind", "ts", F.to_date("ts").alias("day"))
-    export.write_rolling(rows.repartition("day"), path)
+    export.write_rolling(export.dealt_by_day(rows), path)
     export.expire_before(spark, path, "event_id LONG, kind STRING, ts TIMESTAMP", rows.agg(F.max("ts")).first()[0], days=14)
     stored = spark.read.schema("event_id LONG, kind STRING, ts TIMESTAMP, day DATE").parquet(path)
     return stored.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -67,6 +67,16 @@ def micro_batch(spark, sf):
     return counted.groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
+@query("micro_batch_timed", ACT + " SELECT kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS total FROM act GROUP BY 1")
+def micro_batch_timed(spark, sf):
+    """Files in turn by the clock, twice a second; what the batches wrote, summed."""
+    path = scratch_path(spark, "files")
+    read(spark, sf, "events").repartition(3, "event_id").write.parquet(path)
+    rows = with_roles(jobs.event_stream(spark, path, files_per_trigger=1)).select("kind", "size")
+    table, _ = jobs.run_timed(rows, "timed", "500 milliseconds")
+    return table.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("total"))
+
+
 @query(
     "tumbling_counts",
     ACT + f""", w AS (SELECT us // 3600000000 * 3600000000 AS start_us, kind, value FROM act)

@@ -8,7 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.session import cut_lineage, drop_scratch
+from sessionlens.operators.sequence import matched
+from sessionlens.session import checked_broadcast, cut_lineage, drop_scratch
 from sessionlens.sources.logs import time_range
 
 # The export column order.
@@ -82,6 +83,14 @@ def export(df: DataFrame, fmt: str, path: str, start: float | None = None, end:
     return True
 
 
+def dealt_by_day(df: DataFrame, rows_per_task: int = 1_000_000) -> DataFrame:
+    """Rows dealt out by day, a day of more rows than `rows_per_task` to as many tasks as it takes."""
+    sizes = df.groupBy("day").agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") / rows_per_task)
+    salted = matched(df, checked_broadcast(sizes), ["day"]).withColumn("_salt", F.pmod(F.xxhash64(*df.columns), parts))
+    return salted.repartition("day", "_salt").select(df.columns)
+
+
 def write_rolling(df: DataFrame, path: str, max_records: int = 1_000_000) -> None:
     """Store events by day, with a bound on the rows of one file."""
     df.write.mode("append").option("maxRecordsPerFile", max_records).partitionBy("day").parquet(path)

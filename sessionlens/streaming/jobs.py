@@ -44,6 +44,22 @@ def run(stream: DataFrame, name: str, mode: str = "append") -> tuple[DataFrame,
     return spark.read.schema(stream.schema).parquet(f"{path}/table"), query.recentProgress
 
 
+def run_timed(stream: DataFrame, name: str, interval: str, mode: str = "append") -> tuple[DataFrame, list]:
+    """Run a stream by the clock, a micro-batch each `interval`, until all that is there now has been processed."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, name)
+    query = (
+        stream.writeStream.format("parquet").outputMode(mode)
+        .option("path", f"{path}/table").option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(processingTime=interval).start()
+    )
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(stream.schema).parquet(f"{path}/table"), query.recentProgress
+
+
 def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
     """Drain a stream through a function per micro-batch, which gets the frame, the batch id and the output path."""
     spark = stream.sparkSession

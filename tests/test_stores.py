@@ -30,6 +30,20 @@ def test_rows_before_the_limit_are_removed(spark, store):
     assert sorted(left) == list(range(5 * 24 + 12, 240)) and min(export.day_folders(spark, store)) == "2024-01-06"
 
 
+def test_a_hot_day_is_written_by_many_tasks(spark):
+    rows = spark.range(9000).select("id", F.when(F.col("id") < 8000, "2024-01-01").when(F.col("id") < 8990, "2024-01-02").cast("date").alias("day"))
+    dealt = export.dealt_by_day(rows, rows_per_task=500)
+    assert dealt.columns == rows.columns and sorted(r.id for r in dealt.collect()) == list(range(9000))
+    path = scratch_path(spark, "hot")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        export.write_rolling(dealt, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    files = spark.read.parquet(path).select("day", F.input_file_name().alias("f")).distinct().groupBy("day").count().collect()
+    assert {str(r.day): r["count"] > 1 for r in files if r.day}["2024-01-01"]
+
+
 def test_models_are_versioned_checked_and_switched(spark):
     root = scratch_path(spark, "models")
     rows = spark.range(40).select(F.col("id").cast("double").alias("x"), (F.col("id") > 20).cast("double").alias("label"))
