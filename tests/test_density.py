@@ -32,7 +32,7 @@ def brute_clusters(points, eps, min_points):
     return out
 
 
-@pytest.mark.parametrize("dims", [1, 2, 3, 5])
+@pytest.mark.parametrize("dims", [2, 5])
 def test_clusters_against_brute_force(spark, dims):
     r = random.Random(dims)
     centres = [[r.uniform(-3, 3) for _ in range(dims)] for _ in range(6)]
