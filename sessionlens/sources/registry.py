@@ -10,6 +10,8 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sessionlens.sources.claims import create_once
+
 FIELDS = "name string, version long, sha256 string, active boolean, shadow boolean, entry long"
 
 
@@ -41,9 +43,13 @@ def _append(spark: SparkSession, root: str, rows: list[tuple]) -> None:
 
 
 def save(spark: SparkSession, model, root: str, name: str, shadow: bool = False) -> int:
-    """Save a model as the next version; it becomes the active one, or with `shadow` runs beside it."""
+    """Save a model as the next version; it becomes the active one, or with `shadow` runs beside it.
+
+    A version is claimed by a file that one saver alone can create, so two savers never share one."""
     known = _known(spark, root, name)
     version = max((r.version for r in known), default=0) + 1
+    while not create_once(spark, f"{root}/_claims/{name}-v{version}", name):
+        version += 1
     path = f"{root}/{name}/v{version}"
     model.write().save(path)
     entry = max((r.entry for r in known), default=0) + 1

@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from sessionlens.session import scratch_path
-from sessionlens.sources import export, registry
+from sessionlens.sources import claims, export, registry
 
 
 @pytest.fixture
@@ -44,6 +44,14 @@ def test_a_hot_day_is_written_by_many_tasks(spark):
     assert {str(r.day): r["count"] > 1 for r in files if r.day}["2024-01-01"]
 
 
+def test_two_savers_never_take_one_version(spark):
+    root = scratch_path(spark, "models")
+    rows = spark.range(20).select(F.col("id").cast("double").alias("x"), (F.col("id") > 9).cast("double").alias("label"))
+    model = DecisionTreeClassifier(maxDepth=1, seed=1).fit(VectorAssembler(inputCols=["x"], outputCol="features").transform(rows))
+    assert claims.create_once(spark, f"{root}/_claims/tree-v1", "tree")  # another saver is at work on version 1
+    assert registry.save(spark, model, root, "tree") == 2 and registry.save(spark, model, root, "other") == 1
+
+
 def test_models_are_versioned_checked_and_switched(spark):
     root = scratch_path(spark, "models")
     rows = spark.range(40).select(F.col("id").cast("double").alias("x"), (F.col("id") > 20).cast("double").alias("label"))
