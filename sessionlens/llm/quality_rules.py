@@ -1,8 +1,8 @@
 r"""Quality filtering by weak supervision.
 
-Seven rules look at a document and vote good, bad or abstain. A latent-class model takes the votes as noisy readings of the
+Ten rules look at a document and vote good, bad or abstain. A latent-class model takes the votes as noisy readings of the
 true quality: expectation-maximisation estimates how often each rule votes bad on good and on bad documents, from the
-number of documents per pattern of votes (3^7 patterns at most, whatever the table's size; documents that fail the base
+number of documents per pattern of votes (3^10 patterns at most, whatever the table's size; documents that fail the base
 conditions need no verdict and are left out). The posterior probability of being good decides, instead of all rules
 having to pass.
 
@@ -10,6 +10,10 @@ Everything per document is a column expression. Words are `[^\x20\x09-\x0D]+`. R
 sorting (hash, position) numbers; equal neighbours are compared word by word, and a text in which two different windows
 share a hash is sorted by the words themselves.
 
+The rules look at different facts, so no fault is counted twice, and three of them see one kind of junk independently, which
+expectation-maximisation needs to tell reliable rules from unreliable ones. The two rules on the form of words abstain
+where fewer than a quarter of the characters are Latin letters.
+
 Defined cases: null text counts as empty: no words, base_failed, not kept; rules abstain where they have nothing to look at;
 repeated rows count as often as they occur; an empty table gives an empty result; input columns with the names of
 new ones are replaced.
@@ -25,10 +29,18 @@ from pyspark.sql import functions as F
 
 from sessionlens.llm.catalog import documents, query
 from sessionlens.llm.rows import field, packed, unpacked
-from sessionlens.session import scratch_path
+from sessionlens.session import scratch_path, spread
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+MARKS = ".,;:!?"
+#: Words that prose of the larger Latin-script languages cannot do without (a parameter of one rule, fixed).
+FUNCTION_WORDS = """the of and to in is that was for with are this on as at by
+    de la le les des et en un une est que el los y por con una der die das und den von zu mit ist ein eine nicht""".split()
+ALONE = (r"(?<![^\x20\x09-\x0D])", r"(?![^\x20\x09-\x0D])")
+CLEAN_WORD = ALONE[0] + r"[\p{L}\p{M}'\u2019\-]++[.,;:!?]?+" + ALONE[1]
+"""Letters with at most one mark behind them."""
+COMMON_WORD = ALONE[0] + "(?i:" + "|".join(FUNCTION_WORDS) + ")" + ALONE[1]
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP_FROM = 0.5
@@ -39,11 +51,15 @@ START = {True: 0.01, False: 0.3}
 """Share of bad votes among a rule's votes on good and on bad documents."""
 
 #: name -> (numerator, denominator, bad below, good from, good to, bad above); between them a rule abstains.
+#: Each rule looks at a numerator of its own, and can vote bad on documents that pass the base conditions.
 RULES = {
-    "long_enough": ("n_words", None, 50, 100, None, None),
-    "word_length": ("word_chars", "n_words", 2.5, 3.5, 10, 14),
+    "word_length": ("word_chars", "n_words", 2.5, 3.5, 8, 10),
     "few_symbols": ("n_symbols", "n_words", None, None, 0.05, 0.2),
-    "plain_characters": ("n_symbols", "word_chars", None, None, 0.01, 0.05),
+    "clean_words": ("n_clean_words", "n_latin_words", 0.6, 0.8, None, None),
+    "common_words": ("n_common_words", "n_latin_words", 0.02, 0.06, None, None),
+    "few_capitals": ("n_capitals", "word_chars", None, None, 0.1, 0.3),
+    "few_marks": ("n_marks", "n_words", None, None, 0.4, 0.75),
+    "many_words": ("n_distinct_words", "root_words", 2, 3, None, None),
     "few_copied_lines": ("n_dup_lines", "n_lines", None, None, 0.2, 0.4),
     "few_repeats": ("n_repeat_words", "n_words", None, None, 0.2, 0.4),
     "sentence_ends": ("n_ended_lines", "n_lines", 0.1, 0.5, None, None),
@@ -117,6 +133,14 @@ def base_columns(text: Column) -> dict[str, Column]:
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(without(whole, BLANKS)).cast("long"),
         "n_symbols": (F.length(whole) - F.length(without(whole, SYMBOLS))).cast("long"),
+        "n_latin_words": F.when(4 * F.regexp_count(whole, F.lit(r"\p{IsLatin}")) >= F.length(without(whole, BLANKS)),
+                                F.size(words).cast("long")),
+        "n_clean_words": F.regexp_count(whole, F.lit(CLEAN_WORD)).cast("long"),
+        "n_common_words": F.regexp_count(whole, F.lit(COMMON_WORD)).cast("long"),
+        "n_capitals": F.regexp_count(whole, F.lit(r"\p{Lu}")).cast("long"),
+        "n_marks": (F.length(whole) - F.length(without(whole, MARKS))).cast("long"),
+        "n_distinct_words": F.size(F.array_distinct(words)).cast("long"),
+        "root_words": F.sqrt(F.size(words)),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_ended_lines": F.size(ended).cast("long"),
@@ -191,13 +215,13 @@ def quality(df: DataFrame, text: str = "text", carry: list[str] | None = None) -
     counts = base_columns(field(text))
     path = scratch_path(spark, "quality-counts")
     # counted once, then read for the model and for the verdicts
-    packed(df).select(F.struct(*(field(c).alias(c) for c in carry)).alias("_row"),
+    packed(spread(df)).select(F.struct(*(field(c).alias(c) for c in carry)).alias("_row"),
                       *(v.alias(c) for c, v in counts.items())).write.parquet(path)
     voted = spark.read.parquet(path).withColumns({name: vote(name) for name in RULES})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     names = list(RULES)
     judged = voted.filter(~failed).groupBy(*names).count()
-    model = LabelModel(names, {tuple(r[n] for n in names): r["count"] for r in judged.collect()})  # 3^7 rows at most
+    model = LabelModel(names, {tuple(r[n] for n in names): r["count"] for r in judged.collect()})  # 3^10 rows at most
     return unpacked(voted, carry, {
         **{c: F.col(c) for c in counts}, **{name: F.col(name) for name in names},
         "p_good": model.column(), "base_failed": failed, "kept": ~failed & (model.column() >= KEEP_FROM)})

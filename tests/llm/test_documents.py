@@ -398,6 +398,30 @@ def test_quality_against_labels(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.05
 
 
+def test_quality_is_more_than_all_must_pass(spark):
+    """Four rules vote bad on the table, on numerators of their own; single unreliable votes are outvoted, as the labels want."""
+    sf = SMALL.replace("0.001", "0.1")
+    tops = [r[0] for r in quality_rules.RULES.values()]
+    assert len(set(tops)) == len(tops)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality_rules.op7_quality_rules(spark, sf).join(labels, "doc_id", "left").filter("NOT base_failed").collect()
+    votes = {name: sum(r[name] == -1 for r in rows) for name in quality_rules.RULES}
+    assert sum(n > 0 for n in votes.values()) >= 4
+    passed = {r.doc_id: all(r[name] >= 0 for name in quality_rules.RULES) for r in rows}
+    assert any(r.kept and not passed[r.doc_id] for r in rows)
+    labelled = [r for r in rows if r.quality is not None]
+    agree = np.mean([r.kept == (r.quality == 1) for r in labelled])
+    assert agree > np.mean([passed[r.doc_id] == (r.quality == 1) for r in labelled])
+
+
+def test_quality_in_other_scripts(spark):
+    """The rules on the form of words say nothing on texts that are not in Latin letters."""
+    r = np.random.default_rng(5)
+    texts = [" ".join("".join(r.choice(list(letters), 5)) for _ in range(80)) + "." for letters in ("абвгдежз", "αβγδεζηθ", "天地玄黄宇宙洪荒")]
+    rows = quality_rules.quality(spark.createDataFrame([(t,) for t in texts], "text string").withColumn("n", F.lit(1))).collect()
+    assert all(x.kept and x.clean_words == 0 and x.common_words == 0 for x in rows)
+
+
 # --- secret scans --------------------------------------------------------------------------------------
 
 
