@@ -4,7 +4,7 @@ Two bytes that are neighbours in no token of the vocabulary can never lie in one
 each fragment encoded on its own, and the ids concatenated. The pre-tokenizer must not see the cut either: of these
 pairs, those are used at which it always ends a pre-token whatever stands around, namely white space after any other
 character, and changes between ASCII letters, digits and punctuation. The fragments repeat, so a worker encodes
-each once (with the library) and remembers its ids and decoded bytes in a bounded memo.
+each once (with the library) and remembers its ids and decoded bytes in a memo of bounded bytes; long fragments pass through.
 
 Defined cases: null counts as empty (no ids); strings of special tokens inside a text become their ids, as the library
 does by default; an empty table gives an empty result; input
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from sessionlens.llm.catalog import documents, query
-from sessionlens.llm.vocab import chunks, unknown, vocabulary
+from sessionlens.llm.memo import Memo
+from sessionlens.llm.vocab import chunks, vocabulary
 from sessionlens.session import spread
 
 #: Last two bytes of the white space characters beyond ASCII.
@@ -64,7 +66,7 @@ class Codec:
         self.wide[tuple(zip(*WIDE_BLANKS, strict=True))] = True
         self.wide = self.wide.ravel()
         self.special = re.compile(b"(" + b"|".join(re.escape(s.encode()) for s in self.vocab.special) + b")")
-        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
+        self.memo = Memo()
 
     def fragments(self, texts: list[bytes]) -> list[list[bytes]]:
         """The fragments of each text between its forced cuts."""
@@ -86,12 +88,14 @@ class Codec:
             first = stop
         return out
 
-    def learn(self, pieces: list[bytes]) -> None:
+    def learn(self, pieces: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """Ids and decoded bytes of pieces."""
         encoded = self.vocab.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        token = self.vocab.bytes_of
+        token, out = self.vocab.bytes_of, {}
         for piece, e in zip(pieces, encoded, strict=True):
             ids = e.ids
-            self.memo[piece] = (np.array(ids, "<u4").tobytes(), b"".join(map(token.__getitem__, ids)))
+            out[piece] = (np.array(ids, "<u4").tobytes(), b"".join(map(token.__getitem__, ids)))
+        return out
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
@@ -105,10 +109,7 @@ class Codec:
             else:  # special strings are fragments of their own
                 parts = self.special.split(t)
                 cut.append([f for k, p in enumerate(parts) for f in ([p] if k % 2 else self.fragments([p])[0])])
-        known = self.memo
-        missing = unknown(cut, known)
-        if missing:
-            self.learn(missing)
+        known = self.memo.fetch(chain.from_iterable(cut), self.learn)
         out = []
         for pieces in cut:
             both = [known[f] for f in pieces]

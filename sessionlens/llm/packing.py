@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlens.llm.catalog import documents, query
+from sessionlens.llm.memo import LONGEST, Memo
 from sessionlens.llm.token_counts import Merger
-from sessionlens.llm.vocab import chunks, unknown, vocabulary
+from sessionlens.llm.vocab import chunks, vocabulary
 from sessionlens.session import drop_scratch, scratch_path, spread
 
 CAPACITY = 2048
@@ -80,46 +82,50 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer, self.merger = vocabulary(path).tokenizer, Merger(vocabulary(path))
-        self.memo: dict[bytes, bytes] = {}
-
-    def learn_letters(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.memo]
-        if new:
-            counts, ids = self.merger.merge(new)
-            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            self.memo.update(zip(new, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-
-    def learn_others(self, words: set[str]) -> None:
-        new = [w for w in words if w.encode() not in self.memo]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[w.encode()] = np.array(e.ids, "<u4").tobytes()
+        self.memo = Memo(content=len)
+
+    def letters(self, words: set[bytes]) -> dict[bytes, bytes]:
+        if not words:
+            return {}
+        words = list(words)
+        counts, ids = self.merger.merge(words)
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return dict(zip(words, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+
+    def others(self, words: set[str]) -> dict[bytes, bytes]:
+        words = list(words)
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {w.encode(): np.array(e.ids, "<u4").tobytes() for w, e in zip(words, encoded, strict=True)}
+
+    def learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words, and of those stems and marks behind them that are short."""
+        known = self.memo.store
+        latin, others, made = set(), set(), []
+        for raw in missing:
+            if raw.isalpha() and raw.islower():
+                latin.add(raw)
+                continue
+            word = raw.decode()
+            stem = word.rstrip(MARKS)
+            if LATIN.fullmatch(stem):
+                marks, low = word[len(stem):], stem.lower().encode()
+                latin.add(low)
+                if marks:
+                    others.add(marks)
+                made.append((raw, low, marks.encode()))
+            else:
+                others.add(word)
+        new = {w: known[w] for w in [*latin, *(x.encode() for x in others)] if w in known}
+        new |= self.letters({w for w in latin if w not in new}) | self.others({w for w in others if w.encode() not in new})
+        for raw, stem, marks in made:
+            new[raw] = new[stem] + new[marks] if marks else new[stem]
+        asked = set(missing)
+        return {w: ids for w, ids in new.items() if w in asked or (len(w) <= LONGEST and w not in known)}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [t.split() for t in parted([t.encode() for t in texts])]
-        known = self.memo
-        missing = unknown(cut, known)
-        if missing:
-            latin, others, made = set(), set(), []
-            for raw in missing:
-                if raw.isalpha() and raw.islower():
-                    latin.add(raw)
-                    continue
-                word = raw.decode()
-                stem = word.rstrip(MARKS)
-                if LATIN.fullmatch(stem):
-                    marks, low = word[len(stem):], stem.lower().encode()
-                    latin.add(low)
-                    if marks:
-                        others.add(marks)
-                    made.append((raw, low, marks.encode()))
-                else:
-                    others.add(word)
-            self.learn_letters(latin)
-            self.learn_others(others)
-            for raw, stem, marks in made:
-                if raw not in known:
-                    known[raw] = known[stem] + known[marks] if marks else known[stem]
+        known = self.memo.fetch(chain.from_iterable(cut), self.learn)
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 

@@ -3,7 +3,7 @@
 The pre-tokens of a batch of texts lie in one ragged numpy array of symbols, one symbol per byte at first. In every round
 each pre-token applies its own lowest-ranked adjacent pair, at all places at once; pre-tokens without a ranked pair leave
 the array, and the symbols they have left are counted. Equal pre-tokens are merged once per worker and remembered in a
-bounded memo.
+memo of bounded bytes; long pieces pass through.
 
 Texts are cut before white space that follows other characters: a pre-token never spans such a place, and no rule of the
 pre-tokenizer looks across it. Pieces of plain Latin letters are pre-tokens as they are; others are split by the
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlens.llm.catalog import documents, query
-from sessionlens.llm.vocab import Vocabulary, byte_symbols, chunks, unknown, vocabulary
+from sessionlens.llm.memo import Memo
+from sessionlens.llm.vocab import Vocabulary, byte_symbols, chunks, vocabulary
 from sessionlens.session import spread
 
 LIMIT = 512
@@ -115,7 +117,7 @@ class Counter:
         self.merger = Merger(self.vocab)
         self.symbol = byte_symbols()
         self.special = re.compile("|".join(map(re.escape, self.vocab.special))) if self.vocab.special else None
-        self.memo: dict[str, int] = {}
+        self.memo = Memo(content=lambda n: 0)
 
     def pre_tokens(self, piece: str) -> list[bytes]:
         if LATIN.fullmatch(piece):
@@ -123,12 +125,11 @@ class Counter:
         parts = self.vocab.tokenizer.pre_tokenizer.pre_tokenize_str(piece)
         return [bytes(map(self.symbol.__getitem__, p)) for p, _ in parts]
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> dict[str, int]:
         split = [self.pre_tokens(p) for p in pieces]
         flat = [w for words in split for w in words]
         counts = iter(self.merger.counts(flat).tolist() if flat else [])
-        for piece, words in zip(pieces, split, strict=True):
-            self.memo[piece] = sum(next(counts) for _ in words)
+        return {piece: sum(next(counts) for _ in words) for piece, words in zip(pieces, split, strict=True)}
 
     def __call__(self, texts: list[str]) -> list[int]:
         cut, extra = [], []
@@ -141,11 +142,7 @@ class Counter:
             else:
                 cut.append(PIECES.findall(text))
             extra.append(n)
-        known = self.memo
-        missing = unknown(cut, known)
-        if missing:
-            self.learn(missing)
-        value = known.__getitem__
+        value = self.memo.fetch(chain.from_iterable(cut), self.learn).__getitem__
         return [sum(map(value, pieces)) + n for pieces, n in zip(cut, extra, strict=True)]
 
 

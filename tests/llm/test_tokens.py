@@ -13,6 +13,7 @@ from odd_documents import SMALL, clashing, nothing, odd  # noqa: F401
 from tokenizers import Tokenizer
 
 from sessionlens.llm import bpe_codec, packing, token_counts
+from sessionlens.llm.memo import LONGEST
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 PIECES = ["a", "the", " ", "  ", "\n", "\n\n", "\t", "'s", "'S", "it's", "123", "!", "...", "é", "ß", "日本", " ", "　", " ",
@@ -53,6 +54,21 @@ def test_word_ids_are_the_library(word_library, texts):
         assert np.frombuffer(ids, "<u4").tolist() == word_library.encode(text, add_special_tokens=False).ids
 
 
+def test_memos_are_bounded_in_bytes_for_texts_without_blanks(byte_library, word_library):
+    """Documents of scripts without blanks are long pieces: encoded as the library does, and not remembered."""
+    r = np.random.default_rng(3)
+    codec, counter, words = bpe_codec.Codec(BYTES), token_counts.Counter(BYTES), packing.WordEncoder(WORDS)
+    for _ in range(30):
+        texts = ["".join(map(chr, r.integers(0x4E00, 0x9FA0, 4000))), "".join(map(chr, r.integers(97, 123, 900))) + ".,", "a Word, here"]
+        want = [byte_library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(i, "<u4").tolist() for i, _ in codec(texts)] == want
+        assert counter(texts) == [len(x) for x in want]
+        assert [np.frombuffer(i, "<u4").tolist() for i in words(texts)] == [word_library.encode(t, add_special_tokens=False).ids for t in texts]
+    for memo in (codec.memo, counter.memo, words.memo):
+        memo.make_room()
+        assert memo.size < 20_000 and all(len(p) <= LONGEST for p in memo.store)
+
+
 def test_merges_take_overlapping_pairs_from_the_left(byte_library):
     words = [b"a" * n for n in range(1, 40)] + [b"ababababa", b"-" * 17]
     got = token_counts.Merger(token_counts.vocabulary(BYTES)).counts(words)
