@@ -1,13 +1,17 @@
 """Secret scans with a random forest that removes false positives.
 
 Candidates are unbroken runs of 16 or more key characters, runs joined by dots of which one is that long, values of keys
-named like a secret whatever their length and signs, passwords in URLs, and blocks of private keys. Each is described by its length, its character classes and
+named like a secret whatever their length and signs, whatever the length of the key and the blanks around the sign (one line
+break among them), with escaped quotes inside, passwords in URLs, and blocks of private keys under labels of any length. Each is described by its length, its character classes and
 the changes between them, its entropy, how likely its letters follow each other in ordinary words, the share of it that
-dictionary words cover, its path (the place the text came from) and the words in front of it. A random forest trained on
+dictionary words cover, its path (the place the text came from) and the words in front of it. Of the text around a candidate
+the forest sees the key it is assigned to, at least 40 characters to the left and 8 to the right, with runs of blanks as one
+blank; the last three words in front have 32 hash places. A random forest trained on
 labelled findings gives the probability that it is a secret; candidates below the threshold are dropped as false positives.
 
 Labelled findings are those made from the formats and placeholders below, plus a bounded sample of candidates of the
-table (of each label half of `MAX_LABELLED`, those with the lowest hashes, copies counting once) that a strict rule
+table (of each label half of `MAX_LABELLED`, those with the lowest hashes, copies counting once; only their description
+leaves the task, taken from the whole candidate) that a strict rule
 labels: a quoted or assigned value of a key named like a secret is one, a candidate without any such name, quote or
 assignment near it is none, others are left out.
 The dictionary is the list of whole words of a public tokenizer file.
@@ -25,7 +29,7 @@ import json
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -51,20 +55,28 @@ CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_\-]{12,}[A-Za-z0-9+/](?:={1,2}(
 LEAST_LETTERS = 16
 DOTTED = re.compile(r"(?<![A-Za-z0-9_\-.])[A-Za-z0-9_\-]++(?:\.[A-Za-z0-9_\-]++)++")
 URL_PASSWORD = re.compile(r"""://[^\s:/@"'<>]*+:([^\s/@"'<>]++)(?=@)""")
+LABEL = r"(?:(?!PRIVATE KEY|-----)[^\n])*+PRIVATE KEY(?: BLOCK)?-----"
 BLOCK = re.compile(
-    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
-    r"(?:(?:(?!-----)[\s\S])*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:\s+[A-Za-z0-9+/=]{16,})*)")
+    r"-----BEGIN " + LABEL + r"(?:(?:(?!-----)[\s\S])*+-----END " + LABEL + r"|(?:\s+[A-Za-z0-9+/=]{16,})*)")
 LEFT = 40
 NAMES = re.compile(
     r"(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|auth|credential|bearer|private[_-]?key)")
-NAMED = re.compile(NAMES.pattern + r"""[\w\-]{0,40}["'\]]{0,2}\s{0,3}(?:=>|:=|=|:)\s{0,3}(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'`<>]+))""")
+SIGN = re.compile(r":=|=>|=+|:")
+#: What follows the sign: blanks with at most one line break, then an escaped, quoted, unclosed or bare value.
+VALUE = re.compile(
+    r"""[^\S\n]*+(?:\n[^\S\n]*+)?(?:\\(["'])(?P<escaped>(?:(?!\\\1)[^\n])++)\\\1"""
+    r"""|"(?P<double>(?:[^"\\\n]|\\[^\n])++)"|'(?P<single>(?:[^'\\\n]|\\[^\n])++)'|["']*+(?P<bare>[^\s"'`<>]++))""")
+BLANK_RUN = re.compile(r"[^\S\n]{2,}")
+BLANKS_HERE = re.compile(r"[^\S\n]*+")
+FOLLOWED_BY_SIGN = re.compile(r"""[\\"'\]]*+\s?(?:=|:(?!//))""")
+KEY_SIGNS = frozenset("-_")
 TESTING = re.compile(r"(?i)test|example|sample|fixture|mock|docs?/|demo|placeholder|dummy")
 ASSIGNED = re.compile(r"""(?:=|:|=>)\s*["']?$|["']$|(?i:bearer\s+)$""")
 PLACEHOLDER = re.compile(r"(?i)your|example|xxxx|changeme|placeholder|dummy|sample|insert|redacted|0{8}|1234567|abcdefg")
 #: Beginnings that providers give their keys.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-", "AIza", "SG.",
             "npm_", "eyJ")
-NEAR_WORDS = 8
+NEAR_WORDS = 32
 """Hash places for the words in front of a candidate."""
 
 
@@ -77,6 +89,15 @@ def dictionary(path: str) -> frozenset[str]:
     return frozenset(w for w in words if len(w) >= 4 and w.isascii() and w.isalpha())
 
 
+@lru_cache(maxsize=2)
+def lengths(path: str) -> dict[str, list[int]]:
+    """The lengths, longest first, of the dictionary's words with the same first four letters."""
+    out: dict[str, set[int]] = {}
+    for w in dictionary(path):
+        out.setdefault(w[:4], set()).add(len(w))
+    return {k: sorted(v, reverse=True) for k, v in out.items()}
+
+
 @lru_cache(maxsize=2)
 def followers(path: str) -> np.ndarray:
     """Log probability of a letter after a letter in the dictionary's words."""
@@ -89,11 +110,12 @@ def followers(path: str) -> np.ndarray:
     return np.log(count / count.sum(axis=1, keepdims=True))
 
 
-def covered(text: str, words: frozenset[str]) -> float:
+def covered(text: str, path: str) -> float:
     """Share of the characters that dictionary words cover, longest word first from left to right."""
+    words, sizes = dictionary(path), lengths(path)
     low, i, n = text.lower(), 0, 0
     while i < len(low) - 3:
-        for size in range(min(12, len(low) - i), 3, -1):
+        for size in sizes.get(low[i: i + 4], ()):
             if low[i: i + size] in words:
                 n, i = n + size, i + size
                 break
@@ -117,14 +139,14 @@ def features(value: str, left: str, right: str, path: str, words: str) -> list[f
     named = list(NAMES.finditer(left))
     row = [
         n, math.log(n), *share, changes, float(-(counts * np.log2(counts)).sum()), len(counts) / n,
-        sum(steps) / len(steps) if steps else -3.3, len(steps) / n, covered(value, dictionary(words)),
+        sum(steps) / len(steps) if steps else -3.3, len(steps) / n, covered(value, words),
         float(value.startswith(PREFIXES)), float(bool(PLACEHOLDER.search(value))),
         float(all(c in "0123456789abcdefABCDEF" for c in value)), float(value.isdigit()), value.count("-") / n,
-        value.count("/") / n, float(bool(named)), len(left) - named[-1].end() if named else LEFT,
+        value.count("/") / n, float(bool(named)), min(LEFT, len(left) - named[-1].end()) if named else LEFT,
         float(bool(ASSIGNED.search(left))), float(right[:1] in "\"'" and right != ""), float("@" in right[:2]),
         float(bool(TESTING.search(path))), float("/" in left[-1:]), len(path), float(value.startswith("-----BEGIN")),
         value.count(".") / n, float(any(c in "(){}[]<>$ " for c in value)), float("://" in left and right[:1] == "@"),
-        float(value.lower() in dictionary(words)), float(value.isalpha()),
+        float(value.lower() in dictionary(words)), float(value.isalpha()), float(bool(FOLLOWED_BY_SIGN.match(right))),
     ]
     near = [0.0] * NEAR_WORDS
     for w in re.findall(r"[A-Za-z]+", left.lower())[-3:]:
@@ -177,7 +199,8 @@ def made_findings(seed: int = 7) -> list[tuple[str, str, str, str, int]]:
         signs, letter = alnum + "!@#$%^*?", alnum[:52]
         plainer = alnum + "!#$%^*"
         human = r.choice(syllables) + r.choice(syllables) + str(r.randint(1, 999)) + r.choice("!#$%*") + some(letter, r.randint(0, 4))
-        for value in (some(signs, r.randint(8, 14)) + r.choice("0123456789"), human, some(letter, 32)):
+        mixed = some(letter[:26], r.randint(4, 7)) + str(r.randint(1, 99)) + r.choice("!#$%*@") + some(letter, r.randint(2, 4))
+        for value in (some(signs, r.randint(8, 14)) + r.choice("0123456789"), human, mixed, some(letter, 32)):
             quote, name = r.choice(['"', "'"]), r.choice(names)
             add(value, f"{name}{r.choice([' = ', '=', ': '])}{quote}", quote + "\n", r.choice(paths), 1)
             add(value, f"{name.upper()}=", "\n", r.choice(paths), 1)
@@ -191,6 +214,12 @@ def made_findings(seed: int = 7) -> list[tuple[str, str, str, str, int]]:
         body = "\n".join(some(alnum + "+/", 64) for _ in range(r.randint(4, 26)))
         add(f"-----BEGIN {kind_of_key}PRIVATE KEY-----\n{body}\n-----END {kind_of_key}PRIVATE KEY-----", r.choice(["", "key:\n", "x "]),
             "\n", r.choice(paths), 1)
+        long_key = "_".join(r.choice(syllables) + r.choice(syllables) for _ in range(r.randint(2, 6)))
+        long_key = r.choice([f"{long_key}_{r.choice(names)}", f"{r.choice(names)}_{long_key}"])
+        long_key = r.choice([long_key, long_key.upper(), long_key.replace("_", "-")])
+        for value in (mixed, some(hexa, 32), some(signs, r.randint(8, 14)) + r.choice("0123456789")):
+            add(value, long_key + r.choice([': "', ' = "', '": "']), '"\n', r.choice(paths), 1)
+        add(long_key, r.choice(["", '"', "  ", "export "]), r.choice([' = "x"', '": "x"', ": x", "=x1"]), r.choice(paths), 0)
         prose = r.choice(["the", "nobody", "some", "that", "because", "Smith", "Johnson", "never", "people", "keep", "this", "your"])
         code = r.choice(["None", "null", "true", "false", "get_password()", "${DB_PASSWORD}", 'os.environ["TOKEN"]', "args.password",
                          "{{secret}}", "input()", "********", "str", "string", "required", "self.token"])
@@ -275,38 +304,71 @@ class Forest:
         return total / len(self.trees)
 
 
-def spans(text: str) -> Iterator[tuple[int, int]]:
-    """Places of the candidates of all forms; forms may give the same place."""
+def key_before(text: str, sign: int) -> tuple[int, int]:
+    """Start and end of the key in front of a sign: behind it blanks, quotes and brackets may stand."""
+    end = sign
+    while end and text[end - 1].isspace():
+        end -= 1
+    while end and text[end - 1] in "\\\"']":
+        end -= 1
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in KEY_SIGNS):
+        start -= 1
+    return start, end
+
+
+def named_values(text: str) -> Iterator[tuple[int, int, int]]:
+    """Start, end and start of the key of each value whose key is named like a secret."""
+    done = 0
+    for sign in SIGN.finditer(text):
+        if sign.start() < done:
+            continue
+        start, end = key_before(text, sign.start())
+        if start == end or not NAMES.search(text, start, end):
+            continue
+        m = VALUE.match(text, sign.end())
+        if not m:
+            continue
+        a, b = m.span(m.lastgroup)
+        if m.lastgroup == "bare":
+            if start and text[start - 1] in "?&":  # a parameter of a URL
+                stop = text.find("&", a, b)
+                b = b if stop < 0 else stop
+            while b > a and text[b - 1] in ",;)]}.":
+                b -= 1
+        if b > a:
+            done = b
+            yield a, b, start
+
+
+def spans(text: str) -> dict[tuple[int, int], int]:
+    """Places of the candidates of all forms, each with the start of the key it is assigned to (else its own start)."""
+    out = {}
     for m in CANDIDATE.finditer(text):
         if len(m.group()) >= LEAST_LETTERS:
-            yield m.span()
+            out[m.span()] = m.start()
     if "." in text:
         for m in DOTTED.finditer(text):
             if m.group().startswith(PREFIXES) or any(
                     len(x) >= LEAST_LETTERS and any(c.isdigit() for c in x) for x in m.group().split(".")):
-                yield m.span()
+                out[m.span()] = m.start()
     if "://" in text:
         for m in URL_PASSWORD.finditer(text):
-            yield m.span(1)
+            out[m.span(1)] = m.start(1)
     if "-----BEGIN " in text:
         for m in BLOCK.finditer(text):
-            yield m.span()
-    for m in NAMED.finditer(text):
-        a, b = m.span(m.lastindex)
-        if m.lastindex == 3:
-            before = re.search(r"[?&][\w\-]*$", text[max(0, m.start() - LEFT): m.start()])
-            if before and "&" in text[a:b]:  # a parameter of a URL
-                b = text.index("&", a)
-            while b > a and text[b - 1] in ",;)]}.":
-                b -= 1
-        if b > a:
-            yield a, b
+            out[m.span()] = m.start()
+    for a, b, key in named_values(text):
+        out[a, b] = key
+    return out
 
 
 def found(text: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, value, left, right) of the candidates of a text."""
-    for a, b in sorted(set(spans(text))):
-        yield a, b, text[a:b], text[max(0, a - LEFT): a], text[b: b + 8]
+    """(start, end, value, left, right) of the candidates of a text; runs of blanks around them count as one."""
+    for (a, b), key in sorted(spans(text).items()):
+        left = BLANK_RUN.sub(" ", text[min(key, max(0, a - LEFT)): a])
+        end = BLANKS_HERE.match(text, b).end()
+        yield a, b, text[a:b], left, (text[b: min(end, b + 1)] + text[end: end + 8])[:8]
 
 
 def redacted(text: str, places: list[tuple[int, int]]) -> str:
@@ -319,36 +381,45 @@ def redacted(text: str, places: list[tuple[int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
-def trained(findings: list[tuple[str, str, str, str, int]], words: str) -> Forest:
-    """A forest from labelled findings (value, left, right, path, is_secret)."""
-    x = np.array([features(*f[:4], words) for f in findings])
-    return Forest(x, np.array([f[4] for f in findings]))
+def described(findings: list[tuple[str, str, str, str, int]], words: str) -> list[tuple[list[float], int]]:
+    """(features, is_secret) of labelled findings (value, left, right, path, is_secret)."""
+    return [(features(*f[:4], words), f[4]) for f in findings]
 
 
-def lowest(rows: Iterator[tuple], most: int) -> list[tuple]:
-    """Of each label the `most` rows (h, path, right, value, left, label) with the lowest hashes, the smallest row per hash."""
+def trained(rows: list[tuple[list[float], int]]) -> Forest:
+    """A forest from described findings."""
+    return Forest(np.array([x for x, _ in rows]), np.array([label for _, label in rows]))
+
+
+def lowest(rows: Iterator[tuple], most: int, describe: Callable[..., list[float]]) -> list[tuple]:
+    """Of each label the `most` rows (h, label, path, right, features) with the lowest hashes, the smallest row per hash.
+
+    Rows come as (h, label, path, right, what `describe` takes); it is asked only for rows that are held.
+    """
     best: tuple[dict, dict] = ({}, {})
-    for row in rows:
-        held = best[row[-1]]
-        if row[0] not in held or row < held[row[0]]:
-            held[row[0]] = row
-            if len(held) > 4 * most:
-                for h in sorted(held)[most:]:
-                    del held[h]
-    return [held[h] for held in best for h in sorted(held)[:most]]
+    limit = [math.inf, math.inf]
+    for h, label, path, right, rest in rows:
+        held = best[label]
+        if h <= limit[label] and (h not in held or (path, right) < held[h][:2]):
+            held[h] = (path, right, describe(path, right, rest))
+            if len(held) > 2 * most:
+                for x in sorted(held)[most:]:
+                    del held[x]
+                limit[label] = max(held)
+    return [(h, label, *held[h]) for label, held in enumerate(best) for h in sorted(held)[:most]]
 
 
-def labelled_sample(df: DataFrame, text: str, path: str, most: int = MAX_LABELLED) -> list[tuple[str, str, str, str, int]]:
-    """Candidates of the table that the strict rule labels; of each label the `most` / 2 with the lowest hashes.
+def labelled_sample(df: DataFrame, words: str, text: str, path: str, most: int = MAX_LABELLED) -> list[tuple[list[float], int]]:
+    """Descriptions of candidates that the strict rule labels; of each label the `most` / 2 with the lowest hashes.
 
     Copies (equal left and value) count once. Each task keeps its lowest, `PARTS` tasks keep the lowest of those.
     """
-    names = ["h", "path", "right", "value", "left", "label"]
-    kinds = [pa.int64(), *[pa.string()] * 4, pa.int32()]
-    schema = "h long, path string, right string, value string, left string, label int"
+    names = ["h", "label", "path", "right", "x"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64())]
+    schema = "h long, label int, path string, right string, x array<double>"
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -359,19 +430,19 @@ def labelled_sample(df: DataFrame, text: str, path: str, most: int = MAX_LABELLE
                         label = strict_label(value, left)
                         if label is not None:
                             h = hashlib.blake2b(f"{left}\0{value}".encode(), digest_size=7).digest()
-                            yield int.from_bytes(h, "big"), where, right, value[:4096], left, label
+                            yield int.from_bytes(h, "big"), label, where, right, (value, left)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield batch_of(lowest(labelled(batches), most // 2))
+        yield batch_of(lowest(labelled(batches), most // 2, lambda where, right, x: features(*x, right, where, words)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True))
-        yield batch_of(lowest(rows, most // 2))
+        yield batch_of(lowest(rows, most // 2, lambda where, right, x: x))
 
     rows = df.select(F.col(text).alias("text"), F.coalesce(F.col(path), F.lit("")).cast("string").alias("path"))
     few = spread(rows).mapInArrow(scan, schema).repartition(PARTS, "h").mapInArrow(merge, schema)
-    low = lowest((tuple(r) for r in few.collect()), most // 2)  # at most `PARTS` x `most` rows
-    return [(value, left, right, path, label) for _, path, right, value, left, label in low]
+    low = lowest((tuple(r) for r in few.collect()), most // 2, lambda where, right, x: x)  # at most `PARTS` x `most` rows
+    return [(x, label) for _, label, _, _, x in low]
 
 
 def scan_secrets(df: DataFrame, forest: Forest, words: str, text: str = "text", path: str = "source",
@@ -420,7 +491,7 @@ def scan_secrets(df: DataFrame, forest: Forest, words: str, text: str = "text",
 
 def fitted(df: DataFrame, words: str, text: str = "text", path: str = "source") -> Forest:
     """The forest for a table of documents."""
-    return trained(made_findings() + labelled_sample(df, text, path), words)
+    return trained(described(made_findings(), words) + labelled_sample(df, words, text, path))
 
 
 @query("op9_secret_scans")
