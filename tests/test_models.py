@@ -180,3 +180,15 @@ def test_flat_export_has_no_cap(spark):
     assert len(export.flat_rows(df).columns) == 1201
     assert export.flat_rows(df, ["k7"]).columns == ["id", "metadata_k7"]
     assert export.long_rows(df, "id").count() == 3600
+
+
+def test_kernel_distance_over_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(L, "WAVE_ROWS", 7)
+    values = np.random.default_rng(5).normal(size=(60, 3))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "id long, v array<double>").repartition(4)
+    scored = L.kernel_distance(rows, "v", features=4096)
+    got = np.array([r.distance for r in scored.orderBy("id").collect()])
+    exact = 1 - np.exp(-((values[:, None] - values[None]) ** 2).sum(-1) / 3).mean(axis=1)
+    assert np.abs(got - exact).max() < 0.1
+    # Python hands back one number per row, never its features
+    assert "array<double>" not in scored.drop("v").schema.simpleString() and "zip_with" not in scored._jdf.queryExecution().toString()
