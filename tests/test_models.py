@@ -192,3 +192,10 @@ def test_kernel_distance_over_many_slices(spark, monkeypatch):
     assert np.abs(got - exact).max() < 0.1
     # Python hands back one number per row, never its features
     assert "array<double>" not in scored.drop("v").schema.simpleString() and "zip_with" not in scored._jdf.queryExecution().toString()
+
+
+def test_frequent_terms(spark):
+    usual = spark.conf.get(L.SHUFFLE_KEY)
+    rows = spark.createDataFrame([(["b", "a"],), (["b", "c"],), (["a", "d"],), ([],), (None,)], "t array<string>")
+    assert L.frequent_terms(rows, "t", 3) == ["a", "b", "c"]
+    assert spark.conf.get(L.SHUFFLE_KEY) == usual
