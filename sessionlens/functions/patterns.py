@@ -29,16 +29,20 @@ REDACTED_PATTERNS = {"EMAIL": EMAIL, "PHONE": LOG_PHONE, "CREDIT_CARD": LOG_CARD
 SSN_DASHED = r"\b\d{3}-\d{2}-\d{4}\b"
 CARD_GROUPS = r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b"
 PLAIN_URL = r"https?://[^\s]+"
+PHONE_GROUPS, PHONE_PLAIN = r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", r"\b\d{10}\b"
+DOTTED_NUMBERS = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+TYPED_WINDOWS_PATH, TYPED_UNIX_PATH = r"[A-Za-z]:\\[^\n]*", r"/[^\s]*"
+LONG_KEY, SK_KEY, PK_KEY = r"[A-Za-z0-9]{32,}", r"sk-[A-Za-z0-9]+", r"pk_[A-Za-z0-9]+"
 CONTENT_TYPES = {
     "password": [r"password", r"passwd", r"pwd", r"secret", r"token"],
     "email": [EMAIL],
-    "phone": [r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", r"\b\d{10}\b"],
+    "phone": [PHONE_GROUPS, PHONE_PLAIN],
     "credit_card": [CARD_GROUPS],
     "ssn": [SSN_DASHED],
     "url": [PLAIN_URL],
-    "ip_address": [r"\b(?:\d{1,3}\.){3}\d{1,3}\b"],
-    "file_path": [r"[A-Za-z]:\\[^\n]*", r"/[^\s]*"],
-    "api_key": [r"[A-Za-z0-9]{32,}", r"sk-[A-Za-z0-9]+", r"pk_[A-Za-z0-9]+"],
+    "ip_address": [DOTTED_NUMBERS],
+    "file_path": [TYPED_WINDOWS_PATH, TYPED_UNIX_PATH],
+    "api_key": [LONG_KEY, SK_KEY, PK_KEY],
     "code": [r"function\s+\w+", r"class\s+\w+", r"def\s+\w+", r"import\s+\w+"],
 }
 SENSITIVE_TYPES = ["password", "email", "phone", "credit_card", "ssn", "api_key"]

@@ -14,12 +14,18 @@ from sessionlens.functions import patterns as P
 
 # Classes of the patterns (digits, words, white space, word borders) are those of Unicode.
 UNICODE, UNICODE_CASE = "(?U)", "(?iU)"
-BLANK = r"(?U)[\s\x1c-\x1f]"
+BLANK, NO_BLANK = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
 
 # What a match of a pattern must hold; testing for it first spares most texts the pattern.
 DIGITS_3 = UNICODE + r"\d{3}"
-MUST_CONTAIN = {P.EMAIL: "@", P.LOG_URL: "://", P.PLAIN_URL: "://", P.WINDOWS_PATH: ":\\", P.CLOCK_TIME: ":"}
-MUST_MATCH = {P.LOG_PHONE: DIGITS_3, P.LOG_CARD: DIGITS_3, P.LOG_SSN: DIGITS_3, P.CARD_GROUPS: DIGITS_3, P.SSN_DASHED: DIGITS_3}
+MUST_CONTAIN = {
+    P.EMAIL: "@", P.LOG_URL: "://", P.PLAIN_URL: "://", P.WINDOWS_PATH: ":\\", P.CLOCK_TIME: ":",
+    P.TYPED_WINDOWS_PATH: ":\\", P.TYPED_UNIX_PATH: "/", P.SK_KEY: "-", P.PK_KEY: "_",
+}
+MUST_MATCH = {
+    P.LOG_PHONE: DIGITS_3, P.LOG_CARD: DIGITS_3, P.LOG_SSN: DIGITS_3, P.CARD_GROUPS: DIGITS_3, P.SSN_DASHED: DIGITS_3,
+    P.PHONE_GROUPS: DIGITS_3, P.PHONE_PLAIN: DIGITS_3, P.DOTTED_NUMBERS: UNICODE + r"\d\.\d", P.LONG_KEY: r"(?<!\S)\S{32}",
+}
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -41,14 +47,15 @@ def may_match(text: Column, expression: str) -> Column:
     return F.lit(True)
 
 
-def found(text: Column, expression: str, ignore_case: bool = False) -> Column:
+def found(text: Column, expression: str, ignore_case: bool = False, lowered: Column | None = None) -> Column:
     if ignore_case and re.fullmatch("[a-z]+", expression):
-        return F.lower(text).contains(expression)
+        return (F.lower(text) if lowered is None else lowered).contains(expression)
     return may_match(text, expression) & text.rlike((UNICODE_CASE if ignore_case else UNICODE) + expression)
 
 
-def matches_any(text: Column, expressions: Iterable[str]) -> Column:
-    return any_of(found(text, e, ignore_case=True) for e in expressions)
+def matches_any(text: Column, expressions: Iterable[str], lowered: Column | None = None) -> Column:
+    """Whether one of the patterns matches. Give a column of the lower-cased text to have it made once for all words."""
+    return any_of(found(text, e, ignore_case=True, lowered=lowered) for e in expressions)
 
 
 def keyword_flags(names: Iterable[str] | None = None) -> dict[str, Column]:
@@ -89,16 +96,16 @@ def has_url(text: Column) -> Column:
     return found(text, P.PLAIN_URL, ignore_case=True)
 
 
-def content_type(text: Column) -> Column:
+def content_type(text: Column, lowered: Column | None = None) -> Column:
     """The first typed pattern group that matches, else the form of the text."""
-    out = F.when(F.coalesce(F.trim(F.regexp_replace(text, BLANK, " ")), F.lit("")) == "", "empty")
+    out = F.when(F.coalesce(~text.rlike(UNICODE + NO_BLANK), F.lit(True)), "empty")
     for name, expressions in P.CONTENT_TYPES.items():
-        out = out.when(matches_any(text, expressions), name)
-    words = F.size(F.split(F.trim(F.regexp_replace(text, BLANK + "+", " ")), " "))
+        out = out.when(matches_any(text, expressions, lowered), name)
+    second_word = text.rlike(f"{UNICODE}{NO_BLANK}{BLANK}++{NO_BLANK}")
     return (
         out.when(text.rlike(UNICODE + r"\A\d+\z"), "numeric")
         .when(F.regexp_count(text, F.lit("\n")) >= 3, "multiline_text")
-        .when(words == 1, "single_word")
+        .when(~second_word, "single_word")
         .when(text.rlike("^(http://|https://|ftp://)"), "url")
         .when(text.rlike(r"^(/|C:\\|D:\\)"), "file_path")
         .otherwise("text")

@@ -242,7 +242,8 @@ def type_sql(column: str) -> str:
 
 @query("content_type", f"SELECT doc_id, {type_sql('text')} AS content_type FROM documents")
 def content_type(spark, sf):
-    return texts(spark, sf).select("doc_id", text.content_type(F.col("text")).alias("content_type"))
+    rows = texts(spark, sf).withColumn("lowered", F.lower("text"))
+    return rows.select("doc_id", text.content_type(F.col("text"), F.col("lowered")).alias("content_type"))
 
 
 @query(
@@ -258,8 +259,8 @@ FROM d""",
 )
 def content_disclosure(spark, sf):
     t = F.col("text")
-    typed = texts(spark, sf).select(
-        "doc_id", "text", text.content_type(t).alias("kind"), text.sensitive_clipboard(t).alias("sensitive")
+    typed = texts(spark, sf).withColumn("lowered", F.lower("text")).select(
+        "doc_id", "text", text.content_type(t, F.col("lowered")).alias("kind"), text.sensitive_clipboard(t).alias("sensitive")
     )
     kind, sensitive = F.col("kind"), F.col("sensitive")
     return typed.select(
@@ -594,7 +595,8 @@ SELECT conv_id, turn, kind, length(text) AS length, sha256(text) AS content_hash
 )
 def safe_history(spark, sf):
     t = F.col("text")
-    typed = texts(spark, sf, "conversations").withColumn("kind", text.content_type(t))
+    rows = texts(spark, sf, "conversations").withColumn("lowered", F.lower("text"))
+    typed = rows.withColumn("kind", text.content_type(t, F.col("lowered")))
     shown = (F.length(t) <= 100) & ~F.col("kind").isin("password", "api_key")
     preview = F.concat(F.substring(t, 1, 50), F.when(F.length(t) > 50, "...").otherwise(""))
     return typed.select(

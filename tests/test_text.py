@@ -106,3 +106,28 @@ def test_keyboard(spark):
 def test_levels(spark):
     scores = spark.createDataFrame([(0.95,), (0.7,), (0.1,)], "s DOUBLE")
     assert [r.x for r in scores.select(level(F.col("s"), "risk").alias("x")).collect()] == ["critical", "high", "minimal"]
+
+
+def test_no_condition_hides_a_match(spark):
+    """What spares a text the pattern holds wherever the pattern does, for all letters that have a case like ASCII ones."""
+    from sessionlens.functions import patterns as P
+
+    letters = sorted({c for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000} - set("\ufeff"))
+    rows = spark.createDataFrame([(c,) for c in letters], "c STRING").select(F.repeat("c", 40).alias("t"))
+    assert rows.filter(F.col("t").rlike(text.UNICODE_CASE + P.LONG_KEY) & ~text.may_match(F.col("t"), P.LONG_KEY)).count() == 0
+    assert rows.filter(F.col("t").rlike(text.UNICODE_CASE + P.LONG_KEY)).count() == 4  # the dotted and the dotless i, long s, Kelvin
+    for value in ("k" * 32, "é" + "k" * 32, "-" + "k" * 33 + "-", "a b " + "K1" * 16):
+        assert one(spark, value, lambda t: text.found(t, P.LONG_KEY, ignore_case=True))
+    for value in ("functıon  x", "claſſ a", "İMPORT y", "defa", "DEF é", "CLASS\t1", "import"):
+        for pattern in P.CONTENT_TYPES["code"]:
+            hit = one(spark, value, lambda t: t.rlike(text.UNICODE_CASE + pattern))
+            assert one(spark, value, lambda t: text.matches_any(t, [pattern])) == hit
+        assert one(spark, value, lambda t: text.matches_any(t, P.CONTENT_TYPES["code"])) == (value not in ("defa", "import"))
+
+
+@pytest.mark.parametrize("value", ["a  ", "  a", " a b ", "\x1c", "\u00a0a\u3000", "a\x1fb", None, ""])
+def test_form_of_the_text_without_rewriting_it(spark, value):
+    plain = "".join(" " if c.isspace() else c for c in value or "").split()
+    assert one(spark, value, text.content_type) == {0: "empty", 1: "single_word"}.get(len(plain), "text")
+    plan = spark.range(1).select(text.content_type(F.col("id").cast("string")))._jdf.queryExecution().toString()
+    assert "regexp_replace" not in plan and "split(" not in plan
