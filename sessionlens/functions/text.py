@@ -27,6 +27,9 @@ MUST_MATCH = {
     P.PHONE_GROUPS: DIGITS_3, P.PHONE_PLAIN: DIGITS_3, P.DOTTED_NUMBERS: UNICODE + r"\d\.\d", P.LONG_KEY: r"(?<!\S)\S{32}",
 }
 
+# The words of the code patterns, and the letters beyond ASCII that a pattern without case takes for one of i, s and k.
+CODE_WORDS, FOLDED = {e: e.split("\\")[0] for e in P.CONTENT_TYPES["code"]}, "ıİſ\u212a"
+
 
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
@@ -50,6 +53,9 @@ def may_match(text: Column, expression: str) -> Column:
 def found(text: Column, expression: str, ignore_case: bool = False, lowered: Column | None = None) -> Column:
     if ignore_case and re.fullmatch("[a-z]+", expression):
         return (F.lower(text) if lowered is None else lowered).contains(expression)
+    if lowered is not None and expression in CODE_WORDS:
+        holds_word = lowered.contains(CODE_WORDS[expression]) | any_of(text.contains(c) for c in FOLDED)
+        return holds_word & text.rlike((UNICODE_CASE if ignore_case else UNICODE) + expression)
     return may_match(text, expression) & text.rlike((UNICODE_CASE if ignore_case else UNICODE) + expression)
 
 

@@ -122,6 +122,7 @@ def test_no_condition_hides_a_match(spark):
         for pattern in P.CONTENT_TYPES["code"]:
             hit = one(spark, value, lambda t: t.rlike(text.UNICODE_CASE + pattern))
             assert one(spark, value, lambda t: text.matches_any(t, [pattern])) == hit
+            assert one(spark, value, lambda t: text.matches_any(t, [pattern], F.lower(t))) == hit
         assert one(spark, value, lambda t: text.matches_any(t, P.CONTENT_TYPES["code"])) == (value not in ("defa", "import"))
 
 
